@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.llm.storage import staged
+
 MIN_KEY_CHARS = 10
 #: A key is hot from this share of the lines on; the sketch tracks HOT_TRACKED keys, so at most that many are broadcast.
 HOT_SHARE, HOT_KEYS, HOT_TRACKED = 0.001, 1_000, 20_000
@@ -31,8 +33,9 @@ def text_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """ASCII white space stripped at both ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
+    """ASCII white space stripped at both ends, A-Z lower-cased; the fast lower() where it means the same."""
+    inner = F.btrim(line, F.lit(BLANK))
+    return F.when(F.length(inner) == F.octet_length(inner), F.lower(inner)).otherwise(F.translate(inner, UPPER, LOWER))
 
 
 def row_id(doc_id: Column, text: Column) -> list[Column]:
@@ -55,7 +58,7 @@ def _hot_keys(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(__id, __text, __pos) of every line that an earlier document holds."""
-    lines = _keyed_lines(docs)
+    lines = staged(_keyed_lines(docs), "line-keys")  # texts are read once; all that follows reads this narrow table
     hot = lines.sparkSession.createDataFrame(_hot_keys(lines).collect(), "__h1 long")  # HOT_KEYS rows at most
     first_of_hot = lines.join(F.broadcast(hot), "__h1", "left_semi").groupBy("__h1", "__h2").agg(F.min("__id").alias("__first"))
     seen_hot = lines.join(F.broadcast(first_of_hot), ["__h1", "__h2"]).where(F.col("__id") > F.col("__first"))
