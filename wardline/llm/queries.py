@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, line_dedup, quality, simhash, token_counts, warc
+from wardline.llm import chat, line_dedup, quality, simhash, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -52,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
+    "op9_token_binary": op9_token_binary,
     "op10_chat": op10_chat,
 }
