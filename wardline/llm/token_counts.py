@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from wardline.llm.storage import small_batches
 
-TABLE_ROWS, TABLE_TRACKED, TABLE_CHARS = 20_000, 100_000, 64
-CACHE_ROWS = 400_000
+TABLE_ROWS, TABLE_TRACKED, TABLE_CHARS = 8_192, 32_768, 64
+CACHE_ROWS = 200_000
 LIMIT = 2048
 #: Blanks that every party agrees on; other white space stays inside a pre-token, and the library drops it there.
 BLANKS = " \t\n\r"
