@@ -30,8 +30,9 @@ def run(spark, rows, schema="doc_id long, text string"):
 
 
 def test_edges(spark):
-    long = "\n".join(f"line number {i} of many" for i in range(3000))
-    rows = [(3, "A shared LINE here\nown of three"), (1, " a shared line HERE\t\n\na shared line here"), (2, None), (None, "a shared line here"), (4, ""), (4, ""), (5, long), (6, long + "\nlast one is new"), (7, "short\nshort"), (8, "short"), (9, "end of text \r\nA Shared line here\x0c"), (10, "éÉ upper stays É\nx"), (11, "éé upper stays É")]
+    long = "\n".join(f"line number {i} of many" for i in range(12_000))
+    mixed = "\n".join(f"line number {i} of many" if i % 3 else f"only here {i} and new" for i in range(12_000))
+    rows = [(3, "A shared LINE here\nown of three"), (1, " a shared line HERE\t\n\na shared line here"), (2, None), (None, "a shared line here"), (4, ""), (4, ""), (5, long), (6, long + "\nlast one is new"), (16, mixed), (7, "short\nshort"), (8, "short"), (9, "end of text \r\nA Shared line here\x0c"), (10, "éÉ upper stays É\nx"), (11, "éé upper stays É")]
     assert run(spark, rows) == brute(rows)
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.llm.exprs import let, prefix_sums
 from wardline.llm.storage import staged
 
 MIN_KEY_CHARS = 10
@@ -71,11 +72,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def _runs(dropped: Column) -> Column:
     """Sorted dropped positions as lengths of alternating runs: kept, dropped, kept, dropped, ..."""
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(dropped, i - 1))
-    steps = F.transform(dropped, lambda x, i: F.struct((x - before(i) - 1).alias("gap"), x.alias("at")))
-    starts = F.filter(F.transform(steps, lambda s, i: F.struct(s["gap"].alias("gap"), s["at"].alias("at"), i.alias("i"))), lambda s: (s["i"] == 0) | (s["gap"] > 0))
-    ends = F.transform(starts, lambda s, k: F.coalesce(F.get(starts, k + 1)["i"], F.size(dropped)))
-    return F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s["gap"], (e - s["i"]).cast("int"))))
+
+    def runs(at: Column) -> Column:
+        gaps = F.transform(at, lambda x, i: F.struct((x - F.when(i == 0, F.lit(-1)).otherwise(F.get(at, i - 1)) - 1).alias("gap"), i.alias("i")))
+        starts = F.filter(gaps, lambda g: (g["i"] == 0) | (g["gap"] > 0))
+        return let(starts, lambda ss: F.flatten(F.transform(ss, lambda s, k: F.array(s["gap"], F.coalesce(F.get(ss, k + 1)["i"], F.size(at)) - s["i"]))))
+
+    return let(dropped, runs)
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
@@ -86,9 +89,12 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
 
 def _kept_lines(lines: Column, runs: Column) -> Column:
     """Even runs are kept; what follows the last run is kept too."""
-    ends = F.aggregate(runs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    pieces = F.transform(F.sequence(F.lit(0), (F.size(runs) / 2).cast("int")), lambda k: F.slice(lines, F.get(ends, 2 * k) + 1, F.coalesce(F.get(runs, 2 * k), F.size(lines) - F.get(ends, 2 * k))))
-    return F.flatten(pieces)
+
+    def kept(ls: Column, rs: Column, ends: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), (F.size(rs) / 2).cast("int")), lambda k: F.slice(ls, F.get(ends, 2 * k) + 1, F.coalesce(F.get(rs, 2 * k), F.size(ls) - F.get(ends, 2 * k))))
+        return F.flatten(pieces)
+
+    return let(lines, lambda ls: let(runs, lambda rs: let(prefix_sums(rs), lambda ends: kept(ls, rs, ends))))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
