@@ -35,7 +35,7 @@ def brute(pairs, radius):
 def test_fingerprints():
     for t in (None, "", " \t", "One", "one two", "Ä b C d É", "a a a a a", "x\x0by\x0cz w\x1cv " * 50, "w" * 100_000, " ".join(map(str, range(30_000)))):
         for n in (3, 5):
-            assert simhash.fingerprint(t, n) == slow_fingerprint(t, n)
+            assert simhash.fingerprint(t, n).tolist() == [slow_fingerprint(t, n)]
 
 
 @pytest.mark.parametrize("radius", [2, 4, 6])
@@ -52,6 +52,34 @@ def test_bit_sliced_links(radius):
         assert got == {(i, j) for j in range(n) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= radius}
 
 
+def test_wide_links():
+    rng = random.Random(9)
+    fps = [rng.getrandbits(256) for _ in range(100)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(256), rng.randrange(30, 60))) for f in fps]
+    words = np.array([[f >> 64 * k & (1 << 64) - 1 for k in range(4)] for f in fps], np.uint64)
+    got = {(int(i), j) for i, m in zip(*simhash.matches(words, 44), strict=True) for j in np.flatnonzero(np.unpackbits(m.view(np.uint8), bitorder="little")).tolist()}
+    assert got == {(i, j) for j in range(200) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 44}
+
+
+def test_similar_texts(spark):
+    rng = random.Random(2)
+    say = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows, groups = [], []
+    for g in range(60):
+        ws = say(rng.randrange(60, 500))
+        rows.append((g, " ".join(ws)))
+        other = list(ws)
+        for _ in range(max(1, len(ws) // 80)):  # of n shingles about n / 16 change: a similarity near 0.88
+            other[rng.randrange(len(ws))] = "changed"
+        rows.append((1000 + g, " ".join(other)))
+        rows.append((2000 + g, " ".join(ws[: len(ws) // 2] + say(len(ws) // 2))))  # half the same: similarity 1/3
+        groups.append((g, 1000 + g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    comp = {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+    assert sum(comp[b] == a for a, b in groups) >= 0.9 * len(groups)
+    assert all(comp[2000 + g] == 2000 + g for g in range(60))
+
+
 @pytest.mark.parametrize("tile", [3, 4096])
 def test_components(spark, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE_ROWS", tile)
@@ -70,7 +98,7 @@ def test_components(spark, monkeypatch, tile):
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.digest(docs).collect())
     want = brute([(d, slow_fingerprint(t)) for d, t in rows], 2)
     assert got == want and len({c for *_, c in want}) < len(rows) - 20
-    kept = simhash.representatives(docs, 3, 2)
+    kept = simhash.representatives(docs, simhash.exact())
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in want})
 
 
@@ -78,8 +106,8 @@ def test_chain_empty_and_nulls(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500)], "a long, b long")
     assert {r.component for r in simhash.connected(chain).collect()} == {0}
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.digest(empty).count() == 0 and simhash.representatives(empty, 5, 4).count() == 0
+    assert simhash.digest(empty).count() == 0 and simhash.representatives(empty).count() == 0
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "other words go here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.digest(docs).collect()) == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
-    assert simhash.representatives(docs, 3, 2).count() == 2
+    assert simhash.representatives(docs, simhash.exact()).count() == 2

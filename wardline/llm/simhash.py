@@ -1,9 +1,11 @@
-"""SimHash near-duplicate detection, exact within a Hamming radius.
+"""SimHash near-duplicate detection.
 
-1. Each text gets a 64-bit fingerprint from its word shingles. Equal fingerprints become one node, so exact copies
+Two schemes: ``exact`` links 64-bit fingerprints within a small radius and misses none; ``similar`` links texts of a given
+Jaccard similarity by 256-bit fingerprints and a radius to match, with a stated recall at the threshold.
+
+1. Each text gets a fingerprint from its word shingles. Equal fingerprints become one node, so exact copies
    cost one row from here on.
-2. Candidates: the 64 bits are cut into pieces; two fingerprints within the radius agree on some set of pieces, so a
-   node is keyed once for each such set. Keys with more than TILE_ROWS nodes are dealt as pairs of tiles, which bounds
+2. Candidates: a node is keyed once for each of the scheme's sets of bits. Keys with more than TILE_ROWS nodes are dealt as pairs of tiles, which bounds
    a task's rows and misses no pair.
 3. Comparison is bit-sliced: a block stores bit planes vertically, one bit of 64 nodes in a machine word. Distances of
    all nodes of the block to a probe are counted at once by carry-save counters over the planes, and probes whose
@@ -17,7 +19,10 @@ their own texts alone; a null doc_id counts as the largest, so a component of no
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
@@ -33,84 +38,120 @@ NULL_ID = 2**63 - 1
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
+def fingerprint(text: str | None, words: int = WORDS, parts: int = 1):
+    """parts machine words of 64 fingerprint bits each. The first is of the shingles' XXH64; each other is of the same
+    hashes mixed anew."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D separate
     if not tokens:
-        return 0
+        return np.zeros(parts, np.uint64)
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined)).tolist()
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     last = ends[min(words, len(tokens)) - 1 :]
     hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, last, strict=True)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    out = np.zeros(parts, np.uint64)
+    for k in range(parts):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 4096):
+            bits = hashes[at : at + 4096] if k == 0 else _mixed(hashes[at : at + 4096], k)
+            ones += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+    return out
+
+
+def _mixed(hashes, k: int):
+    """The k-th further hash: a golden-ratio step and two rounds of shift and multiply."""
+    import numpy as np
+
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, __text, fp) of each row: a hash of the text, and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, parts: int = 1) -> DataFrame:
+    """(doc_id, __text, fp) of each row: a hash of the text, and the fingerprint's parts as signed longs."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in batches:
-            fps = [_signed(fingerprint(t, words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__text"), pa.array(fps, pa.int64())], names=["doc_id", "__text", "fp"])
+            fps = [fingerprint(t, words, parts).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__text"), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "__text", "fp"])
 
-    return docs.select("doc_id", "text", _text()).mapInArrow(run, "doc_id long, __text long, fp long")
+    return docs.select("doc_id", "text", _text()).mapInArrow(run, "doc_id long, __text long, fp array<long>")
 
 
 def _text() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")
 
 
-def piece_masks(radius: int) -> list[int]:
-    """One mask for each set of pieces that two fingerprints within the radius may agree on: of radius + 2 pieces,
-    at least two agree."""
+@dataclass(frozen=True)
+class Scheme:
+    """What a fingerprint is, when two link, and the (part, mask) keys of which linked ones share some."""
+
+    words: int
+    parts: int
+    radius: int
+    masks: tuple[tuple[int, int], ...]
+
+
+def exact(words: int = WORDS, radius: int = RADIUS) -> Scheme:
+    """64 bits; of radius + 2 pieces, any two fingerprints within the radius share at least two, so no link is missed."""
     edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
     pieces = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [a | b for a, b in combinations(pieces, 2)]
+    return Scheme(words, 1, radius, tuple((0, a | b) for a, b in combinations(pieces, 2)))
+
+
+def similar(n: int, words: int = 5, similarity: float = 0.8, parts: int = 4, recall: float = 0.97) -> Scheme:
+    """For texts whose shingle sets have at least the given Jaccard similarity. Bits of two such fingerprints differ at
+    a rate below ``rate``; the radius is the mean and one deviation at that rate. Keys are sets of bits drawn once, as
+    many bits as leave about 64 of n fingerprints to a key by chance, and as many keys as let a pair at that very rate
+    share one with probability ``recall``; closer pairs share one more surely."""
+    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * parts
+    size = min(28, max(12, math.ceil(math.log2(max(2, n))) - 6))
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** size))
+    rng = random.Random(SEED)
+    masks = tuple((k % parts, sum(1 << b for b in rng.sample(range(64), size))) for k in range(keys))
+    return Scheme(words, parts, int(bits * rate + math.sqrt(bits * rate * (1 - rate))), masks)
 
 
 def matches(fps, radius: int):
-    """Probes that have a later fingerprint within the radius, and a bit for each lane: which those are.
-    Bit-sliced, with carry-save counters."""
+    """fps: rows of fingerprint parts. Probes that have a later fingerprint within the radius, and a bit for each lane:
+    which those are. Bit-sliced: the counters start so that they overflow, once and for good, past the radius."""
     import numpy as np
 
-    n = len(fps)
+    fps = np.ascontiguousarray(fps, dtype="<u8").reshape(len(fps), -1)
+    n, bits = len(fps), 64 * fps.shape[1]
     lanes = -(-n // 64)
-    bits = np.zeros((lanes * 64, 64), np.uint8)
-    bits[:n] = np.unpackbits(np.ascontiguousarray(fps, dtype="<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")  # 64 planes of ``lanes`` words
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    flat = np.zeros((lanes * 64, bits), np.uint8)
+    flat[:n] = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(flat.T), axis=1, bitorder="little").view("<u8")  # a plane for each bit
+    full, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
     # lanes that are out: those up to the probe itself, and those past the end
     later = np.arange(lanes * 64)[None, :] > np.arange(n)[:, None]
     later[:, n:] = False
     out = ~np.packbits(later, axis=1, bitorder="little").view("<u8")
     probes = np.arange(n)
     width = max(1, radius.bit_length())
-    counters = [np.zeros((n, lanes), np.uint64) for _ in range(width)]
-    above = [k for k in range(radius + 1, 1 << width)]
-    for plane in range(64):
-        mask = np.where(bits[probes, plane] == 1, full, np.uint64(0))
-        carry = planes[plane][None, :] ^ mask[:, None]
+    preset = (1 << width) - 1 - radius
+    counters = [np.full((n, lanes), full if preset >> k & 1 else none) for k in range(width)]
+    for plane in range(bits):
+        carry = planes[plane][None, :] ^ np.where(flat[probes, plane] == 1, full, none)[:, None]
         for k in range(width):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         out |= carry
         if plane % 8 == 7:
-            for value in above:
-                hit = np.full_like(out, full)
-                for k in range(width):
-                    hit &= counters[k] if value >> k & 1 else ~counters[k]
-                out |= hit
             alive = (out != full).any(axis=1)
             if not alive.all():
                 probes, out, counters = probes[alive], out[alive], [c[alive] for c in counters]
@@ -142,48 +183,47 @@ def _compared(batches: Iterator[pa.RecordBatch], radius: int, rows: int) -> Iter
     whichever groups its ends came from."""
     import numpy as np
 
-    names = ["node", "least"]
-
-    def block(fps: list, nodes: list):
-        fp = np.array(fps, np.int64).astype(np.uint64)
-        edges = forest(fp, nodes, radius) if len(nodes) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=names)
+    def block(fp, node) -> pa.RecordBatch:
+        edges = forest(fp, node, radius) if len(node) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["node", "least"])
 
-    fps: list[int] = []
-    nodes: list[int] = []
-    done, group = 0, None  # rows before ``done`` are of whole groups
+    held: list[list] = [[], [], []]
+    size = 0
     for batch in batches:
-        for g, fp, node in zip(*(batch.column(c).to_pylist() for c in ("group", "fp", "node")), strict=True):
-            if g != group:
-                done, group = len(fps), g
-                if done >= rows:
-                    yield block(fps, nodes)
-                    fps, nodes, done = [], [], 0
-            fps.append(fp)
-            nodes.append(node)
-        if done >= rows:
-            yield block(fps[:done], nodes[:done])
-            fps, nodes, done = fps[done:], nodes[done:], 0
-    if fps:
-        yield block(fps, nodes)
-
-
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """nodes: (node, fp), one row for each fingerprint. Returns (node, least): edges that connect exactly what links
-    within the radius connect."""
+        if not batch.num_rows:
+            continue
+        fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        for own, new in zip(held, (batch.column("group").to_numpy(), fp, batch.column("node").to_numpy()), strict=True):
+            own.append(new)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        group, fp, node = (np.concatenate(own) for own in held)
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        at = 0
+        while (cut := starts[np.searchsorted(starts, at + rows)] if np.searchsorted(starts, at + rows) < len(starts) else 0) > at:
+            yield block(fp[at:cut], node[at:cut])
+            at = cut
+        held, size = [[group[at:]], [fp[at:]], [node[at:]]], len(group) - at
+    if size:
+        yield block(np.concatenate(held[1]), np.concatenate(held[2]))
+
+
+def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """nodes: (node, fp), one row for each fingerprint. Returns (node, least): edges that connect what links within the
+    radius connect, for all links whose ends share a key."""
     spark = nodes.sparkSession
     small_batches(spark)
-    masks = piece_masks(radius)
-    key = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
+    key = F.array(*(F.xxhash64(F.lit(i), F.get("fp", F.lit(part)).bitwiseAND(F.lit(_signed(m)))) for i, (part, m) in enumerate(scheme.masks)))
     keyed = nodes.select("node", "fp", F.explode(key).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     dealt = keyed.join(counts.select("key", tiles.alias("tiles")), "key").select("node", "fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    n = spread(spark)
-    grouped = dealt.select("node", "fp", group.alias("group")).repartition(n, "group").sortWithinPartitions("group")
-    return grouped.mapInArrow(lambda it: _compared(it, radius, BLOCK_ROWS), "node long, least long")
+    grouped = dealt.select("node", "fp", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group")
+    radius, rows = scheme.radius, BLOCK_ROWS
+    return grouped.mapInArrow(lambda it: _compared(it, radius, rows), "node long, least long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -206,20 +246,22 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, __text, fp, component_id) of each row."""
-    rows = staged(fingerprints(docs, words), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("doc")), "nodes")
-    found = connected(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
-    labelled = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("component", "fp").alias("component"))
+def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """(doc_id, __text, fp, component_id) of each row. Without a scheme, texts link at ``similar``'s five words and 0.8."""
+    rows = staged(fingerprints(docs, scheme.words if scheme else 5, scheme.parts if scheme else 4), "fingerprints")
+    node = F.get("fp", F.lit(0)) if scheme and scheme.parts == 1 else F.xxhash64("fp")
+    named = rows.withColumn("node", node)
+    nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("doc")), "nodes")
+    found = connected(links(nodes.select("node", "fp"), scheme or similar(nodes.count())))
+    labelled = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
-    by_fp = labelled.join(least, "component").select("fp", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
-    return rows.join(staged(by_fp, "components"), "fp").select("doc_id", "__text", "fp", "component_id")
+    by_node = labelled.join(least, "component").select("node", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
+    return named.join(staged(by_node, "components"), "node").select("doc_id", "__text", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, words: int, radius: int) -> DataFrame:
+def representatives(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """docs with one row of each component: of its smallest doc_id, and of that id's rows one, by the text's hash."""
-    found = components(docs, words, radius)
+    found = components(docs, scheme)
     key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__text")
     chosen = staged(found.groupBy("component_id").agg(F.min(key).alias("one")).select("one.__id", "one.__text"), "representatives")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__text": _text()})
@@ -228,4 +270,5 @@ def representatives(docs: DataFrame, words: int, radius: int) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for each document."""
-    return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = components(docs, exact())
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
