@@ -3,7 +3,7 @@
 A text is cut into pre-tokens at single ASCII blanks. The tokenizer drops white space and none of its rules look
 across it, so a text's count is the sum over its pre-tokens. The lengths of the most frequent pre-tokens are
 broadcast as one small table; a mergeable sketch over all texts names them, so no pre-token is shuffled. What that
-table misses goes to a cache of the Python worker, and what that misses is encoded by the library, many at a time.
+table misses goes to a cache of the Python worker, and what that misses is encoded by the library.
 The table only saves time: counts are the library's own with any table, an empty one included.
 
 Memory is bounded: the table by TABLE_ROWS entries of TABLE_CHARS characters, a worker's cache by CACHE_ROWS.
@@ -21,25 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.pieces import Pieces, tokenizer
 from wardline.llm.storage import small_batches
 
 TABLE_ROWS, TABLE_TRACKED, TABLE_CHARS = 8_192, 32_768, 64
-CACHE_ROWS = 200_000
+CACHE_ROWS = 500_000
 LIMIT = 2048
 #: Blanks that every party agrees on; other white space stays inside a pre-token, and the library drops it there.
 BLANKS = " \t\n\r"
 
 
-@cache
-def tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def frequent(docs: DataFrame) -> list[str]:
     """The most frequent pre-tokens of all texts, from a sketch of fixed size."""
     words = docs.select(F.explode(F.split("text", f"[{BLANKS}]+")).alias("word")).where(F.length("word").between(1, TABLE_CHARS))
@@ -47,35 +38,22 @@ def frequent(docs: DataFrame) -> list[str]:
     return [x["item"] for x in top or []]
 
 
-def lengths(path: str, words: list[str]) -> list[int]:
-    """Tokens of each pre-token: one call of the library for all, told apart by the tokens' places."""
-    import numpy as np
-
-    if not words:
-        return []
-    encoding = tokenizer(path).encode(" ".join(words), add_special_tokens=False)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.fromiter((s for s, _ in encoding.offsets), np.int64, len(encoding.offsets))
-    return np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(words)).tolist()
-
-
 class Counter:
     """Both tiers of one worker."""
 
     def __init__(self, path: str, table: dict[str, int]):
-        self.path, self.table, self.cache = path, table, dict(table)
+        encode = tokenizer(path).encode
+        self.sizes = Pieces(path, CACHE_ROWS, "", True, len, lambda piece: len(encode(piece, add_special_tokens=False).ids))
+        self.sizes.update(table)
+
+    def count(self, text: str | None) -> int:
+        return sum(map(self.sizes.__getitem__, (text or "").translate(TO_SPACE).split(" ")))
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        words = [(t or "").translate(TO_SPACE).split(" ") for t in texts]
-        missed = list({w for ws in words for w in ws if w not in self.cache})
-        if len(self.cache) + len(missed) > CACHE_ROWS:
-            self.cache = dict(self.table)
-            missed = list({w for ws in words for w in ws if w not in self.cache})
-        for at in range(0, len(missed), 20_000):
-            part = missed[at : at + 20_000]
-            self.cache.update(zip(part, lengths(self.path, part), strict=True))
-        get = self.cache.__getitem__
-        return [sum(map(get, ws)) for ws in words]
+
+@cache
+def worker_counter(path: str) -> Counter:
+    """One for each Python worker, which keeps its cache from task to task."""
+    return Counter(path, {})
 
 
 TO_SPACE = str.maketrans({c: " " for c in BLANKS})
@@ -83,10 +61,11 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str, table: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    counter = Counter(path, table)
+    counter = worker_counter(path)
+    counter.sizes.update(table)
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        n = counter.count(texts)
+        n = [counter.count(t) for t in texts]
         sizes = [len(t.encode()) if t else 0 for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > LIMIT for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -97,5 +76,6 @@ def count_tokens(docs: DataFrame, path: str, words: list[str] | None = None) ->
     spark = docs.sparkSession
     small_batches(spark)
     words = frequent(docs) if words is None else words
-    table = spark.sparkContext.broadcast(dict(zip(words, lengths(path, words), strict=True)))
+    counter = Counter(path, {})
+    table = spark.sparkContext.broadcast({w: counter.count(w) for w in words})
     return docs.select("doc_id", "text").mapInArrow(lambda it: _counted(it, path, table.value), SCHEMA)
