@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, line_dedup, pii, quality, simhash, token_binary, token_counts, warc
+from wardline.llm import chat, decontaminate, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+#: The mixture that op2 plans: as many tokens as there are, and no source seen more than twice as often as given.
+MAX_REPETITION = 2.0
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    total = docs.agg(F.sum(mixing.words(F.col("text")))).collect()[0][0]
+    plan = mixing.plan(docs, budget_tokens=float(total or 0), max_repetition=MAX_REPETITION)
+    return plan.select("doc_id", "source", "n_tokens", "block", "weight", "copies")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -60,6 +72,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_pii": op5_pii,
