@@ -2,7 +2,7 @@
 
 1. Texts are encoded by the tokenizers library. A text is cut at single blanks between two non-blank characters; the
    vocabulary's byte-level rules always start a new pre-token there, so pieces encode alone as they do in place. A worker
-   keeps the ids of pieces it has met and has the library encode the others, many at a time.
+   keeps the ids of pieces it has met and has the library encode the others.
 2. Ids are counted over the whole corpus (at most one row for each id) and ranked by frequency.
 3. Documents are dealt in ranges of doc_id, sorted, and written: each id as the 1 to 4 bytes of its rank, with four 2-bit
    lengths in each control byte. A shard is closed at SHARD_TOKENS ids and carries its rank table and its directory.
@@ -22,18 +22,20 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.llm.pieces import Pieces, tokenizer
 from wardline.llm.storage import fresh_path, small_batches, spread, staged
-from wardline.llm.token_counts import tokenizer
 
 END_ID = 2
 SHARD_TOKENS = 8 << 20
-CACHE_ROWS = 200_000
+CACHE_ROWS = 1_000_000
 MAGIC = b"WLTOK1\n"
 
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -41,80 +43,39 @@ _UNEVEN = re.compile(r"\s\s|\s\Z")
 
 
 class Encoder:
-    """Ids of texts, with the ids of pieces met before kept in two flat arrays."""
+    """Ids of texts as bytes of little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, path: str):
-        self.library = tokenizer(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        import numpy as np
-
-        self.index: dict[str, int] = {}
-        self.parts: list = []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that follow a blank, encoded in one text and told apart by the tokens' places."""
-        import numpy as np
-
-        found = self.library.encode("".join(f" {p}" for p in pieces), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
-        ends = np.cumsum([len(p) + 1 for p in pieces])
-        starts = np.fromiter((s for s, _ in found.offsets), np.int64, len(ids))
-        sizes = np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(pieces))
-        first = len(self.index)
-        self.index.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.flat = np.append(self.flat, ids)
-
-    def _whole(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)] if pieces else []
-
-    def encode(self, texts: list[str]) -> list:
-        """An array of ids for each text."""
-        import numpy as np
-
-        heads, inner, tails = [], [], []
-        for text in texts:
-            uneven = _UNEVEN.search(text)
-            head, *rest = _BOUNDARY.split(text) if uneven else text.split(" ")
-            tail = rest.pop() if uneven and rest and rest[-1][-1:].isspace() else None
-            heads.append(head)
-            inner.append(rest)
-            tails.append(tail)
-        missed = list({p for ps in inner for p in ps if p not in self.index})
-        if len(self.index) + len(missed) > CACHE_ROWS:
-            self._clear()
-            missed = list({p for ps in inner for p in ps})
-        for at in range(0, len(missed), 20_000):
-            self._learn(missed[at : at + 20_000])
-        ended = [i for i, t in enumerate(tails) if t is not None]
-        first = self._whole(heads)
-        last = dict(zip(ended, self._whole([f" {tails[i]}" for i in ended]), strict=True))
-        get = self.index.__getitem__
-        out = []
-        for i, pieces in enumerate(inner):
-            at = np.fromiter(map(get, pieces), np.int64, len(pieces))
-            sizes = self.sizes[at]
-            total = int(sizes.sum())
-            before = np.cumsum(sizes) - sizes
-            ids = self.flat[np.repeat(self.starts[at] - before, sizes) + np.arange(total)]
-            out.append(np.concatenate([np.array(first[i], np.uint32), ids, np.array(last.get(i, []), np.uint32)]))
-        return out
+        library = tokenizer(path)
+        self.width = 2 if library.get_vocab_size() <= 1 << 16 else 4
+        kind = "H" if self.width == 2 else "I"
+        self.written = lambda ids: array(kind, ids).tobytes()
+        self.plain = lambda text: self.written(library.encode(text, add_special_tokens=False).ids)
+        self.pieces = Pieces(path, CACHE_ROWS, " ", False, self.written, self.plain)
+        self.heads = Pieces(path, CACHE_ROWS // 10, "", False, self.written, self.plain)
+
+    def encode(self, text: str) -> bytes:
+        uneven = _UNEVEN.search(text)
+        head, *rest = _BOUNDARY.split(text) if uneven else text.split(" ")
+        tail = self.plain(f" {rest.pop()}") if uneven and rest and rest[-1][-1:].isspace() else b""
+        return b"".join([self.heads[head], *map(self.pieces.__getitem__, rest), tail])
+
+
+@cache
+def worker_encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps its pieces from task to task."""
+    return Encoder(path)
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    import numpy as np
     import zstandard
 
-    encoder = Encoder(path)
-    kind = np.uint16 if encoder.library.get_vocab_size() <= 1 << 16 else np.uint32
+    encoder = worker_encoder(path)
+    end, width = encoder.written([END_ID]), encoder.width
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        ids = [np.append(x, np.uint32(END_ID)) for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(bytes([kind().itemsize]) + x.astype(kind).tobytes()) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+        ids = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pack(bytes([width]) + x) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
 
 def unpacked(data: bytes):
@@ -136,8 +97,8 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            n = np.bincount(unpacked(data), minlength=len(total))
+        if batch.num_rows:
+            n = np.bincount(np.concatenate([unpacked(data) for data in batch.column("ids").to_pylist()]), minlength=len(total))
             n[: len(total)] += total
             total = n
     at = np.flatnonzero(total)
@@ -159,7 +120,8 @@ def pack_ranks(ranks) -> tuple[bytes, bytes]:
     quads = np.zeros((-(-len(ranks) // 4), 4), np.uint8)
     quads.ravel()[: len(ranks)] = extra
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    width = 2 if ranks.max(initial=0) <= 0xFFFF else 4
+    data = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) <= extra[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -173,7 +135,7 @@ def unpack_ranks(control: bytes, data: bytes, n: int):
     starts = np.cumsum(sizes) - sizes
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     words = raw[starts].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(sizes.max(initial=1))):
         words |= raw[starts + k].astype(np.uint32) << np.uint32(8 * k)
     return words & masks[sizes]
 
