@@ -38,7 +38,6 @@ def base(text):
 
 
 def brute(rows):
-    rows = list(dict.fromkeys(rows))
     n, near, n_e, n_t = len(rows), defaultdict(set), defaultdict(set), defaultdict(set)
     hits = []
     for r, (_, text) in enumerate(rows):
@@ -93,7 +92,7 @@ def test_corpus(spark):
 def test_repeated_rows_and_null_ids(spark):
     rows = [(None, "mail a@b.cd"), (1, "mail a@b.cd"), (1, "other a@b.cd")]
     assert run(spark, rows) == brute(rows)
-    assert run(spark, rows[:1] * 3) == brute(rows[:1]) * 3
+    assert run(spark, rows[:1] * 3) == brute(rows[:1] * 3)
 
 
 TEXTS = st.lists(st.sampled_from(["a@b.c", "a.b_c@d-e.f.g", "@", ".", "_", "1.2.3.4", "256.1.1.1", "4111111111111111", "4111-1111 1111 1111", "+", "+12 (34) 567-890", "1", " ", "-", "12", "é", "x@y", "0.0.0.0", "000000000000"]), max_size=14).map("".join)

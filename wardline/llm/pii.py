@@ -11,8 +11,7 @@ count documents of the candidate terms alone; counts are summed map-side, so a v
 documents is no hot group. Patterns take linear time on any text: runs are possessive and entered at their first
 character only.
 
-Defined cases: a null text is empty; documents are counted by id and text, so a repeated row counts once; a null doc_id
-is an id of its own; offsets are code points, ends exclusive; extra columns are ignored by ``digest`` and kept by
+Defined cases: a null text is empty; each row counts as a document, repeated ones too; a null doc_id is an id of its own; offsets are code points, ends exclusive; extra columns are ignored by ``digest`` and kept by
 ``sanitised``; no input rows give no output rows.
 """
 
@@ -116,14 +115,14 @@ def detected(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, full): pairs over the threshold; full if the term reveals all of the entity's information."""
-    rows = found.where(F.size("terms") > 0).select(*KEYS, F.explode("terms").alias("t")).select(*KEYS, "t.entity", "t.term").distinct()
+    once = F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))
+    rows = found.where(F.size("terms") > 0).select(F.explode(once).alias("t")).select("t.*")
     pairs = staged(rows.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT), "pairs")
     terms = staged(pairs.select("term").distinct(), "candidate-terms")
-    words = docs.select(*keys(), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
-    n_term = words.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = found.where(F.size("spans") > 0).select(*KEYS, F.explode(F.array_distinct("spans.value")).alias("entity")).distinct()
-    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_docs = found.select(*KEYS).distinct().agg(F.count("*").alias("n_docs"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    n_entity = found.select(F.explode(F.array_distinct("spans.value")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_docs = found.agg(F.count("*").alias("n_docs"))
     counted = pairs.join(n_entity, "entity").join(n_term, "term").join(F.broadcast(n_docs))  # one row
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
     pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
