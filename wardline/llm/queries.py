@@ -22,7 +22,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    read = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return read.drop("archive", "offset", "length")  # where each record is: fresh names in every run
 
 
 #: The mixture that op2 plans: as many tokens as there are, and no source seen more than twice as often as given.
@@ -53,7 +54,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+    return line_dedup.digest(_table(spark, sf_dir, "documents")).drop("keep_runs")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,3 +83,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_binary": op9_token_binary,
     "op10_chat": op10_chat,
 }
+
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""WITH p AS (SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+  f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.MIN_REVISIT_BYTES} GROUP BY payload_digest)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""",
+    "op7_line_dedup": f"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+  keyed AS (SELECT *, translate(trim(line, {_BLANK}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM lines),
+  firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= {line_dedup.MIN_KEY_CHARS} GROUP BY key),
+  judged AS (SELECT k.*, coalesce(first < doc_id, FALSE) AS dropped FROM keyed k LEFT JOIN firsts USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256 FROM judged GROUP BY doc_id""",
+    "op8_quality": f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS words FROM documents),
+  windows AS (SELECT doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w, i FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
+  again AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
+  repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows JOIN again USING (doc_id, w) CROSS JOIN (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+  worded AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM d),
+  lines AS (SELECT doc_id, host, text, key, sum(n) AS n FROM (SELECT doc_id, host, text, lower(array_to_string(regexp_extract_all(line, {_WORD}), ' ')) AS key, len(regexp_extract_all(line, {_WORD})) AS n FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE n > 0 GROUP BY doc_id, host, text, key),
+  sizes AS (SELECT host, count(DISTINCT text) AS n_docs FROM d GROUP BY host),
+  over_limit AS (SELECT host, key, min(doc_id) AS first FROM lines JOIN sizes USING (host) GROUP BY host, key, n_docs HAVING count(DISTINCT text) > {quality.LINE_DOCS} AND count(DISTINCT text) > n_docs * {quality.LINE_SHARE}),
+  lost AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS lost FROM lines JOIN over_limit USING (host, key) WHERE doc_id <> first GROUP BY doc_id),
+  counted AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS n_removed_words
+    FROM d JOIN worded USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= {quality.KEPT_SHARE} * n_words AS kept FROM counted""",
+    "op10_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e AS (SELECT *, length(role || text) + 4 * (length(role || text) - length(replace(role || text, '&', ''))) + 3 * (length(role || text) - length(replace(role || text, '<', ''))) + 5 * (length(role || text) - length(replace(role || text, '[', ''))) + {len(chat.TURN + chat.END) + 1} AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS n_attachment_tokens FROM e GROUP BY conv_id""",
+}
