@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Array elements that one fold appends to; a fold copies its array at each step.
@@ -39,3 +39,16 @@ def matches(text: Column, pattern: str) -> Column:
         return F.zip_with(ends, values, lambda end, x: F.struct((end - F.char_length(x)).alias("start"), end.alias("end"), x.alias("value")))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.when(F.size(v) == 0, F.array().cast(kind)).otherwise(placed(v).cast(kind)))
+
+
+#: Groups whose sketches are merged side by side before the last merge.
+MERGERS = 64
+
+
+def top_items(df: DataFrame, column: str, k: int, tracked: int) -> DataFrame:
+    """(item, count) of about the k most frequent values, by a sketch of ``tracked`` entries for each task. Sketches are
+    merged in two levels, so that no task merges those of all others; no rows give no items."""
+    grouped = df.select(column, (F.spark_partition_id() % MERGERS).alias("__merger")).groupBy("__merger")
+    parts = grouped.agg(F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("sketch"))
+    whole = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    return whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {k})")).alias("top")).select("top.item", "top.count")

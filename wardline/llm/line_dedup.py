@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.exprs import let, prefix_sums
+from wardline.llm.exprs import let, prefix_sums, top_items
 from wardline.llm.storage import staged
 
 MIN_KEY_CHARS = 10
@@ -52,9 +52,8 @@ def _keyed_lines(docs: DataFrame) -> DataFrame:
 
 def _hot_keys(lines: DataFrame) -> DataFrame:
     """First hashes of very common keys: at most HOT_KEYS rows."""
-    top = lines.agg(F.expr(f"approx_top_k(__h1, {HOT_KEYS}, {HOT_TRACKED})").alias("top"), F.count("*").alias("n"))
-    rows = top.select(F.explode("top").alias("top"), "n").where(F.col("top.count") > F.greatest(F.lit(1000), F.col("n") * HOT_SHARE))
-    return rows.select(F.col("top.item").alias("__h1")).distinct()
+    n = lines.count()
+    return top_items(lines, "__h1", HOT_KEYS, HOT_TRACKED).where(F.col("count") > max(1000, n * HOT_SHARE)).select(F.col("item").alias("__h1")).distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.exprs import top_items
 from wardline.llm.pieces import Pieces, tokenizer
 from wardline.llm.storage import small_batches
 
 TABLE_ROWS, TABLE_TRACKED, TABLE_CHARS = 8_192, 32_768, 64
-CACHE_ROWS = 500_000
+CACHE_ROWS = 1_000_000
 LIMIT = 2048
 #: Blanks that every party agrees on; other white space stays inside a pre-token, and the library drops it there.
 BLANKS = " \t\n\r"
@@ -34,8 +35,7 @@ BLANKS = " \t\n\r"
 def frequent(docs: DataFrame) -> list[str]:
     """The most frequent pre-tokens of all texts, from a sketch of fixed size."""
     words = docs.select(F.explode(F.split("text", f"[{BLANKS}]+")).alias("word")).where(F.length("word").between(1, TABLE_CHARS))
-    top = words.agg(F.expr(f"approx_top_k(word, {TABLE_ROWS}, {TABLE_TRACKED})").alias("top")).collect()[0].top
-    return [x["item"] for x in top or []]
+    return [r["item"] for r in top_items(words, "word", TABLE_ROWS, TABLE_TRACKED).collect()]
 
 
 class Counter:
