@@ -23,6 +23,7 @@ def ids(encoder, text):
 @pytest.mark.parametrize("limit", [100, 8 << 20])
 def test_round_trip(spark, monkeypatch, limit):
     monkeypatch.setattr(tb, "SHARD_TOKENS", limit)
+    monkeypatch.setattr(tb, "BLOCK_IDS", max(30, limit // 5000))
     texts = [*ODD, None, *ODD]
     rows = [(1000 - 7 * i, t, "x", 0) for i, t in enumerate(texts)] + [(None, "no id", "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, n long").repartition(3)
@@ -63,6 +64,12 @@ def test_random_texts(texts):
     assert [ids(e, t) + [2] for t in texts] == [direct(t) for t in texts]
 
 
+def test_words_first_met_at_a_line():
+    e = tb.Encoder(PATH)
+    for t in ["a One.\nTwo, b", "a \nTwo b", "a Two b", "x \n", "x\n", " \nTwo", "\nTwo x", "x  Two", "a\nTwo b", "a b\n\nTwo, c", "\x00Two x", "x \x00Two"] * 2:
+        assert [*ids(e, t), 2] == direct(t), t
+
+
 def test_words_and_marks():
     e = tb.Encoder(PATH)
     for t in ["The, The. THE, ÀÉÿß, Straße. ÆØÞ. aª º, µ", "x I.B.M. e.g., it's, 'll, a.,", *("w " + chr(c) + "x" + chr(c) + ", end" for c in range(0xC0, 0x180))]:

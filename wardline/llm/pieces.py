@@ -7,9 +7,9 @@ from collections.abc import Callable
 from functools import cache
 
 #: A word of letters that every Unicode version calls letters and that NFC leaves alone, and a mark that may end it.
-WORD = re.compile("(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 #: Two of these with a line feed between them: both rules of these vocabularies cut before and after it.
-BROKEN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?)(\n[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?)")
+BROKEN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?)\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 @cache
@@ -30,10 +30,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Uneven(Exception):
+    """A piece that is empty or has white space at an end: the text was not cut where the rules cut."""
+
+
 class Pieces(dict):
     """piece -> what it encodes to, for about ``rows`` pieces at most, in two generations: when the young one is full it
-    becomes the old one, and what is met again moves to the young. A value is anything that + puts together. ids makes a value of the ids of a lone word, which follows a blank, or else a line feed that
-    the piece starts with; plain makes one of any other text, with the library's own rules."""
+    becomes the old one, and what is met again moves to the young. A value is anything that + puts together. ids makes
+    a value of the ids of a lone word; plain makes one of any other text, with the library's own rules. With ``before``,
+    pieces stand behind it in their texts; a tuple of a word stands for that word at the start of a line."""
 
     def __init__(self, path: str, rows: int, before: str, fold: bool, ids: Callable, plain: Callable):
         super().__init__()
@@ -41,27 +46,26 @@ class Pieces(dict):
         self.model, self.letters = tokenizer(path).model, byte_letters()
         self.marks = {m: plain(m) for m in (".", ",", "\n")}
 
-    def _word(self, word: str):
-        if word[0] == "\n":
-            return self.marks["\n"] + self._ids(word[1:])
-        return self._ids(self.before + word)
-
     def _ids(self, word: str):
         written = (word.lower() if self.fold else word).encode().decode("latin-1").translate(self.letters)
         return self.ids([t.id for t in self.model.tokenize(written)])
 
-    def __missing__(self, piece: str):
+    def __missing__(self, piece):
         value = self.old.get(piece)
         if value is None:
-            found = WORD.fullmatch(piece)
-            if not found and (halves := BROKEN.fullmatch(piece)):
-                return self[halves[1]] + self[halves[2]]
-            if not found:
-                value = self.plain(self.before + piece)
-            elif found[2]:
-                value = self[found[1]] + self.marks[found[2]]
+            if isinstance(piece, tuple):
+                value = self.marks["\n"] + self._ids(piece[0])
+            elif found := WORD.fullmatch(piece):
+                word, mark = found.groups()
+                value = self[word] + self.marks[mark] if mark else self._ids(self.before + word)
+            elif self.before and (not piece or piece[0].isspace() or piece[-1].isspace()):
+                raise Uneven
+            elif halves := BROKEN.fullmatch(piece):
+                first, word, mark = halves.groups()
+                line = self[first] + self[(word,)]
+                return line + self.marks[mark] if mark else line
             else:
-                value = self._word(piece)
+                value = self.plain(self.before + piece)
         if 2 * len(self) >= self.rows:
             self.old = dict(self)
             self.clear()

@@ -5,7 +5,8 @@
    keeps the ids of pieces it has met and has the library encode the others.
 2. Ids are counted over the whole corpus (at most one row for each id) and ranked by frequency.
 3. Documents are dealt in ranges of doc_id, sorted, and written: each id as the 1 to 4 bytes of its rank, with four 2-bit
-   lengths in each control byte. A shard is closed at SHARD_TOKENS ids and carries its rank table and its directory.
+   lengths in each control byte. A shard is closed at SHARD_TOKENS ids and carries its rank table; its blocks of
+   BLOCK_IDS ids carry their directories.
 4. Shards are decoded by numpy with table lookups.
 
 Text is encoded once: the ids of step 1 are kept, compressed, in the shared folder.
@@ -30,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.pieces import Pieces, tokenizer
+from wardline.llm.pieces import Pieces, Uneven, tokenizer
 from wardline.llm.storage import fresh_path, small_batches, spread, staged
 
 END_ID = 2
-SHARD_TOKENS = 8 << 20
+#: Ids of a shard and of a block, the most that a task holds at once beside its longest document.
+SHARD_TOKENS, BLOCK_IDS = 32 << 20, 1 << 20
 CACHE_ROWS = 1_000_000
 MAGIC = b"WLTOK1\n"
 
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r"\s\s|\s\Z")
 
 
 class Encoder:
@@ -55,10 +56,15 @@ class Encoder:
         self.heads = Pieces(path, CACHE_ROWS // 10, "", False, self.written, self.plain)
 
     def encode(self, text: str) -> bytes:
-        uneven = _UNEVEN.search(text)
-        head, *rest = _BOUNDARY.split(text) if uneven else text.split(" ")
-        tail = self.plain(f" {rest.pop()}") if uneven and rest and rest[-1][-1:].isspace() else b""
-        return b"".join([self.heads[head], *map(self.pieces.__getitem__, rest), tail])
+        head, *rest = text.split(" ")
+        try:
+            if head[-1:].isspace():
+                raise Uneven
+            return b"".join([self.heads[head], *map(self.pieces.__getitem__, rest)])
+        except Uneven:
+            head, *rest = _BOUNDARY.split(text)
+            tail = self.plain(f" {rest.pop()}") if rest and rest[-1][-1:].isspace() else b""
+            return b"".join([self.plain(head), *map(self.pieces.__getitem__, rest), tail])
 
 
 @cache
@@ -68,14 +74,22 @@ def worker_encoder(path: str) -> Encoder:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    import numpy as np
     import zstandard
 
+    names = ["doc_id", "n", "ids", "tally"]
     encoder = worker_encoder(path)
     end, width = encoder.written([END_ID]), encoder.width
     pack = zstandard.ZstdCompressor(level=1).compress
+    total = np.zeros(0, np.int64)
     for batch in batches:
         ids = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pack(bytes([width]) + x) for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+        none = pa.nulls(batch.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pack(bytes([width]) + x) for x in ids], pa.binary()), none], names=names)
+        n = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(total))
+        n[: len(total)] += total
+        total = n
+    yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.binary())] + [pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=names)
 
 
 def unpacked(data: bytes):
@@ -87,27 +101,30 @@ def unpacked(data: bytes):
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n, ids) of each row, kept in the shared folder; ids are packed."""
+    """(doc_id, n, ids, tally), kept in the shared folder. A row for each document, its ids packed; and one for each task,
+    without ids, with the task's count of every id."""
     small_batches(docs.sparkSession)
-    return staged(docs.select("doc_id", "text").mapInArrow(lambda it: _packed(it, path), "doc_id long, n long, ids binary"), "ids", "none")
+    return staged(docs.select("doc_id", "text").mapInArrow(lambda it: _packed(it, path), "doc_id long, n long, ids binary, tally binary"), "ids", "none")
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
+    import zstandard
 
     total = np.zeros(0, np.int64)
     for batch in batches:
-        if batch.num_rows:
-            n = np.bincount(np.concatenate([unpacked(data) for data in batch.column("ids").to_pylist()]), minlength=len(total))
-            n[: len(total)] += total
-            total = n
+        for data in batch.column("tally").to_pylist():
+            n = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i8").copy()
+            short, long = sorted((n, total), key=len)
+            long[: len(short)] += short
+            total = long
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
 
 def ranking(encoded: DataFrame) -> list[int]:
     """Ids from the most to the least frequent; as many as the vocabulary has at most."""
-    counts = encoded.select("ids").mapInArrow(_tallied, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.where(F.col("tally").isNotNull()).select("tally").mapInArrow(_tallied, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return [r.id for r in sorted(counts.collect(), key=lambda r: (-r.n, r.id))]
 
 
@@ -140,77 +157,93 @@ def unpack_ranks(control: bytes, data: bytes, n: int):
     return words & masks[sizes]
 
 
-def shard_bytes(doc_ids: list[int | None], sizes: list[int], ids, ranked) -> bytes:
-    """A shard: magic, length and JSON of its header, rank table, directory, control bytes, data bytes."""
-    import numpy as np
+class ShardWriter:
+    """A shard: magic, size and table of ranked ids, then blocks of whole documents. A block: size and JSON of its
+    header, its directory, control bytes, data bytes. Holds one block at a time."""
 
-    rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
-    rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    control, data = pack_ranks(rank_of[ids])
-    table = ranked.astype("<u4").tobytes()
-    directory = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array(sizes, "<i8").tobytes()
-    header = json.dumps({"docs": len(doc_ids), "ids": len(ids), "ranked": len(ranked), "control": len(control), "data": len(data)}).encode()
-    return MAGIC + struct.pack("<I", len(header)) + header + table + directory + control + data
+    def __init__(self, out, ranked):
+        import numpy as np
 
+        self.out, self.n_ids = out, 0
+        self.rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
+        self.rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
+        self._clear()
+        out.write(MAGIC + struct.pack("<I", len(ranked)) + ranked.astype("<u4").tobytes())
 
-def read_shard(raw: bytes) -> tuple[list[int | None], list[int], object]:
-    """doc_ids, sizes and all ids of a shard."""
-    import numpy as np
+    def _clear(self) -> None:
+        self.docs: list[int | None] = []
+        self.ids: list = []
+        self.held = 0
 
-    if raw[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token shard")
-    at = len(MAGIC) + 4
-    (size,) = struct.unpack("<I", raw[at - 4 : at])
-    h = json.loads(raw[at : at + size])
-    at += size
+    def add(self, doc_id: int | None, ids) -> None:
+        if self.held and self.held + len(ids) > BLOCK_IDS:
+            self.flush()
+        self.docs.append(doc_id)
+        self.ids.append(ids)
+        self.held += len(ids)
+        self.n_ids += len(ids)
+
+    def flush(self) -> None:
+        import numpy as np
 
-    def take(kind: str, n: int):
-        nonlocal at
-        out = np.frombuffer(raw, kind, n, at)
-        at += out.nbytes
-        return out
+        if not self.docs:
+            return
+        control, data = pack_ranks(self.rank_of[np.concatenate(self.ids)])
+        directory = np.array([0 if d is None else d for d in self.docs], "<i8").tobytes() + np.array([d is None for d in self.docs], np.uint8).tobytes() + np.array(list(map(len, self.ids)), "<i8").tobytes()
+        header = json.dumps({"docs": len(self.docs), "ids": self.held, "control": len(control), "data": len(data)}).encode()
+        for part in (struct.pack("<I", len(header)), header, directory, control, data):
+            self.out.write(part)
+        self._clear()
 
-    ranked, docs, none, sizes = take("<u4", h["ranked"]), take("<i8", h["docs"]), take("u1", h["docs"]), take("<i8", h["docs"])
-    control, data = take("u1", h["control"]).tobytes(), take("u1", h["data"]).tobytes()
-    ids = ranked[unpack_ranks(control, data, h["ids"])] if h["ids"] else np.zeros(0, np.uint32)
-    return [None if x else d for d, x in zip(docs.tolist(), none.tolist(), strict=True)], sizes.tolist(), ids
+    def close(self) -> None:
+        self.flush()
+        self.out.close()
+
+
+def read_shard(source) -> Iterator[tuple[list[int | None], list[int], object]]:
+    """doc_ids, sizes and ids of each block of a shard."""
+    import numpy as np
+
+    if source.read(len(MAGIC)) != MAGIC:
+        raise ValueError("not a token shard")
+    (n,) = struct.unpack("<I", source.read(4))
+    ranked = np.frombuffer(source.read(4 * n), "<u4")
+    while size := source.read(4):
+        h = json.loads(source.read(*struct.unpack("<I", size)))
+        docs, none, sizes = (np.frombuffer(source.read(w * h["docs"]), kind).tolist() for w, kind in ((8, "<i8"), (1, "u1"), (8, "<i8")))
+        control, data = source.read(h["control"]), source.read(h["data"])
+        yield [None if x else d for d, x in zip(docs, none, strict=True)], sizes, ranked[unpack_ranks(control, data, h["ids"])]
 
 
 SHARDS = "range_no int, shard_no int, file string, n_ids long"
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, ranked, limit: int) -> Iterator[pa.RecordBatch]:
-    import numpy as np
     from pyarrow import fs
     from pyspark import TaskContext
 
+    worker_encoder.cache_clear()  # this worker needs the room
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
     range_no, made = TaskContext.get().partitionId(), []
-    docs: list = []
-    sizes: list[int] = []
-    ids: list = []
-    held = 0
+    shard, name = None, ""
 
     def close():
-        nonlocal docs, sizes, ids, held
-        if docs:
-            name = f"{range_no:06d}-{len(made):06d}-{uuid.uuid4().hex[:12]}.tokens"
-            with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(shard_bytes(docs, sizes, np.concatenate(ids), ranked))
-            made.append((range_no, len(made), name, held))
-        docs, sizes, ids, held = [], [], [], 0
+        shard.close()
+        made.append((range_no, len(made), name, shard.n_ids))
 
     for batch in batches:
         for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            one = unpacked(data)
-            if held and held + len(one) > limit:
+            ids = unpacked(data)
+            if shard is not None and shard.n_ids + len(ids) > limit:
                 close()
-            docs.append(doc_id)
-            sizes.append(len(one))
-            ids.append(one)
-            held += len(one)
-    close()
+                shard = None
+            if shard is None:
+                name = f"{range_no:06d}-{len(made):06d}-{uuid.uuid4().hex[:12]}.tokens"
+                shard = ShardWriter(system.open_output_stream(f"{root}/{name}", compression=None), ranked)
+            shard.add(doc_id, ids)
+    if shard is not None:
+        close()
     types = (pa.int32(), pa.int32(), pa.string(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(types)], names=["range_no", "shard_no", "file", "n_ids"])
 
@@ -221,7 +254,7 @@ def write_shards(encoded: DataFrame, folder: str) -> DataFrame:
 
     spark = encoded.sparkSession
     ranked = spark.sparkContext.broadcast(np.array(ranking(encoded), np.uint32))
-    dealt = encoded.repartitionByRange(spread(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    dealt = encoded.where(F.col("ids").isNotNull()).repartitionByRange(spread(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     limit = SHARD_TOKENS
     shards = staged(dealt.select("doc_id", "ids").mapInArrow(lambda it: _written(it, folder, ranked.value, limit), SHARDS), "shards")
     # sums within each range, and over the ranges, of which there are as many as partitions
@@ -241,12 +274,13 @@ def _decoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     for batch in batches:
         for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
             with system.open_input_file(f"{root}/{file}") as source:
-                docs, sizes, ids = read_shard(source.read())
-            raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
-            for doc_id, n in zip(docs, sizes, strict=True):
-                rows.append((doc_id, start + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])))
-                at += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for docs, sizes, ids in read_shard(source):
+                    raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
+                    for doc_id, n in zip(docs, sizes, strict=True):
+                        rows.append((doc_id, start + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])))
+                        at += n
+                    start += at
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
