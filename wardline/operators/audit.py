@@ -18,8 +18,11 @@ def duplicate_groups(source: DataFrame, key: str) -> DataFrame:
 
 
 def contract_verdict(source: DataFrame, key: str) -> DataFrame:
-    duplicates = duplicate_groups(source, key).agg(F.count("*").alias("duplicate_groups"))
-    stats = contract_stats(source, key).join(duplicates)  # one row each
+    """All counts from one grouping by key."""
+    each = source.groupBy(key).agg(F.count("*").alias("n"))
+    real = F.col(key).isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    stats = each.agg(total("n").alias("total_rows"), F.count_if(real).alias("distinct_keys"), total(F.when(~real, F.col("n"))).alias("null_keys"), F.count_if(real & (F.col("n") > 1)).alias("duplicate_groups"))
     holds = (F.col("null_keys") == 0) & (F.col("duplicate_groups") == 0) & (F.col("total_rows") == F.col("distinct_keys"))
     return stats.withColumn("holds", holds)
 

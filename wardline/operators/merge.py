@@ -23,7 +23,7 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The rows to append: those whose key the table doesn't have, the first of each key."""
-    return first_wins(rows, keys, order).join(table.select(*keys), keys, "left_anti")
+    return first_wins(rows, keys, order).join(table.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
 def merged(table: DataFrame, changes: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]] | None = None, insert: dict[str, Column] | None = None) -> DataFrame:
