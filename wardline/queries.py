@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from wardline.functions import identifiers as ids
 from wardline.functions import json_fields as jf
 from wardline.functions import parsing, text
-from wardline.operators import audit, feeds, merge, resolve, snapshots
+from wardline.operators import audit, feeds, merge, registration, resolve, snapshots
 from wardline.plans import publish
+from wardline.sources import geocoder
 from wardline.sources.relations import BATCH, relation, with_clause
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -563,3 +564,28 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     m = jf.fields(F.col("payload"))
     return t.json_rows.select("id", jf.state(m, "bin").alias("bin_state"), jf.has_field(m, "bin").alias("has_bin"))
+
+
+# registration and seeds -------------------------------------------------------------------------------------------------
+
+
+@query("new_entities", f", {_RESOLUTION} SELECT parcel, CAST(1 AS INT) AS version, address, base_parcel, billing_parcel, CAST(substr(parcel, 2, 5) AS INT) AS block, CAST(substr(parcel, 7, 4) AS INT) AS lot, substr(sha256(parcel), 1, 32) AS entity_id FROM resolved WHERE error IS NULL AND parcel NOT IN (SELECT parcel FROM registered)")
+def _(t: Tables) -> DataFrame:
+    return registration.new_entities(t.registered, _resolved(t)).drop("borough")
+
+
+@query("new_resolution_inputs", "SELECT DISTINCT 'PARCEL' AS input_type, parcel AS input FROM lots WHERE parcel NOT IN (SELECT parcel FROM registered)")
+def _(t: Tables) -> DataFrame:
+    as_inputs = lambda d: d.select(F.lit("PARCEL").alias("input_type"), F.col("parcel").alias("input"), F.sha2("parcel", 256).alias("entity_id"))
+    return registration.new_inputs(as_inputs(t.registered), as_inputs(t.lots.unionByName(t.lots))).drop("entity_id")
+
+
+@query("seed_selection", "SELECT DISTINCT lpad(split_part(trim(bbl), '.', 1), 10, '0') AS parcel FROM parcel_records WHERE bbl IS NOT NULL AND borocode IS NOT NULL AND address IS NOT NULL AND CAST(block AS INT) % 5 IN (0, 1) ORDER BY parcel LIMIT 100")
+def _(t: Tables) -> DataFrame:
+    return registration.select_seed(t.parcel_records.withColumn("district", F.col("block").cast("int") % 5), [0, 1], 100)
+
+
+@query("log_json_lines", "SELECT payload AS value, count(*) AS n FROM json_rows WHERE id % 3 <> 0 GROUP BY payload")
+def _(t: Tables) -> DataFrame:
+    noisy = F.when(F.col("id") % 3 == 0, F.concat(F.lit("worker: "), F.col("payload"))).otherwise(F.concat(F.lit("  "), F.col("payload")))
+    return geocoder.json_lines(t.json_rows.select(noisy.alias("value"))).groupBy("value").agg(F.count("*").alias("n"))
