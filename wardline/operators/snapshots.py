@@ -16,16 +16,18 @@ def scan_keys(snapshot: DataFrame) -> DataFrame:
 
 
 def batch_numbers(keys: DataFrame, size: int) -> DataFrame:
-    """Every key with its batch: keys in order, cut every ``size``. Ranks come from range partitions: each counts its own
-    keys, and only the partitions' counts are added up in one place."""
+    """Every key with its batch: distinct keys in order, cut every ``size``. Keys are ranged once to find each range's first
+    key and its count, a row for each partition; ranks are then counted within the ranges that these first keys bound,
+    however Spark deals the keys the second time."""
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.select("scan_key").repartitionByRange(parts, "scan_key").withColumn("__part", F.spark_partition_id())
-    own = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("scan_key")))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", before.alias("__before"))  # a row for each partition
-    rank = F.col("__rank") + F.col("__before") - 1
-    return own.join(starts, "__part").select("scan_key", (F.floor(rank / size) + 1).cast("int").alias("batch_number"))
+    kind = keys.schema["scan_key"].dataType
+    ranged = keys.select("scan_key", F.lit(0).alias("__zero")).repartitionByRange(parts, "scan_key").withColumn("__part", F.spark_partition_id())
+    ranges = sorted(ranged.groupBy("__part").agg(F.min("scan_key").alias("first"), F.count("*").alias("n")).collect(), key=lambda r: r.first)
+    before = [sum(r.n for r in ranges[:k]) for k in range(len(ranges))]
+    firsts = F.array(*(F.lit(r.first).cast(kind) for r in ranges)) if ranges else F.array().cast(f"array<{kind.simpleString()}>")
+    own = keys.select("scan_key", F.size(F.filter(firsts, lambda f: f <= F.col("scan_key"))).alias("__range"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy("scan_key")) + F.get(F.array(*map(F.lit, before or [0])), F.col("__range") - 1) - 1
+    return own.select("scan_key", (F.floor(rank / size) + 1).cast("int").alias("batch_number"))
 
 
 def batch_definitions(numbered: DataFrame) -> DataFrame:
