@@ -21,8 +21,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, LongType, StructField, StructType
 
 from wardline.llm.storage import small_batches, staged
 
@@ -37,7 +39,7 @@ _WORD = re.compile(f"[^{_SPACE}]+")
 _SYMBOLS = str.maketrans(dict.fromkeys("#*$%&|<>", None))
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-SCHEMA = f"doc_id long, source string, __text long, {COUNTS}, lines array<struct<hash:long,words:int>>"
+SCHEMA = f"doc_id long, __id long, __text long, __host string, {COUNTS}, lines array<struct<hash:long,words:int>>"
 
 
 def repeat_words(words: list[str]) -> int:
@@ -66,46 +68,48 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(text) - len(text.translate(_SYMBOLS)), len(worded) - len(set(worded)), repeat_words(words)
 
 
-def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _lines(text: str) -> list[dict]:
+    """Hash and words of each distinct normalised line."""
     from xxhash import xxh64_intdigest
 
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    lines_type = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32())]))
+    own: dict[int, int] = {}
+    for line in text.split("\n"):
+        words = _WORD.findall(line)
+        if words:
+            h = _signed(xxh64_intdigest(" ".join(words).lower().encode(), 42))
+            own[h] = own.get(h, 0) + len(words)
+    return [{"hash": h, "words": n} for h, n in own.items()]
+
+
+LINES = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32())]))
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, texts, lines = [], [], []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            found.append(counts(text))
-            # the same as Spark's xxhash64 of the text
-            texts.append(signed(xxh64_intdigest(text.encode(), 42)))
-            own: dict[int, int] = {}
-            for line in text.split("\n"):
-                words = _WORD.findall(line)
-                if words:
-                    h = signed(xxh64_intdigest(" ".join(words).lower().encode(), 42))
-                    own[h] = own.get(h, 0) + len(words)
-            lines.append([{"hash": h, "words": n} for h, n in own.items()])
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        found = list(map(counts, texts))
         columns = zip(*found, strict=True) if found else [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(texts, pa.int64()), *(pa.array(c, pa.int64()) for c in columns), pa.array(lines, lines_type)], names=["doc_id", "source", "__text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+        own = [batch.column(c) for c in ("doc_id", *KEYS)]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, pa.int64()) for c in columns), pa.array(list(map(_lines, texts)), LINES)], names=["doc_id", *KEYS, *names(COUNTS), "lines"])
 
 
 def profile(docs: DataFrame) -> DataFrame:
     """The narrow table: counts and hashed lines of every text, with the keys of its row and host."""
     small_batches(docs.sparkSession)
-    table = docs.select("doc_id", F.col("source").cast("string"), "text").mapInArrow(_profiled, SCHEMA)
-    return table.select("doc_id", *names(COUNTS), "lines", _id(), "__text", _host())
+    return docs.select("doc_id", "text", *_keys()).mapInArrow(_profiled, SCHEMA)
 
 
 def names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _id() -> Column:
-    return F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")
-
-
-def _host() -> Column:
-    return F.when(F.col("source").isNull(), F.lit("none")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("__host")
+def _keys() -> list[Column]:
+    host = F.when(F.col("source").isNull(), F.lit("none")).otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    return [F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"), host.alias("__host")]
 
 
 def removed_lines(profiles: DataFrame) -> DataFrame:
@@ -117,24 +121,55 @@ def removed_lines(profiles: DataFrame) -> DataFrame:
     return over.select("__host", "hash", "first_id")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Keys, counts, base_failed, the words that removed lines held, and kept, for each row."""
-    profiles = staged(profile(docs), "profiles")
+def removed_words(profiles: DataFrame) -> DataFrame:
+    """Keys and n_removed_words of the rows that lose lines. profiles: keys and lines, staged."""
     removed = staged(removed_lines(profiles), "removed-lines")
     lines = profiles.select(*KEYS, F.explode("lines").alias("line")).select(*KEYS, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     hits = lines.join(removed, ["__host", "hash"]).where(F.col("__id") != F.col("first_id"))
-    lost = hits.groupBy(*KEYS, "hash").agg(F.first("words").alias("words")).groupBy(*KEYS).agg(F.sum("words").alias("n_removed_words"))
-    out = profiles.drop("lines").join(lost, KEYS, "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    enough = F.col("n_words") - F.col("n_removed_words") >= KEPT_SHARE * F.col("n_words")
-    return out.withColumns({"base_failed": failed, "kept": ~failed & enough})
+    return hits.groupBy(*KEYS, "hash").agg(F.first("words").alias("words")).groupBy(*KEYS).agg(F.sum("words").alias("n_removed_words"))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
+def depleted() -> Column:
+    return F.col("n_words") - F.col("n_removed_words") < KEPT_SHARE * F.col("n_words")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """Keys, counts, base_failed, the words that removed lines held, and kept, for each row."""
+    profiles = staged(profile(docs), "profiles")
+    out = profiles.drop("lines").join(removed_words(profiles), KEYS, "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    return out.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~depleted()})
+
+
+_PREFIX = "__quality_"
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their profiles; texts that fail the base rules have served and are left out."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        found = list(map(counts, texts))
+        n_words, n_repeats = ([f[k] for f in found] for k in (0, 4))
+        failed = pa.array([n < MIN_WORDS or 100 * r > REPEAT_PERCENT * n for n, r in zip(n_words, n_repeats, strict=True)], pa.bool_())
+        columns = [pc.if_else(failed, None, c) if name == "text" else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, failed, pa.array(n_words, pa.int64()), pa.array(list(map(_lines, texts)), LINES)], names=[*batch.schema.names, *(f"{_PREFIX}{c}" for c in ("failed", "n_words", "lines"))])
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject, all columns kept."""
-    rejected = staged(judged(docs).where(~F.col("kept")).select(*KEYS).distinct(), "rejected")
-    keyed = docs.withColumns({"__id": _id(), "__text": F.xxhash64(F.coalesce("text", F.lit(""))), "__host": _host()})
-    return keyed.join(rejected, KEYS, "left_anti").select(*docs.columns)
+    """docs without the rows that the rules reject, all columns kept. Texts are carried along while they are profiled, so
+    none is shuffled; only the keys of depleted rows are joined."""
+    small_batches(docs.sparkSession)
+    keyed = docs.withColumns(dict(zip(KEYS, _keys(), strict=True)))
+    schema = StructType([*keyed.schema, *(StructField(f"{_PREFIX}{c}", t) for c, t in (("failed", BooleanType()), ("n_words", LongType()), ("lines", DataType.fromDDL("array<struct<hash:long,words:int>>"))))])
+    rows = staged(keyed.mapInArrow(_carried, schema), "carried")
+    profiles = rows.select(*KEYS, F.col(f"{_PREFIX}lines").alias("lines"))
+    good = rows.where(~F.col(f"{_PREFIX}failed"))
+    lost = good.select(*KEYS, F.col(f"{_PREFIX}n_words").alias("n_words")).join(removed_words(profiles), KEYS)
+    gone = staged(lost.where(depleted()).select(*KEYS).distinct(), "depleted")
+    return good.join(gone, KEYS, "left_anti").select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
