@@ -45,3 +45,9 @@ def small_batches(spark: SparkSession) -> None:
 def spread(spark: SparkSession) -> int:
     """Partitions for work that weighs more than its rows: never merged by their few bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that operators have staged or written; call it once their results have been written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
