@@ -44,20 +44,24 @@ class Pieces(dict):
         super().__init__()
         self.rows, self.old, self.before, self.fold, self.ids, self.plain = rows, {}, before, fold, ids, plain
         self.model, self.letters = tokenizer(path).model, byte_letters()
+        self.lead = "".join(self.letters[b] for b in before.encode())
         self.marks = {m: plain(m) for m in (".", ",", "\n")}
 
-    def _ids(self, word: str):
-        written = (word.lower() if self.fold else word).encode().decode("latin-1").translate(self.letters)
-        return self.ids([t.id for t in self.model.tokenize(written)])
+    def _ids(self, word: str, lead: str = ""):
+        word = word.lower() if self.fold else word
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return self.ids([t.id for t in self.model.tokenize(lead + written)])
 
     def __missing__(self, piece):
         value = self.old.get(piece)
         if value is None:
             if isinstance(piece, tuple):
                 value = self.marks["\n"] + self._ids(piece[0])
+            elif piece.isalpha() and piece.isascii():
+                value = self._ids(piece, self.lead)
             elif found := WORD.fullmatch(piece):
                 word, mark = found.groups()
-                value = self[word] + self.marks[mark] if mark else self._ids(self.before + word)
+                value = self[word] + self.marks[mark] if mark else self._ids(word, self.lead)
             elif self.before and (not piece or piece[0].isspace() or piece[-1].isspace()):
                 raise Uneven
             elif halves := BROKEN.fullmatch(piece):
