@@ -120,16 +120,16 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT)
     near = found.where(F.size("terms") > 0).select(F.explode(F.array_distinct("terms.term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     n_entity = found.select(F.explode(F.array_distinct("spans.value")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_docs = found.agg(F.count("*").alias("n_docs"))
-    ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
+    n_docs = F.lit(found.count())
+    ic = -F.log2(F.col("n_entity") / n_docs)
     # a term is in at least as many documents as stand near any entity: pairs that fail on that count need no other
     possible = F.col("n_near") <= F.col("n_both") * F.pow(F.lit(2.0), F.col("ic") * (1 - 1 / ALPHA)) * (1 + 1e-6)
-    judged = pairs.join(n_entity, "entity").join(near, "term").join(F.broadcast(n_docs)).withColumn("ic", ic)  # n_docs: one row
+    judged = pairs.join(n_entity, "entity").join(near, "term").withColumn("ic", ic)
     candidates = staged(judged.where((F.col("ic") > 0) & possible), "pairs")
     terms = staged(candidates.select("term").distinct(), "candidate-terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
+    pmi = F.log2(F.col("n_both") * n_docs / (F.col("n_entity") * F.col("n_term")))
     measured = candidates.join(n_term, "term").withColumn("pmi", pmi)
     return measured.where(F.col("pmi") >= F.col("ic") / ALPHA - 1e-9).select("entity", "term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("full"))
 
