@@ -78,5 +78,5 @@ def test_empty(spark, folder, tmp_path):
 
 def test_scheme_grows_with_the_corpus():
     small, large = simhash.similar(1000), simhash.similar(10**10)
-    assert (small.words, small.radius) == (large.words, large.radius) == (5, 44)
+    assert (small.words, small.radius) == (large.words, large.radius) == (5, 47)
     assert bin(small.masks[0][1]).count("1") == 12 and bin(large.masks[0][1]).count("1") == 28

@@ -5,16 +5,17 @@ Jaccard similarity by 256-bit fingerprints and a radius to match, with a stated
 
 1. Each text gets a fingerprint from its word shingles. Equal fingerprints become one node, so exact copies
    cost one row from here on.
-2. Candidates: a node is keyed once for each of the scheme's sets of bits. Keys with more than TILE_ROWS nodes are dealt as pairs of tiles, which bounds
-   a task's rows and misses no pair.
+2. Candidates: a node is keyed once for each of the scheme's sets of bits. Keys with more than TILE_ROWS nodes are
+   dealt as pairs of tiles, which bounds a task's rows and misses no pair.
 3. Comparison is bit-sliced: a block stores bit planes vertically, one bit of 64 nodes in a machine word. Distances of
    all nodes of the block to a probe are counted at once by carry-save counters over the planes, and probes whose
    lanes have all gone past the radius are abandoned. Only the edges of a spanning forest leave a block.
 4. Components: alternating large-star and small-star steps on Spark joins, each round written to the shared folder.
 
-Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; a text
-with fewer words than a shingle is one shingle; rows that repeat a doc_id link by
-their own texts alone; a null doc_id counts as the largest, so a component of nothing else has a null id; extra columns are ignored by ``components`` and kept by ``representatives``; no input rows give no rows.
+Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; a text with
+fewer words than a shingle is one shingle; rows that repeat a doc_id link by their own texts alone; a null doc_id counts
+as the largest, so a component of nothing else has a null id; extra columns are ignored by ``components`` and kept by
+``representatives``; no input rows give no output rows.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def exact(words: int = WORDS, radius: int = RADIUS) -> Scheme:
 
 def similar(n: int, words: int = 5, similarity: float = 0.8, parts: int = 4, recall: float = 0.97) -> Scheme:
     """For texts whose shingle sets have at least the given Jaccard similarity. Bits of two such fingerprints differ at
-    a rate below ``rate``; the radius is the mean and one deviation at that rate. Keys are sets of bits drawn once, as
+    a rate below ``rate``; the radius is the mean and one and a half deviations at that rate. Keys are sets of bits drawn once, as
     many bits as leave about 64 of n fingerprints to a key by chance, and as many keys as let a pair at that very rate
     share one with probability ``recall``; closer pairs share one more surely."""
     rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -123,7 +124,7 @@ def similar(n: int, words: int = 5, similarity: float = 0.8, parts: int = 4, rec
     keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** size))
     rng = random.Random(SEED)
     masks = tuple((k % parts, sum(1 << b for b in rng.sample(range(64), size))) for k in range(keys))
-    return Scheme(words, parts, int(bits * rate + math.sqrt(bits * rate * (1 - rate))), masks)
+    return Scheme(words, parts, int(bits * rate + 1.5 * math.sqrt(bits * rate * (1 - rate))), masks)
 
 
 def matches(fps, radius: int):
@@ -201,9 +202,9 @@ def _compared(batches: Iterator[pa.RecordBatch], radius: int, rows: int) -> Iter
         group, fp, node = (np.concatenate(own) for own in held)
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         at = 0
-        while (cut := starts[np.searchsorted(starts, at + rows)] if np.searchsorted(starts, at + rows) < len(starts) else 0) > at:
-            yield block(fp[at:cut], node[at:cut])
-            at = cut
+        while (k := np.searchsorted(starts, at + rows)) < len(starts):  # the last group may go on in the next batch
+            yield block(fp[at : starts[k]], node[at : starts[k]])
+            at = starts[k]
         held, size = [[group[at:]], [fp[at:]], [node[at:]]], len(group) - at
     if size:
         yield block(np.concatenate(held[1]), np.concatenate(held[2]))
