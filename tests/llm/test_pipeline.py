@@ -4,8 +4,10 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from wardline.llm import simhash
+from wardline.llm import line_dedup, pii, simhash
 from wardline.llm.pieces import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,6 +72,20 @@ def test_stages_take_out_what_they_should(spark, folder):
         assert {r.doc_id for r in now.select("doc_id").collect()} == left, name
 
 
+def test_clashing_columns_pass_through(spark, folder):
+    names = ("__id", "__text", "__host", "__source", "__copies", "__quality_failed", "fp", "kept", "copies", "component", "block", "lines", "carried_0_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40 OR doc_id > 300")
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{i}:{r.doc_id}" for r in rows for i, c in enumerate(names)), name
+    for made in (line_dedup.dedup_lines(docs.withColumn("keep_runs", F.lit(1))), pii.sanitised(docs.withColumn("all_spans", F.lit(1)))):
+        assert all(r["__id"] == f"0:{r.doc_id}" for r in made.collect())
+
+
 def test_empty(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.storage import small_batches, staged
+from wardline.llm.storage import carried, small_batches, staged
 
 K1, B = 1.2, 0.75
 SCORE_SHARE, OVERLAP, SHINGLE = 0.6, 0.8, 5
@@ -241,6 +241,10 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that leak an item, all columns kept."""
+    return carried(docs, lambda d: _cleaned(d, benchmark))
+
+
+def _cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaked = staged(leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__text").distinct(), "leaked")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
     return keyed.join(leaked, ["__id", "__text"], "left_anti").select(*docs.columns)

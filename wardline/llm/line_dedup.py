@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.exprs import let, prefix_sums, top_items
-from wardline.llm.storage import staged
+from wardline.llm.storage import carried, staged
 
 MIN_KEY_CHARS = 10
 #: A key is hot from this share of the lines on; the sketch tracks HOT_TRACKED keys, so at most that many are broadcast.
@@ -97,7 +97,11 @@ def _kept_lines(lines: Column, runs: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with n_lines, n_dropped, keep_runs and the kept text in ``kept_text``."""
+    """docs with n_lines, n_dropped, keep_runs and the kept text in ``kept_text``, in place of columns so named."""
+    return carried(docs.drop("n_lines", "n_dropped", "keep_runs", "kept_text"), lambda d: _apply_bitmaps(d, bitmaps))
+
+
+def _apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     ids = row_id(F.col("doc_id"), F.col("text"))
     joined = docs.withColumns({"__id": ids[0], "__text": ids[1]}).join(bitmaps, ["__id", "__text"], "left").drop("__id", "__text")
     lines = text_lines(F.col("text"))

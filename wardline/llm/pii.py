@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.exprs import let, matches, prefix_sums
-from wardline.llm.storage import staged
+from wardline.llm.storage import carried, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MIN_SUPPORT, ALPHA, CONTEXT, TERM_CHARS = 3, 1.1, 80, 4
@@ -159,6 +159,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with ``clean_text``: each run of overlapping spans written as its first kind's mark, removed terms left out."""
+    return carried(docs.drop("clean_text"), _sanitised)
+
+
+def _sanitised(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
 
     def rewritten(spans: Column) -> Column:
@@ -168,9 +172,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
         mark = lambda s: F.when(s["value"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit(">")))
         return let(kept, lambda ks: F.array_join(F.concat(F.transform(ks, lambda k, i: F.concat(F.substr(text, F.coalesce(F.get(ks, i - 1)["s"]["end"], F.lit(0)) + 1, k["s"]["start"] - F.coalesce(F.get(ks, i - 1)["s"]["end"], F.lit(0))), mark(k["s"]))), F.array(F.substr(text, F.element_at(ks, -1)["s"]["end"] + 1, F.char_length(text)))), ""))
 
-    found = all_spans(docs).select(*KEYS, "all_spans").distinct()
+    found = all_spans(docs).select(*KEYS, F.col("all_spans").alias("__spans")).distinct()
     keyed = docs.withColumns(dict(zip(KEYS, keys(), strict=True))).join(found, KEYS, "left")
-    return keyed.withColumn("clean_text", F.when(F.size("all_spans") == 0, text).otherwise(rewritten(F.col("all_spans")))).drop(*KEYS, "all_spans")
+    return keyed.withColumn("clean_text", F.when(F.size("__spans") == 0, text).otherwise(rewritten(F.col("__spans")))).drop(*KEYS, "__spans")
 
 
 __all__ = ["all_spans", "base_spans", "digest", "prefix_sums", "sanitised"]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, LongType, StructField, StructType
 
-from wardline.llm.storage import small_batches, staged
+from wardline.llm.storage import carried, small_batches, staged
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 LINE_DOCS, LINE_SHARE, KEPT_SHARE = 50, 0.1, 0.5
@@ -161,6 +161,10 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def filtered(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, all columns kept. Texts are carried along while they are profiled, so
     none is shuffled; only the keys of depleted rows are joined."""
+    return carried(docs, lambda d: _filtered(d))
+
+
+def _filtered(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = docs.withColumns(dict(zip(KEYS, _keys(), strict=True)))
     schema = StructType([*keyed.schema, *(StructField(f"{_PREFIX}{c}", t) for c, t in (("failed", BooleanType()), ("n_words", LongType()), ("lines", DataType.fromDDL("array<struct<hash:long,words:int>>"))))])

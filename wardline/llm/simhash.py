@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.storage import small_batches, spread, staged
+from wardline.llm.storage import carried, small_batches, spread, staged
 
 WORDS, RADIUS = 3, 2
 TILE_ROWS = 4096
@@ -262,6 +262,10 @@ def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
 
 def representatives(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """docs with one row of each component: of its smallest doc_id, and of that id's rows one, by the text's hash."""
+    return carried(docs, lambda d: _representatives(d, scheme))
+
+
+def _representatives(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     found = components(docs, scheme)
     key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__text")
     chosen = staged(found.groupBy("component_id").agg(F.min(key).alias("one")).select("one.__id", "one.__text"), "representatives")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,19 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), with columns whose names begin as the operators' own do renamed for its time."""
+    away: dict[str, str] = {}
+    for c in docs.columns:
+        if c.startswith("__"):
+            name = f"carried_{len(away)}_{c.strip('_')}"
+            while name in docs.columns:
+                name += "_"
+            away[c] = name
+    out = work(docs.withColumnsRenamed(away))
+    return out.withColumnsRenamed({name: c for c, name in away.items()})
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch, so that Python workers hold a few long texts at most."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
