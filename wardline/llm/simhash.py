@@ -254,8 +254,9 @@ def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     named = rows.withColumn("node", node)
     nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("doc")), "nodes")
     found = connected(links(nodes.select("node", "fp"), scheme or similar(nodes.count())))
-    labelled = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
+    # both are written, so that the joins below read plain tables and Spark can split a component that holds many nodes
+    labelled = staged(nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component")), "labelled")
+    least = staged(labelled.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
     by_node = labelled.join(least, "component").select("node", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
     return named.join(staged(by_node, "components"), "node").select("doc_id", "__text", "fp", "component_id")
 
