@@ -75,7 +75,7 @@ def test_source_times(spark):
 def test_amounts(spark):
     values = ["-125.50", "1,250.00", " .5 ", "7.", "+1", "1.005", "", None]
     assert parsed(spark, values, parsing.parse_amount) == [(Decimal(x), None) if x else (None, None) for x in ("-125.50", "1250.00", "0.50", "7.00", "1.00", "1.01", None, None)]
-    assert [e for _, e in parsed(spark, ["1e3", "abc", "--1", ".", "9" * 14], parsing.parse_amount)] == ["INVALID_NUMBER"] * 4 + ["NUMBER_OVERFLOW"]
+    assert [e for _, e in parsed(spark, ["1e3", "abc", "--1", ".", ",", "9" * 14], parsing.parse_amount)] == ["INVALID_NUMBER"] * 5 + ["NUMBER_OVERFLOW"]
     assert parsed(spark, ["12", "-1", "x"], parsing.parse_count) == [(12, None), (None, "INVALID_COUNT"), (None, "INVALID_COUNT")]
     assert over(spark, ["0.00", "12.50", "-3.10", "100.00", "7"], lambda c: parsing.shortest_decimal(c)) == ["0", "12.5", "-3.1", "100", "7"]
 
