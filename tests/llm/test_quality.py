@@ -82,3 +82,10 @@ def test_filter_keeps_columns(spark):
 @given(st.lists(st.sampled_from("abcd"), max_size=40))
 def test_repeat_words(ws):
     assert quality.repeat_words(ws) == repeats(ws)
+
+
+def test_filter_removes_lines(spark):
+    menu = prose("menu", 20)
+    own = [(i, "b", f"{prose(i, 40)}\n\n  {menu.upper()} \n{prose(i, 20)}") for i in range(60)]
+    out = {r.doc_id: r.text for r in quality.filtered(spark.createDataFrame(own, SCHEMA).repartition(3)).collect()}
+    assert out == {i: t if i == 0 else f"{prose(i, 40)}\n\n{prose(i, 20)}" for i, _, t in own}

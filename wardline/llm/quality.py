@@ -4,15 +4,15 @@ One pass over the texts makes a narrow table: the counts, and for each distinct
 after it works on that table. For each host, a line's documents are counted with exact copies as one document, so a
 copied text does not turn its own lines into boilerplate. Lines in more than LINE_DOCS documents and LINE_SHARE of
 the host's documents are removed from all but the first document that holds them; a document left with less
-than KEPT_SHARE of its words is depleted and rejected.
+than KEPT_SHARE of its words is depleted and rejected. ``filtered`` writes the other texts without their removed lines.
 
 Hot hosts and hot lines: copies are collapsed by text first, then counts are summed map-side; no group of documents
 is ever gathered. The table of removed lines is written before it is joined, so Spark broadcasts it only if its
 size on disk is below the session's limit and else joins by shuffle.
 
 Defined cases: a null text has no words and fails the base rule; a null host is a host of its own; lines without
-words are never counted; rows that repeat a doc_id are judged each by their own text; extra columns are ignored by
-``digest`` and kept by ``filtered``; no input rows give no output rows.
+words are never counted; rows that repeat a doc_id are judged each by their own text; the base rules are those of the text as it came; extra columns
+are ignored by ``digest`` and kept by ``filtered``, n_chars as it came; no input rows give no output rows.
 """
 
 from __future__ import annotations
@@ -72,15 +72,20 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _lines(text: str) -> list[dict]:
-    """Hash and words of each distinct normalised line."""
+def _hash(words: list[str]) -> int:
+    """Of a normalised line."""
     from xxhash import xxh64_intdigest
 
+    return _signed(xxh64_intdigest(" ".join(words).lower().encode(), 42))
+
+
+def _lines(text: str) -> list[dict]:
+    """Hash and words of each distinct normalised line."""
     own: dict[int, int] = {}
     for line in text.split("\n"):
         words = _WORD.findall(line)
         if words:
-            h = _signed(xxh64_intdigest(" ".join(words).lower().encode(), 42))
+            h = _hash(words)
             own[h] = own.get(h, 0) + len(words)
     return [{"hash": h, "words": n} for h, n in own.items()]
 
@@ -122,11 +127,11 @@ def removed_lines(profiles: DataFrame) -> DataFrame:
 
 
 def removed_words(profiles: DataFrame) -> DataFrame:
-    """Keys and n_removed_words of the rows that lose lines. profiles: keys and lines, staged."""
+    """Keys, n_removed_words and hashes of the lines removed, of the rows that lose some. profiles: keys and lines, staged."""
     removed = staged(removed_lines(profiles), "removed-lines")
     lines = profiles.select(*KEYS, F.explode("lines").alias("line")).select(*KEYS, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     hits = lines.join(removed, ["__host", "hash"]).where(F.col("__id") != F.col("first_id"))
-    return hits.groupBy(*KEYS, "hash").agg(F.first("words").alias("words")).groupBy(*KEYS).agg(F.sum("words").alias("n_removed_words"))
+    return hits.groupBy(*KEYS, "hash").agg(F.first("words").alias("words")).groupBy(*KEYS).agg(F.sum("words").alias("n_removed_words"), F.collect_list("hash").alias("removed"))
 
 
 def base_failed() -> Column:
@@ -140,7 +145,7 @@ def depleted() -> Column:
 def judged(docs: DataFrame) -> DataFrame:
     """Keys, counts, base_failed, the words that removed lines held, and kept, for each row."""
     profiles = staged(profile(docs), "profiles")
-    out = profiles.drop("lines").join(removed_words(profiles), KEYS, "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    out = profiles.drop("lines").join(removed_words(profiles).drop("removed"), KEYS, "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     return out.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~depleted()})
 
 
@@ -158,9 +163,20 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, failed, pa.array(n_words, pa.int64()), pa.array(list(map(_lines, texts)), LINES)], names=[*batch.schema.names, *(f"{_PREFIX}{c}" for c in ("failed", "n_words", "lines"))])
 
 
+def without(text: str, removed: set[int]) -> str:
+    """The text without the lines of these hashes; lines without words stay."""
+    return "\n".join(line for line in text.split("\n") if not ((words := _WORD.findall(line)) and _hash(words) in removed))
+
+
+def _rebuilt(text: pa.Array, removed: pa.Array) -> pa.Array:
+    """A null text, of a row that loses no line, stays null."""
+    rows = zip(text.to_pylist(), removed.to_pylist(), strict=True)
+    return pa.array([None if t is None else without(t, set(hashes)) for t, hashes in rows], pa.string())
+
+
 def filtered(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject, all columns kept. Texts are carried along while they are profiled, so
-    none is shuffled; only the keys of depleted rows are joined."""
+    """docs without the rows that the rules reject, and texts without their removed lines; all columns kept. Texts are
+    carried along while they are profiled; what the rows that lose lines lose is joined to them."""
     return carried(docs, lambda d: _filtered(d))
 
 
@@ -171,9 +187,13 @@ def _filtered(docs: DataFrame) -> DataFrame:
     rows = staged(keyed.mapInArrow(_carried, schema), "carried")
     profiles = rows.select(*KEYS, F.col(f"{_PREFIX}lines").alias("lines"))
     good = rows.where(~F.col(f"{_PREFIX}failed"))
-    lost = good.select(*KEYS, F.col(f"{_PREFIX}n_words").alias("n_words")).join(removed_words(profiles), KEYS)
-    gone = staged(lost.where(depleted()).select(*KEYS).distinct(), "depleted")
-    return good.join(gone, KEYS, "left_anti").select(*docs.columns)
+    # one row for each key: rows of the same id and text share it
+    lost = staged(removed_words(profiles).withColumnsRenamed({c: f"{_PREFIX}{c}" for c in ("n_removed_words", "removed")}), "lost")
+    left = F.col(f"{_PREFIX}n_words") - F.coalesce(f"{_PREFIX}n_removed_words", F.lit(0))
+    kept = good.join(lost, KEYS, "left").where(left >= KEPT_SHARE * F.col(f"{_PREFIX}n_words"))
+    hit = F.col(f"{_PREFIX}removed").isNotNull()
+    rebuilt = F.arrow_udf(_rebuilt, "string")(F.when(hit, F.col("text")), f"{_PREFIX}removed")
+    return kept.withColumn("text", F.coalesce(rebuilt, "text")).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
