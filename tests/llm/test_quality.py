@@ -89,3 +89,13 @@ def test_filter_removes_lines(spark):
     own = [(i, "b", f"{prose(i, 40)}\n\n  {menu.upper()} \n{prose(i, 20)}") for i in range(60)]
     out = {r.doc_id: r.text for r in quality.filtered(spark.createDataFrame(own, SCHEMA).repartition(3)).collect()}
     assert out == {i: t if i == 0 else f"{prose(i, 40)}\n\n{prose(i, 20)}" for i, _, t in own}
+
+
+def test_filter_takes_either_limit(spark):
+    few, many, under = prose("few", 20), prose("many", 20), prose("under", 20)
+    own = [(i, "small", f"{prose(i, 60)}\n{few if i < 6 else prose(-i, 5)}\n{under if i < 5 else ''}") for i in range(50)]
+    own += [(1000 + i, "large", f"{prose(i, 60)}\n{many if i < 51 else ''}\n{under if i < 50 else ''}") for i in range(600)]
+    out = {r.doc_id: r.text for r in quality.filtered(spark.createDataFrame(own, SCHEMA).repartition(3)).collect()}
+    changed = {i for i, _, t in own if out[i] != t}
+    assert changed == {*range(1, 6), *range(1001, 1051)}
+    assert not any(few in out[i] for i in range(1, 6)) and not any(many in out[i] for i in range(1001, 1051)) and all(under in out[i] for i in (1, 1001))
