@@ -111,3 +111,27 @@ def test_chain_empty_and_nulls(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.digest(docs).collect()) == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
     assert simhash.representatives(docs, simhash.exact()).count() == 2
+
+
+def test_similar_links_are_verified(spark):
+    rng = random.Random(7)
+    rows, want = [], {}
+    grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for g in range(40):
+        ws = [f"w{rng.randrange(9000)}" for _ in range(300)]
+        other, cut = list(ws), rng.choice((8, 11, 20, 24))  # a similarity near 0.77, 0.7, 0.5; chains none over 0.8
+        for k in range(cut):
+            other[k * 12 + 3] = "changed"
+        rows += [(g, " ".join(ws)), (1000 + g, " ".join(other)), (2000 + g, " ".join([*ws, *ws[:60] * 3]))]  # the last repeats its own
+        a, b, c = map(grams, (ws, other, rows[-1][1].split()))
+        want |= {1000 + g: g if len(a & b) >= 0.8 * len(a | b) else 1000 + g, 2000 + g: g if len(a & c) >= 0.8 * len(a | c) else 2000 + g}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    comp = {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+    assert {d: comp[d] for d in want} == want and {want[1000 + g] == g for g in range(40)} == {False} and all(want[2000 + g] == g for g in range(40))
+
+
+def test_verified_forest():
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 5, 15, 60)]
+    fps = np.zeros((4, 4), np.uint64)
+    assert sorted(simhash.forest(fps, [1, 2, 3, 4], 47, sets, 0.8)) == [(2, 1), (3, 1)]  # 90 of 110 links 3 to 2 alone
+    assert sorted(simhash.forest(fps, [1, 2, 3, 4], 47)) == [(2, 1), (3, 1), (4, 1)]

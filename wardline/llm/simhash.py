@@ -1,15 +1,18 @@
 """SimHash near-duplicate detection.
 
 Two schemes: ``exact`` links 64-bit fingerprints within a small radius and misses none; ``similar`` links texts of a given
-Jaccard similarity by 256-bit fingerprints and a radius to match, with a stated recall at the threshold.
+Jaccard similarity, found by 256-bit fingerprints of their distinct shingles with a stated recall, and verified.
 
-1. Each text gets a fingerprint from its word shingles. Equal fingerprints become one node, so exact copies
-   cost one row from here on.
+1. Each text gets a fingerprint from its word shingles. Equal fingerprints (for ``similar``: equal shingle sets) become one
+   node, so exact copies cost one row from here on.
 2. Candidates: a node is keyed once for each of the scheme's sets of bits. Keys with more than TILE_ROWS nodes are
    dealt as pairs of tiles, which bounds a task's rows and misses no pair.
 3. Comparison is bit-sliced: a block stores bit planes vertically, one bit of 64 nodes in a machine word. Distances of
    all nodes of the block to a probe are counted at once by carry-save counters over the planes, and probes whose
    lanes have all gone past the radius are abandoned. Only the edges of a spanning forest leave a block.
+   For ``similar`` such links only find candidates: within each of their components every pair inside the radius that no
+   link joins yet is compared by the exact Jaccard similarity of its distinct shingles, and only pairs that reach the
+   threshold are links. Texts are read again for these components alone.
 4. Components: alternating large-star and small-star steps on Spark joins, each round written to the shared folder.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; a text with
@@ -39,21 +42,38 @@ NULL_ID = 2**63 - 1
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = WORDS, parts: int = 1):
-    """parts machine words of 64 fingerprint bits each. The first is of the shingles' XXH64; each other is of the same
-    hashes mixed anew."""
+def shingles(text: str | None, words: int = WORDS):
+    """XXH64 of each word shingle, as often as it occurs."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0D separate
     if not tokens:
-        return np.zeros(parts, np.uint64)
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     n = max(1, len(tokens) - words + 1)
     ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined)).tolist()
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     last = ends[min(words, len(tokens)) - 1 :]
-    hashes = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, last, strict=True)], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, last, strict=True)], dtype="<u8")
+
+
+def distinct_shingles(text: str | None, words: int):
+    import numpy as np
+
+    return np.unique(shingles(text, words))
+
+
+def fingerprint(text: str | None, words: int = WORDS, parts: int = 1):
+    """parts machine words of 64 fingerprint bits each, of all shingles."""
+    return folded(shingles(text, words), parts)
+
+
+def folded(hashes, parts: int = 1):
+    """The fingerprint of shingle hashes. The first part is of the hashes; each other is of the same hashes mixed anew."""
+    import numpy as np
+
+    n = len(hashes)
     out = np.zeros(parts, np.uint64)
     for k in range(parts):
         ones = np.zeros(64, np.int64)
@@ -78,18 +98,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, parts: int = 1) -> DataFrame:
-    """(doc_id, __text, fp) of each row: a hash of the text, and the fingerprint's parts as signed longs."""
+def fingerprints(docs: DataFrame, words: int = WORDS, parts: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, __text, fp, node) of each row: a hash of the text, the fingerprint's parts as signed longs, and what makes
+    rows one node: the first part, or with distinct, where each shingle counts once, a hash of the whole shingle set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        from xxhash import xxh64_intdigest
 
         for batch in batches:
-            fps = [fingerprint(t, words, parts).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__text"), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "__text", "fp"])
+            fps, nodes = [], []
+            for t in batch.column("text").to_pylist():
+                hashes = distinct_shingles(t, words) if distinct else shingles(t, words)
+                fps.append(folded(hashes, parts).view(np.int64))
+                nodes.append(_signed(xxh64_intdigest(hashes.tobytes(), SEED)) if distinct else int(fps[-1][0]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__text"), pa.array(fps, pa.list_(pa.int64())), pa.array(nodes, pa.int64())], names=["doc_id", "__text", "fp", "node"])
 
-    return docs.select("doc_id", "text", _text()).mapInArrow(run, "doc_id long, __text long, fp array<long>")
+    return docs.select("doc_id", "text", _text()).mapInArrow(run, "doc_id long, __text long, fp array<long>, node long")
 
 
 def _text() -> Column:
@@ -98,12 +124,14 @@ def _text() -> Column:
 
 @dataclass(frozen=True)
 class Scheme:
-    """What a fingerprint is, when two link, and the (part, mask) keys of which linked ones share some."""
+    """What a fingerprint is, when two link, and the (part, mask) keys of which linked ones share some. With a similarity,
+    fingerprints are of distinct shingles, and links are verified by it."""
 
     words: int
     parts: int
     radius: int
     masks: tuple[tuple[int, int], ...]
+    similarity: float = 0.0
 
 
 def exact(words: int = WORDS, radius: int = RADIUS) -> Scheme:
@@ -124,7 +152,7 @@ def similar(n: int, words: int = 5, similarity: float = 0.8, parts: int = 4, rec
     keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** size))
     rng = random.Random(SEED)
     masks = tuple((k % parts, sum(1 << b for b in rng.sample(range(64), size))) for k in range(keys))
-    return Scheme(words, parts, int(bits * rate + 1.5 * math.sqrt(bits * rate * (1 - rate))), masks)
+    return Scheme(words, parts, int(bits * rate + 1.5 * math.sqrt(bits * rate * (1 - rate))), masks, similarity)
 
 
 def matches(fps, radius: int):
@@ -161,53 +189,76 @@ def matches(fps, radius: int):
     return probes, ~out
 
 
-def forest(fps, nodes, radius: int) -> list[tuple[int, int]]:
-    """Links within the radius as (node, smallest node of its tree): one row for each node but the smallest.
-    A probe's matches are merged as they are found, so no list of pairs is ever made."""
+def alike(a, b, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have at least this Jaccard similarity."""
+    import numpy as np
+
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def forest(fps, nodes, radius: int, sets=None, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """Links within the radius, and with sets of at least the similarity, as (node, smallest node of its tree): one row for
+    each node but the smallest. A probe's matches are merged as they are found, so no list of pairs is ever made, and
+    pairs that other links have joined are not compared."""
     import numpy as np
 
     nodes = np.asarray(nodes, np.int64)
     tree = np.arange(len(nodes))
     least = nodes.copy()
     for probe, found in zip(*matches(fps, radius), strict=True):
-        trees = np.unique(np.append(tree[np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))], tree[probe]))
-        if len(trees) > 1:
-            least[trees[0]] = least[trees].min()
-            tree[np.isin(tree, trees[1:])] = trees[0]
+        near = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
+        if sets is None:
+            groups = [near]
+        else:
+            groups = ([k] for k in near[tree[near] != tree[probe]] if tree[k] != tree[probe] and alike(sets[probe], sets[k], similarity))
+        for own in groups:
+            trees = np.unique(np.append(tree[own], tree[probe]))
+            if len(trees) > 1:
+                least[trees[0]] = least[trees].min()
+                tree[np.isin(tree, trees[1:])] = trees[0]
     least = least[tree]
     off = nodes != least
     return list(zip(nodes[off].tolist(), least[off].tolist(), strict=True))
 
 
-def _compared(batches: Iterator[pa.RecordBatch], radius: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], radius: int, rows: int, words: int = 0, similarity: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group. Blocks hold whole groups, small ones together; a pair within the radius is a link
-    whichever groups its ends came from."""
+    whichever groups its ends came from. With a similarity, rows have texts, and links are verified on their shingles."""
     import numpy as np
 
-    def block(fp, node) -> pa.RecordBatch:
-        edges = forest(fp, node, radius) if len(node) > 1 else []
+    def block(fp, node, sets=None) -> pa.RecordBatch:
+        edges = forest(fp, node, radius, sets, similarity) if len(node) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["node", "least"])
 
-    held: list[list] = [[], [], []]
+    held: list[list] = [[] for _ in range(4 if similarity else 3)]
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        for own, new in zip(held, (batch.column("group").to_numpy(), fp, batch.column("node").to_numpy()), strict=True):
+        columns = [batch.column("group").to_numpy(), fp, batch.column("node").to_numpy()]
+        if similarity:
+            sets = np.empty(batch.num_rows, object)
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                sets[k] = distinct_shingles(t, words)
+            columns.append(sets)
+        for own, new in zip(held, columns, strict=True):
             own.append(new)
         size += batch.num_rows
         if size < rows:
             continue
-        group, fp, node = (np.concatenate(own) for own in held)
+        group, *rest = (np.concatenate(own) for own in held)
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         at = 0
         while (k := np.searchsorted(starts, at + rows)) < len(starts):  # the last group may go on in the next batch
-            yield block(fp[at : starts[k]], node[at : starts[k]])
+            yield block(*(c[at : starts[k]] for c in rest))
             at = starts[k]
-        held, size = [[group[at:]], [fp[at:]], [node[at:]]], len(group) - at
+        held, size = [[c[at:]] for c in (group, *rest)], len(group) - at
     if size:
-        yield block(np.concatenate(held[1]), np.concatenate(held[2]))
+        yield block(*(np.concatenate(own) for own in held[1:]))
 
 
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -227,6 +278,23 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return grouped.mapInArrow(lambda it: _compared(it, radius, rows), "node long, least long")
 
 
+def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme) -> DataFrame:
+    """(node, least): edges that connect what links of at least the scheme's similarity connect within the components found.
+    nodes: (node, fp, doc, __text), the latter two of one of its rows. Components of more than TILE_ROWS nodes are dealt as
+    pairs of tiles."""
+    spark = docs.sparkSession
+    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
+    wanted = staged(members.join(sizes, "component").join(nodes, "node").withColumnRenamed("doc", "__id"), "candidates")
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), _text(), "text").join(wanted, ["__id", "__text"])
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = texts.select("node", "fp", "text", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    group = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
+    grouped = dealt.select("node", "fp", "text", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group")
+    radius, rows, words, similarity = scheme.radius, BLOCK_ROWS, scheme.words, scheme.similarity
+    return grouped.mapInArrow(lambda it: _compared(it, radius, rows, words, similarity), "node long, least long")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component: its component's smallest node.
     edges: two long columns. Large-star and small-star steps in turn until neither changes an edge."""
@@ -249,11 +317,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """(doc_id, __text, fp, component_id) of each row. Without a scheme, texts link at ``similar``'s five words and 0.8."""
-    rows = staged(fingerprints(docs, scheme.words if scheme else 5, scheme.parts if scheme else 4), "fingerprints")
-    node = F.get("fp", F.lit(0)) if scheme and scheme.parts == 1 else F.xxhash64("fp")
-    named = rows.withColumn("node", node)
-    nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("doc")), "nodes")
-    found = connected(links(nodes.select("node", "fp"), scheme or similar(nodes.count())))
+    judged = not scheme or scheme.similarity > 0
+    named = staged(fingerprints(docs, scheme.words if scheme else 5, scheme.parts if scheme else 4, judged), "fingerprints")
+    doc = F.coalesce("doc_id", F.lit(NULL_ID))
+    first = F.min(F.struct(doc.alias("doc"), "__text")) if judged else F.struct(F.min(doc).alias("doc"))
+    nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("one")).select("node", "fp", "one.*"), "nodes")
+    scheme = scheme or similar(nodes.count())
+    found = connected(links(nodes.select("node", "fp"), scheme))
+    if judged:
+        found = connected(verified(docs, nodes, found, scheme))
     # both are written, so that the joins below read plain tables and Spark can split a component that holds many nodes
     labelled = staged(nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component")), "labelled")
     least = staged(labelled.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
