@@ -135,3 +135,20 @@ def test_verified_forest():
     fps = np.zeros((4, 4), np.uint64)
     assert sorted(simhash.forest(fps, [1, 2, 3, 4], 47, sets, 0.8)) == [(2, 1), (3, 1)]  # 90 of 110 links 3 to 2 alone
     assert sorted(simhash.forest(fps, [1, 2, 3, 4], 47)) == [(2, 1), (3, 1), (4, 1)]
+
+
+def test_steady_recall_at_the_radius(spark):
+    scheme, rng = simhash.steady(), random.Random(11)
+    assert scheme.radius >= 47 and scheme == simhash.steady()
+    fps = [rng.getrandbits(256) for _ in range(1000)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(256), scheme.radius)) for f in fps]
+    signed = [[simhash._signed(f >> 64 * k & (1 << 64) - 1) for k in range(4)] for f in fps]
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp array<long>").repartition(3)
+    pairs = {(r.node, r.least) for r in simhash.links(nodes, scheme).collect()}
+    assert sum((1000 + k, k) in pairs for k in range(1000)) >= 950
+
+
+def test_components_use_the_steady_scheme(spark, monkeypatch):
+    monkeypatch.delattr(simhash, "similar")
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.components(docs).collect()) == [(1, 1), (2, 1), (3, 3)]

@@ -1,16 +1,16 @@
 """SimHash near-duplicate detection.
 
-Two schemes: ``exact`` links 64-bit fingerprints within a small radius and misses none; ``similar`` links texts of a given
+Two schemes: ``exact`` links 64-bit fingerprints within a small radius and misses none; ``steady`` links texts of a given
 Jaccard similarity, found by 256-bit fingerprints of their distinct shingles with a stated recall, and verified.
 
-1. Each text gets a fingerprint from its word shingles. Equal fingerprints (for ``similar``: equal shingle sets) become one
+1. Each text gets a fingerprint from its word shingles. Equal fingerprints (for ``steady``: equal shingle sets) become one
    node, so exact copies cost one row from here on.
 2. Candidates: a node is keyed once for each of the scheme's sets of bits. Keys with more than TILE_ROWS nodes are
    dealt as pairs of tiles, which bounds a task's rows and misses no pair.
 3. Comparison is bit-sliced: a block stores bit planes vertically, one bit of 64 nodes in a machine word. Distances of
    all nodes of the block to a probe are counted at once by carry-save counters over the planes, and probes whose
    lanes have all gone past the radius are abandoned. Only the edges of a spanning forest leave a block.
-   For ``similar`` such links only find candidates: within each of their components every pair inside the radius that no
+   For ``steady`` such links only find candidates: within each of their components every pair inside the radius that no
    link joins yet is compared by the exact Jaccard similarity of its distinct shingles, and only pairs that reach the
    threshold are links. Texts are read again for these components alone.
 4. Components: alternating large-star and small-star steps on Spark joins, each round written to the shared folder.
@@ -38,6 +38,7 @@ from wardline.llm.storage import carried, small_batches, spread, staged
 WORDS, RADIUS = 3, 2
 TILE_ROWS = 4096
 BLOCK_ROWS = 1024
+BOUNDED_KEYS = 1 << 19
 NULL_ID = 2**63 - 1
 SEED = 42
 
@@ -124,13 +125,13 @@ def _text() -> Column:
 
 @dataclass(frozen=True)
 class Scheme:
-    """What a fingerprint is, when two link, and the (part, mask) keys of which linked ones share some. With a similarity,
+    """What a fingerprint is, when two link, and the masks of the keys of which linked ones share some. With a similarity,
     fingerprints are of distinct shingles, and links are verified by it."""
 
     words: int
     parts: int
     radius: int
-    masks: tuple[tuple[int, int], ...]
+    masks: tuple[tuple, ...]
     similarity: float = 0.0
 
 
@@ -155,6 +156,26 @@ def similar(n: int, words: int = 5, similarity: float = 0.8, parts: int = 4, rec
     return Scheme(words, parts, int(bits * rate + 1.5 * math.sqrt(bits * rate * (1 - rate))), masks, similarity)
 
 
+def steady(words: int = 5, similarity: float = 0.8, parts: int = 4, size: int = 12, recall: float = 0.97) -> Scheme:
+    """As ``similar``, but alike for every number of fingerprints: the radius is the mean and three deviations at the
+    similarity, each key is of ``size`` bits drawn from all parts, and there are as many keys as let a pair at the radius
+    itself, the farthest, share one with probability ``recall``."""
+    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * parts
+    radius = int(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
+    agree = math.comb(bits - radius, size) / math.comb(bits, size)
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    rng = random.Random(SEED)
+    drawn = [rng.sample(range(bits), size) for _ in range(keys)]
+    masks = tuple(tuple((part, sum(1 << b % 64 for b in own if b // 64 == part)) for part in range(parts)) for own in drawn)
+    return Scheme(words, parts, radius, masks, similarity)
+
+
+def _pieces(mask: tuple) -> tuple[tuple[int, int], ...]:
+    """A mask is (part, bits), or several of them."""
+    return mask if isinstance(mask[0], tuple) else (mask,)
+
+
 def matches(fps, radius: int):
     """fps: rows of fingerprint parts. Probes that have a later fingerprint within the radius, and a bit for each lane:
     which those are. Bit-sliced: the counters start so that they overflow, once and for good, past the radius."""
@@ -266,12 +287,15 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     radius connect, for all links whose ends share a key."""
     spark = nodes.sparkSession
     small_batches(spark)
-    key = F.array(*(F.xxhash64(F.lit(i), F.get("fp", F.lit(part)).bitwiseAND(F.lit(_signed(m)))) for i, (part, m) in enumerate(scheme.masks)))
+    key = F.array(*(F.xxhash64(F.lit(i), *(F.get("fp", F.lit(part)).bitwiseAND(F.lit(_signed(m))) for part, m in _pieces(mask))) for i, mask in enumerate(scheme.masks)))
     keyed = nodes.select("node", "fp", F.explode(key).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = keyed.join(counts.select("key", tiles.alias("tiles")), "key").select("node", "fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    own = F.pmod(F.xxhash64("fp", "node"), F.col("tiles")).cast("int")
+    tiled = counts.select("key", tiles.alias("tiles"))
+    if sum(1 << sum(m.bit_count() for _, m in _pieces(mask)) for mask in scheme.masks) <= BOUNDED_KEYS:
+        tiled = F.broadcast(tiled)  # the scheme alone bounds its rows
+    dealt = keyed.join(tiled, "key").select("node", "fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     grouped = dealt.select("node", "fp", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group")
     radius, rows = scheme.radius, BLOCK_ROWS
@@ -316,13 +340,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """(doc_id, __text, fp, component_id) of each row. Without a scheme, texts link at ``similar``'s five words and 0.8."""
+    """(doc_id, __text, fp, component_id) of each row. Without a scheme, texts link by ``steady``: five words and 0.8."""
     judged = not scheme or scheme.similarity > 0
     named = staged(fingerprints(docs, scheme.words if scheme else 5, scheme.parts if scheme else 4, judged), "fingerprints")
     doc = F.coalesce("doc_id", F.lit(NULL_ID))
     first = F.min(F.struct(doc.alias("doc"), "__text")) if judged else F.struct(F.min(doc).alias("doc"))
     nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("one")).select("node", "fp", "one.*"), "nodes")
-    scheme = scheme or similar(nodes.count())
+    scheme = scheme or steady()
     found = connected(links(nodes.select("node", "fp"), scheme))
     if judged:
         found = connected(verified(docs, nodes, found, scheme))
