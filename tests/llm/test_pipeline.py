@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardline.llm import line_dedup, pii, simhash
+from wardline.llm import line_dedup, pii
 from wardline.llm.pieces import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,9 +90,3 @@ def test_empty(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
-def test_scheme_grows_with_the_corpus():
-    small, large = simhash.similar(1000), simhash.similar(10**10)
-    assert (small.words, small.radius) == (large.words, large.radius) == (5, 47)
-    assert bin(small.masks[0][1]).count("1") == 12 and bin(large.masks[0][1]).count("1") == 28

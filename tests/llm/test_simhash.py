@@ -133,22 +133,79 @@ def test_similar_links_are_verified(spark):
 def test_verified_forest():
     sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 5, 15, 60)]
     fps = np.zeros((4, 4), np.uint64)
-    assert sorted(simhash.forest(fps, [1, 2, 3, 4], 47, sets, 0.8)) == [(2, 1), (3, 1)]  # 90 of 110 links 3 to 2 alone
+    keys = np.zeros((4, 2), np.int64)
+    judged = lambda keys: sorted(simhash.forest(fps, [1, 2, 3, 4], 47, sets=sets, keys=keys, similarity=0.8))
+    assert judged(keys) == [(2, 1), (3, 1)]  # 90 of 110 links 3 to 2 alone
+    assert judged(np.array([[1, 2], [3, 2], [3, 4], [5, 6]])) == [(2, 1), (3, 1)] and judged(np.array([[1, 2], [1, 3], [4, 5], [6, 7]])) == [(2, 1)]
     assert sorted(simhash.forest(fps, [1, 2, 3, 4], 47)) == [(2, 1), (3, 1), (4, 1)]
 
 
-def test_steady_recall_at_the_radius(spark):
-    scheme, rng = simhash.steady(), random.Random(11)
-    assert scheme.radius >= 47 and scheme == simhash.steady()
-    fps = [rng.getrandbits(256) for _ in range(1000)]
-    fps += [f ^ sum(1 << b for b in rng.sample(range(256), scheme.radius)) for f in fps]
-    signed = [[simhash._signed(f >> 64 * k & (1 << 64) - 1) for k in range(4)] for f in fps]
-    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, fp array<long>").repartition(3)
-    pairs = {(r.node, r.least) for r in simhash.links(nodes, scheme).collect()}
-    assert sum((1000 + k, k) in pairs for k in range(1000)) >= 950
-
-
-def test_components_use_the_steady_scheme(spark, monkeypatch):
-    monkeypatch.delattr(simhash, "similar")
-    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other words")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in simhash.components(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+def grams(text, n=5):
+    ws = text.split()
+    return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))}
+
+
+def copies_at(rng, similarity, n):
+    """Pairs of texts whose similarity is just at or above the given one, of many lengths."""
+    for _ in range(n):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 400))]
+        other, places = list(ws), rng.sample(range(len(ws)), len(ws))
+        for at in places:
+            changed = [*other[:at], f"x{rng.randrange(10**6)}", *other[at + 1 :]]
+            a, b = grams(" ".join(ws)), grams(" ".join(changed))
+            if len(a & b) < similarity * len(a | b):
+                break
+            other = changed
+        yield " ".join(ws), " ".join(other)
+
+
+def test_recall_at_the_similarity(spark):
+    rows = [(g + 1000 * k, t) for g, pair in enumerate(copies_at(random.Random(11), 0.8, 400)) for k, t in enumerate(pair)]
+    found = {r.doc_id: r.component_id for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(found[1000 + g] == g for g in range(400)) >= 397 and all(found[g] == g for g in range(400))
+
+
+def test_links_depend_on_the_texts_alone(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(2000)}" for _ in range(120)] for _ in range(20)]
+    rows = []
+    for k in range(400):
+        ws = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 12)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(ws)))
+    sets = [grams(t) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+    def brute(ids):
+        comp = {i: i for i in ids}
+        while True:
+            before = dict(comp)
+            for i, j in near:
+                if i in comp and j in comp:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+            if comp == before:
+                return comp
+
+    def run(ids, partitions):
+        docs = spark.createDataFrame([rows[i] for i in ids], "doc_id long, text string").repartition(partitions)
+        return {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+
+    want = brute(range(400))
+    assert len(set(want.values())) > 20 and run(range(400), 3) == want
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    monkeypatch.setattr(simhash, "TILE_ROWS", 7)
+    monkeypatch.setattr(simhash, "VERIFY_ROWS", 5)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    try:
+        assert run(range(400), 11) == want
+        assert run(range(0, 400, 2), 2) == brute(range(0, 400, 2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_representatives_of_repeated_rows_and_ids(spark):
+    rows = [(None, "a b c d e f", 3), (None, "other words go here now", 1), (7, "one two three four five", 2), (7, "one two three four five", 1), (7, "six seven eight nine ten", 1), (8, "six seven eight nine ten", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    want = [rows[0], rows[1], rows[3], rows[4]]  # of equal ids and texts, the first as JSON
+    assert sorted(map(tuple, simhash.representatives(docs).collect()), key=str) == sorted(want, key=str)

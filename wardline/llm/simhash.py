@@ -1,20 +1,24 @@
 """SimHash near-duplicate detection.
 
-Two schemes: ``exact`` links 64-bit fingerprints within a small radius and misses none; ``steady`` links texts of a given
-Jaccard similarity, found by 256-bit fingerprints of their distinct shingles with a stated recall, and verified.
+Two schemes: ``exact`` links 64-bit fingerprints within a small radius and misses none; ``similar`` links texts of a given
+Jaccard similarity, found by 256-bit fingerprints of their distinct shingles and verified.
 
-1. Each text gets a fingerprint from its word shingles. Equal fingerprints (for ``steady``: equal shingle sets) become one
+1. Each text gets a fingerprint from its word shingles. Equal fingerprints (for ``similar``: equal shingle sets) become one
    node, so exact copies cost one row from here on.
-2. Candidates: a node is keyed once for each of the scheme's sets of bits. Keys with more than TILE_ROWS nodes are
-   dealt as pairs of tiles, which bounds a task's rows and misses no pair.
+2. Candidates: a node is keyed several times, by bits of its fingerprint (``exact``) or by minima of its shingle hashes
+   (``similar``: bits could not tell 0.8 from unrelated texts, half of whose bits agree, in a corpus of any size). Only keys
+   that several nodes have go on; those of more than TILE_ROWS nodes are dealt as pairs of tiles, which bounds a task's
+   rows and misses no pair.
 3. Comparison is bit-sliced: a block stores bit planes vertically, one bit of 64 nodes in a machine word. Distances of
    all nodes of the block to a probe are counted at once by carry-save counters over the planes, and probes whose
    lanes have all gone past the radius are abandoned. Only the edges of a spanning forest leave a block.
-   For ``steady`` such links only find candidates: within each of their components every pair inside the radius that no
-   link joins yet is compared by the exact Jaccard similarity of its distinct shingles, and only pairs that reach the
-   threshold are links. Texts are read again for these components alone.
+   For ``similar`` such links only find candidates: within each of their components every pair inside the radius that
+   shares a key and that no link joins yet is compared by the exact Jaccard similarity of its distinct shingles, and only
+   pairs that reach the threshold are links. Texts are read again for these components alone.
 4. Components: alternating large-star and small-star steps on Spark joins, each round written to the shared folder.
 
+Whether two texts link depends on the two alone, not on the number of texts or how they are dealt.
+
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; a text with
 fewer words than a shingle is one shingle; rows that repeat a doc_id link by their own texts alone; a null doc_id counts
 as the largest, so a component of nothing else has a null id; extra columns are ignored by ``components`` and kept by
@@ -24,13 +28,12 @@ as the largest, so a component of nothing else has a null id; extra columns are
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.storage import carried, small_batches, spread, staged
@@ -38,7 +41,7 @@ from wardline.llm.storage import carried, small_batches, spread, staged
 WORDS, RADIUS = 3, 2
 TILE_ROWS = 4096
 BLOCK_ROWS = 1024
-BOUNDED_KEYS = 1 << 19
+VERIFY_ROWS, VERIFY_SHINGLES = 512, 1 << 20
 NULL_ID = 2**63 - 1
 SEED = 42
 
@@ -99,39 +102,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, parts: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, __text, fp, node) of each row: a hash of the text, the fingerprint's parts as signed longs, and what makes
-    rows one node: the first part, or with distinct, where each shingle counts once, a hash of the whole shingle set."""
-    small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        for batch in batches:
-            fps, nodes = [], []
-            for t in batch.column("text").to_pylist():
-                hashes = distinct_shingles(t, words) if distinct else shingles(t, words)
-                fps.append(folded(hashes, parts).view(np.int64))
-                nodes.append(_signed(xxh64_intdigest(hashes.tobytes(), SEED)) if distinct else int(fps[-1][0]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__text"), pa.array(fps, pa.list_(pa.int64())), pa.array(nodes, pa.int64())], names=["doc_id", "__text", "fp", "node"])
-
-    return docs.select("doc_id", "text", _text()).mapInArrow(run, "doc_id long, __text long, fp array<long>, node long")
-
+def minima(hashes, bands: int, rows: int):
+    """For each of bands a hash of the least of the set under each of ``rows`` own orders of all hashes: a key that two sets
+    share with probability (their Jaccard similarity) ** rows, and unrelated sets never, however many there are."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
 
-def _text() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 4096):  # a multiple of a hash is as good as another hash: it orders them anew
+        np.minimum(least, np.multiply.outer(odd, hashes[at : at + 4096]).min(axis=1), out=least)
+    return [_signed(xxh64_intdigest(own.tobytes(), k)) for k, own in enumerate(least.reshape(bands, rows))]
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """What a fingerprint is, when two link, and the masks of the keys of which linked ones share some. With a similarity,
-    fingerprints are of distinct shingles, and links are verified by it."""
+    """What a fingerprint is, when two link, and the keys of which linked ones share some: bits of the fingerprint, or
+    minima of the shingles. With a similarity, fingerprints are of distinct shingles, and links are verified by it."""
 
     words: int
     parts: int
     radius: int
-    masks: tuple[tuple, ...]
+    masks: tuple[int, ...] = ()
+    bands: int = 0
+    rows: int = 0
     similarity: float = 0.0
 
 
@@ -139,63 +133,73 @@ def exact(words: int = WORDS, radius: int = RADIUS) -> Scheme:
     """64 bits; of radius + 2 pieces, any two fingerprints within the radius share at least two, so no link is missed."""
     edges = [round(64 * k / (radius + 2)) for k in range(radius + 3)]
     pieces = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return Scheme(words, 1, radius, tuple((0, a | b) for a, b in combinations(pieces, 2)))
+    return Scheme(words, 1, radius, tuple(a | b for a, b in combinations(pieces, 2)))
 
 
-def similar(n: int, words: int = 5, similarity: float = 0.8, parts: int = 4, recall: float = 0.97) -> Scheme:
-    """For texts whose shingle sets have at least the given Jaccard similarity. Bits of two such fingerprints differ at
-    a rate below ``rate``; the radius is the mean and one and a half deviations at that rate. Keys are sets of bits drawn once, as
-    many bits as leave about 64 of n fingerprints to a key by chance, and as many keys as let a pair at that very rate
-    share one with probability ``recall``; closer pairs share one more surely."""
+def similar(words: int = 5, similarity: float = 0.8, parts: int = 4, bands: int = 20, rows: int = 5) -> Scheme:
+    """For texts whose shingle sets have at least the given Jaccard similarity; alike for every number of texts. Bits of two
+    such fingerprints differ at a rate below ``rate``; the radius is the mean and four deviations at that rate, so that a
+    pair at the similarity itself passes with probability 0.9999, and shares a key with 0.9996."""
     rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * parts
-    size = min(28, max(12, math.ceil(math.log2(max(2, n))) - 6))
-    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - rate) ** size))
-    rng = random.Random(SEED)
-    masks = tuple((k % parts, sum(1 << b for b in rng.sample(range(64), size))) for k in range(keys))
-    return Scheme(words, parts, int(bits * rate + 1.5 * math.sqrt(bits * rate * (1 - rate))), masks, similarity)
+    return Scheme(words, parts, int(bits * rate + 4 * math.sqrt(bits * rate * (1 - rate))), (), bands, rows, similarity)
 
 
-def steady(words: int = 5, similarity: float = 0.8, parts: int = 4, size: int = 12, recall: float = 0.97) -> Scheme:
-    """As ``similar``, but alike for every number of fingerprints: the radius is the mean and three deviations at the
-    similarity, each key is of ``size`` bits drawn from all parts, and there are as many keys as let a pair at the radius
-    itself, the farthest, share one with probability ``recall``."""
-    rate = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * parts
-    radius = int(bits * rate + 3 * math.sqrt(bits * rate * (1 - rate)))
-    agree = math.comb(bits - radius, size) / math.comb(bits, size)
-    keys = math.ceil(math.log(1 - recall) / math.log(1 - agree))
-    rng = random.Random(SEED)
-    drawn = [rng.sample(range(bits), size) for _ in range(keys)]
-    masks = tuple(tuple((part, sum(1 << b % 64 for b in own if b // 64 == part)) for part in range(parts)) for own in drawn)
-    return Scheme(words, parts, radius, masks, similarity)
+def _text() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")
+
 
+FINGERPRINTS = "doc_id long, __text long, fp array<long>, node long, n int, keys array<long>"
 
-def _pieces(mask: tuple) -> tuple[tuple[int, int], ...]:
-    """A mask is (part, bits), or several of them."""
-    return mask if isinstance(mask[0], tuple) else (mask,)
 
+def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of each row: a hash of the text, the fingerprint's parts as signed longs, what makes rows one node (the first part, or
+    where links are verified a hash of the whole shingle set), the number of shingles, and the keys."""
+    small_batches(docs.sparkSession)
 
-def matches(fps, radius: int):
-    """fps: rows of fingerprint parts. Probes that have a later fingerprint within the radius, and a bit for each lane:
-    which those are. Bit-sliced: the counters start so that they overflow, once and for good, past the radius."""
+    def row(text: str | None):
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        hashes = distinct_shingles(text, scheme.words) if scheme.similarity else shingles(text, scheme.words)
+        fp = folded(hashes, scheme.parts).view(np.int64)
+        node = _signed(xxh64_intdigest(hashes.tobytes(), SEED)) if scheme.similarity else int(fp[0])
+        return fp, node, len(hashes), minima(hashes, scheme.bands, scheme.rows) if scheme.bands else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in FINGERPRINTS.split(", ")]
+        types = (pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        for batch in batches:
+            rows = [row(t) for t in batch.column("text").to_pylist()]
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__text"), *made], names=names)
+
+    return docs.select("doc_id", "text", _text()).mapInArrow(run, FINGERPRINTS)
+
+
+def matches(fps, radius: int, first=None, last=None):
+    """fps: rows of fingerprint parts. Probes that have a fingerprint within the radius among those at first to last (the
+    probe's own; by default all later ones), and a bit for each lane: which those are. Bit-sliced: the counters start so
+    that they overflow, once and for good, past the radius."""
     import numpy as np
 
     fps = np.ascontiguousarray(fps, dtype="<u8").reshape(len(fps), -1)
     n, bits = len(fps), 64 * fps.shape[1]
+    first = np.arange(1, n + 1) if first is None else first
+    last = np.full(n, n) if last is None else last
     lanes = -(-n // 64)
     flat = np.zeros((lanes * 64, bits), np.uint8)
     flat[:n] = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     planes = np.packbits(np.ascontiguousarray(flat.T), axis=1, bitorder="little").view("<u8")  # a plane for each bit
     full, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
-    # lanes that are out: those up to the probe itself, and those past the end
-    later = np.arange(lanes * 64)[None, :] > np.arange(n)[:, None]
-    later[:, n:] = False
-    out = ~np.packbits(later, axis=1, bitorder="little").view("<u8")
-    probes = np.arange(n)
+    probes = np.flatnonzero(first < last)
+    if not len(probes):
+        return probes, np.zeros((0, lanes), np.uint64)
+    lane = np.arange(lanes * 64)[None, :]
+    out = ~np.packbits((lane >= first[probes, None]) & (lane < last[probes, None]), axis=1, bitorder="little").view("<u8")
     width = max(1, radius.bit_length())
     preset = (1 << width) - 1 - radius
-    counters = [np.full((n, lanes), full if preset >> k & 1 else none) for k in range(width)]
+    counters = [np.full((len(probes), lanes), full if preset >> k & 1 else none) for k in range(width)]
     for plane in range(bits):
         carry = planes[plane][None, :] ^ np.where(flat[probes, plane] == 1, full, none)[:, None]
         for k in range(width):
@@ -220,22 +224,24 @@ def alike(a, b, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def forest(fps, nodes, radius: int, sets=None, similarity: float = 0.0) -> list[tuple[int, int]]:
-    """Links within the radius, and with sets of at least the similarity, as (node, smallest node of its tree): one row for
-    each node but the smallest. A probe's matches are merged as they are found, so no list of pairs is ever made, and
-    pairs that other links have joined are not compared."""
+def forest(fps, nodes, radius: int, first=None, last=None, sets=None, keys=None, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """Links as (node, smallest node of its tree): one row for each node but the smallest. A link is within the radius; with
+    sets and keys, it also shares a key and has at least the similarity. A probe's matches are merged as they are found,
+    so no list of pairs is ever made, and pairs that other links have joined are not compared."""
     import numpy as np
 
     nodes = np.asarray(nodes, np.int64)
     tree = np.arange(len(nodes))
     least = nodes.copy()
-    for probe, found in zip(*matches(fps, radius), strict=True):
+
+    def judged(probe: int, near) -> Iterator:
+        near = near[tree[near] != tree[probe]]
+        near = near[(keys[near] == keys[probe]).any(axis=1)]
+        return ([k] for k in near if tree[k] != tree[probe] and alike(sets[probe], sets[k], similarity))
+
+    for probe, found in zip(*matches(fps, radius, first, last), strict=True):
         near = np.flatnonzero(np.unpackbits(found.view(np.uint8), bitorder="little"))
-        if sets is None:
-            groups = [near]
-        else:
-            groups = ([k] for k in near[tree[near] != tree[probe]] if tree[k] != tree[probe] and alike(sets[probe], sets[k], similarity))
-        for own in groups:
+        for own in [near] if sets is None else judged(probe, near):
             trees = np.unique(np.append(tree[own], tree[probe]))
             if len(trees) > 1:
                 least[trees[0]] = least[trees].min()
@@ -245,89 +251,95 @@ def forest(fps, nodes, radius: int, sets=None, similarity: float = 0.0) -> list[
     return list(zip(nodes[off].tolist(), least[off].tolist(), strict=True))
 
 
-def _compared(batches: Iterator[pa.RecordBatch], radius: int, rows: int, words: int = 0, similarity: float = 0.0) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group. Blocks hold whole groups, small ones together; a pair within the radius is a link
-    whichever groups its ends came from. With a similarity, rows have texts, and links are verified on their shingles."""
+def _compared(batches: Iterator[pa.RecordBatch], scheme: Scheme, judged: bool, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and tile. Blocks hold whole groups, small ones together; only rows of one group are
+    compared, and in a group of two tiles only rows of different ones. If judged, rows have texts and keys, and links
+    are verified on them."""
     import numpy as np
 
-    def block(fp, node, sets=None) -> pa.RecordBatch:
-        edges = forest(fp, node, radius, sets, similarity) if len(node) > 1 else []
+    def block(group, tile, fp, node, keys=None, sets=None) -> pa.RecordBatch:
+        n = len(node)
+        runs = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (tile[1:] != tile[:-1])))
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        run_end = np.append(runs[1:], n)[np.searchsorted(runs, np.arange(n), "right") - 1]
+        own = np.searchsorted(starts, np.arange(n), "right") - 1
+        last = np.append(starts[1:], n)[own]
+        alone = (run_end == last) & (runs[np.searchsorted(runs, np.arange(n), "right") - 1] == starts[own])
+        edges = forest(fp, node, scheme.radius, np.where(alone, np.arange(1, n + 1), run_end), last, sets, keys, scheme.similarity)
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["node", "least"])
 
-    held: list[list] = [[] for _ in range(4 if similarity else 3)]
+    held: list[list] = []
     size = 0
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        columns = [batch.column("group").to_numpy(), fp, batch.column("node").to_numpy()]
-        if similarity:
-            sets = np.empty(batch.num_rows, object)
+        fp = batch.column("fp").flatten().to_numpy().view(np.uint64).reshape(n, -1)
+        columns = [batch.column("group").to_numpy(), batch.column("own").to_numpy(), fp, batch.column("node").to_numpy()]
+        if judged:
+            sets = np.empty(n, object)
             for k, t in enumerate(batch.column("text").to_pylist()):
-                sets[k] = distinct_shingles(t, words)
-            columns.append(sets)
-        for own, new in zip(held, columns, strict=True):
-            own.append(new)
-        size += batch.num_rows
+                sets[k] = distinct_shingles(t, scheme.words)
+            columns += [batch.column("keys").flatten().to_numpy().reshape(n, -1), sets]
+        held.append(columns)
+        size += n
         if size < rows:
             continue
-        group, *rest = (np.concatenate(own) for own in held)
-        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        starts = np.flatnonzero(np.append(True, whole[0][1:] != whole[0][:-1]))
         at = 0
         while (k := np.searchsorted(starts, at + rows)) < len(starts):  # the last group may go on in the next batch
-            yield block(*(c[at : starts[k]] for c in rest))
+            yield block(*(c[at : starts[k]] for c in whole))
             at = starts[k]
-        held, size = [[c[at:]] for c in (group, *rest)], len(group) - at
+        held, size = [[c[at:] for c in whole]], size - at
     if size:
-        yield block(*(np.concatenate(own) for own in held[1:]))
+        yield block(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """nodes: (node, fp), one row for each fingerprint. Returns (node, least): edges that connect what links within the
-    radius connect, for all links whose ends share a key."""
-    spark = nodes.sparkSession
+def _dealt(members: DataFrame, by: str, scheme: Scheme, columns: list[str], judged: bool) -> DataFrame:
+    """Compares members (by, tiles, node and columns) that share ``by``, dealt as pairs of tiles."""
+    spark = members.sparkSession
     small_batches(spark)
-    key = F.array(*(F.xxhash64(F.lit(i), *(F.get("fp", F.lit(part)).bitwiseAND(F.lit(_signed(m))) for part, m in _pieces(mask))) for i, mask in enumerate(scheme.masks)))
-    keyed = nodes.select("node", "fp", F.explode(key).alias("key"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = members.select(by, "node", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
+    grouped = dealt.select("node", *columns, "own", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group", "own")
+    rows = BLOCK_ROWS
+    return grouped.mapInArrow(lambda it: _compared(it, scheme, judged, rows), "node long, least long")
+
+
+def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """nodes: (node, fp, keys), one row for each fingerprint. Returns (node, least): edges that connect what links within the
+    radius connect, for all links whose ends share a key. Only keys of several nodes meet fingerprints again."""
+    bits = F.array(*(F.xxhash64(F.lit(i), F.get("fp", F.lit(0)).bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(scheme.masks)))
+    keyed = nodes.select("node", F.explode(bits if scheme.masks else F.col("keys")).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("fp", "node"), F.col("tiles")).cast("int")
-    tiled = counts.select("key", tiles.alias("tiles"))
-    if sum(1 << sum(m.bit_count() for _, m in _pieces(mask)) for mask in scheme.masks) <= BOUNDED_KEYS:
-        tiled = F.broadcast(tiled)  # the scheme alone bounds its rows
-    dealt = keyed.join(tiled, "key").select("node", "fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    grouped = dealt.select("node", "fp", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group")
-    radius, rows = scheme.radius, BLOCK_ROWS
-    return grouped.mapInArrow(lambda it: _compared(it, radius, rows), "node long, least long")
+    tiled = staged(counts.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "shared-keys")
+    members = keyed.join(tiled, "key").join(nodes.select("node", "fp"), "node")
+    return _dealt(members, "key", scheme, ["fp"], judged=False)
 
 
 def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme) -> DataFrame:
     """(node, least): edges that connect what links of at least the scheme's similarity connect within the components found.
-    nodes: (node, fp, doc, __text), the latter two of one of its rows. Components of more than TILE_ROWS nodes are dealt as
-    pairs of tiles."""
-    spark = docs.sparkSession
-    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
-    wanted = staged(members.join(sizes, "component").join(nodes, "node").withColumnRenamed("doc", "__id"), "candidates")
+    nodes: with doc and __text of one of their rows. A tile has about VERIFY_ROWS texts and VERIFY_SHINGLES shingles."""
+    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(nodes, "node")
+    load = F.greatest(F.count("*") / VERIFY_ROWS, F.sum("n") / VERIFY_SHINGLES)
+    sizes = members.groupBy("component").agg(F.ceil(load).cast("int").alias("tiles"))
+    wanted = staged(members.join(sizes, "component").withColumnRenamed("doc", "__id"), "candidates")
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), _text(), "text").join(wanted, ["__id", "__text"])
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = texts.select("node", "fp", "text", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    group = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    grouped = dealt.select("node", "fp", "text", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group")
-    radius, rows, words, similarity = scheme.radius, BLOCK_ROWS, scheme.words, scheme.similarity
-    return grouped.mapInArrow(lambda it: _compared(it, radius, rows, words, similarity), "node long, least long")
+    return _dealt(texts, "component", scheme, ["fp", "keys", "text"], judged=True)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; component: its component's smallest node.
-    edges: two long columns. Large-star and small-star steps in turn until neither changes an edge."""
+    edges: two long columns. Large-star and small-star steps in turn until neither changes an edge. Both sides of the join
+    by which a hub's edges learn their least neighbour are plain tables, so that Spark can split the hub."""
     a, b = edges.columns
     now = staged(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.where("u <> v").distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -339,35 +351,46 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """(doc_id, __text, fp, component_id) of each row. Without a scheme, texts link by ``steady``: five words and 0.8."""
-    judged = not scheme or scheme.similarity > 0
-    named = staged(fingerprints(docs, scheme.words if scheme else 5, scheme.parts if scheme else 4, judged), "fingerprints")
+def classes(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(doc_id, __text, fp, component, component_id) of each row, written; component: of its component a node."""
+    named = staged(fingerprints(docs, scheme), "fingerprints")
     doc = F.coalesce("doc_id", F.lit(NULL_ID))
-    first = F.min(F.struct(doc.alias("doc"), "__text")) if judged else F.struct(F.min(doc).alias("doc"))
-    nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("one")).select("node", "fp", "one.*"), "nodes")
-    scheme = scheme or steady()
-    found = connected(links(nodes.select("node", "fp"), scheme))
-    if judged:
+    one = F.min(F.struct(doc.alias("doc"), "__text")).alias("one")
+    nodes = staged(named.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), one).select("node", "fp", "n", "keys", "one.*"), "nodes")
+    found = connected(links(nodes, scheme))
+    if scheme.similarity:
         found = connected(verified(docs, nodes, found, scheme))
     # both are written, so that the joins below read plain tables and Spark can split a component that holds many nodes
     labelled = staged(nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component")), "labelled")
-    least = staged(labelled.groupBy("component").agg(F.min("doc").alias("component_id")), "least")
-    by_node = labelled.join(least, "component").select("node", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
-    return named.join(staged(by_node, "components"), "node").select("doc_id", "__text", "fp", "component_id")
+    least = staged(labelled.groupBy("component").agg(F.min("doc").alias("least")), "least")
+    by_node = labelled.join(least, "component").select("node", "component", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
+    return staged(named.join(staged(by_node, "components"), "node").select("doc_id", "__text", "fp", "component", "component_id"), "classes")
 
 
-def representatives(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """docs with one row of each component: of its smallest doc_id, and of that id's rows one, by the text's hash."""
-    return carried(docs, lambda d: _representatives(d, scheme))
+def components(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """(doc_id, __text, fp, component_id) of each row. Without a scheme, texts link by ``similar``: five words and 0.8."""
+    return classes(docs, scheme or similar()).drop("component")
 
 
-def _representatives(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    found = components(docs, scheme)
-    key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__text")
-    chosen = staged(found.groupBy("component_id").agg(F.min(key).alias("one")).select("one.__id", "one.__text"), "representatives")
+def representatives(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """docs with one row of each component: of its smallest doc_id, of that id's rows the one of the least hash of its text,
+    and of rows equal in both the first by their values as JSON."""
+    return carried(docs, lambda d: _representatives(d, scheme or similar()))
+
+
+def _representatives(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    key = ["__id", "__text"]
+    found = classes(docs, scheme).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__text", "component")
+    rows = found.groupBy("component", *key).agg(F.count("*").alias("n"))
+    chosen = staged(rows.groupBy("component").agg(F.min(F.struct(*key, "n")).alias("one")), "chosen")
+    # only rows that go, and the few that repeat a chosen one, meet texts
+    gone = staged(rows.join(chosen, "component").where(F.struct(*key) != F.struct("one.__id", "one.__text")).select(*key), "gone")
+    repeated = staged(chosen.where("one.n > 1").select("one.__id", "one.__text"), "repeated")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__text": _text()})
-    return keyed.join(chosen, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    order = Window.partitionBy(*key).orderBy(F.to_json(F.struct(*docs.columns)))
+    once = keyed.join(repeated, key, "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    single = keyed.join(gone.unionByName(repeated), key, "left_anti")
+    return single.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch handed to Python; texts may be long, so batches are kept small.
-ARROW_ROWS = 500
+#: Rows and bytes of one Arrow batch handed to Python; texts may be long, so batches are kept small.
+ARROW_ROWS, ARROW_BYTES = 500, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,10 +50,12 @@ def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFram
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, so that Python workers hold a few long texts at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds the rows and bytes of an Arrow batch, so that Python workers hold a few long texts at most. Plans are lazy, so
+    the bounds stay in the session; lower ones of the caller's are kept."""
+    for name, bound in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def spread(spark: SparkSession) -> int:
