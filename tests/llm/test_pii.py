@@ -37,35 +37,62 @@ def base(text):
     return sorted(out)
 
 
-def brute(rows):
-    n, near, n_e, n_t = len(rows), defaultdict(set), defaultdict(set), defaultdict(set)
-    hits = []
+def judge(rows):
+    """For each row: its base spans, and its terms over the threshold with whether they are full and what they become."""
+    n, both, n_e, n_t = len(rows), defaultdict(set), defaultdict(set), defaultdict(set)
+    own = []
     for r, (_, text) in enumerate(rows):
         text = text or ""
-        words = [m for m in re.finditer(r"[^\W\d_]+", text)]
+        words = [m for m in re.finditer(r"[^\W\d_]+", text) if len(m[0]) >= pii.TERM_CHARS]
+        spans = base(text)
+        outside = [m for m in words if not any(a < m.end() and m.start() < b for a, _, b, _ in spans)]
         for m in words:
             n_t[m[0].lower()].add(r)
-        spans = base(text)
-        for s, _, e, value in spans:
+        for *_, value in spans:
             n_e[value].add(r)
-            for m in words:
-                inside = (m.start() >= s - pii.CONTEXT and m.end() <= s) or (m.start() >= e and m.end() <= e + pii.CONTEXT)
-                if inside and len(m[0]) >= 4 and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
-                    near[value, m[0].lower()].add(r)
-                    hits.append((r, value, m[0].lower(), m.start(), m.end()))
-    added = defaultdict(set)
-    for r, value, term, a, b in hits:
-        both, ic = len(near[value, term]), -math.log2(len(n_e[value]) / n)
-        if both >= 3 and ic > 0 and math.log2(both * n / (len(n_e[value]) * len(n_t[term]))) >= ic / pii.ALPHA - 1e-9:
-            added[r].add((a, 4, b))
+            for m in outside:
+                both[value, m[0].lower()].add(r)
+        own.append((spans, outside))
+    bound = lambda e: len(n_e[e]) * (n / len(n_e[e])) ** (1 - 1 / pii.ALPHA) - pii.SMOOTHING
+    found = []
+    for spans, outside in own:
+        entities = {v for *_, v in spans if len(n_e[v]) < n}
+        terms = {}
+        for t in {m[0].lower() for m in outside}:
+            over = [e for e in entities if len(both[e, t]) >= min(pii.MIN_SUPPORT, len(n_e[e])) and math.log2(len(both[e, t]) * n / (len(n_e[e]) * (len(n_t[t]) + pii.SMOOTHING))) >= math.log2(n / len(n_e[e])) / pii.ALPHA - 1e-9]
+            if over:
+                safe = [t[:k] for k in range(2, len(t)) if any(len(r) > max(map(bound, entities)) for w, r in n_t.items() if len(w) > k and w.startswith(t[:k]))]
+                full = any(both[e, t] == n_t[t] for e in over)
+                terms[t] = "" if full or not safe else safe[-1] + "*"
+        found.append((spans, [(m.start(), 4, m.end(), terms[m[0].lower()]) for m in outside if m[0].lower() in terms]))
+    return found
+
+
+def brute(rows):
     out = []
-    for r, (d, text) in enumerate(rows):
-        spans = [s[:3] for s in base(text)]
-        write = lambda ss: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(ss))
-        out.append((d, *(sum(k == x for _, k, _ in spans) for x in range(4)), hashlib.sha256(write(spans).encode()).hexdigest(), write([*spans, *added[r]])))
+    for (d, _), (spans, added) in zip(rows, judge(rows), strict=True):
+        write = lambda ss: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(ss))
+        out.append((d, *(sum(k == x for _, k, *_ in spans) for x in range(4)), hashlib.sha256(write(spans).encode()).hexdigest(), write([*spans, *added])))
     return sorted(out, key=str)
 
 
+def cleaned(text, spans):
+    """One mark for each run of overlapping spans, by marking characters one by one."""
+    owner = [None] * len(text)
+    for s in sorted(spans):
+        a, _, b, _ = s
+        run = next((owner[i] for i in range(a, b) if owner[i]), s)
+        owner[a:b] = [run] * (b - a)
+    out, last = [], None
+    for c, s in zip(text, owner, strict=True):
+        if s is None:
+            out.append(c)
+        elif s is not last:
+            out.append(s[3] if s[1] == 4 else f"<{pii.KINDS[s[1]].upper()}>")
+        last = s
+    return "".join(out)
+
+
 def run(spark, rows):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, start long").repartition(3)
     return sorted(map(tuple, pii.digest(docs).collect()), key=str)
@@ -112,6 +139,50 @@ def test_sanitised(spark):
     out = {r.doc_id: r for r in pii.sanitised(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, kind int")).collect()}
     assert out[1].clean_text == "call <PHONE> or <CARD> now" and out[2].clean_text == "nothing" and out[3].clean_text == "" and out[1].kind == 7
     assert "zaphod@" not in out[100].clean_text and "Betelgeusian" not in out[100].clean_text
+    assert {d: r.clean_text for d, r in out.items()} == {d: cleaned(t or "", spans + added) for (d, t), (spans, added) in zip(rows, judge(rows), strict=True)}
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    ips = "-".join(f"1.2.3.{k}" for k in range(12))
+    texts = [f"mail {ips}@example.com now", "from 1.2.3.4 4111 1111 1111 1117 end", "+1 555 010 0000 4111 1111 1111 1111 1.2.3.4@5.6.7.8 " * 40, "a\x00b@c.de \x00", "4111 1111\x001111 1111 x"]
+    rng = random.Random(8)
+    parts = ["1.2.3.4", "4111 1111 1111 1111", "+1 555 010 0000", "a@b.cd", "@", " ", "-", ".", "9", "é", "0.0.0.0 "]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    rows = list(enumerate(texts))
+    want = {d: cleaned(t, spans + added) for (d, t), (spans, added) in zip(rows, judge(rows), strict=True)}
+    for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        assert r.clean_text == want[r.doc_id], r.text
+    (r,) = pii.sanitised(spark.createDataFrame(rows[:1], "doc_id long, text string")).collect()
+    assert r.clean_text == "mail <EMAIL> now"
+
+
+def test_planted_terms(spark):
+    """Names that stand with an e-mail address in all of its documents, near it or far, and nowhere else or in few others."""
+    rng = random.Random(6)
+    usual = ["".join(rng.choice("aeioubdgklmnprst") for _ in range(rng.randrange(4, 9))) for _ in range(150)]
+    say = lambda n: " ".join(rng.choice(usual) for _ in range(n))
+    rows = [(k, say(60)) for k in range(900)]
+    name = lambda stem, g: stem + "abcdefghij"[g // 10] + "abcdefghij"[g % 10] + "quist"
+    planted, only = {}, set()
+    for g in range(30):
+        for k in range((1, 2, 5)[g % 3]):
+            d = 1000 + 10 * g + k
+            rows.append((d, f"{say(5)} Person{g}@host{g}.example {say(90)} {name('Zaph', g)} {say(5)}"))
+            planted[d] = name("zaph", g)
+        if g % 2:
+            rows.append((2000 + g, f"{say(30)} {name('Zaph', g)}"))
+        else:
+            only.add(name("zaph", g))
+    rows += [(3000 + k, f"{say(10)} zaphod {say(10)}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in pii.sanitised(docs).collect()}
+    found = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    hit = [d for d, t in planted.items() if t not in out[d].clean_text.lower()]
+    wanted = [d for d, t in planted.items() if t in only or (d - 1000) // 10 % 3 == 2]  # else half of two documents, or two of three
+    assert set(wanted) <= set(hit)
+    assert all(re.search(r"\bzaph[a-z]*\*", out[d].clean_text) for d in hit if planted[d] not in only) and any(planted[d] not in only for d in hit)
+    assert all(out[d].clean_text == t and not found[d] for d, t in rows if d < 1000 or d >= 2000)
+    assert all(s.split(":")[0] in ("email", "term") and x.count("term") <= 1 for x in found.values() if x for s in x.split(","))
 
 
 def test_prefix_sums(spark):

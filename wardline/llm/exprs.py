@@ -16,17 +16,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(sizes: Column) -> Column:
-    """[0, s0, s0 + s1, ...], one longer than sizes. Folds within chunks, then over the chunks' sums."""
+def scan(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """[zero, zero + v0, zero + v0 + v1, ...], one longer than values (ints), where + is ``step``, associative with ``zero``
+    neutral. Folds within chunks, then over the chunks' totals."""
 
-    def fold(values: Column, start: Column) -> Column:
-        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def fold(vs: Column) -> Column:
+        return F.aggregate(vs, F.array(zero), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
 
     def chunked(v: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / CHUNK).cast("int")), lambda j: fold(F.slice(v, j * CHUNK + 1, CHUNK), F.lit(0)))
-        return let(chunks, lambda cs: let(fold(F.transform(cs, lambda c: F.element_at(c, -1)), F.lit(0)), lambda starts: F.concat(F.array(F.lit(0)), F.flatten(F.zip_with(cs, F.slice(starts, 1, F.size(cs)), lambda c, at: F.transform(F.slice(c, 2, F.size(c)), lambda x: x + at))))))
+        chunks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / CHUNK).cast("int")), lambda j: fold(F.slice(v, j * CHUNK + 1, CHUNK)))
+        return let(chunks, lambda cs: let(fold(F.transform(cs, lambda c: F.element_at(c, -1))), lambda starts: F.concat(F.array(zero), F.flatten(F.zip_with(cs, F.slice(starts, 1, F.size(cs)), lambda c, at: F.transform(F.slice(c, 2, F.size(c)), lambda x: step(at, x)))))))
+
+    return let(values.cast("array<int>"), lambda v: F.when(F.size(v) == 0, F.array(zero)).otherwise(chunked(v)))
+
+
+def prefix_sums(sizes: Column) -> Column:
+    """[0, s0, s0 + s1, ...], one longer than sizes."""
+    return scan(sizes, F.lit(0), lambda a, x: a + x)
+
 
-    return let(sizes.cast("array<int>"), lambda v: F.when(F.size(v) == 0, F.array(F.lit(0))).otherwise(chunked(v)))
+def prefix_maxima(values: Column) -> Column:
+    """[0, the greatest of 0 and v0, of these and v1, ...], one longer than values."""
+    return scan(values, F.lit(0), lambda a, x: F.greatest(a, x))
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -1,31 +1,42 @@
 """Personal data: spans of four base kinds, and terms that reveal them.
 
 Base spans come from regular expressions. A protected entity is a value found by them. Following information-theoretic
-sanitisation, the corpus tells how strongly a term that stands near an entity reveals it: with document counts,
-pointwise mutual information of term and entity against the entity's information content. A term that is seen with an
-entity in at least MIN_SUPPORT documents and whose information about it reaches 1/ALPHA of the entity's own is a span
-of kind ``term`` wherever it stands near that entity. It is removed if it reveals the entity fully, else generalised.
-
-Only DataFrame functions are used. Texts are read once to a narrow table of spans and context terms, and once more to
-count documents of the candidate terms alone; counts are summed map-side, so a value or a term in a third of all
-documents is no hot group. Patterns take linear time on any text: runs are possessive and entered at their first
+sanitisation, document counts of the whole corpus tell how strongly a term that shares documents with an entity reveals
+it: pointwise mutual information of the two against the entity's information content. With n documents, of which n_e have
+the entity, n_t the term and n_both the two, a term discloses the entity if
+
+    log2(n_both n / (n_e (n_t + SMOOTHING))) >= log2(n / n_e) / ALPHA
+
+and n_both is at least MIN_SUPPORT, or n_e where that is less: an entity in one document has no more support to give. SMOOTHING
+is what a count of one is short of certainty: in a small corpus a word seen once is no evidence, in a large one it is.
+A term is a word of TERM_CHARS letters or more, anywhere in the document outside base spans. Each of its occurrences in a
+document of an entity that it discloses is a span of kind ``term``. Where it stands in documents of that entity only, it is
+removed; else it is generalised: cut to its longest prefix that some word has whose documents are too many to disclose
+any entity of the document, or removed if there is none.
+
+Only DataFrame functions are used. Entities of the same documents have the same counts, so they are one class, and pairs are
+those of a document's classes and of its terms that are rare enough to disclose the commonest of them. All counts are
+summed map-side. Texts are read for base spans and terms, for the documents of every word, and, where a document has
+spans of terms, for their places. Patterns take linear time on any text: runs are possessive and entered at their first
 character only.
 
-Defined cases: a null text is empty; each row counts as a document, repeated ones too; a null doc_id is an id of its own; offsets are code points, ends exclusive; extra columns are ignored by ``digest`` and kept by
-``sanitised``; no input rows give no output rows.
+Defined cases: a null text is empty; each row counts as a document, repeated ones too; a null doc_id is an id of its own; offsets
+are code points, ends exclusive; extra columns are ignored by ``digest`` and kept by ``sanitised``; no input rows give no
+output rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.exprs import let, matches, prefix_sums
+from wardline.llm.exprs import let, matches, prefix_maxima
 from wardline.llm.storage import carried, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
-MIN_SUPPORT, ALPHA, CONTEXT, TERM_CHARS = 3, 1.1, 80, 4
-BLOCK = 4096
+MIN_SUPPORT, ALPHA, SMOOTHING, TERM_CHARS = 3, 1.1, 0.5, 4
 NULL_ID = -(2**63)
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -35,7 +46,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-WORD = r"\p{L}++"
+#: A whole word: no letter before it, and neither side cut by a span, which is blanked to CUT.
+CUT = "\x00"
+WORD = rf"(?<![\p{{L}}\x00])\p{{L}}{{{TERM_CHARS},}}+(?!\x00)"
 
 KEYS = ["__id", "__text"]
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -79,27 +92,32 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(*k) for k in kinds)))
 
 
-def context_terms(text: Column, spans: Column) -> Column:
-    """Words whole within CONTEXT code points of a span and outside all spans: (entity, term, start, end)."""
-    kind = "array<struct<entity:string,term:string,start:int,end:int>>"
+def pieces(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with each run of overlapping spans written as the mark of its first span. spans: in order of start."""
+    ends = prefix_maxima(F.transform(spans, lambda s: s["end"]))
+
+    def rewritten(reach: Column) -> Column:
+        # a span begins a run if none before it reaches over its start; text goes on where the run's longest reach ends
+        begins = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= F.get(reach, i))
+
+        def joined(runs: Column) -> Column:
+            gap = lambda i, r: F.substr(text, F.get(reach, r) + 1, F.get(spans, r)["start"] - F.get(reach, r))
+            parts = F.flatten(F.transform(runs, lambda r, i: F.array(gap(i, r), mark(F.get(spans, r)))))
+            return F.array_join(F.concat(parts, F.array(F.substr(text, F.element_at(reach, -1) + 1, F.char_length(text)))), "")
 
-    def near(blocks: Column, length: Column, s: Column) -> Column:
-        def side(first: Column, last: Column) -> Column:
-            b = (first / BLOCK).cast("int")
-            local = F.concat(F.get(blocks, b), F.coalesce(F.get(blocks, b + 1), F.lit("")))
-            cut = F.substr(local, first - b * BLOCK + 1, last - first)
-            words = F.filter(matches(cut, WORD), lambda m: (m["end"] - m["start"] >= TERM_CHARS) & ((m["start"] > 0) | (first == 0) | (first == s["end"])) & ((m["end"] < last - first) | (last == length) | (last == s["start"])))
-            return F.transform(words, lambda m: F.struct(s["value"].alias("entity"), F.lower(m["value"]).alias("term"), (first + m["start"]).alias("start"), (first + m["end"]).alias("end")))
+        return let(begins, joined)
 
-        left = side(F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
-        return F.concat(left, side(s["end"], F.least(s["end"] + CONTEXT, length)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ends, rewritten))
 
-    def apart(t: Column) -> Column:
-        return ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
 
-    cut = F.transform(F.sequence(F.lit(0), (F.char_length(text) / BLOCK).cast("int")), lambda j: F.substr(text, j * BLOCK + 1, F.lit(BLOCK)))
-    terms = let(cut, lambda blocks: F.flatten(F.transform(spans, lambda s: near(blocks, F.char_length(text), s))))
-    return F.when(F.size(spans) == 0, F.array().cast(kind)).otherwise(F.filter(terms.cast(kind), apart))
+def _words(text: Column) -> Column:
+    """Distinct words in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def plain(text: Column) -> Column:
+    """The text that spans and words are looked for in: none is null, and instead of CUT it has another control character."""
+    return F.translate(F.coalesce(text, F.lit("")), CUT, "\x01")
 
 
 def keys() -> list[Column]:
@@ -107,43 +125,60 @@ def keys() -> list[Column]:
 
 
 def detected(docs: DataFrame) -> DataFrame:
-    """Keys, doc_id, base spans and context terms of each row, from one reading of the texts."""
-    whole = F.coalesce("text", F.lit(""))
-    spans = docs.select("doc_id", *keys(), whole.alias("text"), base_spans(whole).alias("spans"))
-    return staged(spans.select("doc_id", *KEYS, "spans", context_terms(F.col("text"), F.col("spans")).alias("terms")), "pii")
+    """A number, keys, doc_id, base spans and, where there are any, distinct terms of each row."""
+    rows = docs.select("doc_id", *keys(), plain(F.col("text")).alias("text"))
+    spans = rows.withColumn("spans", base_spans(F.col("text")))
+    terms = F.when(F.size("spans") > 0, _words(pieces(F.col("text"), F.col("spans"), lambda s: F.lit(CUT))))
+    return staged(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KEYS, "spans", terms.alias("terms")), "pii")
+
+
+def _bound(n_entity: Column, n: int) -> Column:
+    """A term in all of the entity's documents discloses it only if the term's documents are no more than this."""
+    return n_entity * F.pow(F.lit(float(n)) / n_entity, F.lit(1 - 1 / ALPHA)) - SMOOTHING
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, full): pairs over the threshold; full if the term reveals all of the entity's information."""
-    once = F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))
-    rows = found.where(F.size("terms") > 0).select(F.explode(once).alias("t")).select("t.*")
-    pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_SUPPORT)
-    near = found.where(F.size("terms") > 0).select(F.explode(F.array_distinct("terms.term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    n_entity = found.select(F.explode(F.array_distinct("spans.value")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_docs = F.lit(found.count())
-    ic = -F.log2(F.col("n_entity") / n_docs)
-    # a term is in at least as many documents as stand near any entity: pairs that fail on that count need no other
-    possible = F.col("n_near") <= F.col("n_both") * F.pow(F.lit(2.0), F.col("ic") * (1 - 1 / ALPHA)) * (1 + 1e-6)
-    judged = pairs.join(n_entity, "entity").join(near, "term").withColumn("ic", ic)
-    candidates = staged(judged.where((F.col("ic") > 0) & possible), "pairs")
-    terms = staged(candidates.select("term").distinct(), "candidate-terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log2(F.col("n_both") * n_docs / (F.col("n_entity") * F.col("n_term")))
-    measured = candidates.join(n_term, "term").withColumn("pmi", pmi)
-    return measured.where(F.col("pmi") >= F.col("ic") / ALPHA - 1e-9).select("entity", "term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("full"))
+    """(row, term, full, written): what each row's terms over the threshold become; full if one of its entities is in all of
+    the term's documents."""
+    n = found.count()
+    rows = found.where(F.size("spans") > 0)
+    held = rows.select("row", F.explode(F.array_distinct("spans.value")).alias("entity"))
+    hashed = F.xxhash64("row")
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(hashed).alias("x"), F.sum(F.pmod(hashed, F.lit(1 << 31))).alias("s"))
+    classes = staged(entities.where(F.col("n_entity") < n).select("entity", "n_entity", F.xxhash64("n_entity", "x", "s").alias("class")), "entities")
+    kind = F.collect_set(F.struct("class", "n_entity")).alias("classes")
+    own = held.join(classes, "entity").groupBy("row").agg(kind, F.max("n_entity").alias("most"))
+    words = docs.select(F.explode(_words(plain(F.col("text")))).alias("term"))
+    vocabulary = staged(words.groupBy("term").agg(F.count("*").alias("n_term")), "vocabulary")
+    near = rows.join(own, "row").select("row", "classes", "most", F.explode("terms").alias("term")).join(vocabulary, "term")
+    rare = staged(near.where(F.col("n_term") <= _bound(F.col("most"), n) * (1 + 1e-9)).select("row", "classes", "term", "n_term"), "rare-terms")
+    pairs = rare.select("row", F.explode("classes").alias("c"), "term", "n_term").select("row", "c.*", "term", "n_term")
+    counted = pairs.groupBy("class", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    share = F.log2(F.col("n_both") * n / (F.col("n_entity") * (F.col("n_term") + SMOOTHING)))
+    enough = F.col("n_both") >= F.least(F.lit(MIN_SUPPORT), F.col("n_entity"))
+    over = counted.where(enough & (share >= F.log2(F.lit(n) / F.col("n_entity")) / ALPHA - 1e-9))
+    judged = staged(over.select("class", "term", (F.col("n_both") == F.col("n_term")).alias("full")), "disclosing")
+    hits = pairs.join(judged, ["class", "term"]).groupBy("row", "term").agg(F.bool_or("full").alias("full"))
+    # all entities of a row are safe from a prefix that the commonest is safe from
+    partly = hits.where("NOT full").join(own.select("row", _bound(F.col("most"), n).alias("bound")), "row")
+    cut = lambda: F.explode(F.transform(F.sequence(F.lit(2), F.char_length("term") - 1), lambda k: F.substr(F.col("term"), F.lit(1), k))).alias("prefix")
+    wanted = staged(partly.select("row", "term", "bound", cut()), "prefixes")
+    usual = vocabulary.select("n_term", cut()).join(wanted.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.max("n_term").alias("usual"))
+    general = wanted.join(usual, "prefix").where(F.col("usual") > F.col("bound")).groupBy("row", "term").agg(F.max(F.struct(F.char_length("prefix").alias("size"), "prefix")).alias("best"))
+    return hits.join(general, ["row", "term"], "left").select("row", "term", "full", F.coalesce(F.concat("best.prefix", F.lit("*")), F.lit("")).alias("written"))
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """Keys, doc_id and spans of each row, terms included, with value: the entity, ``removed`` or ``generalised``."""
+    """Keys, doc_id and spans of each row, terms included, with value: the entity, or what the term becomes."""
     found = detected(docs)
-    pairs = staged(disclosing(docs, found), "disclosing")
-    near = found.where(F.size("terms") > 0).select(*KEYS, F.explode("terms").alias("t")).select(*KEYS, "t.*").join(pairs, ["entity", "term"])
-    each = near.groupBy(*KEYS, "start", "end").agg(F.bool_or("full").alias("full"))
-    value = F.when(F.col("full"), F.lit("removed")).otherwise(F.lit("generalised"))
-    added = each.groupBy(*KEYS).agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", value.alias("value"))).cast(SPAN).alias("added"))
-    both = F.array_sort(F.concat("spans", F.coalesce("added", F.array().cast(SPAN))))
-    return found.join(added, KEYS, "left").select("doc_id", *KEYS, "spans", both.alias("all_spans"))
+    hits = disclosing(docs, found).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "written"))).alias("hits"))
+    touched = staged(found.join(hits, "row").select(*KEYS, "spans", "hits").dropDuplicates(KEYS), "touched")
+    texts = docs.select(*keys(), plain(F.col("text")).alias("text")).join(touched, KEYS)
+    apart = lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
+    places = F.filter(matches(F.col("text"), WORD), lambda m: F.map_contains_key("hits", F.lower(m["value"])) & apart(m))
+    added = F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end"), F.element_at("hits", F.lower(m["value"])).alias("value"))).cast(SPAN)
+    both = staged(texts.select(*KEYS, F.array_sort(F.concat("spans", added)).alias("all_spans")).dropDuplicates(KEYS), "term-spans")
+    return found.join(both, KEYS, "left").select("doc_id", *KEYS, "spans", F.coalesce("all_spans", "spans").alias("all_spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -158,23 +193,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with ``clean_text``: each run of overlapping spans written as its first kind's mark, removed terms left out."""
+    """docs with ``clean_text``: each run of overlapping spans written as its first kind's mark, terms as what they become."""
     return carried(docs.drop("clean_text"), _sanitised)
 
 
 def _sanitised(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-
-    def rewritten(spans: Column) -> Column:
-        # a span starts a run if no earlier one reaches over its start
-        reach = F.transform(spans, lambda s, i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.greatest(i - 8, F.lit(0)) + 1, F.least(i, F.lit(8))), lambda x: x["end"])), F.lit(0)))
-        kept = F.filter(F.zip_with(spans, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), lambda x: x["s"]["start"] >= x["r"])
-        mark = lambda s: F.when(s["value"] == "removed", F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["kind"])), F.lit(">")))
-        return let(kept, lambda ks: F.array_join(F.concat(F.transform(ks, lambda k, i: F.concat(F.substr(text, F.coalesce(F.get(ks, i - 1)["s"]["end"], F.lit(0)) + 1, k["s"]["start"] - F.coalesce(F.get(ks, i - 1)["s"]["end"], F.lit(0))), mark(k["s"]))), F.array(F.substr(text, F.element_at(ks, -1)["s"]["end"] + 1, F.char_length(text)))), ""))
-
-    found = all_spans(docs).select(*KEYS, F.col("all_spans").alias("__spans")).distinct()
+    marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS[:4]))
+    mark = lambda s: F.when(s["kind"] == 4, s["value"]).otherwise(F.get(marks, s["kind"]))
+    found = all_spans(docs).where(F.size("all_spans") > 0).select(*KEYS, F.col("all_spans").alias("__spans")).distinct()
     keyed = docs.withColumns(dict(zip(KEYS, keys(), strict=True))).join(found, KEYS, "left")
-    return keyed.withColumn("clean_text", F.when(F.size("__spans") == 0, text).otherwise(rewritten(F.col("__spans")))).drop(*KEYS, "__spans")
-
-
-__all__ = ["all_spans", "base_spans", "digest", "prefix_sums", "sanitised"]
+    text, spans = F.coalesce("text", F.lit("")), F.coalesce("__spans", F.array().cast(SPAN))
+    return keyed.withColumns({"__spans": spans}).withColumn("clean_text", pieces(text, F.col("__spans"), mark)).drop(*KEYS, "__spans")
