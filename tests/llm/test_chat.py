@@ -16,7 +16,7 @@ def brute(rows):
         convs.setdefault(conv, []).append((turn, role or "", text or ""))
     out = []
     for conv, turns in convs.items():
-        turns.sort(key=lambda t: t[0])
+        turns.sort(key=lambda t: (t[0], t[1].encode(), t[2].encode()))
         learned = "".join(t for _, r, t in turns if r == "assistant")
         out.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest()))
     return sorted(out, key=str)
@@ -31,6 +31,14 @@ def test_round_trip(spark):
     assert chat.round_trip(docs.limit(0)).count() == 0
 
 
+def test_ties_order_by_role_and_text_as_they_were(spark):
+    texts = ["<b", "5a", "[c", "&d", "é", "Z", "a", "", "&lt;", "&amp;", "<", "&", "[", "<b\n", "<b\t", "&#10;"]
+    roles = ["assistant", "a<", "a[", "a5", "a\n", "a", None]
+    rows = [(1, 0, role, t) for t in reversed(texts) for role in roles] + [(2, 3, "assistant", t) for t in texts * 2]
+    got = chat.round_trip(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got), key=str) == brute(rows)
+
+
 def test_query_adds_conversation(spark, tmp_path):
     spark.createDataFrame([(0, 0, "user", "a"), (0, 0, "user", "a"), (0, None, "user", "first")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in queries.op10_chat(spark, str(tmp_path)).collect()}
@@ -47,6 +55,8 @@ def test_parts(spark):
     assert [(a.kind, a.ref, a.tokens, r.segment[a.at : a.at + 3]) for a in r.attachments] == [("image", "s3://a", 4, "<|i"), ("audio", "b", 38, "<|a"), ("document", "c", 1920, "<|d")]
     assert [r.segment[s.start : s.end] for s in r.loss] == ["see &lt;this>", "and"] and r.n_attachment_tokens == 1962
     assert chat.read_segment(r.segment) == ("assistant", "see <this>and")
+    role, read = chat.read_parts(r.segment, [a.asDict() for a in r.attachments])
+    assert role == "assistant" and [{k: v for k, v in p.items() if v is not None} for p in read] == [{k: v for k, v in p.items() if v is not None} for p in parts]
     with pytest.raises(ValueError):
         chat.Flattener("user").visit({"type": "video"})
 

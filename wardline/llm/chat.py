@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.storage import small_batches, spread, staged
@@ -35,11 +35,12 @@ LEARNED_ROLE = "assistant"
 #: Tokens that an attachment expands to: an image by patches of PATCH pixels, audio by second, a document by page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 640
 
+MEASURES = ("width", "height", "seconds", "pages")
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 _PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 _SEGMENT = re.compile(re.escape(TURN) + r"([^\n]*)\n(.*)" + re.escape(END), re.S)
 _LEARNED = "array<struct<start:int,end:int>>"
-_ATTACHED = "array<struct<kind:string,ref:string,at:int,tokens:long>>"
+_ATTACHED = "array<struct<kind:string,ref:string,at:int,tokens:long,width:int,height:int,seconds:double,pages:int>>"
 SEGMENTS = f"conv_id long, turn long, segment string, loss {_LEARNED}, attachments {_ATTACHED}, n_attachment_tokens long"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, n_attachment_tokens long"
 
@@ -86,7 +87,7 @@ class Flattener:
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         at = self._put(f"<|{kind}:{len(self.attachments)}|>")
-        self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": at, "tokens": tokens})
+        self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": at, "tokens": tokens} | {k: part.get(k) for k in MEASURES})
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
@@ -101,12 +102,34 @@ class Flattener:
         return "".join([*self.out, END])
 
 
-def read_segment(segment: str) -> tuple[str, str]:
-    """Role and text of a segment; placeholders are left out of the text."""
+def _split(segment: str) -> tuple[str, str]:
+    """Role and written content of a segment."""
     found = _SEGMENT.fullmatch(segment)
     if not found:
         raise ValueError("not a formatted turn")
-    return unescaped(found[1].replace("&#10;", "\n")), unescaped(_PLACEHOLDER.sub("", found[2]))
+    return unescaped(found[1].replace("&#10;", "\n")), found[2]
+
+
+def read_segment(segment: str) -> tuple[str, str]:
+    """Role and text of a segment; placeholders are left out of the text."""
+    role, content = _split(segment)
+    return role, unescaped(_PLACEHOLDER.sub("", content))
+
+
+def read_parts(segment: str, attachments: list[dict]) -> tuple[str, list[dict]]:
+    """Role and parts of a segment, attachments with their references and measures. Text parts that stood next to each
+    other come back as one, empty ones not at all."""
+    role, content = _split(segment)
+    parts: list[dict] = []
+    at = 0
+    for m in [*_PLACEHOLDER.finditer(content), None]:
+        if text := content[at : m.start() if m else None]:
+            parts.append({"type": "text", "text": unescaped(text)})
+        if m:
+            held = attachments[int(m[2])]
+            parts.append({"type": held["kind"], "ref": held["ref"]} | {k: held[k] for k in MEASURES})
+            at = m.end()
+    return role, parts
 
 
 def _list_of(**fields):
@@ -115,7 +138,7 @@ def _list_of(**fields):
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     learned = _list_of(start=pa.int32(), end=pa.int32())
-    attached = _list_of(kind=pa.string(), ref=pa.string(), at=pa.int32(), tokens=pa.int64())
+    attached = _list_of(kind=pa.string(), ref=pa.string(), at=pa.int32(), tokens=pa.int64(), width=pa.int32(), height=pa.int32(), seconds=pa.float64(), pages=pa.int32())
     for batch in batches:
         made = []
         for role, parts in zip(batch.column("role").to_pylist(), batch.column("parts").to_pylist(), strict=True):
@@ -181,8 +204,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(segments: DataFrame) -> DataFrame:
     """A row for each conversation, from its formatted segments alone."""
     small_batches(segments.sparkSession)
-    dealt = segments.repartition(spread(segments.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "segment")
-    return dealt.mapInArrow(_read, READ)
+    def plain(written: Column) -> Column:  # as ``unescaped``
+        for p, w in reversed(ESCAPES):
+            written = F.replace(written, F.lit(w), F.lit(p))
+        return written
+
+    # ties order by role and text as they were: the sort's columns are made behind the shuffle
+    dealt = segments.repartition(spread(segments.sparkSession), "conv_id")
+    line = F.instr("segment", "\n")
+    role = plain(F.replace(F.substr("segment", F.lit(len(TURN) + 1), line - len(TURN) - 1), F.lit("&#10;"), F.lit("\n")))
+    text = plain(F.substr("segment", line + 1, F.char_length("segment") - line - len(END)))
+    ordered = dealt.withColumns({"__role": role, "__text": text}).sortWithinPartitions("conv_id", "turn", "__role", "__text").select(*segments.columns)
+    return ordered.mapInArrow(_read, READ)
 
 
 def round_trip(conversations: DataFrame) -> DataFrame:
