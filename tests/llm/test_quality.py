@@ -34,7 +34,7 @@ def brute(rows):
         for t, d in own.items():
             for k in {key(x) for x in t.split("\n")} - {""}:
                 held[k].append(d)
-        over |= {(s, k): min(ds) for k, ds in held.items() if len(ds) > quality.LINE_DOCS and len(ds) > quality.LINE_SHARE * len(own)}
+        over |= {(s, k): min(ds) for k, ds in held.items() if len(ds) > quality.LINE_DOCS or len(ds) > max(quality.SMALL_DOCS, quality.LINE_SHARE * len(own))}
     out = []
     for d, s, t in rows:
         t = t or ""
@@ -42,7 +42,7 @@ def brute(rows):
         lines = [x for x in t.split("\n") if words(x)]
         failed = len(ws) < 50 or 100 * r > 50 * len(ws)
         lost = sum(len(words(x)) for x in lines if over.get((s, key(x)), d) != d)
-        out.append((d, len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), r, failed, not failed and 2 * (len(ws) - lost) >= len(ws)))
+        out.append((d, len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), r, failed, not failed and len(ws) - lost >= quality.KEPT_SHARE * len(ws)))
     return sorted(out)
 
 
@@ -59,6 +59,7 @@ def rows():
     out = [(i, "a", f"{common}\n{prose(i, 30)}") for i in range(80)]
     out += [(100 + i, "a", prose("copy", 60)) for i in range(70)]  # exact copies count once
     out += [(200 + i, "b", f"{common}\n{prose(i, 60)}") for i in range(60)]
+    out += [(400 + i, "small", f"{prose('few', 5)}\n{prose(i, 70)}") for i in range(9)]
     out += [(300, "c", None), (301, None, ""), (302, "c", "one two three " * 40), (303, "c", f"{prose('z', 50)}\n\n \n# a|b\n# a|b"), (304, "c", "é" * 100_000), (305, "c", prose("long", 30_000)), (306, "c", prose("z", 50)), (306, "c", prose("z", 50)), (307, None, prose("n", 55) + "\r\n\x0bX")]
     return out
 
@@ -67,7 +68,7 @@ def test_against_brute_force(spark):
     got, want = run(spark, rows()), brute(rows())
     assert got == want
     kept = {r[0] for r in got if r[-1]}
-    assert {0, *range(100, 170), *range(200, 260)} <= kept and not kept & set(range(1, 80))
+    assert {0, 200, *range(100, 170), *range(400, 409)} <= kept and not kept & {*range(1, 80), *range(201, 260)}
 
 
 def test_filter_keeps_columns(spark):

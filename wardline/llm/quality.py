@@ -2,13 +2,11 @@
 
 One pass over the texts makes a narrow table: the counts, and for each distinct line its hash and words. Everything
 after it works on that table. For each host, a line's documents are counted with exact copies as one document, so a
-copied text does not turn its own lines into boilerplate. Lines over the limits are removed from all but the first
-document that holds them; a document left with less than KEPT_SHARE of its words is depleted and rejected. ``filtered``
-writes the other texts without their removed lines.
-
-Limits: ``digest`` takes lines in more than LINE_DOCS documents that are also more than LINE_SHARE of the host's, as its
-contract's SQL does. For ``filtered`` either is enough: more than LINE_DOCS documents, or on small hosts more than SMALL_DOCS
-and LINE_SHARE.
+copied text does not turn its own lines into boilerplate. A line is over the limits if it is in more than LINE_DOCS of
+them, or in more than SMALL_DOCS and more than LINE_SHARE of the host's: a host of any size can have such lines, and a
+large one has them at a number that does not grow with it. They are removed from all but the first document that holds
+them; a document left with less than KEPT_SHARE of its words is depleted and rejected. ``filtered`` writes the other texts
+without their removed lines.
 
 Hot hosts and hot lines: copies are collapsed by text first, then counts are summed map-side; no group of documents
 is ever gathered. The table of removed lines is written before it is joined, so Spark broadcasts it only if its
@@ -33,8 +31,7 @@ from pyspark.sql.types import BooleanType, DataType, LongType, StructField, Stru
 from wardline.llm.storage import carried, small_batches, staged
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-LINE_DOCS, LINE_SHARE, KEPT_SHARE = 50, 0.1, 0.5
-SMALL_DOCS = 5
+LINE_DOCS, SMALL_DOCS, LINE_SHARE, KEPT_SHARE = 50, 5, 0.1, 0.75
 
 KEYS = ["__id", "__text", "__host"]
 NULL_ID = -(2**63)
@@ -122,19 +119,19 @@ def _keys() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"), host.alias("__host")]
 
 
-def removed_lines(profiles: DataFrame, either: bool = False) -> DataFrame:
-    """(__host, hash, first_id): lines over both limits, or over either, and the one document that keeps each."""
+def removed_lines(profiles: DataFrame) -> DataFrame:
+    """(__host, hash, first_id): lines over the limits, and the one document that keeps each."""
     texts = profiles.groupBy("__host", "__text").agg(F.min("__id").alias("id"), F.first("lines").alias("lines"))
     sizes = profiles.groupBy("__host").agg(F.count_distinct("__text").alias("n_docs"))
     held = texts.select("__host", "id", F.explode("lines.hash").alias("hash")).groupBy("__host", "hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     many, share = F.col("n") > LINE_DOCS, F.col("n") > F.col("n_docs") * LINE_SHARE
-    over = held.where(F.col("n") > (SMALL_DOCS if either else LINE_DOCS)).join(sizes, "__host").where(many | share if either else share)
+    over = held.where(F.col("n") > SMALL_DOCS).join(sizes, "__host").where(many | share)
     return over.select("__host", "hash", "first_id")
 
 
-def removed_words(profiles: DataFrame, either: bool = False) -> DataFrame:
+def removed_words(profiles: DataFrame) -> DataFrame:
     """Keys, n_removed_words and hashes of the lines removed, of the rows that lose some. profiles: keys and lines, staged."""
-    removed = staged(removed_lines(profiles, either), "removed-lines")
+    removed = staged(removed_lines(profiles), "removed-lines")
     lines = profiles.select(*KEYS, F.explode("lines").alias("line")).select(*KEYS, F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     hits = lines.join(removed, ["__host", "hash"]).where(F.col("__id") != F.col("first_id"))
     return hits.groupBy(*KEYS, "hash").agg(F.first("words").alias("words")).groupBy(*KEYS).agg(F.sum("words").alias("n_removed_words"), F.collect_list("hash").alias("removed"))
@@ -194,7 +191,7 @@ def _filtered(docs: DataFrame) -> DataFrame:
     profiles = rows.select(*KEYS, F.col(f"{_PREFIX}lines").alias("lines"))
     good = rows.where(~F.col(f"{_PREFIX}failed"))
     # one row for each key: rows of the same id and text share it
-    lost = staged(removed_words(profiles, either=True).withColumnsRenamed({c: f"{_PREFIX}{c}" for c in ("n_removed_words", "removed")}), "lost")
+    lost = staged(removed_words(profiles).withColumnsRenamed({c: f"{_PREFIX}{c}" for c in ("n_removed_words", "removed")}), "lost")
     left = F.col(f"{_PREFIX}n_words") - F.coalesce(f"{_PREFIX}n_removed_words", F.lit(0))
     kept = good.join(lost, KEYS, "left").where(left >= KEPT_SHARE * F.col(f"{_PREFIX}n_words"))
     hit = F.col(f"{_PREFIX}removed").isNotNull()

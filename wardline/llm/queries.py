@@ -104,7 +104,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
   worded AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM d),
   lines AS (SELECT doc_id, host, text, key, sum(n) AS n FROM (SELECT doc_id, host, text, lower(array_to_string(regexp_extract_all(line, {_WORD}), ' ')) AS key, len(regexp_extract_all(line, {_WORD})) AS n FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE n > 0 GROUP BY doc_id, host, text, key),
   sizes AS (SELECT host, count(DISTINCT text) AS n_docs FROM d GROUP BY host),
-  over_limit AS (SELECT host, key, min(doc_id) AS first FROM lines JOIN sizes USING (host) GROUP BY host, key, n_docs HAVING count(DISTINCT text) > {quality.LINE_DOCS} AND count(DISTINCT text) > n_docs * {quality.LINE_SHARE}),
+  over_limit AS (SELECT host, key, min(doc_id) AS first FROM lines JOIN sizes USING (host) GROUP BY host, key, n_docs HAVING count(DISTINCT text) > {quality.LINE_DOCS} OR (count(DISTINCT text) > {quality.SMALL_DOCS} AND count(DISTINCT text) > n_docs * {quality.LINE_SHARE})),
   lost AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS lost FROM lines JOIN over_limit USING (host, key) WHERE doc_id <> first GROUP BY doc_id),
   counted AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS n_removed_words
     FROM d JOIN worded USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id))
