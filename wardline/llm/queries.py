@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wardline.llm import chat, decontaminate, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
 
@@ -31,10 +30,8 @@ MAX_REPETITION = 2.0
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    total = docs.agg(F.sum(mixing.words(F.col("text")))).collect()[0][0]
-    plan = mixing.plan(docs, budget_tokens=float(total or 0), max_repetition=MAX_REPETITION)
-    return plan.select("doc_id", "source", "n_tokens", "block", "weight", "copies")
+    plan = mixing.plan(_table(spark, sf_dir, "documents"), budget_share=1.0, max_repetition=MAX_REPETITION)
+    return plan.select("doc_id", "source", "n_tokens", "block", "weight", "copies", "places")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
