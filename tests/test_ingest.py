@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.plans import control
 from wardline.plans.ingest import Ingestion, Source
 from wardline.plans.publish import COVERAGE
+from wardline.sources import paged
 
 START = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -20,12 +21,14 @@ class Remote:
     """A table of JSON texts by key; version counts up when told to."""
 
     def __init__(self, spark, rows):
-        self.spark, self.rows, self.now, self.broken = spark, rows, 100, set()
+        self.spark, self.rows, self.now = spark, rows, 100
 
-    def fetch(self, keys):
-        asked = sorted(r.scan_key for r in keys.collect())
-        texts = [t for k in asked for t in self.rows.get(k, [])] + ["{}" for k in asked if k in self.broken]
-        return self.spark.createDataFrame([(t,) for t in texts], "payload string")
+    def fetch(self, batches):
+        out = []
+        for b in batches.collect():
+            out += [(b.batch_number, t, None, None, None, None) for k in b.scan_keys for t in self.rows.get(k, [])]
+            out.append((b.batch_number, None, 1, 1, 0, None))
+        return self.spark.createDataFrame(out, paged.FETCHED)
 
     def version(self):
         return self.now
@@ -66,7 +69,7 @@ def test_bad_row_keeps_raw_evidence_only(engine):
     ingestion, remote = engine
     remote.rows["1000003"].append(row("bad", "1000003", balance_due="x"))
     run = ingestion.execute(ingestion.store.create(ingestion.clock()))
-    assert run.status == "FAILED" and "BATCHES_OPEN" in run.failure and [b.attempts for b in run.batches] == [1, 3]
+    assert run.status == "FAILED" and "BATCHES_OPEN" in run.failure and {b.batch_number: (b.attempts, b.rows_fetched) for b in ingestion.states(run).collect()} == {1: (1, 2), 2: (3, 2)}
     live, coverage, raw = states(ingestion)
     assert set(live) == {"gone", "else"} and live["gone"] == (None, True)
     assert coverage[3] == ("FAILED", "balance:INVALID_NUMBER".replace("balance", "BALANCE")) and coverage[1] == coverage[2] == ("FAILED", "RUN_NOT_PROMOTED") and raw == 4
@@ -84,15 +87,92 @@ def test_source_changed_during_the_run(engine):
 
 def test_resume_skips_completed_batches(engine):
     ingestion, remote = engine
-    run = ingestion.initialise(ingestion.store.create(ingestion.clock()))
-    run = ingestion.run_batch(run, 1)
+    remote.rows["1000003"].append(row("bad", "1000003", balance_due="x"))
+    run = ingestion.attempt(ingestion.initialise(ingestion.store.create(ingestion.clock())))
     with pytest.raises(control.StateConflict):
         ingestion.store.create(ingestion.clock())
-    calls = []
+    remote.rows["1000003"].pop()
+    asked = []
     fetch = remote.fetch
-    ingestion.source.fetch = lambda keys: calls.append(1) or fetch(keys)
+    ingestion.source.fetch = lambda batches: asked.append([b.batch_number for b in batches.collect()]) or fetch(batches)
     run = ingestion.execute(ingestion.store.load(run.run_id))
-    assert run.status == "COMPLETED" and len(calls) == 1
+    assert run.status == "COMPLETED" and asked == [[2]] and run.attempts == 2
+
+
+def test_ended_runs_stay_as_they_ended(engine):
+    ingestion, remote = engine
+    old = ingestion.store.create(ingestion.clock())
+    run = ingestion.execute(old)
+    before = states(ingestion)
+    remote.now += 1
+    assert ingestion.execute(run) == run and ingestion.execute(old) == run and states(ingestion) == before
+    with pytest.raises(control.StateConflict):
+        ingestion.finish(run)
+    assert ingestion.store.load(run.run_id) == run and states(ingestion) == before
+
+
+@pytest.mark.parametrize("at", range(1, 10))
+def test_crash_between_any_two_writes(engine, monkeypatch, at):
+    """A crash before the at-th small file is written: the old state is in force and the run goes on, or all of the new is."""
+    ingestion, _ = engine
+    run = ingestion.store.create(ingestion.clock())
+    before, write, count = states(ingestion), ingestion.store._write, itertools.count(1)
+
+    def failing(*args):
+        if next(count) == at:
+            raise OSError("crash")
+        write(*args)
+
+    monkeypatch.setattr(ingestion.store, "_write", failing)
+    try:
+        ingestion.execute(run)
+        crashed = False
+    except OSError:
+        crashed = True
+    monkeypatch.setattr(ingestion.store, "_write", write)
+    now = ingestion.store.load(run.run_id)
+    assert (now.status == "COMPLETED") == (states(ingestion) != before) and (crashed or now.status == "COMPLETED")
+    other = Ingestion(ingestion.store, ingestion.source, lambda: START + dt.timedelta(days=1), batch_size=2)  # the lease has run out
+    done = other.execute(now)
+    assert done.status == "COMPLETED" and ingestion.store.load(run.run_id) == done
+    assert states(ingestion)[0] == {"s1": ("ACTIVE", True), "s2": ("ACTIVE", True), "s3": ("ACTIVE", True), "gone": (None, False), "else": (None, True)}
+
+
+def test_lease_keeps_others_out_until_it_runs_out(engine):
+    ingestion, _ = engine
+    run = ingestion.store.create(START)
+    ingestion.store.acquire("other", START)
+    with pytest.raises(control.StateConflict, match="ACTIVE_EXECUTOR"):
+        ingestion.execute(run)
+    assert ingestion.store.load(run.run_id).status == "QUEUED"
+    ingestion.clock = lambda: START + 2 * control.LEASE
+    assert ingestion.execute(run).status == "COMPLETED"
+
+
+def client():
+    """Two rows for each key; key 7 refuses, key 9's first request times out."""
+    tried = []
+
+    def ask(keys, offset, limit):
+        if "7" in keys:
+            raise paged.RemoteError(400)
+        if "9" in keys and not tried:
+            tried.append(1)
+            raise TimeoutError
+        return [json.dumps({"bin": k, "n": n}) for k in keys for n in range(2)][offset : offset + limit]
+
+    return ask
+
+
+def test_batches_are_fetched_in_one_job(spark):
+    batches = spark.createDataFrame([(1, ["1", "2"]), (2, ["7"]), (3, ["8", "9"]), (4, ["3"] * 2)], "batch_number int, scan_keys array<string>")
+    with pytest.raises(Exception, match="unique and in order"):
+        paged.fetched(batches, "tests.test_ingest:client", wait=0).collect()
+    rows = paged.fetched(batches.where("batch_number < 4"), "tests.test_ingest:client", page_size=3, wait=0).collect()
+    assert {(r.batch_number, r.pages, r.requests, r.retries, r.error) for r in rows if r.payload is None} == {(1, 2, 2, 0, None), (2, 0, 1, 0, "remote status 400"), (3, 2, 3, 1, None)}
+    assert sorted((r.batch_number, json.loads(r.payload)["bin"]) for r in rows if r.payload) == [(1, "1")] * 2 + [(1, "2")] * 2 + [(3, "8")] * 2 + [(3, "9")] * 2
+    (r,) = paged.fetched(batches.where("batch_number = 1"), "tests.test_ingest:client", page_size=1, max_pages=2, wait=0).where("payload IS NULL").collect()
+    assert r.error == "FAILED_PAGE_LIMIT"
 
 
 def test_publication_is_all_or_nothing(engine, spark):
@@ -105,16 +185,19 @@ def test_publication_is_all_or_nothing(engine, spark):
 
 def test_control_rules(engine):
     store = engine[0].store
-    store.acquire("a")
-    store.acquire("a")
+    store.acquire("a", START)
+    store.acquire("a", START)
     with pytest.raises(control.StateConflict):
-        store.acquire("b")
+        store.acquire("b", START)
     store.release("b")
     store.release("a")
-    store.acquire("b")
+    store.acquire("b", START)
+    with pytest.raises(control.StateConflict):
+        store.acquire("a", START + control.LEASE / 2)
+    store.acquire("a", START + control.LEASE)
     run = store.create(START)
-    run = store.transition(run, ("QUEUED",), initialised=True, start_version=5, batches=(control.BatchState(1),))
-    for change in ({"initialised": False}, {"start_version": 6}, {"batches": ()}):
+    run = store.transition(run, ("QUEUED",), initialised=True, start_version=5, expected={"batches": 1})
+    for change in ({"initialised": False}, {"start_version": 6}, {"expected": {}}):
         with pytest.raises(control.StateConflict):
             store.transition(run, ("QUEUED",), **change)
     with pytest.raises(control.StateConflict):

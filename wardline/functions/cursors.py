@@ -29,13 +29,31 @@ def decode(cursor: str, keys: tuple[str, ...]) -> dict[str, str | None]:
     return found
 
 
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_TIME = _DAY + r"T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?:Z|[+-][0-9]{2}:[0-9]{2})"
+
+
+def day(text: str) -> dt.date:
+    """YYYY-MM-DD, nothing else."""
+    if not re.fullmatch(_DAY, text):
+        raise ValueError(text)
+    return dt.date.fromisoformat(text)
+
+
+def time(text: str) -> dt.datetime:
+    """A date and time with its zone, nothing else."""
+    if not re.fullmatch(_TIME, text):
+        raise ValueError(text)
+    return dt.datetime.fromisoformat(text)
+
+
 def dated(cursor: str) -> tuple[dt.date | None, str]:
     found = decode(cursor, ("issue_date", "source_id"))
-    day, source_id = found["issue_date"], found["source_id"]
+    on, source_id = found["issue_date"], found["source_id"]
     if not isinstance(source_id, str) or not source_id:
         raise InvalidCursor("source_id")
     try:
-        return (None if day is None else dt.date.fromisoformat(day)), source_id
+        return (None if on is None else day(on)), source_id
     except (TypeError, ValueError) as e:
         raise InvalidCursor("issue_date") from e
 
@@ -45,7 +63,7 @@ def updated(cursor: str) -> tuple[dt.datetime, str]:
     if not isinstance(found["source_id"], str) or not found["source_id"]:
         raise InvalidCursor("source_id")
     try:
-        return dt.datetime.fromisoformat(found["updated_at"]), found["source_id"]
+        return time(found["updated_at"]), found["source_id"]
     except (TypeError, ValueError) as e:
         raise InvalidCursor("updated_at") from e
 

@@ -29,3 +29,8 @@ def state(values: Column, name: str) -> Column:
 
 def required_text(values: Column, name: str) -> Column:
     return optional(field(values, name))
+
+
+def is_text(json: Column, name: str) -> Column:
+    """Whether the field, found as ``field`` finds it, is a JSON text, not a number or anything else."""
+    return F.coalesce(F.schema_of_variant(field(F.from_json(json, "map<string,variant>"), name)) == "STRING", F.lit(False))

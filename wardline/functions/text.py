@@ -95,7 +95,8 @@ BOROUGHS = ("STATEN ISLAND", "MANHATTAN", "BROOKLYN", "QUEENS", "BRONX")
 
 def requested_borough(address: Column) -> Column:
     """The first of the parts after a comma that names a borough."""
-    parts = F.transform(F.slice(F.split(address, ","), 2, 1000), lambda s: F.trim(F.regexp_replace(F.upper(s), "[^A-Z]+", " ")))
+    after = F.filter(F.split(address, ","), lambda _, i: i > 0)
+    parts = F.transform(after, lambda s: F.trim(F.regexp_replace(F.upper(s), "[^A-Z]+", " ")))
     return F.get(F.filter(parts, lambda p: p.isin(*BOROUGHS)), F.lit(0))
 
 

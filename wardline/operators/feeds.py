@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ class FeedQuery:
         limit = raw.get("limit", "50")
         if not limit.isdigit() or not 1 <= int(limit) <= MAX_PAGE:
             raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
-        since = dt.datetime.fromisoformat(raw["updatedSince"]) if "updatedSince" in raw else None
+        since = cursors.time(raw["updatedSince"]) if "updatedSince" in raw else None
         query = cls(flag[raw.get("openOnly", "false")], flag[raw.get("unpaidOnly", "false")], since, raw.get("cursor"), int(limit))
         if query.cursor is not None:
             (cursors.updated if since else cursors.dated)(query.cursor)
@@ -113,7 +114,9 @@ def read_page(facts: DataFrame, query: FeedQuery) -> tuple[list, str | None]:
         return shown, None
     last = shown[-1]
     if query.since is not None:
-        return shown, cursors.encode(updated_at=last.updated_at.isoformat(), source_id=last.source_id)
+        # collected times have no zone: they are in the session's
+        zone = ZoneInfo(facts.sparkSession.conf.get("spark.sql.session.timeZone"))
+        return shown, cursors.encode(updated_at=last.updated_at.replace(tzinfo=zone).isoformat(), source_id=last.source_id)
     return shown, cursors.encode(issue_date=last.issue_date and last.issue_date.isoformat(), source_id=last.source_id)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,17 +16,26 @@ def scan_keys(snapshot: DataFrame) -> DataFrame:
 
 
 def batch_numbers(keys: DataFrame, size: int) -> DataFrame:
-    """Every key with its batch: distinct keys in order, cut every ``size``. Keys are ranged once to find each range's first
-    key and its count, a row for each partition; ranks are then counted within the ranges that these first keys bound,
-    however Spark deals the keys the second time."""
+    """Every key with its batch: distinct keys in order, a null first, cut every ``size``. Keys are ranged once to find each
+    range's first key and its count, a row for each partition; ranks are then counted within the ranges that these first
+    keys bound, however Spark deals the keys the second time. A key finds its range by halving the sorted first keys."""
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = keys.schema["scan_key"].dataType
+    kind = keys.schema["scan_key"].dataType.simpleString()
     ranged = keys.select("scan_key", F.lit(0).alias("__zero")).repartitionByRange(parts, "scan_key").withColumn("__part", F.spark_partition_id())
-    ranges = sorted(ranged.groupBy("__part").agg(F.min("scan_key").alias("first"), F.count("*").alias("n")).collect(), key=lambda r: r.first)
-    before = [sum(r.n for r in ranges[:k]) for k in range(len(ranges))]
-    firsts = F.array(*(F.lit(r.first).cast(kind) for r in ranges)) if ranges else F.array().cast(f"array<{kind.simpleString()}>")
-    own = keys.select("scan_key", F.size(F.filter(firsts, lambda f: f <= F.col("scan_key"))).alias("__range"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy("scan_key")) + F.get(F.array(*map(F.lit, before or [0])), F.col("__range") - 1) - 1
+    found = ranged.groupBy("__part").agg(F.min("scan_key").alias("first"), F.count("*").alias("n")).collect()
+    ranges = sorted(found, key=lambda r: (r.first is not None, r.first))
+    before = F.array(F.lit(0), *(F.lit(sum(r.n for r in ranges[: k + 1])) for k in range(len(ranges))))
+    firsts = F.array(*(F.lit(r.first) for r in ranges)).cast(f"array<{kind}>")
+
+    def halved(b: Column) -> Column:
+        middle = ((b["low"] + b["high"] + 1) / 2).cast("int")
+        upper = F.get(firsts, middle) <= F.col("scan_key")
+        return F.when(upper, F.struct(middle.alias("low"), b["high"].alias("high"))).otherwise(F.struct(b["low"].alias("low"), F.greatest(middle - 1, b["low"]).alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(max(len(ranges) - 1, 0)).alias("high"))
+    steps = F.sequence(F.lit(0), F.lit(len(ranges).bit_length()))
+    own = keys.select("scan_key", F.aggregate(steps, whole, lambda b, _: halved(b))["low"].alias("__range"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(F.col("scan_key").asc_nulls_first())) + F.get(before, F.col("__range")) - 1
     return own.select("scan_key", (F.floor(rank / size) + 1).cast("int").alias("batch_number"))
 
 

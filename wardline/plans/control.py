@@ -1,14 +1,17 @@
-"""Runs, batches, the lease and the table versions: small state on the driver, kept as files beside the tables.
+"""Runs, the lease and the table versions: small state on the driver, kept as numbered files beside the tables.
 
-A table's state is a directory of immutable versions and one pointer file that names the versions in force. A publication
-writes the next version of every table it changes, then replaces the pointer in one rename. A crash before the rename
-leaves the old state in force; readers open the pointer once and see one state.
+Nothing is ever replaced. A run, the lease and the tables in force each have files numbered upwards, of which the newest
+counts; a file is written aside and renamed to its number, which fails if another writer took it. A publication writes the
+next version of every table it changes and then one state file, which names the versions in force and holds the run as it
+ended. A crash before that file leaves the old tables and a running run, one after it the new tables and an ended run.
+What grows with the keys, such as the states of batches, is in Spark's tables.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
@@ -17,22 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 QUEUED, RUNNING, COMPLETED, FAILED, SOURCE_CHANGED = "QUEUED", "RUNNING", "COMPLETED", "FAILED", "SOURCE_CHANGED"
 ACTIVE = (QUEUED, RUNNING)
 MAX_ATTEMPTS = 3
+LEASE = dt.timedelta(minutes=15)
 
 
 class StateConflict(RuntimeError):
     pass
 
 
-@dataclass(frozen=True)
-class BatchState:
-    batch_number: int
-    status: str = "PENDING"
-    attempts: int = 0
-    pages: int = 0
-    rows: int = 0
-    last_error: str | None = None
-
-
 @dataclass(frozen=True)
 class RunState:
     run_id: str
@@ -44,12 +38,8 @@ class RunState:
     start_version: int | None = None
     end_version: int | None = None
     expected: dict[str, int] = field(default_factory=dict)
+    attempts: int = 0
     failure: str | None = None
-    batches: tuple[BatchState, ...] = ()
-
-
-def _run(raw: dict) -> RunState:
-    return RunState(**raw | {"batches": tuple(BatchState(**b) for b in raw["batches"])})
 
 
 class Store:
@@ -57,87 +47,100 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.folder))
 
-    # small files
+    # numbered files
 
-    def _read(self, name: str) -> dict | None:
-        path = self._path(f"{self.folder}/{name}")
-        if not self._fs.exists(path):
-            return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/{name}").collect()))
+    def _newest(self, kind: str) -> dict[str, tuple[int, str]]:
+        """By name: the highest number and its file. One listing of the folder."""
+        found: dict[str, tuple[int, str]] = {}
+        for s in self._fs.listStatus(self._path(self.folder)):
+            m = re.fullmatch(rf"{kind}-(?:(.+)-)?([0-9]{{12}})\.json", s.getPath().getName())
+            if m:
+                found[m[1] or ""] = max(found.get(m[1] or "", (0, "")), (int(m[2]), m[0]))
+        return found
 
-    def _write(self, name: str, value: dict, *, absent: bool = False) -> None:
-        """Written beside, then renamed, so that it is there whole or not at all."""
-        target, beside = self._path(f"{self.folder}/{name}"), self._path(f"{self.folder}/.{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(beside)
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, stem: str, number: int, value: dict) -> None:
+        """Written aside, then renamed, so that it is there whole or not at all."""
+        name = f"{stem}-{number:012d}.json"
+        target, aside = self._path(f"{self.folder}/{name}"), self._path(f"{self.folder}/.{name}.{uuid.uuid4().hex}")
+        out = self._fs.create(aside)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if absent and self._fs.exists(target):
-            self._fs.delete(beside, False)
+        if self._fs.exists(target) or not self._fs.rename(aside, target):
+            self._fs.delete(aside, False)
             raise StateConflict(f"{name} is there already")
-        if not absent and self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            raise StateConflict(f"{name} could not be replaced")
 
     # lease
 
-    def acquire(self, owner: str) -> None:
-        """Raises if another owner holds the lease; doesn't wait."""
-        try:
-            self._write("lease.json", {"owner": owner}, absent=True)
-        except StateConflict:
-            if (self._read("lease.json") or {}).get("owner") != owner:
-                raise StateConflict("ACTIVE_EXECUTOR") from None
+    def acquire(self, owner: str, now: dt.datetime, term: dt.timedelta = LEASE) -> None:
+        """Takes or renews the lease; raises if another owner has it and it has not run out; doesn't wait."""
+        number, name = self._newest("lease").get("", (0, ""))
+        held = self._read(name) if name else {}
+        if held.get("owner") not in (None, owner) and dt.datetime.fromisoformat(held["until"]) > now:
+            raise StateConflict("ACTIVE_EXECUTOR")
+        self._write("lease", number + 1, {"owner": owner, "until": (now + term).isoformat()})
 
     def release(self, owner: str) -> None:
-        if (self._read("lease.json") or {}).get("owner") == owner:
-            self._fs.delete(self._path(f"{self.folder}/lease.json"), False)
+        number, name = self._newest("lease").get("", (0, ""))
+        if name and self._read(name)["owner"] == owner:
+            self._write("lease", number + 1, {"owner": None})
 
     # tables
 
+    def _state(self) -> tuple[int, dict]:
+        number, name = self._newest("state").get("", (0, ""))
+        return number, self._read(name) if name else {"tables": {}, "ended": {}}
+
     def versions(self) -> dict[str, str]:
-        """The pointer: each table's version in force. The newest pointer counts."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        newest = max((n for n in names if n.startswith("state-")), default=None)
-        return self._read(newest)["tables"] if newest else {}
+        """Each table's version in force."""
+        return self._state()[1]["tables"]
 
     def table(self, name: str, versions: dict[str, str] | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}/{(versions or self.versions())[name]}")
 
-    def publish(self, tables: dict[str, DataFrame], run: RunState | None = None) -> dict[str, str]:
-        """Writes the next version of each table, then the pointer that puts all in force at once."""
-        now = self.versions()
+    def publish(self, tables: dict[str, DataFrame], ended: RunState | None = None) -> dict[str, str]:
+        """Writes the next version of each table, then the file that puts all of them and the run's end in force at once.
+        Raises if another publication came between."""
+        number, state = self._state()
         new = {}
         for name, df in tables.items():
             new[name] = uuid.uuid4().hex
             df.write.mode("errorifexists").parquet(f"{self.folder}/{name}/{new[name]}")
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        serial = max((int(n[6:-5]) for n in names if n.startswith("state-")), default=0) + 1
-        if run is not None:
-            self.save(run)
-        self._write(f"state-{serial:012d}.json", {"tables": now | new, "run": run and run.run_id}, absent=True)
-        return now | new
+        self._write("state", number + 1, {"tables": state["tables"] | new, "ended": asdict(ended) if ended else state["ended"]})
+        if ended:
+            self._note(ended)
+        return state["tables"] | new
 
     # runs
 
+    def _note(self, run: RunState) -> RunState:
+        number, _ = self._newest("run").get(run.run_id, (0, ""))
+        self._write(f"run-{run.run_id}", number + 1, asdict(run))
+        return run
+
     def load(self, run_id: str) -> RunState:
-        raw = self._read(f"run-{run_id}.json")
-        if raw is None:
+        """As the newest state file has it, if that run ended with it; its own file may be behind after a crash."""
+        ended = self._state()[1]["ended"]
+        if ended.get("run_id") == run_id:
+            return RunState(**ended)
+        newest = self._newest("run")
+        if run_id not in newest:
             raise KeyError(run_id)
-        return _run(raw)
-
-    def save(self, run: RunState) -> RunState:
-        self._write(f"run-{run.run_id}.json", asdict(run))
-        return run
+        return RunState(**self._read(newest[run_id][1]))
 
     def runs(self) -> list[RunState]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted((_run(self._read(n)) for n in names if n.startswith("run-")), key=lambda r: r.run_id)
+        return [self.load(run_id) for run_id in sorted(self._newest("run"))]
 
     def active(self) -> RunState | None:
         return next((r for r in self.runs() if r.status in ACTIVE), None)
@@ -146,11 +149,11 @@ class Store:
         """At most one run is queued or running."""
         if self.active() is not None:
             raise StateConflict("a run is active")
-        return self.save(RunState(uuid.uuid4().hex, created_at=now.isoformat()))
+        return self._note(RunState(uuid.uuid4().hex, created_at=now.isoformat()))
 
-    def transition(self, run: RunState, allowed: tuple[str, ...], **change) -> RunState:
-        """Compare and set: the stored run must still be as given, and in an allowed status. What is written once stays:
-        initialisation, the start version, the batches' definition."""
+    def changed(self, run: RunState, allowed: tuple[str, ...], **change) -> RunState:
+        """The run with a change, unwritten: the stored run must be as given and in an allowed status. What is written once
+        stays: initialisation and the start version."""
         stored = self.load(run.run_id)
         if stored != run or stored.status not in allowed:
             raise StateConflict(f"run {run.run_id} is {stored.status}")
@@ -159,10 +162,12 @@ class Store:
             raise StateConflict("initialisation is final")
         if stored.start_version is not None and new.start_version != stored.start_version:
             raise StateConflict("the start version is final")
-        if stored.initialised and [b.batch_number for b in new.batches] != [b.batch_number for b in stored.batches]:
+        if stored.initialised and new.expected != stored.expected:
             raise StateConflict("batches are final")
-        return self.save(new)
+        if new.attempts < stored.attempts:
+            raise StateConflict("attempts are counted up")
+        return new
 
-
-def with_batch(run: RunState, number: int, **change) -> tuple[BatchState, ...]:
-    return tuple(replace(b, **change) if b.batch_number == number else b for b in run.batches)
+    def transition(self, run: RunState, allowed: tuple[str, ...], **change) -> RunState:
+        """Compare and set."""
+        return self._note(self.changed(run, allowed, **change))

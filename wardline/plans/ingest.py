@@ -1,10 +1,15 @@
-"""A run from snapshot to publication: the driver keeps control, Spark moves the rows."""
+"""A run from snapshot to publication: the driver keeps control, Spark moves the rows.
+
+An attempt fetches all batches that are still open in one job, a batch to a partition, and writes their rows and states.
+The state of a batch is that of its last attempt.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +17,15 @@ from pyspark.sql import functions as F
 from wardline.operators import snapshots
 from wardline.operators.merge import insert_if_absent, last_wins
 from wardline.plans import control, publish
-from wardline.sources import landing
+from wardline.sources import landing, paged
+
+STATES = "batch_number int, attempt int, status string, pages long, requests long, retries long, rows_fetched long, last_error string"
 
 
 @dataclass
 class Source:
-    """What a run reads. fetch gives the landed JSON texts of a table of keys; version the dataset's own version."""
+    """What a run reads. fetch gives what ``paged.fetched`` does for a table of batches (batch_number, scan_keys); version the
+    dataset's own version."""
 
     fetch: Callable[[DataFrame], DataFrame]
     version: Callable[[], int]
@@ -29,65 +37,98 @@ class Ingestion:
     source: Source
     clock: Callable[[], dt.datetime]
     batch_size: int = 1000
+    owner: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def initialise(self, run: control.RunState) -> control.RunState:
         """Writes the run's snapshot and batches once, seals them, and notes the source's version."""
         v = self.store.versions()
         snap = snapshots.snapshot(self.store.table("entity_keys", v), self.store.table("entities", v).select("entity_id", "version"), run.run_id)
-        path = f"{self.store.folder}/snapshots/{run.run_id}"
-        snap.write.mode("overwrite").parquet(path)  # an unsealed leftover is replaced
-        snap = self.store.spark.read.parquet(path)
+        snap.write.mode("overwrite").parquet(self._at("snapshots", run))  # an unsealed leftover is replaced
+        snap = self.snapshot(run)
         numbered = snapshots.batch_numbers(snapshots.scan_keys(snap), self.batch_size)
-        numbered.write.mode("overwrite").partitionBy("batch_number").parquet(f"{self.store.folder}/batches/{run.run_id}")
-        definitions = snapshots.batch_definitions(self.batches(run))
-        counts = snapshots.expected_counts(snap, definitions).collect()[0]
-        states = tuple(control.BatchState(k + 1) for k in range(counts.n_batches))
-        run = self.store.transition(run, (control.QUEUED,), initialised=True, expected={"pairs": counts.n_pairs, "keys": counts.n_keys, "batches": counts.n_batches}, batches=states)
+        snapshots.batch_definitions(numbered).write.mode("overwrite").parquet(self._at("batches", run))
+        counts = snapshots.expected_counts(snap, self.definitions(run)).collect()[0]
+        run = self.store.transition(run, (control.QUEUED,), initialised=True, expected={"pairs": counts.n_pairs, "keys": counts.n_keys, "batches": counts.n_batches})
         return self.store.transition(run, (control.QUEUED,), status=control.RUNNING, started_at=self.clock().isoformat(), start_version=self.source.version())
 
+    def _at(self, what: str, run: control.RunState, attempt: int | None = None) -> str:
+        return f"{self.store.folder}/{what}/{run.run_id}" + (f"/attempt-{attempt}" if attempt else "")
+
     def snapshot(self, run: control.RunState) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.store.folder}/snapshots/{run.run_id}")
-
-    def batches(self, run: control.RunState) -> DataFrame:
-        keys = self.snapshot(run).schema["scan_key"].dataType.simpleString()
-        return self.store.spark.read.schema(f"scan_key {keys}, batch_number int").parquet(f"{self.store.folder}/batches/{run.run_id}")
-
-    def run_batch(self, run: control.RunState, number: int) -> control.RunState:
-        """Lands one batch: everything identifiable as raw versions, and, unless a row is bad, candidates. A batch's folder
-        is overwritten by each attempt, so attempts may repeat."""
-        keys = self.batches(run).where(F.col("batch_number") == number).select("scan_key")
-        out = f"{self.store.folder}/landed/{run.run_id}/{number}"
-        landing.parsed(self.source.fetch(keys)).write.mode("overwrite").parquet(out)
-        rows = self.store.spark.read.parquet(out)
-        counts = rows.agg(F.count("*").alias("n"), F.min("error").alias("error")).collect()[0]
-        state = {"attempts": run.batches[number - 1].attempts + 1, "rows": counts.n, "last_error": counts.error}
-        return self.store.transition(run, (control.RUNNING,), batches=control.with_batch(run, number, status="FAILED" if counts.error else "COMPLETED", **state))
+        return self.store.spark.read.parquet(self._at("snapshots", run))
+
+    def definitions(self, run: control.RunState) -> DataFrame:
+        return self.store.spark.read.parquet(self._at("batches", run))
+
+    def _attempts(self, what: str, run: control.RunState, schema: str) -> DataFrame:
+        """What the attempts that are done have written; a leftover of one that is not is not read."""
+        spark = self.store.spark
+        paths = [self._at(what, run, k + 1) for k in range(run.attempts)]
+        return spark.read.parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def states(self, run: control.RunState) -> DataFrame:
+        """The last attempt of each batch, and how many it has had."""
+        done = self._attempts("states", run, STATES)
+        last = done.groupBy("batch_number").agg(F.max_by(F.struct(*(c for c in done.columns if c != "batch_number")), "attempt").alias("s"), F.count("*").cast("int").alias("attempts"))
+        return last.select("batch_number", "s.*", "attempts")
+
+    def landed(self, run: control.RunState) -> DataFrame:
+        """Rows of all attempts: raw evidence of bad ones stays."""
+        return self._attempts("landed", run, f"batch_number int, {landing.PARSED}, attempt int")
+
+    def open_batches(self, run: control.RunState) -> DataFrame:
+        done = self.states(run).where("status = 'COMPLETED'").select("batch_number")
+        return self.definitions(run).join(done, "batch_number", "left_anti")
+
+    def attempt(self, run: control.RunState) -> control.RunState:
+        """One job over all open batches. Its folders are overwritten if it is repeated after a crash; it counts when the run
+        says so."""
+        number, spark = run.attempts + 1, self.store.spark
+        asked = self.open_batches(run)
+        raw = self._at("fetched", run, number)
+        self.source.fetch(asked.select("batch_number", "scan_keys")).write.mode("overwrite").parquet(raw)
+        fetched = spark.read.parquet(raw)
+        landing.parsed(fetched.where("payload IS NOT NULL"), "batch_number").withColumn("attempt", F.lit(number)).write.mode("overwrite").parquet(self._at("landed", run, number))
+        bad = spark.read.parquet(self._at("landed", run, number)).groupBy("batch_number").agg(F.count("*").alias("rows_fetched"), F.min("error").alias("bad"))
+        calls = fetched.where("payload IS NULL").groupBy("batch_number").agg(*(F.sum(c).alias(c) for c in ("pages", "requests", "retries")), F.min("error").alias("refused"))
+        error = F.coalesce("refused", "bad")
+        rows = asked.select("batch_number").join(calls, "batch_number", "left").join(bad, "batch_number", "left")
+        counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("pages", "requests", "retries", "rows_fetched")]
+        status = F.when(error.isNull(), control.COMPLETED).otherwise(control.FAILED).alias("status")
+        rows.select("batch_number", F.lit(number).alias("attempt"), status, *counts, error.alias("last_error")).write.mode("overwrite").parquet(self._at("states", run, number))
+        return self.store.transition(run, (control.RUNNING,), attempts=number)
 
     def execute(self, run: control.RunState) -> control.RunState:
-        """Runs or resumes: completed batches stay, others get what is left of their attempts."""
+        """Runs or resumes, under the lease, which each attempt renews. A run that has ended is returned as it ended."""
+        run = self.store.load(run.run_id)
+        if run.status not in control.ACTIVE:
+            return run
+        self.store.acquire(self.owner, self.clock())
+        try:
+            return self._execute(run)
+        finally:
+            self.store.release(self.owner)
+
+    def _execute(self, run: control.RunState) -> control.RunState:
         if run.status == control.QUEUED:
             run = self.initialise(run)
         elif run.start_version != self.source.version():
             return self.finish(run, source_changed=True)
-        for number in [b.batch_number for b in run.batches]:
-            while (state := run.batches[number - 1]).status != "COMPLETED" and state.attempts < control.MAX_ATTEMPTS:
-                run = self.run_batch(run, number)
-            if run.batches[number - 1].status != "COMPLETED":
-                return self.finish(run)
+        while run.attempts < control.MAX_ATTEMPTS and not self.open_batches(run).isEmpty():
+            self.store.acquire(self.owner, self.clock())
+            run = self.attempt(run)
+        if not self.open_batches(run).isEmpty():
+            return self.finish(run)
         end = self.source.version()
         run = self.store.transition(run, (control.RUNNING,), end_version=end)
         return self.finish(run, source_changed=end != run.start_version)
 
-    def landed(self, run: control.RunState) -> DataFrame:
-        done = [f"{self.store.folder}/landed/{run.run_id}/{b.batch_number}" for b in run.batches if b.attempts]
-        spark = self.store.spark
-        return spark.read.parquet(*done) if done else spark.createDataFrame([], landing.PARSED)
-
     def batch_table(self, run: control.RunState) -> DataFrame:
-        spark = self.store.spark
-        states = spark.createDataFrame([(b.batch_number, b.status, b.last_error) for b in run.batches], "batch_number int, status string, last_error string")
+        """Definition, status and error of each batch; those that were never tried are pending."""
         definition = F.to_json(F.struct(F.col("scan_keys").alias("keys"))).alias("definition")
-        return snapshots.batch_definitions(self.batches(run)).select("batch_number", definition).join(states, "batch_number")
+        states = self.states(run).select("batch_number", "status", "last_error")
+        joined = self.definitions(run).select("batch_number", definition).join(states, "batch_number", "left")
+        return joined.withColumn("status", F.coalesce("status", F.lit("PENDING")))
 
     def finish(self, run: control.RunState, *, source_changed: bool = False) -> control.RunState:
         """Publishes an accepted run, or the failure of one that isn't. Raw versions stay either way."""
@@ -104,21 +145,26 @@ class Ingestion:
         batches = self.batch_table(run)
         counts = run.expected
         control_row = {"status": run.status, "initialised": run.initialised, "started_at": run.started_at, "start_version": run.start_version, "end_version": run.end_version} | {f"expected_{k}": n for k, n in counts.items()}
-        reasons = publish.gate(control_row, counts, batches, snapshots.exact_cover(snapshots.batch_definitions(self.batches(run)), snap))
+        reasons = publish.gate(control_row, counts, batches, snapshots.exact_cover(self.definitions(run), snap))
         if source_changed or reasons:
             changes = publish.failure_changes(snap, versions, batches, done, source_changed=source_changed)
             tables["coverage"] = publish.merge_coverage(coverage, changes)
             end = control.SOURCE_CHANGED if source_changed else control.FAILED
             return self._close(run, end, tables, ",".join(reasons) or None)
-        staged = last_wins(landed.select(*landing.CANDIDATE), ["source_id"], ["updated_at", "row_id"])
+        # rows of a batch's last attempt: an earlier one may have seen a bad row, and what it saw may be older
+        last = landed.join(self.states(run).select("batch_number", "attempt"), ["batch_number", "attempt"])
+        staged = last_wins(last.select(*landing.CANDIDATE), ["source_id"], ["updated_at", "row_id"])
         live = publish.reconcile(publish.promote(self.store.table("live", v), staged, run.run_id), snap, run.run_id)
         checked = publish.merge_coverage(coverage, publish.success_changes(snap, versions, coverage, runs, done))
         tables |= {"live": live, "coverage": publish.merge_coverage(checked, publish.stale_changes(snap, versions, coverage, runs, done))}
         return self._close(run, control.COMPLETED, tables, None)
 
     def _close(self, run: control.RunState, status: str, tables: dict[str, DataFrame], failure: str | None) -> control.RunState:
-        from dataclasses import replace
-
-        ended = replace(run, status=status, finished_at=self.clock().isoformat(), failure=failure)
+        ended = self.store.changed(run, (control.RUNNING,), status=status, finished_at=self.clock().isoformat(), failure=failure)
         self.store.publish(tables, ended)
         return ended
+
+
+def paged_source(client: str, version: Callable[[], int], **limits) -> Source:
+    """A source behind a paged client; see ``paged.fetched``."""
+    return Source(lambda batches: paged.fetched(batches, client, **limits), version)

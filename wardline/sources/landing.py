@@ -22,14 +22,14 @@ def read(spark, path: str) -> DataFrame:
     return spark.read.text(path, pathGlobFilter="*.json*").withColumnRenamed("value", "payload")
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """rows: (payload). Typed columns, and the first error of each row; raw columns are there even for bad rows."""
-    m = rows.select("payload", jf.fields(F.col("payload")).alias("m"))
+def parsed(rows: DataFrame, *carried: str) -> DataFrame:
+    """rows: (payload) and what is carried. Typed columns, and the first error of each row; raw columns are there even for
+    bad rows."""
+    m = rows.select(*carried, "payload", jf.fields(F.col("payload")).alias("m"))
     f = lambda name: jf.required_text(F.col("m"), name)
-    # a quoted value is told from a number by the text itself
-    quoted = F.col("payload").rlike(r'(?i)"issue_date"\s*:\s*"')
+    quoted = jf.is_text(F.col("payload"), ISSUED)
     p = m.select(
-        "payload", f(SOURCE_ID).alias("source_id"), f(ROW_ID).alias("row_id"), f(UPDATED).alias("updated_text"),
+        *carried, "payload", f(SOURCE_ID).alias("source_id"), f(ROW_ID).alias("row_id"), f(UPDATED).alias("updated_text"),
         ids.canonical_building(jf.field(F.col("m"), KEY)).alias("scan_key"), f(NUMBER).alias("number"), f(STATUS).alias("status"),
         parsing.parse_issue_date(jf.field(F.col("m"), ISSUED), quoted).alias("issued"),
         parsing.parse_amount(jf.field(F.col("m"), BALANCE)).alias("balance"),
@@ -41,4 +41,4 @@ def parsed(rows: DataFrame) -> DataFrame:
         F.when(F.col("scan_key").isNull(), F.lit("INVALID_KEY")),
         *(F.when(F.col(c)["error"].isNotNull(), F.concat(F.lit(f"{c.upper()}:"), F.col(c)["error"])) for c in ("issued", "balance", "updated")),
     )
-    return p.select("payload", "source_id", "row_id", "updated_text", "scan_key", "number", F.col("issued.value").alias("issue_date"), "status", F.col("balance.value").alias("balance_due"), F.col("updated.value").alias("updated_at"), error.alias("error"))
+    return p.select(*carried, "payload", "source_id", "row_id", "updated_text", "scan_key", "number", F.col("issued.value").alias("issue_date"), "status", F.col("balance.value").alias("balance_due"), F.col("updated.value").alias("updated_at"), error.alias("error"))

@@ -3,7 +3,8 @@
 ``spark.dataSource.register(PagedSource)``, then ``spark.read.format("paged")`` with options ``client`` (``module:function``
 that makes a client), ``keys`` (comma-joined) or ``batches`` (JSON list of lists), ``page_size`` and ``max_pages``. A
 client is a callable ``(keys, offset, limit) -> list of JSON texts``; it is made anew in each task. Requests are retried
-a few times within the task, and Spark retries the task.
+a few times within the task, and Spark retries the task. ``fetched`` reads a table of batches the same way, so that neither
+keys nor rows pass through the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ import importlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_KEYS, MAX_KEY_CHARS, MAX_PAGE = 1000, 64, 50_000
@@ -21,8 +26,10 @@ RETRIED = (408, 425, 429, 500, 502, 503, 504)
 
 
 class RemoteError(RuntimeError):
-    def __init__(self, status: int):
-        super().__init__(f"remote status {status}")
+    """A reply with a status, or none: then the network failed."""
+
+    def __init__(self, status: int | None = None):
+        super().__init__(f"remote status {status}" if status else "network failure")
         self.status = status
 
 
@@ -36,27 +43,87 @@ def checked_keys(keys: list[str]) -> list[str]:
     return keys
 
 
-def retrying(call: Callable, tries: int = 3, wait: float = 0.0) -> Callable:
+@dataclass
+class Calls:
+    requests: int = 0
+    retries: int = 0
+    pages: int = 0
+
+
+def retrying(call: Callable, tries: int = 3, wait: float = 0.0, calls: Calls | None = None) -> Callable:
+    """A call that is tried again after the statuses that are worth it and after failures of the network, time-outs among
+    them; waits double from try to try. A client limits the time of a request itself."""
+    calls = Calls() if calls is None else calls
+
     def run(*args):
         for attempt in range(tries):
+            calls.requests += 1
+            calls.retries += attempt > 0
             try:
                 return call(*args)
-            except RemoteError as e:
-                if e.status not in RETRIED or attempt == tries - 1:
+            except (RemoteError, ConnectionError, TimeoutError) as e:
+                status = getattr(e, "status", None)
+                if (status is not None and status not in RETRIED) or attempt == tries - 1:
                     raise
-                time.sleep(wait)
+                time.sleep(wait * 2**attempt)
 
     return run
 
 
-def pages(client: Callable, keys: list[str], page_size: int, max_pages: int) -> Iterator[str]:
-    """Rows of all pages. A full page at the limit is an error: rows might be missing."""
+class PageLimit(RuntimeError):
+    pass
+
+
+def paged(client: Callable, keys: list[str], page_size: int, max_pages: int) -> Iterator[list[str]]:
+    """All pages. A full page at the limit is an error: rows might be missing."""
     for page in range(max_pages):
         rows = client(keys, page * page_size, page_size)
-        yield from rows
+        yield rows
         if len(rows) < page_size:
             return
-    raise RuntimeError("FAILED_PAGE_LIMIT")
+    raise PageLimit("FAILED_PAGE_LIMIT")
+
+
+def pages(client: Callable, keys: list[str], page_size: int, max_pages: int) -> Iterator[str]:
+    """Rows of all pages."""
+    for rows in paged(client, keys, page_size, max_pages):
+        yield from rows
+
+
+def _client(name: str) -> Callable:
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)()
+
+
+FETCHED = "batch_number int, payload string, pages long, requests long, retries long, error string"
+
+
+def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages: int = 100, tries: int = 3, wait: float = 0.5, concurrency: int = 8) -> DataFrame:
+    """batches: (batch_number, scan_keys). A row for each payload, and one without payload for each batch: its pages, requests
+    and retries, and the error if it failed, which fails no other batch. At most ``concurrency`` tasks ask at a time; a
+    task streams one page after the other."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        names = [x.split()[0] for x in FETCHED.split(", ")]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+        ask = _client(client)
+        for frame in frames:
+            for number, keys in zip(frame.column("batch_number").to_pylist(), frame.column("scan_keys").to_pylist(), strict=True):
+                calls, error = Calls(), None
+                counted = retrying(ask, tries, wait, calls)
+                try:
+                    for page in paged(counted, checked_keys([str(k) for k in keys]), page_size, max_pages):
+                        calls.pages += 1
+                        yield out([(number, row, None, None, None, None) for row in page])
+                except (RemoteError, ConnectionError, TimeoutError, PageLimit) as e:
+                    error = str(e) or type(e).__name__
+                yield out([(number, None, calls.pages, calls.requests, calls.retries, error)])
+
+    return batches.select(F.col("batch_number").cast("int").alias("batch_number"), "scan_keys").repartition(concurrency, "batch_number").mapInArrow(run, FETCHED)
 
 
 class BatchPartition(InputPartition):
@@ -77,8 +144,7 @@ class PagedReader(DataSourceReader):
         return [BatchPartition(b) for b in self.batches]
 
     def read(self, partition: BatchPartition) -> Iterator[tuple[str]]:
-        module, _, name = self.client.partition(":")
-        client = retrying(getattr(importlib.import_module(module), name)())
+        client = retrying(_client(self.client))
         return ((row,) for row in pages(client, partition.keys, self.page_size, self.max_pages))
 
 
