@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import identifiers as ids
-from wardline.functions.text import BOROUGHS, candidate_street, optional, requested_borough, street_evidence
+from wardline.functions.text import address_parts, candidate_street, optional, requested_borough, street_evidence
 
 #: What a parcel record may lack, in the order in which it is reported.
 MISSING = ("missing_bbl", "missing_borocode", "missing_block", "missing_lot", "missing_address")
@@ -76,25 +76,25 @@ def footprint_candidates(keys: DataFrame, footprints: DataFrame) -> DataFrame:
     return either[0].unionByName(either[1]).distinct()
 
 
-def footprint_verdict(mode: str) -> Column:
-    """Null for a footprint that may stand for its key, else why not. A parcel that the source left out and one that it
-    states as null are not the same."""
+def footprint_verdict(mode: str | Column) -> Column:
+    """mode: parcel, condo, or whether it is condo. Null for a footprint that may stand for its key, else why not. A parcel that the source left out and one that it
+    states as null are not the same: of a condo's billing parcel the latter says that it is another's."""
     base = F.when(~F.col("base_parcel").eqNullSafe(F.col("parcel")), F.lit("BASE_MISMATCH"))
-    stated_null = F.lit("MAP_MISMATCH") if mode == "condo" else base
+    stated_null = F.when(F.lit(mode == "condo") if isinstance(mode, str) else mode, F.lit("MAP_MISMATCH")).otherwise(base)
     stated = F.when(F.col("map_parcel").isNull(), stated_null).when(F.col("map_parcel") != F.col("parcel"), F.lit("MAP_MISMATCH"))
     return F.when(F.col("has_map"), stated).otherwise(base)
 
 
-def validated_buildings(candidates: DataFrame, mode: str = "parcel") -> DataFrame:
+def validated_buildings(candidates: DataFrame, mode: str | Column = "parcel", by: tuple[str, ...] = ("parcel",)) -> DataFrame:
     """For each key with candidates: its valid buildings, or the error if all of them were rejected."""
     judged = candidates.withColumn("reason", footprint_verdict(mode))
-    found = judged.groupBy("parcel").agg(
+    found = judged.groupBy(*by).agg(
         F.bool_or(F.col("reason").isNull()).alias("any_accepted"),
         F.bool_or(F.coalesce(F.col("reason") == "MAP_MISMATCH", F.lit(False))).alias("any_map"),
         F.collect_set(F.when(F.col("reason").isNull(), F.col("building"))).alias("buildings"),
     )
     error = F.when(~F.col("any_accepted"), F.when(F.col("any_map"), F.lit("MAP_MISMATCH")).otherwise(F.lit("BASE_MISMATCH")))
-    return found.select("parcel", F.when(F.col("any_accepted"), ids.valid_buildings(F.col("buildings"))).alias("buildings"), error.alias("footprint_error"))
+    return found.select(*by, F.when(F.col("any_accepted"), ids.valid_buildings(F.col("buildings"))).alias("buildings"), error.alias("footprint_error"))
 
 
 def condo_chain(units: DataFrame, unit_map: DataFrame, billing_map: DataFrame) -> DataFrame:
@@ -111,22 +111,82 @@ def condo_chain(units: DataFrame, unit_map: DataFrame, billing_map: DataFrame) -
     return base.join(billing, "base_parcel", "left").select("parcel", "base_parcel", "billing_parcel", error.alias("condo_error"))
 
 
+def unit_by_designation(wanted: DataFrame, unit_map: DataFrame) -> DataFrame:
+    """wanted: (base_parcel, unit). Each with its unit parcel, if both together name exactly one; a blank unit names none."""
+    named = unit_map.where(optional(F.col("unit")).isNotNull()).groupBy("base_parcel", "unit").agg(F.count("*").alias("n"), F.min("unit_parcel").alias("unit_parcel"))
+    n = F.coalesce("n", F.lit(0))
+    error = F.when(n == 0, "CONDO_UNIT_NOT_FOUND").when(n > 1, "CONDO_UNIT_AMBIGUOUS")
+    return wanted.join(named, ["base_parcel", "unit"], "left").select(*wanted.columns, F.when(error.isNull(), F.col("unit_parcel")).alias("unit_parcel"), error.alias("unit_error"))
+
+
+def condo_base(parcels: DataFrame, billing_map: DataFrame) -> DataFrame:
+    """Each parcel with the base parcel that it stands in: its own, or for a billing parcel the only one that it bills."""
+    is_billing = ids.is_billing_lot(F.col("parcel"))
+    found = cardinality(parcels.where(is_billing).select("parcel").distinct(), billing_map.withColumnRenamed("billing_parcel", "parcel"), "parcel", "base_parcel")
+    error = F.when(F.col("match_count") == "zero", "CONDO_BASE_NOT_FOUND").when(F.col("match_count") == "multiple", "CONDO_BASE_AMBIGUOUS")
+    joined = parcels.join(found, "parcel", "left")
+    return joined.select(*parcels.columns, F.when(is_billing, F.col("base_parcel")).otherwise(F.col("parcel")).alias("base_parcel"), error.alias("base_error"))
+
+
+def probed(owners: DataFrame, footprints: DataFrame) -> DataFrame:
+    """owners: (base, parcel), base empty for a plain parcel. Footprints filed under a plain parcel by either of their own, or
+    under a condo by its base alone: one join on the side and its parcel, not one on OR."""
+    side = lambda name, value: F.struct(F.lit(name).alias("side"), F.col(value).alias("probe"))
+    asked = F.when(F.col("base") == "", F.array(side("base", "parcel"), side("map", "parcel"))).otherwise(F.array(side("base", "base")))
+    filed = footprints.select("*", F.explode(F.array(side("base", "base_parcel"), side("map", "map_parcel"))).alias("f")).select(*footprints.columns, "f.*")
+    return owners.select("base", "parcel", F.explode(asked).alias("a")).select("base", "parcel", "a.*").join(filed, ["side", "probe"]).drop("side", "probe").distinct()
+
+
 def resolve(parcels: DataFrame, records: DataFrame, footprints: DataFrame, unit_map: DataFrame, billing_map: DataFrame) -> DataFrame:
     """For each parcel: error, address, base and billing parcels, and its buildings. Condo units are validated against
     their billing parcel and found by their base; all others stand for themselves."""
-    units, others = parcels.where(ids.is_unit_lot(F.col("parcel"))), parcels.where(~ids.is_unit_lot(F.col("parcel")))
-    chain = condo_chain(units, unit_map, billing_map)
-    assessed = assess_parcels(records)
-    plain = parcel_status(others, assessed).join(validated_buildings(footprint_candidates(others, footprints)), "parcel", "left")
-    plain = plain.select("parcel", F.lit(None).cast("string").alias("base_parcel"), F.lit(None).cast("string").alias("billing_parcel"), F.lit(None).cast("string").alias("condo_error"), "parcel_status", "address", "buildings", "footprint_error")
-    pairs = chain.where(F.col("billing_parcel").isNotNull()).select("base_parcel", F.col("billing_parcel").alias("parcel")).distinct()
-    status = parcel_status(pairs.select("parcel").distinct(), assessed).withColumnRenamed("parcel", "billing_parcel")
-    by_base = pairs.join(footprints.withColumnRenamed("base_parcel", "of_base"), F.col("base_parcel") == F.col("of_base")).drop("base_parcel").withColumnRenamed("of_base", "base_parcel")
-    buildings = validated_buildings(by_base, "condo").withColumnRenamed("parcel", "billing_parcel")
-    condo = chain.join(status, "billing_parcel", "left").join(buildings, "billing_parcel", "left").select(*plain.columns)
+    keys = parcels.select("parcel", ids.is_unit_lot(F.col("parcel")).alias("as_unit"))
+    return resolve_keys(keys, records, footprints, unit_map, billing_map).drop("as_unit")
+
+
+def resolve_keys(keys: DataFrame, records: DataFrame, footprints: DataFrame, unit_map: DataFrame, billing_map: DataFrame) -> DataFrame:
+    """keys: (parcel, as_unit): whether it is taken as a condo unit. Plain and billing parcels are looked up together."""
+    null = F.lit(None).cast("string")
+    chain = condo_chain(keys.where("as_unit").select("parcel"), unit_map, billing_map)
+    plain = keys.where("NOT as_unit").select("as_unit", "parcel", null.alias("base_parcel"), F.col("parcel").alias("looked_up"), null.alias("condo_error"))
+    wanted = plain.unionByName(chain.select(F.lit(True).alias("as_unit"), "parcel", "base_parcel", F.col("billing_parcel").alias("looked_up"), "condo_error"))
+    wanted = wanted.withColumn("base", F.coalesce("base_parcel", F.lit("")))
+    owners = wanted.where(F.col("looked_up").isNotNull()).select("base", F.col("looked_up").alias("parcel")).distinct()
+    status = parcel_status(owners, assess_parcels(records))
+    buildings = validated_buildings(probed(owners, footprints), F.col("base") != "", ("base", "parcel"))
+    known = status.join(buildings, ["base", "parcel"], "left").withColumnRenamed("parcel", "looked_up")
+    joined = wanted.join(known, ["base", "looked_up"], "left")
     error = F.coalesce("condo_error", parcel_error(F.col("parcel_status")), "footprint_error")
     keep = F.when(error.isNull(), F.coalesce("buildings", F.array().cast("array<string>")))
-    return plain.unionByName(condo).select("parcel", error.alias("error"), F.when(error.isNull(), F.col("address")).alias("address"), "base_parcel", "billing_parcel", keep.alias("buildings"))
+    billing = F.when(F.col("as_unit"), F.col("looked_up"))
+    return joined.select("parcel", "as_unit", error.alias("error"), F.when(error.isNull(), F.col("address")).alias("address"), "base_parcel", billing.alias("billing_parcel"), keep.alias("buildings"))
+
+
+def resolve_addresses(inputs: DataFrame, candidates: DataFrame, known: DataFrame, records: DataFrame, footprints: DataFrame, unit_map: DataFrame, billing_map: DataFrame) -> DataFrame:
+    """inputs: (input_id, address). Each to its entity if its key is known, else by the geocoder's candidate to a parcel, or with
+    a unit to the one that bears it, and to buildings that must not contradict the candidate's. One row for each input.
+    candidates: as ``geocoder.candidates`` gives them for the addresses without their units; known: (key, entity_id);
+    unit_map: with the unit's designation."""
+    parsed = inputs.select("input_id", address_parts(F.col("address")).alias("p")).select("input_id", "p.base", "p.unit", "p.key", F.col("p.error").alias("input_error"))
+    cached = parsed.join(known.select("key", "entity_id"), "key", "left")
+    fresh = cached.where(F.col("input_error").isNull() & F.col("entity_id").isNull()).select("input_id", "unit")
+    chosen = fresh.join(select_candidate(candidates).select("input_id", "parcel", "building", F.col("error").alias("geo_error")), "input_id", "left")
+    chosen = chosen.withColumn("geo_error", F.when(F.col("parcel").isNull(), F.coalesce("geo_error", F.lit("NO_CANDIDATES"))))
+    located = condo_base(chosen.withColumn("parcel", F.when(F.col("geo_error").isNull(), F.col("parcel"))), billing_map)
+    by_unit = unit_by_designation(located.where(F.col("unit").isNotNull() & F.col("base_parcel").isNotNull()).select("base_parcel", "unit").distinct(), unit_map)
+    found = located.join(by_unit, ["base_parcel", "unit"], "left")
+    with_unit = F.col("unit").isNotNull()
+    target = found.select("input_id", "building", with_unit.alias("as_unit"), F.when(with_unit, F.col("unit_parcel")).otherwise(F.col("parcel")).alias("parcel"), F.coalesce("geo_error", F.when(with_unit, F.coalesce("base_error", "unit_error"))).alias("early_error"))
+    keys = target.where(F.col("parcel").isNotNull() & F.col("early_error").isNull()).select("parcel", "as_unit").distinct()
+    resolved = resolve_keys(keys, records, footprints, unit_map.select("unit_parcel", "base_parcel"), billing_map).withColumnRenamed("error", "late_error")
+    joined = target.join(resolved, ["parcel", "as_unit"], "left")
+    conflict = F.when(~corroborated(F.col("building"), F.col("buildings")), F.lit("BUILDING_CONFLICT"))
+    error = F.coalesce("early_error", "late_error", conflict)
+    outcome = joined.select("input_id", "parcel", error.alias("error"), "base_parcel", "billing_parcel", F.when(error.isNull(), F.col("buildings")).alias("buildings"))
+    whole = cached.select("input_id", "key", "entity_id", "input_error").join(outcome, "input_id", "left")
+    final = F.coalesce("input_error", "error")
+    status = F.when(final.isNotNull(), "failed").when(F.col("entity_id").isNotNull(), "cached").otherwise("succeeded")
+    return whole.select("input_id", "key", status.alias("status"), final.alias("error"), "entity_id", "parcel", "base_parcel", "billing_parcel", "buildings")
 
 
 def outcomes(parsed: DataFrame, cached: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -164,16 +224,18 @@ def narrow_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def select_candidate(candidates: DataFrame) -> DataFrame:
-    """For each input: the best candidate's parcel, or why none can be taken. Label and id break ties between known
+    """For each input: the best candidate's parcel and building, or why none can be taken. Label and id break ties between known
     confidences; candidates without any keep the order in which they came."""
     inputs = candidates.groupBy("input_id").agg(F.count_if(F.col("parcel").isNotNull()).alias("usable"))
     left = narrow_candidates(candidates)
     known = F.col("confidence").isNotNull()
     order = [F.col("confidence").desc_nulls_last(), F.when(known, F.coalesce("label", F.lit(""))), F.when(known, F.coalesce("source_id", F.lit(""))), F.col("pos")]
     best = left.withColumn("rank", F.row_number().over(Window.partitionBy("input_id").orderBy(*order)))
-    chosen = best.groupBy("input_id").agg(F.count_distinct("parcel").alias("n_parcels"), F.max(F.when(F.col("rank") == 1, F.col("parcel"))).alias("parcel"))
+    first = F.max(F.when(F.col("rank") == 1, F.struct("parcel", F.col("building") if "building" in best.columns else F.lit(None).cast("string").alias("building")))).alias("first")
+    chosen = best.groupBy("input_id").agg(F.count_distinct("parcel").alias("n_parcels"), first).select("input_id", "n_parcels", "first.*")
     error = F.when(F.col("usable") == 0, "NO_IDENTIFIERS").when(F.col("n_parcels").isNull() | (F.col("n_parcels") > 1), "AMBIGUOUS")
-    return inputs.join(chosen, "input_id", "left").select("input_id", F.when(error.isNull(), F.col("parcel")).alias("parcel"), error.alias("error"))
+    taken = lambda c: F.when(error.isNull(), F.col(c)).alias(c)
+    return inputs.join(chosen, "input_id", "left").select("input_id", taken("parcel"), taken("building"), error.alias("error"))
 
 
 def corroborated(building: Column, buildings: Column) -> Column:
@@ -196,5 +258,3 @@ def key_set_changes(now: DataFrame, new: DataFrame) -> DataFrame:
     changed = F.coalesce((F.size("new_keys") > 0) & (F.col("new_keys") != F.col("keys")), F.lit(False))
     return joined.select("entity_id", (F.col("version") + F.when(changed, 1).otherwise(0)).cast("int").alias("version"), F.when(changed, F.col("new_keys")).otherwise(F.col("keys")).alias("keys"), changed.alias("changed"))
 
-
-__all__ = ["BOROUGHS", "outcomes", "resolve", "select_candidate"]

@@ -465,7 +465,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("candidate_ranking", f", {_NARROW} SELECT i.input_id, CASE WHEN i.usable > 0 AND c.n = 1 THEN c.parcel END AS parcel, CASE WHEN i.usable = 0 THEN 'NO_IDENTIFIERS' WHEN coalesce(c.n, 2) > 1 THEN 'AMBIGUOUS' END AS error FROM (SELECT input_id, count(parcel) AS usable FROM candidates GROUP BY input_id) i LEFT JOIN (SELECT input_id, count(DISTINCT parcel) AS n, max(CASE WHEN rk = 1 THEN parcel END) AS parcel FROM (SELECT *, {_RANK} AS rk FROM narrow) AS r GROUP BY input_id) c USING (input_id)")
 def _(t: Tables) -> DataFrame:
-    return resolve.select_candidate(t.candidates)
+    return resolve.select_candidate(t.candidates).drop("building")
 
 
 @query("candidate_ambiguity", "SELECT input_id, count(DISTINCT parcel) AS n_parcels FROM candidates GROUP BY input_id HAVING count(DISTINCT parcel) > 1")
@@ -473,6 +473,53 @@ def _(t: Tables) -> DataFrame:
     return t.candidates.groupBy("input_id").agg(F.count_distinct("parcel").alias("n_parcels")).where("n_parcels > 1")
 
 
+_TOKEN = r"""CASE WHEN regexp_full_match(x, '[0-9]+(-[0-9]+)?') THEN x WHEN regexp_full_match(x, '[0-9]+([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])') THEN lower(x) WHEN regexp_full_match(x, '[0-9]+[A-Za-z]+') THEN upper(x) ELSE upper(substr(x, 1, 1)) || lower(substr(x, 2)) END"""
+_FLAT = r"regexp_replace(trim(regexp_replace({}, '\s+', ' ', 'g')), '[–—]', '-', 'g')"
+_UNIT_WORDS = "apt|apartment|unit|suite|ste|floor|fl"
+_VALUE = "([A-Za-z0-9][A-Za-z0-9-]*)"
+_BY_UNIT = """named AS (SELECT base_parcel, unit, count(*) AS n, min(unit_parcel) AS unit_parcel FROM unit_names WHERE trim(unit) <> '' GROUP BY base_parcel, unit)"""
+_TO_BASE = """bills_to AS (SELECT billing_parcel, count(*) AS n, min(base_parcel) AS base_parcel FROM billing_map GROUP BY billing_parcel)"""
+_LOT = "CAST(substr(parcel, 7, 4) AS INT)"
+
+
+@query("condo_by_unit", f", {_BY_UNIT}, w AS (SELECT DISTINCT b.base_parcel, u.unit FROM unit_map b CROSS JOIN (VALUES ('12C'), ('3-A'), (' '), ('9')) AS u(unit)) SELECT w.base_parcel, w.unit, CASE WHEN n = 1 THEN unit_parcel END AS unit_parcel, CASE WHEN n IS NULL THEN 'CONDO_UNIT_NOT_FOUND' WHEN n > 1 THEN 'CONDO_UNIT_AMBIGUOUS' END AS unit_error FROM w LEFT JOIN named USING (base_parcel, unit)")
+def _(t: Tables) -> DataFrame:
+    names = F.explode(F.array(*map(F.lit, ("12C", "3-A", " ", "9")))).alias("unit")
+    return resolve.unit_by_designation(t.unit_map.select("base_parcel").distinct().select("base_parcel", names), t.unit_names)
+
+
+@query("billing_to_base", f", {_TO_BASE} SELECT parcel, CASE WHEN {_LOT} >= 7501 THEN CASE WHEN n = 1 THEN base_parcel END ELSE parcel END AS base_parcel, CASE WHEN {_LOT} < 7501 THEN NULL WHEN n IS NULL THEN 'CONDO_BASE_NOT_FOUND' WHEN n > 1 THEN 'CONDO_BASE_AMBIGUOUS' END AS base_error FROM (SELECT DISTINCT parcel FROM geo_candidates WHERE parcel IS NOT NULL) p LEFT JOIN bills_to ON billing_parcel = parcel")
+def _(t: Tables) -> DataFrame:
+    return resolve.condo_base(t.geo_candidates.where("parcel IS NOT NULL").select("parcel").distinct(), t.billing_map)
+
+
+@query("corroboration", f", {_FOUND}, {_VALID} SELECT DISTINCT parcel, building, building IS NULL OR building LIKE '%000000' OR coalesce(buildings, '') = '' OR list_contains(string_split(buildings, ','), building) AS agrees FROM geo_candidates JOIN valid USING (parcel)")
+def _(t: Tables) -> DataFrame:
+    found = resolve.validated_buildings(resolve.footprint_candidates(t.lots, t.footprints)).withColumn("buildings", F.coalesce("buildings", F.array().cast("array<string>")))
+    return t.geo_candidates.join(found, "parcel").select("parcel", "building", resolve.corroborated(F.col("building"), F.col("buildings")).alias("agrees")).distinct()
+
+
+_ADDRESSES = rf"""flat AS (SELECT id, {_FLAT.format('address')} AS flat FROM addresses),
+  cut AS (SELECT id, flat, regexp_full_match(flat, '(?i)({_UNIT_WORDS})\.? +{_VALUE}') AS only_unit, regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 1) AS word, regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 2) || regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 3) AS value,
+    regexp_replace(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', '') AS rest FROM flat),
+  addressed AS (SELECT id, CASE WHEN NOT regexp_matches(flat, '[A-Za-z0-9]') THEN 'ADDRESS_NO_CONTENT' WHEN only_unit THEN 'ADDRESS_UNIT_ONLY' END AS input_error, nullif(upper(value), '') AS unit,
+    array_to_string(list_transform(string_split(rest, ' '), lambda x: {_TOKEN}), ' ') || CASE WHEN value = '' THEN '' ELSE ' ' || CASE lower(word) WHEN '' THEN '#' WHEN 'apt' THEN 'Apt' WHEN 'apartment' THEN 'Apt' WHEN 'unit' THEN 'Unit' WHEN 'suite' THEN 'Ste' WHEN 'ste' THEN 'Ste' ELSE 'Fl' END || ' ' || upper(value) END AS key FROM cut)"""
+_CHOSEN = """chosen AS (SELECT a.id, a.unit, a.input_error, CASE WHEN a.input_error IS NULL THEN a.key END AS key, k.entity_id, CASE WHEN g.n = 1 THEN g.parcel END AS parcel, CASE WHEN g.n = 1 THEN g.building END AS building, CASE WHEN g.id IS NULL THEN 'NO_CANDIDATES' WHEN g.n = 0 THEN 'NO_IDENTIFIERS' WHEN g.n > 1 THEN 'AMBIGUOUS' END AS geo_error
+    FROM addressed a LEFT JOIN known_addresses k ON k.key = a.key AND a.input_error IS NULL LEFT JOIN (SELECT input_id AS id, count(DISTINCT parcel) AS n, max_by(parcel, pos) AS parcel, max_by(building, pos) AS building FROM geo_candidates GROUP BY input_id) g ON g.id = a.id)"""
+_TARGETS = f"""based AS (SELECT c.*, CASE WHEN c.unit IS NOT NULL AND {_LOT.replace('parcel', 'c.parcel')} >= 7501 THEN CASE WHEN b.n IS NULL THEN 'CONDO_BASE_NOT_FOUND' WHEN b.n > 1 THEN 'CONDO_BASE_AMBIGUOUS' END END AS base_error, CASE WHEN {_LOT.replace('parcel', 'c.parcel')} >= 7501 THEN CASE WHEN b.n = 1 THEN b.base_parcel END ELSE c.parcel END AS base FROM chosen c LEFT JOIN bills_to b ON b.billing_parcel = c.parcel),
+  targets AS (SELECT t.*, CASE WHEN t.unit IS NULL THEN t.parcel WHEN n.n = 1 THEN n.unit_parcel END AS target, coalesce(t.geo_error, t.base_error, CASE WHEN t.unit IS NULL THEN NULL WHEN n.n IS NULL THEN 'CONDO_UNIT_NOT_FOUND' WHEN n.n > 1 THEN 'CONDO_UNIT_AMBIGUOUS' END) AS early FROM based t LEFT JOIN named n ON n.base_parcel = t.base AND n.unit = t.unit)"""
+_FINAL = """final AS (SELECT t.id AS input_id, t.key, t.entity_id, CASE WHEN t.entity_id IS NULL AND t.input_error IS NULL THEN t.target END AS parcel, r.base_parcel, r.billing_parcel, r.buildings,
+    CASE WHEN t.input_error IS NOT NULL THEN t.input_error WHEN t.entity_id IS NOT NULL THEN NULL ELSE coalesce(t.early, CASE WHEN r.parcel IS NULL THEN 'PARCEL_NOT_FOUND' END, r.error, CASE WHEN NOT (t.building IS NULL OR t.building LIKE '%000000' OR r.buildings = '' OR list_contains(string_split(r.buildings, ','), t.building)) THEN 'BUILDING_CONFLICT' END) END AS error
+    FROM targets t LEFT JOIN resolved r ON r.parcel = t.target AND t.early IS NULL AND t.entity_id IS NULL AND t.input_error IS NULL)"""
+
+
+@query("address_resolution", f", {_RESOLUTION}, {_BY_UNIT}, {_TO_BASE}, {_ADDRESSES}, {_CHOSEN}, {_TARGETS}, {_FINAL} SELECT input_id, key, CASE WHEN error IS NOT NULL THEN 'failed' WHEN entity_id IS NOT NULL THEN 'cached' ELSE 'succeeded' END AS status, error, entity_id, parcel, base_parcel, billing_parcel, CASE WHEN error IS NULL THEN buildings END AS buildings FROM final")
+def _(t: Tables) -> DataFrame:
+    inputs = t.addresses.select(F.col("id").alias("input_id"), "address")
+    found = resolve.resolve_addresses(inputs, t.geo_candidates, t.known_addresses, t.parcel_records, t.footprints, t.unit_names, t.billing_map)
+    return found.withColumn("buildings", _joined("buildings"))
+
+
 _KEYS = "SELECT entity_id, string_agg(CAST(scan_key AS STRING), ',' ORDER BY CAST(scan_key AS STRING)) AS keys FROM (SELECT DISTINCT entity_id, scan_key FROM {}) AS d GROUP BY entity_id"
 
 
@@ -510,10 +557,6 @@ def _(t: Tables) -> DataFrame:
     return t.footprints.select("building", ids.is_placeholder(F.col("building")).alias("placeholder")).distinct()
 
 
-_TOKEN = r"""CASE WHEN regexp_full_match(x, '[0-9]+(-[0-9]+)?') THEN x WHEN regexp_full_match(x, '[0-9]+([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])') THEN lower(x) WHEN regexp_full_match(x, '[0-9]+[A-Za-z]+') THEN upper(x) ELSE upper(substr(x, 1, 1)) || lower(substr(x, 2)) END"""
-_FLAT = r"regexp_replace(trim(regexp_replace({}, '\s+', ' ', 'g')), '[–—]', '-', 'g')"
-
-
 @query("address_tokens", f"SELECT id, array_to_string(list_transform(string_split({_FLAT.format('address')}, ' '), lambda x: {_TOKEN}), ' ') AS address FROM addresses")
 def _(t: Tables) -> DataFrame:
     return t.addresses.select("id", text.recased_address(F.col("address")).alias("address"))

@@ -58,6 +58,13 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
   CAST(s_suppkey % 4 AS STRING) || ' Main Street, NY' AS label, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey % 12 AS STRING) || ' MAIN ST' END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'venue' ELSE 'address' END AS layer,
   CASE WHEN s_suppkey % 2 = 0 THEN ' Queens ' ELSE 'Bronx' END AS borough, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey % 9 AS DOUBLE) / 10 END AS confidence,
   CASE WHEN s_suppkey % 12 = 5 THEN NULL ELSE '10000' || lpad(CAST(CASE WHEN s_suppkey % 12 < 6 THEN 1 ELSE s_suppkey % 2 END AS STRING), 5, '0') END AS parcel, CAST(s_suppkey AS STRING) AS source_id FROM {supplier}""",
+    "unit_names": "SELECT unit_parcel, base_parcel, CASE CAST(substr(unit_parcel, 7) AS INT) % 4 WHEN 0 THEN '12C' WHEN 1 THEN '3-A' WHEN 2 THEN ' ' ELSE '7' END AS unit FROM unit_map",
+    "known_addresses": "SELECT DISTINCT CAST(p_size AS STRING) || ' W 4th Ave # 3-A' AS key, p_size AS entity_id FROM {part} WHERE p_size % 10 = 0",
+    "geo_candidates": """SELECT p_partkey AS input_id, k AS pos, '1 Main St' AS address, 'Main Street' AS label, CAST(NULL AS STRING) AS name, 'address' AS layer, 'Queens' AS borough, CAST(k AS DOUBLE) / 10 AS confidence,
+  CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE '1' || lpad(CAST(CASE WHEN k = 2 AND p_partkey % 7 = 0 THEN p_partkey + 1 ELSE p_partkey END % 700 AS STRING), 5, '0') || CASE WHEN p_partkey % 6 NOT IN (1, 2) THEN lpad(CAST(p_partkey % 40 AS STRING), 4, '0')
+  WHEN p_partkey % 4 = 3 THEN '7501' WHEN p_partkey % 13 = 0 THEN '7502' ELSE '0001' END END AS parcel,
+  CASE WHEN p_partkey % 5 = 0 THEN '1999998' WHEN p_partkey % 5 = 1 THEN '1000000' WHEN p_partkey % 5 = 2 THEN '1' || lpad(CAST((p_partkey % 700 * 41 + p_partkey % 40 * 7 + 1) % 1000000 AS STRING), 6, '0') END AS building, CAST(k AS STRING) AS source_id
+  FROM {part} CROSS JOIN (VALUES (1), (2)) AS twice(k) WHERE p_partkey % 29 <> 0""",
     "dated_texts": """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN strf WHEN 1 THEN ' ' || replace(strf, '-', '') || ' ' WHEN 2 THEN substr(strf, 6, 2) || '/' || substr(strf, 9, 2) || '/' || substr(strf, 1, 4) WHEN 3 THEN strf || 'T10:20:30.123456Z'
   WHEN 4 THEN '0' WHEN 5 THEN ' 0 ' WHEN 6 THEN '2026-02-30' WHEN 7 THEN strf || 'T23:59:59-05:00' ELSE '0099-01-01' END AS text FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS strf FROM {orders}) AS o""",
     "amount_texts": "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN '-125.50' WHEN 1 THEN ' 1,250.005 ' WHEN 2 THEN '.5' WHEN 3 THEN '7.' WHEN 4 THEN '1e3' WHEN 5 THEN '' WHEN 6 THEN '99999999999999999' ELSE CAST(o_orderkey AS STRING) END AS text FROM {orders}",
