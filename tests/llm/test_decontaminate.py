@@ -14,6 +14,7 @@ def brute(docs, items):
         return {}
     n, mean = len(found), sum(len(w) for *_, w in found) / len(found)
     df = Counter(x for *_, w in found for x in set(w))
+    texts = {i: t for i, t, _ in found}
     width = max(dc.PASSAGE, 2 * max(len(w) for *_, w in found))
 
     def impact(w, words):
@@ -26,11 +27,17 @@ def brute(docs, items):
         for s in range(0, max(1, len(ws)), width // 2):
             passage = ws[s : s + width]
             grams = {k: {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)} for k in range(1, 6)}
+
+            def share(ws, grams=grams):
+                own = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+                return sum(g in grams[len(g)] for g in own) / len(own)
+
             for i, _, w in found:
-                score, whole = (sum(impact(x, w) for x in set(w) if x in own) for own in (set(passage), set(w)))
-                own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-                overlap = sum(g in grams[len(g)] for g in own) / len(own)
-                if score >= 0.6 * whole and overlap >= 0.8:
+                q = dc.question_and_answer(texts[i])[0]
+                score, whole, asked = (sum(impact(x, w) for x in set(w) if x in own) for own in (set(passage), set(w), set(q)))
+                overlap, of_q = share(w), share(q)
+                long = len({tuple(q[k : k + 5]) for k in range(max(1, len(q) - 4))}) >= 8
+                if score >= 0.6 * (asked if long else whole) - 1e-9 and (overlap >= 0.8 or long and of_q >= 0.8):
                     out[d, i] = max(out.get((d, i), 0), overlap)
     return out
 
@@ -60,8 +67,6 @@ def test_against_brute_force(spark, monkeypatch, block, shard):
     docs, items = tables()
     left = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, item_id string, score long").repartition(3)
     right = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id long")
-    if shard < 10_000:  # width depends on a shard's longest item
-        monkeypatch.setattr(dc, "PASSAGE", 300)
     got = {(r.doc_id, r.item_id): r.overlap for r in dc.pairs(left, right).collect()}
     want = brute(docs, items)
     assert got == pytest.approx(want) and len(want) > 30
@@ -79,6 +84,15 @@ def test_empty_tables_and_null_ids(spark):
     assert [r.doc_id for r in dc.cleaned(docs, items).collect()] == [1]
 
 
+def test_question_without_its_answer(spark):
+    say = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    items = [(1, f"{say('q', 30)}? {say('a', 8)}."), (2, f"{say('r', 9)}? {say('b', 30)}."), (3, f"{say('s', 30)}? {say('c', 30)}.")]
+    docs = [(1, f"{say('x', 60)} {say('q', 30)} {say('y', 60)}"), (2, f"{say('x', 60)} {say('r', 9)} {say('y', 9)}"), (3, f"{say('z', 9)} {say('b', 30)} {say('y', 9)}"), (4, say("c", 30)), (5, items[2][1]), (6, f"{say('s', 30)} {say('y', 3)} {say('c', 30)}")]
+    found = dc.pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    # 1: a question; 2: one of five shingles is not enough; 3, 4: answers, the one of most of an item; 5, 6: both
+    assert sorted((r.doc_id, r.item_id, r.part) for r in found.collect()) == [(1, 1, "question"), (5, 3, "both"), (6, 3, "both")]
+
+
 def test_question_and_answer():
     assert dc.question_and_answer("What is it? A thing.") == (["what", "is", "it"], ["a", "thing"])
     assert dc.question_and_answer("Only one sentence.") == (["only", "one", "sentence"], [])

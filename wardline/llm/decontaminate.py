@@ -10,13 +10,16 @@ through each test at once:
 2. the bounds of a passage's words are summed, and blocks below their threshold are skipped;
 3. items of the blocks that are left get exact scores.
 
-No test loses an item: all with a score of at least SCORE_SHARE of their own self-score are retrieved. Retrieved pairs
-are verified on five-word shingles: a pair is a leak if the passage holds at least OVERLAP of the item's shingles,
-question and answer together; the overlap of each is reported. The answer is the item's last sentence.
+No test loses an item: all with a score of at least SCORE_SHARE of their own self-score, or of their question's where that
+is less, are retrieved. The question goes up to the item's last question mark, the answer is what follows. Both of
+retrieved pairs are verified on five-word shingles, each apart. A pair is a leak if the passage holds at least OVERLAP of
+the item's shingles, or of its question's alone if these are QUESTION_SHINGLES or more: a question is spoilt without its
+answer, an answer alone says little. ``part`` says which of them reached OVERLAP.
 
-Passages are windows of at least PASSAGE words, twice as long as the longest item, half overlapping, so that each item
-lies whole in some window. The index is broadcast; items are taken in shards of at most SHARD_CHARS characters, one search
-each, so a broadcast's size is bounded whatever the benchmark's size. Texts are never shuffled for the search.
+Passages are windows of at least PASSAGE words, twice as long as the longest item of all, half overlapping, so that each
+item lies whole in some window. The index is broadcast; items are taken in shards of at most SHARD_CHARS characters, one
+after the other, each with a search of its own whose pairs are written before the next, so what is broadcast at once is
+bounded whatever the benchmark's size. Texts are never shuffled for the search.
 
 Defined cases: null or empty texts have no words and match nothing; items of fewer words than a shingle are one shingle;
 rows that repeat a doc_id or an item_id report each pair of ids once, with the largest overlap; a null doc_id or item_id
@@ -34,17 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.sieve import without
 from wardline.llm.storage import carried, small_batches, staged
 
 K1, B = 1.2, 0.75
-SCORE_SHARE, OVERLAP, SHINGLE = 0.6, 0.8, 5
+SCORE_SHARE, OVERLAP, SHINGLE, QUESTION_SHINGLES = 0.6, 0.8, 5, 8
 PASSAGE, BLOCK_ITEMS = 128, 8
 SHARD_CHARS = 16 << 20
 #: Cells of the table of block bounds; blocks grow where a shard's words and items would need more.
 BOUND_CELLS = 16 << 20
 NULL_ID = -(2**63)
 _WORD = re.compile(r"\w+")
-_LAST = re.compile(r"(?s)^(.*[.!?\n])\s*(\S.*)$")
+_ASKED = re.compile(r"(?s)^(.*\?)\s*(\S.*)$")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -56,8 +60,8 @@ def shingles(words: list[str]) -> list[tuple[str, ...]]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of the question and of the answer; an item of one sentence has no answer of its own."""
-    found = _LAST.match(text.rstrip().rstrip(".!?"))
+    """Words of the question, up to the last question mark, and of the answer after it; an item without both is all question."""
+    found = _ASKED.match(text.strip())
     q, a = (words_of(found[1]), words_of(found[2])) if found else (words_of(text), [])
     return (q, a) if q else (a, [])
 
@@ -74,15 +78,17 @@ class Statistics:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics):
+    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics, longest: int):
         import numpy as np
 
         found = sorted(((len(w), i, w, t) for i, (i_, t) in enumerate(items) if (w := words_of(t))), key=lambda x: x[:2])
         self.ids = [items[i][0] for _, i, *_ in found]
-        self.width = max(PASSAGE, 2 * found[-1][0]) if found else PASSAGE
+        self.width = max(PASSAGE, 2 * longest)
         self.texts = [t for *_, t in found]
         scores = [stats.impacts(w) for *_, w, _ in found]
-        self.need = np.array([SCORE_SHARE * sum(s.values()) for s in scores])
+        self.whole = np.array([sum(s.values()) for s in scores])
+        asked = [{w for w in q} if len(shingles(q := question_and_answer(t)[0])) >= QUESTION_SHINGLES else s for t, s in zip(self.texts, scores, strict=True)]
+        self.need = np.array([SCORE_SHARE * sum(s[w] for w in q) for s, q in zip(scores, asked, strict=True)])
         self.terms = {w: k for k, w in enumerate(dict.fromkeys(w for s in scores for w in s))}
         n, v = len(found), max(1, len(self.terms))
         self.block_items = max(BLOCK_ITEMS, -(-n * v // BOUND_CELLS))
@@ -143,16 +149,20 @@ class Index:
         ok = sums >= need(other)
         return w[ok], other[ok], sums[ok]
 
-    def verified(self, item: int, passage: list[str]) -> tuple[float, float, float] | None:
-        """Overlap of the item, its question and its answer with the passage, if enough for a leak."""
+    def verified(self, item: int, passage: list[str]) -> tuple[float, float, float, str] | None:
+        """Overlap of the item, its question and its answer with the passage and what of it is held, if enough for a leak."""
         q, a = question_and_answer(self.texts[item])
         every, q, a = shingles(words_of(self.texts[item])), shingles(q), shingles(a)
         held = {tuple(passage[i : i + n]) for n in {len(s) for s in (*every, *q, *a)} for i in range(len(passage) - n + 1)}
         share = lambda own: sum(s in held for s in own) / len(own) if own else 1.0
-        return (share(every), share(q), share(a)) if share(every) >= OVERLAP else None
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float, float]]:
-        """(text's place, item's place, score over self-score, overlaps of item, question and answer): best for each pair."""
+        whole, asked, told = share(every), share(q), share(a)
+        if whole < OVERLAP and (asked < OVERLAP or len(q) < QUESTION_SHINGLES):
+            return None
+        part = "both" if min(asked, told) >= OVERLAP else "question" if asked >= OVERLAP else "answer" if told >= OVERLAP else "item"
+        return whole, asked, told, part
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float, float, str]]:
+        """(text's place, item's place, score over self-score, overlaps of item, question and answer, part): best for each pair."""
         import numpy as np
 
         stride = self.width // 2
@@ -179,16 +189,16 @@ class Index:
             start = (w - first[doc]) * stride
             found = self.verified(item, words[doc][start : start + self.width])
             if found:
-                row = (found[0], score * SCORE_SHARE / self.need[item], *found[1:])
+                row = (found[0], score / self.whole[item], *found[1:])
                 best[doc, item] = max(best.get((doc, item), row), row)
-        return [(d, i, s, o, q, a) for (d, i), (o, s, q, a) in best.items()]
+        return [(d, i, s, o, *rest) for (d, i), (o, s, *rest) in best.items()]
 
 
-FOUND = "doc_id long, __text long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+FOUND = "doc_id long, __text long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, part string"
 
 
 def _searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4)
+    types = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.string())
     names = [x.split()[0] for x in FOUND.split(", ")]
     for batch in batches:
         docs, hashes = batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist()
@@ -209,13 +219,13 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     shards = -(-chars // SHARD_CHARS)
     split = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))))
     words = staged(split.select("shard", "text").mapInArrow(_item_words, "shard long, n long, words array<string>"), "item-words")
-    n, mean = words.agg(F.count("*"), F.avg("n")).collect()[0]
+    n, mean, longest = words.agg(F.count("*"), F.avg("n"), F.max("n")).collect()[0]
     each = words.select("shard", F.explode("words").alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"))
     for shard in range(shards if n else 0):
         own = each.where(F.col("shard") == shard).select("word").distinct().join(df, "word").collect()
         rows = split.where(F.col("shard") == shard).select("item_id", "text").collect()  # about SHARD_CHARS characters, and the words in them
-        index = Index([tuple(r) for r in rows], Statistics(n, mean, {r.word: r.df for r in own}))
+        index = Index([tuple(r) for r in rows], Statistics(n, mean, {r.word: r.df for r in own}), longest)
         if index.ids:
             yield index
 
@@ -228,14 +238,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = spark.createDataFrame([], FOUND)
     for index in indexes(benchmark):
         sent = spark.sparkContext.broadcast(index)
-        found = found.unionByName(rows.mapInArrow(lambda it, sent=sent: _searched(it, sent.value), FOUND))
-    best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap")).alias("best")
+        found = found.unionByName(staged(rows.mapInArrow(lambda it, sent=sent: _searched(it, sent.value), FOUND), "found"))
+        sent.unpersist()
+    best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", "part")).alias("best")
     return found.groupBy("doc_id", "__text", "item_id").agg(best).select("doc_id", "__text", "item_id", "best.*")
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each pair of ids."""
-    best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap")).alias("best")
+    best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", "part")).alias("best")
     return leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
@@ -247,4 +258,4 @@ def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaked = staged(leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), "__text").distinct(), "leaked")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(leaked, ["__id", "__text"], "left_anti").select(*docs.columns)
+    return without(keyed, leaked, ["__id", "__text"]).select(*docs.columns)
