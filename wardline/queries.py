@@ -51,7 +51,7 @@ def day(c: str | Column) -> Column:
 
 _FEED = "source_id, scan_key, CAST(issue_date AS STRING) AS issue_date, status, CAST(balance_due AS STRING) AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at"
 _OWN = f"scan_key IN (SELECT scan_key FROM entity_keys WHERE entity_id = {ENTITY})"
-_ALL = "scan_key IN (SELECT scan_key FROM entity_keys WHERE entity_id % 3 = 0)"
+_ALL = "scan_key IN (SELECT scan_key FROM entity_keys)"
 _DATED, _UPDATED = "live.issue_date DESC NULLS LAST, source_id DESC", "live.updated_at DESC, source_id DESC"
 
 
@@ -68,7 +68,7 @@ def _of_entity(t: Tables) -> DataFrame:
 
 
 def _of_portfolio(t: Tables) -> DataFrame:
-    return feeds.of_portfolio(t.live.where(feeds.current()), t.entity_keys.where("entity_id % 3 = 0"))
+    return feeds.of_portfolio(t.live.where(feeds.current()), t.entity_keys)
 
 
 _CURSOR_SQL = "issue_date < DATE '1996-01-02' OR (issue_date = DATE '1996-01-02' AND source_id < '5') OR issue_date IS NULL"
@@ -106,7 +106,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("feed_shape_portfolio", f"SELECT source_id, scan_key, strftime(issue_date, '%Y-%m-%d') AS issue_date, status, CAST(balance_due AS STRING) AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at, is_current FROM live WHERE {_ALL}")
 def _(t: Tables) -> DataFrame:
-    return feeds.portfolio_shape(feeds.of_portfolio(t.live, t.entity_keys.where("entity_id % 3 = 0")))
+    return feeds.portfolio_shape(feeds.of_portfolio(t.live, t.entity_keys))
 
 
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ') AS {0}"
@@ -118,9 +118,9 @@ def _(t: Tables) -> DataFrame:
     return feeds.coverage_shape(t.coverage)
 
 
-@query("entity_with_keys", "SELECT entity_id, version, coalesce(keys, '') AS scan_keys FROM versions LEFT JOIN (SELECT entity_id, string_agg(CAST(scan_key AS STRING), ',' ORDER BY scan_key) AS keys FROM (SELECT DISTINCT entity_id, scan_key FROM entity_keys WHERE entity_id % 2 = 0) AS d GROUP BY entity_id) AS k USING (entity_id)")
+@query("entity_with_keys", "SELECT entity_id, version, coalesce(keys, '') AS scan_keys FROM versions LEFT JOIN (SELECT entity_id, string_agg(CAST(scan_key AS STRING), ',' ORDER BY scan_key) AS keys FROM (SELECT DISTINCT entity_id, scan_key FROM entity_keys) AS d GROUP BY entity_id) AS k USING (entity_id)")
 def _(t: Tables) -> DataFrame:
-    return feeds.entity_with_keys(t.versions, t.entity_keys.where("entity_id % 2 = 0")).withColumn("scan_keys", F.array_join(F.col("scan_keys").cast("array<string>"), ","))
+    return feeds.entity_with_keys(t.versions, t.entity_keys).withColumn("scan_keys", F.array_join(F.col("scan_keys").cast("array<string>"), ","))
 
 
 # snapshots and batches --------------------------------------------------------------------------------------------------
@@ -152,10 +152,12 @@ def _(t: Tables) -> DataFrame:
     return snapshots.expected_counts(t.snapshot, snapshots.batch_definitions(snapshots.batch_numbers(snapshots.scan_keys(t.snapshot), BATCH)))
 
 
-@query("batch_exact_cover", """SELECT CAST(0 AS BIGINT) AS repeated, (SELECT count(*) FROM batch_keys WHERE scan_key NOT IN (SELECT scan_key FROM snapshot WHERE scan_key % 10 <> 0)) AS unexpected, CAST(0 AS BIGINT) AS missing,
-  (SELECT count(*) FROM batch_keys WHERE scan_key NOT IN (SELECT scan_key FROM snapshot WHERE scan_key % 10 <> 0)) = 0 AS exact""")
+@query("batch_exact_cover", """, dealt AS (SELECT CASE WHEN scan_key % 50 = 0 THEN scan_key + 2 WHEN scan_key % 70 = 0 THEN -scan_key ELSE scan_key END AS scan_key FROM batch_keys), n AS (SELECT scan_key, count(*) AS n FROM dealt GROUP BY scan_key), due AS (SELECT DISTINCT scan_key FROM snapshot),
+  c AS (SELECT count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE due.scan_key IS NULL) AS unexpected, count(*) FILTER (WHERE n IS NULL) AS missing FROM n FULL JOIN due ON n.scan_key = due.scan_key) SELECT *, repeated + unexpected + missing = 0 AS exact FROM c""")
 def _(t: Tables) -> DataFrame:
-    return snapshots.exact_cover(snapshots.batch_definitions(t.batch_keys), t.snapshot.where("scan_key % 10 <> 0"))
+    key = F.col("scan_key")
+    wrong = F.when(key % 50 == 0, key + 2).when(key % 70 == 0, -key).otherwise(key)  # some twice, some missing, some of no entity
+    return snapshots.exact_cover(snapshots.batch_definitions(t.batch_keys.withColumn("scan_key", wrong)), t.snapshot)
 
 
 # landing and live state -------------------------------------------------------------------------------------------------
@@ -300,7 +302,12 @@ def _(t: Tables) -> DataFrame:
     return audit.duplicate_groups(_events(t), "k")
 
 
-@query("source_contract_verdict", "SELECT count(*) AS total_rows, count(DISTINCT o_orderkey) AS distinct_keys, CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS duplicate_groups, count(*) = count(DISTINCT o_orderkey) AS holds FROM orders")
+@query("source_contract_verdict", f"SELECT *, null_keys = 0 AND duplicate_groups = 0 AND total_rows = distinct_keys AS holds FROM (SELECT count(*) AS total_rows, count(DISTINCT k) AS distinct_keys, count(*) FILTER (WHERE k IS NULL) AS null_keys, (SELECT count(*) FROM (SELECT k FROM {_EVENTS} WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1)) AS duplicate_groups FROM {_EVENTS}) AS c")
+def _(t: Tables) -> DataFrame:
+    return audit.contract_verdict(_events(t), "k")
+
+
+@query("source_contract_kept", "SELECT *, null_keys = 0 AND duplicate_groups = 0 AND total_rows = distinct_keys AS holds FROM (SELECT count(*) AS total_rows, count(DISTINCT o_orderkey) AS distinct_keys, count(*) FILTER (WHERE o_orderkey IS NULL) AS null_keys, count(o_orderkey) - count(DISTINCT o_orderkey) AS duplicate_groups FROM orders) AS c")
 def _(t: Tables) -> DataFrame:
     return audit.contract_verdict(t.orders, "o_orderkey")
 
@@ -468,9 +475,10 @@ def _(t: Tables) -> DataFrame:
     return resolve.select_candidate(t.candidates).drop("building")
 
 
-@query("candidate_ambiguity", "SELECT input_id, count(DISTINCT parcel) AS n_parcels FROM candidates GROUP BY input_id HAVING count(DISTINCT parcel) > 1")
+@query("candidate_ambiguity", "SELECT input_id, count(DISTINCT parcel) AS n_parcels FROM geo_candidates GROUP BY input_id HAVING count(DISTINCT parcel) > 1")
 def _(t: Tables) -> DataFrame:
-    return t.candidates.groupBy("input_id").agg(F.count_distinct("parcel").alias("n_parcels")).where("n_parcels > 1")
+    ambiguous = resolve.select_candidate(t.geo_candidates).where("error = 'AMBIGUOUS'").select("input_id")
+    return resolve.narrow_candidates(t.geo_candidates).join(ambiguous, "input_id").groupBy("input_id").agg(F.count_distinct("parcel").alias("n_parcels"))
 
 
 _TOKEN = r"""CASE WHEN regexp_full_match(x, '[0-9]+(-[0-9]+)?') THEN x WHEN regexp_full_match(x, '[0-9]+([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])') THEN lower(x) WHEN regexp_full_match(x, '[0-9]+[A-Za-z]+') THEN upper(x) ELSE upper(substr(x, 1, 1)) || lower(substr(x, 2)) END"""
@@ -503,7 +511,7 @@ _ADDRESSES = rf"""flat AS (SELECT id, {_FLAT.format('address')} AS flat FROM add
   cut AS (SELECT id, flat, regexp_full_match(flat, '(?i)({_UNIT_WORDS})\.? +{_VALUE}') AS only_unit, regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 1) AS word, regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 2) || regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 3) AS value,
     regexp_replace(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', '') AS rest FROM flat),
   addressed AS (SELECT id, CASE WHEN NOT regexp_matches(flat, '[A-Za-z0-9]') THEN 'ADDRESS_NO_CONTENT' WHEN only_unit THEN 'ADDRESS_UNIT_ONLY' END AS input_error, nullif(upper(value), '') AS unit,
-    array_to_string(list_transform(string_split(rest, ' '), lambda x: {_TOKEN}), ' ') || CASE WHEN value = '' THEN '' ELSE ' ' || CASE lower(word) WHEN '' THEN '#' WHEN 'apt' THEN 'Apt' WHEN 'apartment' THEN 'Apt' WHEN 'unit' THEN 'Unit' WHEN 'suite' THEN 'Ste' WHEN 'ste' THEN 'Ste' ELSE 'Fl' END || ' ' || upper(value) END AS key FROM cut)"""
+    array_to_string(list_transform(string_split(rest, ' '), lambda x: {_TOKEN}), ' ') AS base, array_to_string(list_transform(string_split(rest, ' '), lambda x: {_TOKEN}), ' ') || CASE WHEN value = '' THEN '' ELSE ' ' || CASE lower(word) WHEN '' THEN '#' WHEN 'apt' THEN 'Apt' WHEN 'apartment' THEN 'Apt' WHEN 'unit' THEN 'Unit' WHEN 'suite' THEN 'Ste' WHEN 'ste' THEN 'Ste' ELSE 'Fl' END || ' ' || upper(value) END AS key FROM cut)"""
 _CHOSEN = """chosen AS (SELECT a.id, a.unit, a.input_error, CASE WHEN a.input_error IS NULL THEN a.key END AS key, k.entity_id, CASE WHEN g.n = 1 THEN g.parcel END AS parcel, CASE WHEN g.n = 1 THEN g.building END AS building, CASE WHEN g.id IS NULL THEN 'NO_CANDIDATES' WHEN g.n = 0 THEN 'NO_IDENTIFIERS' WHEN g.n > 1 THEN 'AMBIGUOUS' END AS geo_error
     FROM addressed a LEFT JOIN known_addresses k ON k.key = a.key AND a.input_error IS NULL LEFT JOIN (SELECT input_id AS id, count(DISTINCT parcel) AS n, max_by(parcel, pos) AS parcel, max_by(building, pos) AS building FROM geo_candidates GROUP BY input_id) g ON g.id = a.id)"""
 _TARGETS = f"""based AS (SELECT c.*, CASE WHEN c.unit IS NOT NULL AND {_LOT.replace('parcel', 'c.parcel')} >= 7501 THEN CASE WHEN b.n IS NULL THEN 'CONDO_BASE_NOT_FOUND' WHEN b.n > 1 THEN 'CONDO_BASE_AMBIGUOUS' END END AS base_error, CASE WHEN {_LOT.replace('parcel', 'c.parcel')} >= 7501 THEN CASE WHEN b.n = 1 THEN b.base_parcel END ELSE c.parcel END AS base FROM chosen c LEFT JOIN bills_to b ON b.billing_parcel = c.parcel),
@@ -562,16 +570,15 @@ def _(t: Tables) -> DataFrame:
     return t.addresses.select("id", text.recased_address(F.col("address")).alias("address"))
 
 
-@query("address_units", rf"""SELECT id, CASE WHEN id % 6 IN (3, 5) THEN NULL ELSE array_to_string(list_transform(string_split(regexp_replace(flat, '( apt\. 12c| # 3-a)$', ''), ' '), lambda x: {_TOKEN}), ' ') END AS base, CASE id % 6 WHEN 1 THEN '12C' WHEN 2 THEN '3-A' END AS unit,
-  CASE WHEN id % 6 IN (3, 5) THEN 'ADDRESS_' || CASE WHEN id % 6 = 3 THEN 'UNIT_ONLY' ELSE 'NO_CONTENT' END END AS error FROM (SELECT id, {_FLAT.format('address')} AS flat FROM addresses) AS a""")
+@query("address_units", f", {_ADDRESSES} SELECT id, CASE WHEN input_error IS NULL THEN base END AS base, CASE WHEN input_error IS NULL THEN unit END AS unit, CASE WHEN input_error IS NULL THEN key END AS key, input_error AS error FROM addressed")
 def _(t: Tables) -> DataFrame:
-    return t.addresses.select("id", text.address_parts(F.col("address")).alias("p")).select("id", "p.base", "p.unit", "p.error")
+    return t.addresses.select("id", text.address_parts(F.col("address")).alias("p")).select("id", "p.base", "p.unit", "p.key", "p.error")
 
 
 _ALIAS = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.STREET_WORDS.items()) + " ELSE x END"
 
 
-@query("street_evidence", rf"SELECT id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(upper(address), '\b([0-9]+)(ST|ND|RD|TH)\b', '\1', 'g'), '[^A-Z0-9-]+', ' ', 'g')), ' '), lambda x: {_ALIAS}), ' ') AS street, CASE WHEN id % 6 = 4 THEN 'QUEENS' END AS borough FROM addresses")
+@query("street_evidence", rf"SELECT id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(upper(address), '\b([0-9]+)(ST|ND|RD|TH)\b', '\1', 'g'), '[^A-Z0-9-]+', ' ', 'g')), ' '), lambda x: {_ALIAS}), ' ') AS street, list_filter(list_transform(string_split(address, ',')[2:], lambda x: trim(regexp_replace(upper(x), '[^A-Z]+', ' ', 'g'))), lambda x: x IN ('STATEN ISLAND', 'MANHATTAN', 'BROOKLYN', 'QUEENS', 'BRONX'))[1] AS borough FROM addresses")
 def _(t: Tables) -> DataFrame:
     return t.addresses.select("id", text.street_evidence(F.col("address")).alias("street"), text.requested_borough(F.col("address")).alias("borough"))
 
@@ -597,18 +604,26 @@ def _(t: Tables) -> DataFrame:
     return t.amount_texts.select("id", parsing.parse_amount(F.col("text")).alias("p")).select("id", F.col("p.value").cast("string").alias("balance"), "p.error")
 
 
-@query("json_fields_case_insensitive", "SELECT id, CASE id % 5 WHEN 0 THEN json_extract_string(payload, '$.Bin') WHEN 1 THEN ' 2 ' END AS bin, CASE id % 5 WHEN 0 THEN json_extract_string(payload, '$.Bin') WHEN 1 THEN '2' END AS bin_text FROM json_rows")
+_BIN_KEY = "(SELECT id, payload, CASE WHEN list_contains(json_keys(payload), 'bin') THEN 'bin' ELSE list_filter(json_keys(payload), lambda k: lower(k) = 'bin')[1] END AS k FROM json_rows) AS j"
+
+
+@query("json_fields_case_insensitive", f"SELECT id, json_extract_string(payload, '$.' || k) AS bin, nullif(trim(json_extract_string(payload, '$.' || k)), '') AS bin_text FROM {_BIN_KEY}")
 def _(t: Tables) -> DataFrame:
     m = jf.fields(F.col("payload"))
     return t.json_rows.select("id", jf.field(m, "bin").alias("bin"), jf.required_text(m, "bin").alias("bin_text"))
 
 
-@query("json_key_presence", "SELECT id, CASE WHEN id % 5 IN (3, 4) THEN 'absent' WHEN id % 5 = 2 THEN 'null' ELSE 'value' END AS bin_state, id % 5 < 3 AS has_bin FROM json_rows")
+@query("json_key_presence", f"SELECT id, CASE WHEN k IS NULL THEN 'absent' WHEN json_type(payload, '$.' || k) = 'NULL' THEN 'null' ELSE 'value' END AS bin_state, k IS NOT NULL AS has_bin FROM {_BIN_KEY}")
 def _(t: Tables) -> DataFrame:
     m = jf.fields(F.col("payload"))
     return t.json_rows.select("id", jf.state(m, "bin").alias("bin_state"), jf.has_field(m, "bin").alias("has_bin"))
 
 
+@query("json_text_or_number", f"SELECT id, coalesce(json_type(payload, '$.' || k) = 'VARCHAR', FALSE) AS is_text FROM {_BIN_KEY}")
+def _(t: Tables) -> DataFrame:
+    return t.json_rows.select("id", jf.is_text(F.col("payload"), "bin").alias("is_text"))
+
+
 # registration and seeds -------------------------------------------------------------------------------------------------
 
 
@@ -623,9 +638,9 @@ def _(t: Tables) -> DataFrame:
     return registration.new_inputs(as_inputs(t.registered), as_inputs(t.lots.unionByName(t.lots))).drop("entity_id")
 
 
-@query("seed_selection", "SELECT DISTINCT lpad(split_part(trim(bbl), '.', 1), 10, '0') AS parcel FROM parcel_records WHERE bbl IS NOT NULL AND borocode IS NOT NULL AND address IS NOT NULL AND CAST(block AS INT) % 5 IN (0, 1) ORDER BY parcel LIMIT 100")
+@query("seed_selection", "SELECT DISTINCT lpad(split_part(trim(bbl), '.', 1), 10, '0') AS parcel FROM parcel_records WHERE bbl IS NOT NULL AND borocode IS NOT NULL AND address IS NOT NULL AND CAST(block AS INT) % 5 IN (0, 1) ORDER BY parcel LIMIT 10000")
 def _(t: Tables) -> DataFrame:
-    return registration.select_seed(t.parcel_records.withColumn("district", F.col("block").cast("int") % 5), [0, 1], 100)
+    return registration.select_seed(t.parcel_records.withColumn("district", F.col("block").cast("int") % 5), [0, 1], 10_000)
 
 
 @query("log_json_lines", "SELECT payload AS value, count(*) AS n FROM json_rows WHERE id % 3 <> 0 GROUP BY payload")

@@ -1,5 +1,6 @@
 """The engine's relations over the star-schema tables, as SQL that Spark and DuckDB read alike.
 
+Live facts include some under keys that no entity has, and versions some entities without keys.
 ``relation(spark, sf_dir, name)`` is a DataFrame; ``with_clause()`` the same relations for DuckDB. A pair of texts is for
 the one thing the two write differently: gathering keys into a batch's JSON.
 """
@@ -10,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.operators import snapshots
+
 TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "pages", "supplier")
 BATCH = 100
 
@@ -20,10 +23,10 @@ _BATCHES = """SELECT 'r1' AS run_id, batch_number, CASE WHEN batch_number % 4 =
 
 RELATIONS: dict[str, str | tuple[str, str]] = {
     "entity_keys": "SELECT c_nationkey AS entity_id, c_custkey AS scan_key FROM {customer} UNION ALL SELECT (c_nationkey + 1) % 25 AS entity_id, c_custkey AS scan_key FROM {customer} WHERE c_custkey % 10 = 0",
-    "versions": "SELECT n_nationkey AS entity_id, n_nationkey % 4 + 1 + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS version FROM {nation}",
+    "versions": "SELECT n_nationkey AS entity_id, n_nationkey % 4 + 1 + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS version FROM {nation} UNION ALL SELECT n_nationkey + 100, 1 FROM {nation} WHERE n_nationkey < 5",
     "snapshot": "SELECT 'r1' AS run_id, entity_id, scan_key, entity_id % 4 + 1 AS version FROM entity_keys WHERE scan_key % 2 = 0",
     "mixed_snapshot": "SELECT run_id, entity_id, scan_key, version + CASE WHEN entity_id % 9 = 0 AND scan_key % 3 = 0 THEN 1 ELSE 0 END AS version FROM snapshot",
-    "live": """SELECT CAST(o_orderkey AS STRING) AS source_id, o_custkey AS scan_key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS issue_date,
+    "live": """SELECT CAST(o_orderkey AS STRING) AS source_id, CASE WHEN o_orderkey % 19 = 0 THEN -o_custkey ELSE o_custkey END AS scan_key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS issue_date,
   CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'F' THEN 'RESOLVE' END AS status,
   CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 13 = 0 THEN -12.5 WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS DECIMAL(15,2)) AS balance_due,
   CAST(o_orderdate AS TIMESTAMP) AS updated_at, o_orderkey % 11 <> 0 AS is_current, 'r0' AS last_run_id FROM {orders}""",
@@ -81,6 +84,8 @@ def with_clause() -> str:
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "batch_keys":  # a window over all keys in DuckDB, ranges of keys here
+        return snapshots.batch_numbers(snapshots.scan_keys(relation(spark, sf_dir, "snapshot")), BATCH)
     if name not in RELATIONS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = RELATIONS[name] if isinstance(RELATIONS[name], str) else RELATIONS[name][0]
