@@ -3,11 +3,19 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from wardline.operators import feeds
 
 LIVE = "source_id string, scan_key string, issue_date date, status string, balance_due decimal(15,2), updated_at timestamp, is_current boolean"
 
 
+def whole(df):
+    """With the columns of live facts that the tests do not look at."""
+    texts = {c: F.concat(F.lit(f"{c}-"), "source_id") for c in ("id", "row_id", "number")}
+    return df.withColumns(texts | {"last_run_id": F.lit("r1"), "created_at": F.col("updated_at"), "modified_at": F.col("updated_at")})
+
+
 def live(spark, n=60):
     from decimal import Decimal
 
@@ -16,7 +24,7 @@ def live(spark, n=60):
     for k in range(n):
         day = None if k % 4 == 0 else dt.date(2026, 1, 1 + rng.randrange(5))
         rows.append((str(rng.randrange(10**6)) + f"-{k}", f"k{k % 7}", day, rng.choice(["ACTIVE", "active", "RESOLVE", None]), rng.choice([None, Decimal("0.00"), Decimal("-5.00"), Decimal("12.50")]), dt.datetime(2026, 1, 1, k % 5), k % 10 != 9))
-    return rows, spark.createDataFrame(rows, LIVE)
+    return rows, whole(spark.createDataFrame(rows, LIVE))
 
 
 def in_order(rows):
@@ -87,6 +95,16 @@ def test_shapes(spark):
     from decimal import Decimal
 
     df = spark.createDataFrame([("1", "k", dt.date(2026, 2, 3), "ACTIVE", Decimal("10.50"), dt.datetime(2026, 1, 2, 3, 4, 5, 678000), True), ("2", "k", None, None, None, dt.datetime(2026, 1, 1), True)], LIVE)
+    df = whole(df)
     one, two = feeds.entity_shape(df).orderBy("source_id").collect()
-    assert tuple(one) == ("1", "k", "2026-02-03", "ACTIVE", "10.5", "2026-01-02T03:04:05.678Z") and two.balance_due is None
-    assert feeds.portfolio_shape(df).orderBy("source_id").first().balance_due == "10.50"
+    assert tuple(one) == ("1", "k", "number-1", "2026-02-03", "ACTIVE", "10.5", "2026-01-02T03:04:05.678Z") and two.balance_due is None
+    first = feeds.portfolio_shape(df).orderBy("source_id").first()
+    assert first.balance_due == "10.50" and len(first) == 11 and len(feeds.FEED) == 13
+
+
+def test_payload_nests_keys_and_coverage(spark):
+    entities = spark.createDataFrame([(1, 3), (2, 1)], "entity_id int, version int")
+    keys = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a")], "entity_id int, scan_key string")
+    coverage = spark.createDataFrame([(1, "y", "FAILED", None), (1, "x", "CHECKED", "z")], "entity_id int, dataset string, status string, status_reason string")
+    one, two = feeds.entity_payload(entities, keys, coverage).orderBy("entity_id").collect()
+    assert one.scan_keys == ["a", "b"] and [tuple(c) for c in one.coverage] == [("x", "CHECKED", "z"), ("y", "FAILED", None)] and (two.scan_keys, two.coverage) == ([], [])

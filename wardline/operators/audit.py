@@ -32,6 +32,25 @@ def run_metrics(batches: DataFrame) -> DataFrame:
     return batches.groupBy("run_id").agg(F.count("*").alias("n_batches"), *map(status, ("PENDING", "COMPLETED", "FAILED")), F.coalesce(F.sum("rows_fetched"), F.lit(0)).cast("bigint").alias("rows_fetched"), F.bool_or(F.col("status") != "COMPLETED").alias("any_open"))
 
 
+def request_delta(after: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """What counters that only rise have risen by, for each key; one that restarted counts as not risen."""
+    counters = [c for c in after.columns if c != key]
+    old = before.select(key, *(F.col(c).alias(f"__{c}") for c in counters))
+    risen = [F.greatest(F.lit(0), F.col(c) - F.coalesce(f"__{c}", F.lit(0))).cast("bigint").alias(c) for c in counters]
+    return after.join(old, key, "left").select(key, *risen)
+
+
+def operational_summary(runs: DataFrame, snapshot: DataFrame, batches: DataFrame, written: DataFrame) -> DataFrame:
+    """For each run: keys scanned, first calls, retries and all calls, rows fetched and written, and failures: none of a run that
+    is complete, else its failed batches, at least one."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    calls = batches.groupBy("run_id").agg(total(F.col("requests") - F.col("retries")).alias("data_calls"), total("retries").alias("retry_calls"), total("requests").alias("total_calls"), total("rows_fetched").alias("rows_fetched"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+    scanned = snapshot.groupBy("run_id").agg(F.count_distinct("scan_key").alias("keys_scanned"))
+    rows = written.groupBy("run_id").agg(F.count("*").alias("rows_written"))
+    joined = reduce(lambda a, b: a.join(b, "run_id", "left"), (scanned, calls, rows), runs.select("run_id", "status")).na.fill(0)
+    return joined.withColumn("failures", F.when(F.col("status") == "COMPLETED", F.lit(0)).otherwise(F.greatest(F.lit(1), F.col("failed"))).cast("bigint")).drop("failed")
+
+
 def duplicate_audit(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """For each table: rows, distinct keys, and the difference."""
     each = []

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardline.functions import cursors
 from wardline.functions.parsing import iso_millis, shortest_decimal
 
-FEED = ["source_id", "scan_key", "issue_date", "status", "balance_due", "updated_at"]
+FEED = ["id", "source_id", "row_id", "scan_key", "number", "issue_date", "status", "balance_due", "updated_at", "last_run_id", "is_current", "created_at", "modified_at"]
 OPEN = "ACTIVE"
 MAX_PAGE = 100
 
@@ -122,12 +122,13 @@ def read_page(facts: DataFrame, query: FeedQuery) -> tuple[list, str | None]:
 
 def entity_shape(facts: DataFrame) -> DataFrame:
     """Texts as the entity feed writes them: the amount as short as it goes."""
-    return facts.select("source_id", "scan_key", F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"), "status", shortest_decimal(F.col("balance_due")).alias("balance_due"), iso_millis(F.col("updated_at")).alias("updated_at"))
+    return facts.select("source_id", "scan_key", "number", F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"), "status", shortest_decimal(F.col("balance_due")).alias("balance_due"), iso_millis(F.col("updated_at")).alias("updated_at"))
 
 
 def portfolio_shape(facts: DataFrame) -> DataFrame:
     """As the portfolio feed writes them: the amount always with two places."""
-    return facts.select("source_id", "scan_key", F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"), "status", F.col("balance_due").cast("decimal(15,2)").cast("string").alias("balance_due"), iso_millis(F.col("updated_at")).alias("updated_at"), "is_current")
+    amount = F.col("balance_due").cast("decimal(15,2)").cast("string").alias("balance_due")
+    return facts.select("id", "source_id", "row_id", "scan_key", "number", F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"), "status", amount, iso_millis(F.col("updated_at")).alias("updated_at"), "last_run_id", "is_current")
 
 
 def coverage_shape(coverage: DataFrame) -> DataFrame:
@@ -140,3 +141,11 @@ def entity_with_keys(entities: DataFrame, entity_keys: DataFrame) -> DataFrame:
     keys = entity_keys.groupBy("entity_id").agg(F.array_sort(F.collect_set("scan_key")).alias("scan_keys"))
     empty = F.array().cast(keys.schema["scan_keys"].dataType)
     return entities.join(keys, "entity_id", "left").withColumn("scan_keys", F.coalesce("scan_keys", empty))
+
+
+def entity_payload(entities: DataFrame, entity_keys: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Each entity with its keys and, as structs, its coverage of each dataset."""
+    told = F.struct("dataset", "status", "status_reason")
+    covered = coverage.groupBy("entity_id").agg(F.array_sort(F.collect_list(told)).alias("coverage"))
+    empty = F.array().cast(covered.schema["coverage"].dataType)
+    return entity_with_keys(entities, entity_keys).join(covered, "entity_id", "left").withColumn("coverage", F.coalesce("coverage", empty))

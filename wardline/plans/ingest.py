@@ -154,7 +154,7 @@ class Ingestion:
         # rows of a batch's last attempt: an earlier one may have seen a bad row, and what it saw may be older
         last = landed.join(self.states(run).select("batch_number", "attempt"), ["batch_number", "attempt"])
         staged = last_wins(last.select(*landing.CANDIDATE), ["source_id"], ["updated_at", "row_id"])
-        live = publish.reconcile(publish.promote(self.store.table("live", v), staged, run.run_id), snap, run.run_id)
+        live = publish.reconcile(publish.promote(self.store.table("live", v), staged, run.run_id, now), snap, run.run_id)
         checked = publish.merge_coverage(coverage, publish.success_changes(snap, versions, coverage, runs, done))
         tables |= {"live": live, "coverage": publish.merge_coverage(checked, publish.stale_changes(snap, versions, coverage, runs, done))}
         return self._close(run, control.COMPLETED, tables, None)

@@ -49,14 +49,15 @@ def day(c: str | Column) -> Column:
 
 # feeds ------------------------------------------------------------------------------------------------------------------
 
-_FEED = "source_id, scan_key, CAST(issue_date AS STRING) AS issue_date, status, CAST(balance_due AS STRING) AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at"
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ') AS {0}"
+_FEED = f"id, source_id, row_id, scan_key, number, CAST(issue_date AS STRING) AS issue_date, status, CAST(balance_due AS STRING) AS balance_due, {_ISO.format('updated_at')}, last_run_id, is_current, {_ISO.format('created_at')}, {_ISO.format('modified_at')}"
 _OWN = f"scan_key IN (SELECT scan_key FROM entity_keys WHERE entity_id = {ENTITY})"
 _ALL = "scan_key IN (SELECT scan_key FROM entity_keys)"
 _DATED, _UPDATED = "live.issue_date DESC NULLS LAST, source_id DESC", "live.updated_at DESC, source_id DESC"
 
 
 def _shown(page: DataFrame) -> DataFrame:
-    return page.withColumns({"issue_date": day("issue_date"), "balance_due": F.col("balance_due").cast("string"), "updated_at": parsing.iso_millis(F.col("updated_at"))})
+    return page.withColumns({"issue_date": day("issue_date"), "balance_due": F.col("balance_due").cast("string"), **{c: parsing.iso_millis(F.col(c)) for c in ("updated_at", "created_at", "modified_at")}})
 
 
 def _page_sql(scope: str, where: str = "TRUE", order: str = _DATED) -> str:
@@ -99,17 +100,16 @@ def _(t: Tables) -> DataFrame:
     return _shown(feeds.page(rows, LIMIT, by_update=True))
 
 
-@query("feed_shape_property", rf"SELECT source_id, scan_key, strftime(issue_date, '%Y-%m-%d') AS issue_date, status, regexp_replace(regexp_replace(CAST(balance_due AS STRING), '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at FROM live WHERE {_OWN}")
+@query("feed_shape_property", rf"SELECT source_id, scan_key, number, strftime(issue_date, '%Y-%m-%d') AS issue_date, status, regexp_replace(regexp_replace(CAST(balance_due AS STRING), '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at FROM live WHERE {_OWN}")
 def _(t: Tables) -> DataFrame:
     return feeds.entity_shape(feeds.of_entity(t.live, t.entity_keys, ENTITY))
 
 
-@query("feed_shape_portfolio", f"SELECT source_id, scan_key, strftime(issue_date, '%Y-%m-%d') AS issue_date, status, CAST(balance_due AS STRING) AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at, is_current FROM live WHERE {_ALL}")
+@query("feed_shape_portfolio", f"SELECT id, source_id, row_id, scan_key, number, strftime(issue_date, '%Y-%m-%d') AS issue_date, status, CAST(balance_due AS STRING) AS balance_due, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at, last_run_id, is_current FROM live WHERE {_ALL}")
 def _(t: Tables) -> DataFrame:
     return feeds.portfolio_shape(feeds.of_portfolio(t.live, t.entity_keys))
 
 
-_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ') AS {0}"
 _COVERAGE = "entity_id, status, status_reason, last_attempt_run_id, last_success_run_id, " + ", ".join(_ISO.format(c) for c in ("last_attempt_at", "last_success_at", "source_version_at")) + ", last_error"
 
 
@@ -123,6 +123,15 @@ def _(t: Tables) -> DataFrame:
     return feeds.entity_with_keys(t.versions, t.entity_keys).withColumn("scan_keys", F.array_join(F.col("scan_keys").cast("array<string>"), ","))
 
 
+@query("entity_payload", """SELECT entity_id, version, coalesce(keys, '') AS scan_keys, coalesce(told, '') AS coverage FROM versions LEFT JOIN (SELECT entity_id, string_agg(CAST(scan_key AS STRING), ',' ORDER BY scan_key) AS keys FROM (SELECT DISTINCT entity_id, scan_key FROM entity_keys) AS d GROUP BY entity_id) AS k USING (entity_id)
+  LEFT JOIN (SELECT entity_id, string_agg(dataset || ':' || status || ':' || coalesce(status_reason, ''), ';' ORDER BY dataset) AS told FROM (SELECT entity_id, d.dataset, status, status_reason FROM coverage CROSS JOIN (VALUES ('ecb'), ('permits')) AS d(dataset) WHERE d.dataset = 'ecb' OR entity_id % 2 = 0) AS c GROUP BY entity_id) AS t USING (entity_id)""")
+def _(t: Tables) -> DataFrame:
+    datasets = F.explode(F.when(F.col("entity_id") % 2 == 0, F.array(F.lit("ecb"), F.lit("permits"))).otherwise(F.array(F.lit("ecb")))).alias("dataset")
+    found = feeds.entity_payload(t.versions, t.entity_keys, t.coverage.select("entity_id", "status", "status_reason", datasets))
+    told = F.transform("coverage", lambda c: F.concat(c["dataset"], F.lit(":"), c["status"], F.lit(":"), F.coalesce(c["status_reason"], F.lit(""))))
+    return found.select("entity_id", "version", F.array_join(F.col("scan_keys").cast("array<string>"), ",").alias("scan_keys"), F.array_join(told, ";").alias("coverage"))
+
+
 # snapshots and batches --------------------------------------------------------------------------------------------------
 
 
@@ -178,29 +187,33 @@ def _(t: Tables) -> DataFrame:
     return merge.insert_if_absent(t.raw_table, t.raw_rows, ["source_id", "updated_text"], ["event_id"]).select("source_id", "updated_text", "event_id")
 
 
-_PROMOTED = """promoted AS (SELECT coalesce(s.source_id, l.source_id) AS source_id, CASE WHEN s.source_id IS NULL THEN l.scan_key ELSE s.scan_key END AS scan_key, CASE WHEN s.source_id IS NULL THEN l.issue_date ELSE s.issue_date END AS issue_date,
-  CASE WHEN s.source_id IS NULL THEN l.status ELSE s.status END AS status, CASE WHEN s.source_id IS NULL THEN l.balance_due ELSE s.balance_due END AS balance_due, CASE WHEN s.source_id IS NULL THEN l.updated_at ELSE s.updated_at END AS updated_at,
-  CASE WHEN s.source_id IS NULL THEN l.is_current ELSE TRUE END AS is_current, CASE WHEN s.source_id IS NULL THEN l.last_run_id ELSE 'r1' END AS last_run_id FROM live l FULL JOIN staged s ON l.source_id = s.source_id)"""
+_STAGED_COLUMNS = ("row_id", "scan_key", "number", "issue_date", "status", "balance_due", "updated_at")
+_NOW = "TIMESTAMP '2024-01-09 01:02:03'"
+_PROMOTED = f"""promoted AS (SELECT coalesce(s.source_id, l.source_id) AS source_id, coalesce(l.id, md5(s.source_id)) AS id, {", ".join(f"CASE WHEN s.source_id IS NULL THEN l.{c} ELSE s.{c} END AS {c}" for c in _STAGED_COLUMNS)},
+  CASE WHEN s.source_id IS NULL THEN l.is_current ELSE TRUE END AS is_current, CASE WHEN s.source_id IS NULL THEN l.last_run_id ELSE 'r1' END AS last_run_id, coalesce(l.created_at, {_NOW}) AS created_at, CASE WHEN s.source_id IS NULL THEN l.modified_at ELSE {_NOW} END AS modified_at FROM live l FULL JOIN staged s ON l.source_id = s.source_id)"""
 _RETIRED = "is_current AND NOT (is_current AND last_run_id IS DISTINCT FROM 'r1' AND scan_key IN (SELECT scan_key FROM snapshot))"
 
 
+_FINISHED = "2024-01-09 01:02:03"
+
+
 def _live(df: DataFrame) -> DataFrame:
     return _shown(df)
 
 
-@query("live_promote", f", {_PROMOTED} SELECT {_FEED}, is_current, last_run_id FROM promoted")
+@query("live_promote", f", {_PROMOTED} SELECT {_FEED} FROM promoted")
 def _(t: Tables) -> DataFrame:
-    return _live(publish.promote(t.live, t.staged, "r1"))
+    return _live(publish.promote(t.live, t.staged, "r1", _FINISHED))
 
 
-@query("live_reconcile", f"SELECT {_FEED}, {_RETIRED} AS is_current, last_run_id FROM live")
+@query("live_reconcile", f"SELECT {_FEED.replace('is_current', f'{_RETIRED} AS is_current')} FROM live")
 def _(t: Tables) -> DataFrame:
     return _live(publish.reconcile(t.live, t.snapshot, "r1"))
 
 
-@query("live_promote_and_reconcile", f", {_PROMOTED} SELECT {_FEED}, {_RETIRED} AS is_current, last_run_id FROM promoted")
+@query("live_promote_and_reconcile", f", {_PROMOTED} SELECT {_FEED.replace('is_current', f'{_RETIRED} AS is_current')} FROM promoted")
 def _(t: Tables) -> DataFrame:
-    return _live(publish.reconcile(publish.promote(t.live, t.staged, "r1"), t.snapshot, "r1"))
+    return _live(publish.reconcile(publish.promote(t.live, t.staged, "r1", _FINISHED), t.snapshot, "r1"))
 
 
 # coverage ---------------------------------------------------------------------------------------------------------------
@@ -317,6 +330,19 @@ def _(t: Tables) -> DataFrame:
     return audit.run_metrics(_batches(t))
 
 
+@query("operational_summary", """SELECT r.run_id, r.status, coalesce(s.n, 0) AS keys_scanned, CAST(coalesce(b.data_calls, 0) AS BIGINT) AS data_calls, CAST(coalesce(b.retry_calls, 0) AS BIGINT) AS retry_calls, CAST(coalesce(b.total_calls, 0) AS BIGINT) AS total_calls, CAST(coalesce(b.rows_fetched, 0) AS BIGINT) AS rows_fetched, coalesce(w.n, 0) AS rows_written,
+  CASE WHEN r.status = 'COMPLETED' THEN 0 ELSE greatest(1, coalesce(b.failed, 0)) END AS failures FROM runs r LEFT JOIN (SELECT run_id, count(DISTINCT scan_key) AS n FROM snapshot GROUP BY run_id) s USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS n FROM staged GROUP BY run_id) w USING (run_id)
+  LEFT JOIN (SELECT run_id, sum(requests - retries) AS data_calls, sum(retries) AS retry_calls, sum(requests) AS total_calls, sum(rows_fetched) AS rows_fetched, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM batches GROUP BY run_id) b USING (run_id)""")
+def _(t: Tables) -> DataFrame:
+    return audit.operational_summary(t.runs, t.snapshot, _batches(t), t.staged)
+
+
+@query("request_metrics_delta", "SELECT batch_number, CAST(greatest(0, requests - CASE WHEN batch_number % 5 = 0 THEN 0 ELSE rows_fetched - 2 END) AS BIGINT) AS requests, CAST(greatest(0, retries - CASE WHEN batch_number % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS retries FROM batches")
+def _(t: Tables) -> DataFrame:
+    before = _batches(t).where("batch_number % 5 <> 0").select("batch_number", (F.col("rows_fetched") - 2).alias("requests"), F.lit(1).alias("retries"))  # others are new
+    return audit.request_delta(_batches(t).select("batch_number", "requests", "retries"), before, "batch_number")
+
+
 @query("duplicate_audit", """SELECT 'raw' AS table_name, count(*) AS total, count(DISTINCT source_id || '|' || updated_text) AS distinct_keys, count(*) - count(DISTINCT source_id || '|' || updated_text) AS excess FROM raw_rows
   UNION ALL SELECT 'live', count(*), count(DISTINCT source_id), count(*) - count(DISTINCT source_id) FROM live""")
 def _(t: Tables) -> DataFrame:

@@ -18,7 +18,7 @@ BATCH = 100
 
 _PARCEL = "'1' || lpad(CAST(c_custkey % 700 AS STRING), 5, '0') || lpad(CAST(CASE WHEN c_custkey % 3 = 0 THEN 1001 + c_custkey % 40 ELSE c_custkey % 40 END AS STRING), 4, '0')"
 _BATCHES = """SELECT 'r1' AS run_id, batch_number, CASE WHEN batch_number % 4 = 0 OR batch_number % 6 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-  CASE WHEN batch_number % 4 = 0 THEN 'UPSTREAM_TIMEOUT ' || CAST(batch_number AS STRING) WHEN batch_number % 6 = 0 THEN ' ' END AS last_error, count(*) * 3 AS rows_fetched,
+  CASE WHEN batch_number % 4 = 0 THEN 'UPSTREAM_TIMEOUT ' || CAST(batch_number AS STRING) WHEN batch_number % 6 = 0 THEN ' ' END AS last_error, count(*) * 3 AS rows_fetched, count(*) + batch_number % 3 AS requests, batch_number % 3 AS retries,
   CASE WHEN batch_number = 8 THEN '{{"keys":"x"}}' ELSE '{{"keys":["' || %s || '"]}}' END AS definition FROM batch_keys GROUP BY batch_number"""
 
 RELATIONS: dict[str, str | tuple[str, str]] = {
@@ -26,11 +26,11 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
     "versions": "SELECT n_nationkey AS entity_id, n_nationkey % 4 + 1 + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS version FROM {nation} UNION ALL SELECT n_nationkey + 100, 1 FROM {nation} WHERE n_nationkey < 5",
     "snapshot": "SELECT 'r1' AS run_id, entity_id, scan_key, entity_id % 4 + 1 AS version FROM entity_keys WHERE scan_key % 2 = 0",
     "mixed_snapshot": "SELECT run_id, entity_id, scan_key, version + CASE WHEN entity_id % 9 = 0 AND scan_key % 3 = 0 THEN 1 ELSE 0 END AS version FROM snapshot",
-    "live": """SELECT CAST(o_orderkey AS STRING) AS source_id, CASE WHEN o_orderkey % 19 = 0 THEN -o_custkey ELSE o_custkey END AS scan_key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS issue_date,
+    "live": """SELECT md5(CAST(o_orderkey AS STRING)) AS id, CAST(o_orderkey AS STRING) AS source_id, 'row-' || CAST(o_orderkey AS STRING) AS row_id, CASE WHEN o_orderkey % 23 <> 0 THEN 'V' || CAST(o_orderkey AS STRING) END AS number, CASE WHEN o_orderkey % 19 = 0 THEN -o_custkey ELSE o_custkey END AS scan_key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS issue_date,
   CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'F' THEN 'RESOLVE' END AS status,
   CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 13 = 0 THEN -12.5 WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS DECIMAL(15,2)) AS balance_due,
-  CAST(o_orderdate AS TIMESTAMP) AS updated_at, o_orderkey % 11 <> 0 AS is_current, 'r0' AS last_run_id FROM {orders}""",
-    "staged": """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'n' ELSE '' END || CAST(o_orderkey AS STRING) AS source_id, o_custkey AS scan_key, CAST(o_orderdate AS DATE) AS issue_date, 'ACTIVE' AS status,
+  CAST(o_orderdate AS TIMESTAMP) AS updated_at, o_orderkey % 11 <> 0 AS is_current, 'r0' AS last_run_id, CAST('2024-01-01 00:00:01' AS TIMESTAMP) AS created_at, CAST('2024-01-02 03:04:05' AS TIMESTAMP) AS modified_at FROM {orders}""",
+    "staged": """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'n' ELSE '' END || CAST(o_orderkey AS STRING) AS source_id, 'row2-' || CAST(o_orderkey AS STRING) AS row_id, 'W' || CAST(o_orderkey AS STRING) AS number, o_custkey AS scan_key, CAST(o_orderdate AS DATE) AS issue_date, 'ACTIVE' AS status,
   CAST(o_totalprice + 1 AS DECIMAL(15,2)) AS balance_due, CAST(o_orderdate AS TIMESTAMP) AS updated_at, 'r1' AS run_id FROM {orders} WHERE (o_orderkey % 3 = 0 OR o_orderkey % 50 = 0) AND o_custkey % 2 = 0""",
     "runs": "SELECT * FROM (VALUES ('r0', 'COMPLETED', CAST('2024-01-01 00:00:00' AS TIMESTAMP)), ('r1', 'RUNNING', CAST('2024-01-08 00:00:00' AS TIMESTAMP)), ('r2', 'COMPLETED', CAST('2024-01-15 00:00:00' AS TIMESTAMP)), ('a3', 'FAILED', CAST('2024-01-22 00:00:00' AS TIMESTAMP))) AS t(run_id, status, started_at)",
     "coverage": """SELECT n_nationkey AS entity_id, CASE n_nationkey % 3 WHEN 0 THEN 'CHECKED' WHEN 1 THEN 'NOT_CHECKED' ELSE 'FAILED' END AS status, CASE WHEN n_nationkey % 3 = 1 THEN 'NEVER_INGESTED' END AS status_reason,
