@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.binding import let
+
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
@@ -47,31 +49,34 @@ def recased_address(text: Column) -> Column:
 
 #: The words that introduce a unit, and what each is written as.
 UNIT_WORDS = {"apt": "Apt", "apartment": "Apt", "unit": "Unit", "suite": "Ste", "ste": "Ste", "floor": "Fl", "fl": "Fl"}
-_VALUE = "([A-Za-z0-9][A-Za-z0-9-]*)"
-_WORDS = "|".join(UNIT_WORDS)
-_ONLY = rf"(?i)^({_WORDS})\.?{SPACE}+{_VALUE}$"
-_LAST = rf"(?i){SPACE}+(?:({_WORDS})\.?{SPACE}+{_VALUE}|#{SPACE}*{_VALUE}){SPACE}*$"
-
-
 def address_parts(text: Column) -> Column:
-    """Struct of base, unit, key and error. A unit is found at the end only; a text that is nothing but a unit has an
-    empty base and is an error, as are texts without any letter or digit."""
+    """Struct of base, unit, key and error. A unit is the last two words, or the last one if it begins with its mark; a text
+    that is nothing but a unit has an empty base and is an error, as are texts without any letter or digit."""
     flat = collapsed(text)
-    only = F.regexp_extract(flat, _ONLY, 2)
-    word = F.lower(F.coalesce(F.nullif(F.regexp_extract(flat, _ONLY, 1), F.lit("")), F.regexp_extract(flat, _LAST, 1)))
-    value = F.upper(F.coalesce(*(F.nullif(x, F.lit("")) for x in (only, F.regexp_extract(flat, _LAST, 2), F.regexp_extract(flat, _LAST, 3)))))
-    found = flat.rlike(_ONLY) | flat.rlike(_LAST)
-    base = F.when(flat.rlike(_ONLY), F.lit("")).otherwise(recased_address(F.regexp_replace(flat, _LAST, "")))
     names = F.create_map(*(F.lit(x) for pair in UNIT_WORDS.items() for x in pair))
-    label = F.when(found, F.coalesce(F.try_element_at(names, word), F.lit("#")))
+
+    def parts(words: Column) -> Column:
+        n = F.size(words)
+        last, before = F.element_at(words, -1), F.get(words, n - 2)
+        is_value = lambda v: v.rlike("^[A-Za-z0-9][A-Za-z0-9-]*$")
+        word = F.try_element_at(names, F.lower(F.when(before.endswith("."), F.substr(before, F.lit(1), F.length(before) - 1)).otherwise(before)))
+        named = word.isNotNull() & is_value(last)
+        marked = (before == "#") & is_value(last) & (n > 2)
+        joined = last.startswith("#") & is_value(F.substr(last, F.lit(2))) & (n > 1)
+        taken = F.when(named | marked, F.lit(2)).when(joined, F.lit(1)).otherwise(F.lit(0))
+        value = F.upper(F.when(named | marked, last).when(joined, F.substr(last, F.lit(2))))
+        base = recased_address(F.array_join(F.slice(words, F.lit(1), n - taken), " "))
+        return F.struct(base.alias("base"), F.when(named, word).when(taken > 0, F.lit("#")).alias("label"), value.alias("value"))
+
+    found = let(F.split(flat, " "), parts)
     error = (
         F.when(text.isNull() | (flat == ""), F.lit("ADDRESS_EMPTY"))
         .when(~flat.rlike("[A-Za-z0-9]"), F.lit("ADDRESS_NO_CONTENT"))
-        .when(~base.rlike("[A-Za-z0-9]"), F.lit("ADDRESS_UNIT_ONLY"))
+        .when(~found["base"].rlike("[A-Za-z0-9]"), F.lit("ADDRESS_UNIT_ONLY"))
     )
     ok = error.isNull()
-    key = F.concat_ws(" ", base, label, F.when(found, value))
-    return F.struct(F.when(ok, base).alias("base"), F.when(ok & found, value).alias("unit"), F.when(ok, key).alias("key"), error.alias("error"))
+    key = F.concat_ws(" ", found["base"], found["label"], found["value"])
+    return F.struct(F.when(ok, found["base"]).alias("base"), F.when(ok, found["value"]).alias("unit"), F.when(ok, key).alias("key"), error.alias("error"))
 
 
 #: Short street words and what they stand for.
@@ -81,12 +86,21 @@ STREET_WORDS = {
 }
 
 
+#: What follows the number of a numbered street.
+ORDINALS = ("ST", "ND", "RD", "TH")
+
+
+def _cardinal(piece: Column) -> Column:
+    number = F.substr(piece, F.lit(1), F.length(piece) - 2)
+    return F.when(F.right(piece, F.lit(2)).isin(*ORDINALS) & number.rlike("^[0-9]+$"), number).otherwise(piece)
+
+
 def street_evidence(text: Column) -> Column:
     """A street in the form in which two spellings of it compare equal."""
-    plain = F.regexp_replace(F.upper(text), r"\b([0-9]+)(?:ST|ND|RD|TH)\b", "$1")
-    tokens = F.split(F.trim(F.regexp_replace(plain, "[^A-Z0-9-]+", " ")), " +")
+    tokens = F.split(F.trim(F.regexp_replace(F.upper(text), "[^A-Z0-9-]+", " ")), " +")
     names = F.create_map(*(F.lit(x) for pair in STREET_WORDS.items() for x in pair))
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(names, t), t)), " ")
+    plain = F.transform(tokens, lambda t: F.array_join(F.transform(F.split(t, "-"), _cardinal), "-"))
+    return F.array_join(F.transform(plain, lambda t: F.coalesce(F.try_element_at(names, t), t)), " ")
 
 
 #: Fixed values.
