@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, LongType, StructField, StructType
 
+from wardline.llm.sieve import sifted
 from wardline.llm.storage import carried, small_batches, staged
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -179,7 +180,7 @@ def _rebuilt(text: pa.Array, removed: pa.Array) -> pa.Array:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """docs without the rows that the rules reject, and texts without their removed lines; all columns kept. Texts are
-    carried along while they are profiled; what the rows that lose lines lose is joined to them."""
+    carried along while they are profiled; what the rows that lose lines lose is joined to those rows alone."""
     return carried(docs, lambda d: _filtered(d))
 
 
@@ -192,11 +193,12 @@ def _filtered(docs: DataFrame) -> DataFrame:
     good = rows.where(~F.col(f"{_PREFIX}failed"))
     # one row for each key: rows of the same id and text share it
     lost = staged(removed_words(profiles).withColumnsRenamed({c: f"{_PREFIX}{c}" for c in ("n_removed_words", "removed")}), "lost")
+    perhaps, whole = sifted(good, lost, KEYS)
     left = F.col(f"{_PREFIX}n_words") - F.coalesce(f"{_PREFIX}n_removed_words", F.lit(0))
-    kept = good.join(lost, KEYS, "left").where(left >= KEPT_SHARE * F.col(f"{_PREFIX}n_words"))
+    kept = perhaps.join(lost.hint("merge"), KEYS, "left").where(left >= KEPT_SHARE * F.col(f"{_PREFIX}n_words"))
     hit = F.col(f"{_PREFIX}removed").isNotNull()
     rebuilt = F.arrow_udf(_rebuilt, "string")(F.when(hit, F.col("text")), f"{_PREFIX}removed")
-    return kept.withColumn("text", F.coalesce(rebuilt, "text")).select(*docs.columns)
+    return kept.withColumn("text", F.coalesce(rebuilt, "text")).select(*docs.columns).unionByName(whole.select(*docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.llm.sieve import sifted, without
 from wardline.llm.storage import carried, small_batches, spread, staged
 
 WORDS, RADIUS = 3, 2
@@ -326,7 +327,8 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme
     load = F.greatest(F.count("*") / VERIFY_ROWS, F.sum("n") / VERIFY_SHINGLES)
     sizes = members.groupBy("component").agg(F.ceil(load).cast("int").alias("tiles"))
     wanted = staged(members.join(sizes, "component").withColumnRenamed("doc", "__id"), "candidates")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), _text(), "text").join(wanted, ["__id", "__text"])
+    texts, _ = sifted(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), _text(), "text"), wanted, ["__id", "__text"])
+    texts = texts.join(wanted.hint("merge"), ["__id", "__text"])
     return _dealt(texts, "component", scheme, ["fp", "keys", "text"], judged=True)
 
 
@@ -388,8 +390,8 @@ def _representatives(docs: DataFrame, scheme: Scheme) -> DataFrame:
     repeated = staged(chosen.where("one.n > 1").select("one.__id", "one.__text"), "repeated")
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(NULL_ID)), "__text": _text()})
     order = Window.partitionBy(*key).orderBy(F.to_json(F.struct(*docs.columns)))
-    once = keyed.join(repeated, key, "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    single = keyed.join(gone.unionByName(repeated), key, "left_anti")
+    once = sifted(keyed, repeated, key)[0].join(repeated, key, "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    single = without(keyed, gone.unionByName(repeated), key)
     return single.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
