@@ -67,6 +67,14 @@ def strict_identifier(text: Column, digits: int) -> Column:
     return F.when(whole.rlike(f"^[0-9]{{{digits}}}$"), whole)
 
 
+def typed_parcel(value: Column, is_number: Column) -> Column:
+    """As a third writes it, struct of value and error: a number is cut to a whole one and padded, a text is canonical or it
+    is an error, as is everything else."""
+    whole = F.lpad(F.floor(value.try_cast("decimal(30,6)")).cast("string"), PARCEL_DIGITS, "0")  # large numbers come with exponents
+    found = canonical_parcel(F.when(is_number, whole).otherwise(value))
+    return F.struct(found.alias("value"), F.when(found.isNull(), F.lit("MALFORMED_PARCEL")).alias("error"))
+
+
 def source_integer(text: Column) -> Column:
     whole = F.split_part(stripped(text), F.lit("."), F.lit(1))
     return F.when(whole.rlike("^[0-9]+$"), whole.try_cast("int"))

@@ -31,6 +31,14 @@ def required_text(values: Column, name: str) -> Column:
     return optional(field(values, name))
 
 
+def _type(json: Column, name: str) -> Column:
+    return F.coalesce(F.schema_of_variant(field(F.from_json(json, "map<string,variant>"), name)), F.lit("VOID"))
+
+
 def is_text(json: Column, name: str) -> Column:
     """Whether the field, found as ``field`` finds it, is a JSON text, not a number or anything else."""
-    return F.coalesce(F.schema_of_variant(field(F.from_json(json, "map<string,variant>"), name)) == "STRING", F.lit(False))
+    return _type(json, name) == "STRING"
+
+
+def is_number(json: Column, name: str) -> Column:
+    return _type(json, name).rlike("^(?:BIGINT|DOUBLE|DECIMAL)")

@@ -68,6 +68,13 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
   WHEN p_partkey % 4 = 3 THEN '7501' WHEN p_partkey % 13 = 0 THEN '7502' ELSE '0001' END END AS parcel,
   CASE WHEN p_partkey % 5 = 0 THEN '1999998' WHEN p_partkey % 5 = 1 THEN '1000000' WHEN p_partkey % 5 = 2 THEN '1' || lpad(CAST((p_partkey % 700 * 41 + p_partkey % 40 * 7 + 1) % 1000000 AS STRING), 6, '0') END AS building, CAST(k AS STRING) AS source_id
   FROM {part} CROSS JOIN (VALUES (1), (2)) AS twice(k) WHERE p_partkey % 29 <> 0""",
+    "typed_rows": """SELECT p_partkey AS id, '{{"bbl":' || CASE p_partkey % 7 WHEN 0 THEN '1' || lpad(CAST(p_partkey AS STRING), 9, '0') || '.25' WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN '"1' || lpad(CAST(p_partkey AS STRING), 9, '0') || '"' WHEN 3 THEN '" 1 ' || lpad(CAST(p_partkey AS STRING), 9, '0') || '"' WHEN 4 THEN '"12"' WHEN 5 THEN 'null' ELSE 'true' END
+  || ',"count":' || CASE p_partkey % 4 WHEN 0 THEN '"' || CAST(p_partkey AS STRING) || '"' WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN '-1' ELSE '"1.5"' END || '}}' AS payload FROM {part}""",
+    "replies": """SELECT s_suppkey AS input_id, CAST(s_suppkey AS STRING) || ' Main St' AS address, '{{"features":[' || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '{{"geometry":{{"coordinates":[-73.5,40.25]}},"properties":{{"label":" L' || CAST(s_suppkey AS STRING) || ' ","name":' || CASE WHEN s_suppkey % 3 = 0 THEN '""' ELSE '"N"' END || ',"layer":"address","borough":"Queens","confidence":' || CASE WHEN s_suppkey % 4 = 0 THEN '"0.5"' WHEN s_suppkey % 4 = 1 THEN '"x"' ELSE '0.75' END
+  || CASE WHEN s_suppkey % 2 = 0 THEN ',"pad_bbl":"100001' || lpad(CAST(s_suppkey % 10000 AS STRING), 4, '0') || '"' ELSE '' END || ',"addendum":{{"pad":{{"bbl":2000010001,"bin":"' || CASE WHEN s_suppkey % 6 = 0 THEN '12' ELSE '1000001' END || '"}}}},"id":' || CAST(s_suppkey AS STRING) || '}}}},{{"geometry":{{"coordinates":[]}},"properties":{{"name":"unlabelled"}}}}' END || ']}}' AS reply FROM {supplier}""",
+    "landed_rows": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 = 0 THEN 'no object' ELSE '{{"isn_dob_bis_extract":' || CASE WHEN o_orderkey % 29 = 0 THEN '" "' ELSE '"' || CAST(o_orderkey AS STRING) || '"' END || CASE WHEN o_orderkey % 23 = 0 THEN '' ELSE ',":id":"row-' || CAST(o_orderkey AS STRING) || '"' END
+  || ',":updated_at":"' || substr(CAST(o_orderdate AS STRING), 1, 10) || 'T01:02:03.456Z","BIN":' || CASE WHEN o_orderkey % 19 = 0 THEN '"x"' ELSE '" 1' || lpad(CAST(o_custkey AS STRING), 6, '0') || '"' END || ',"ecb_violation_status":" ACTIVE "'
+  || ',"issue_date":' || CASE o_orderkey % 5 WHEN 0 THEN '"0"' WHEN 1 THEN '"' || replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '') || '"' WHEN 2 THEN 'null' WHEN 3 THEN '0' ELSE '"20261350"' END || ',"balance_due":' || CASE WHEN o_orderkey % 7 = 0 THEN '"1,0x"' ELSE '"' || CAST(o_custkey AS STRING) || '.50"' END || '}}' END AS payload FROM {orders}""",
     "dated_texts": """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN strf WHEN 1 THEN ' ' || replace(strf, '-', '') || ' ' WHEN 2 THEN substr(strf, 6, 2) || '/' || substr(strf, 9, 2) || '/' || substr(strf, 1, 4) WHEN 3 THEN strf || 'T10:20:30.123456Z'
   WHEN 4 THEN '0' WHEN 5 THEN ' 0 ' WHEN 6 THEN '2026-02-30' WHEN 7 THEN strf || 'T23:59:59-05:00' ELSE '0099-01-01' END AS text FROM (SELECT o_orderkey, substr(CAST(o_orderdate AS STRING), 1, 10) AS strf FROM {orders}) AS o""",
     "amount_texts": "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN '-125.50' WHEN 1 THEN ' 1,250.005 ' WHEN 2 THEN '.5' WHEN 3 THEN '7.' WHEN 4 THEN '1e3' WHEN 5 THEN '' WHEN 6 THEN '99999999999999999' ELSE CAST(o_orderkey AS STRING) END AS text FROM {orders}",
