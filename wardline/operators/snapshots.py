@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def batch_numbers(keys: DataFrame, size: int) -> DataFrame:
     ranged = keys.select("scan_key", F.lit(0).alias("__zero")).repartitionByRange(parts, "scan_key").withColumn("__part", F.spark_partition_id())
     found = ranged.groupBy("__part").agg(F.min("scan_key").alias("first"), F.count("*").alias("n")).collect()
     ranges = sorted(found, key=lambda r: (r.first is not None, r.first))
-    before = F.array(F.lit(0), *(F.lit(sum(r.n for r in ranges[: k + 1])) for k in range(len(ranges))))
+    before = F.array(*map(F.lit, accumulate((r.n for r in ranges), initial=0)))
     firsts = F.array(*(F.lit(r.first) for r in ranges)).cast(f"array<{kind}>")
 
     def halved(b: Column) -> Column:
