@@ -2,8 +2,9 @@
 
 A text is cut into pre-tokens at single ASCII blanks. The tokenizer drops white space and none of its rules look
 across it, so a text's count is the sum over its pre-tokens. The lengths of the most frequent pre-tokens are
-broadcast as one small table; a mergeable sketch over all texts names them, so no pre-token is shuffled. What that
-table misses goes to a cache of the Python worker, and what that misses is encoded by the library.
+broadcast as one compact table, two arrays, which Arrow hashes and asks for a whole batch of pre-tokens at once; a
+mergeable sketch over all texts names them, so no pre-token is shuffled. What that table misses goes, once for each batch,
+to a cache of the Python worker, and what that misses is encoded by the library.
 The table only saves time: counts are the library's own with any table, an empty one included.
 
 Memory is bounded: the table by TABLE_ROWS entries of TABLE_CHARS characters, a worker's cache by CACHE_ROWS.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,36 +40,56 @@ def frequent(docs: DataFrame) -> list[str]:
     return [r["item"] for r in top_items(words, "word", TABLE_ROWS, TABLE_TRACKED).collect()]
 
 
-class Counter:
-    """Both tiers of one worker."""
+SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
-    def __init__(self, path: str, table: dict[str, int]):
-        encode = tokenizer(path).encode
-        self.sizes = Pieces(path, CACHE_ROWS, "", True, len, lambda piece: len(encode(piece, add_special_tokens=False).ids))
-        self.sizes.update(table)
 
-    def count(self, text: str | None) -> int:
-        return sum(map(self.sizes.__getitem__, (text or "").translate(TO_SPACE).split(" ")))
+def second_tier(path: str) -> Pieces:
+    encode = tokenizer(path).encode
+    return Pieces(path, CACHE_ROWS, "", True, len, lambda piece: len(encode(piece, add_special_tokens=False).ids))
 
 
 @cache
-def worker_counter(path: str) -> Counter:
-    """One for each Python worker, which keeps its cache from task to task."""
-    return Counter(path, {})
+def worker_tier(path: str) -> Pieces:
+    """One for each Python worker, which keeps it from task to task."""
+    return second_tier(path)
 
 
-TO_SPACE = str.maketrans({c: " " for c in BLANKS})
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+class Counter:
+    """Both tiers. table: of the first, pre-tokens and their lengths."""
+
+    def __init__(self, path: str, table: dict[str, int], sizes: Pieces | None = None):
+        import numpy as np
+
+        self.sizes = second_tier(path) if sizes is None else sizes
+        self.words, self.lengths = pa.array(["", *table], pa.string()), np.array([0, *table.values()], np.int64)
+
+    def counts(self, texts: pa.Array):
+        """The first tier is asked for all pre-tokens of the batch at once; each that it lacks is asked of the second once."""
+        import numpy as np
+
+        split = pc.split_pattern_regex(pc.fill_null(texts, ""), f"[{BLANKS}]")  # at least one for each text, empty ones too
+        flat = split.flatten()
+        at = pc.index_in(flat, value_set=self.words)
+        n = self.lengths[pc.fill_null(at, 0).to_numpy()]
+        missed = at.is_null()
+        if pc.any(missed).as_py():
+            rest = flat.filter(missed).dictionary_encode()
+            n[missed.to_numpy(zero_copy_only=False)] = np.array([self.sizes[w] for w in rest.dictionary.to_pylist()], np.int64)[rest.indices.to_numpy()]
+        offsets = split.offsets.to_numpy()
+        return np.add.reduceat(n, offsets[:-1] - offsets[0]) if len(texts) else n
+
+    def count(self, text: str | None) -> int:
+        return int(self.counts(pa.array([text], pa.string()))[0])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], path: str, table: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    counter = worker_counter(path)
-    counter.sizes.update(table)
+def _counted(batches: Iterator[pa.RecordBatch], path: str, table: tuple[pa.Array, pa.Array]) -> Iterator[pa.RecordBatch]:
+    counter = Counter(path, {}, worker_tier(path))
+    counter.words, counter.lengths = table[0], table[1].to_numpy()
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        n = [counter.count(t) for t in texts]
-        sizes = [len(t.encode()) if t else 0 for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > LIMIT for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        texts = batch.column("text")
+        n = counter.counts(texts)
+        n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(n, pa.int64()), pa.array(n > LIMIT, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
 def count_tokens(docs: DataFrame, path: str, words: list[str] | None = None) -> DataFrame:
@@ -75,7 +97,7 @@ def count_tokens(docs: DataFrame, path: str, words: list[str] | None = None) ->
     words: the pre-tokens of the broadcast table, by default the corpus's most frequent."""
     spark = docs.sparkSession
     small_batches(spark)
-    words = frequent(docs) if words is None else words
-    counter = Counter(path, {})
-    table = spark.sparkContext.broadcast({w: counter.count(w) for w in words})
+    sizes = worker_tier(path)
+    known = Counter(path, {w: sizes[w] for w in (frequent(docs) if words is None else words) if w})
+    table = spark.sparkContext.broadcast((known.words, pa.array(known.lengths)))
     return docs.select("doc_id", "text").mapInArrow(lambda it: _counted(it, path, table.value), SCHEMA)
