@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.exprs import let, prefix_sums, top_items
+from wardline.llm.sieve import sifted
 from wardline.llm.storage import carried, staged
 
 MIN_KEY_CHARS = 10
@@ -103,7 +104,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def _apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     ids = row_id(F.col("doc_id"), F.col("text"))
-    joined = docs.withColumns({"__id": ids[0], "__text": ids[1]}).join(bitmaps, ["__id", "__text"], "left").drop("__id", "__text")
+    key = ["__id", "__text"]
+    # texts that have no bitmap for certain stay where they are
+    perhaps, whole = sifted(docs.withColumns({"__id": ids[0], "__text": ids[1]}), bitmaps, key)
+    none = F.lit(None).cast(bitmaps.schema["keep_runs"].dataType)
+    joined = perhaps.join(bitmaps.hint("merge"), key, "left").unionByName(whole.withColumn("keep_runs", none)).drop(*key)
     lines = text_lines(F.col("text"))
     odd = F.filter(F.col("keep_runs"), lambda n, i: i % 2 == 1)
     kept = F.when(F.col("keep_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept_lines(lines, F.col("keep_runs")), "\n"))
@@ -112,7 +117,7 @@ def _apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    return apply_bitmaps(docs, keep_bitmaps(docs))
+    return apply_bitmaps(docs, staged(keep_bitmaps(docs), "bitmaps"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
