@@ -111,9 +111,9 @@ def test_ended_runs_stay_as_they_ended(engine):
     assert ingestion.store.load(run.run_id) == run and states(ingestion) == before
 
 
-@pytest.mark.parametrize("at", range(1, 10))
+@pytest.mark.parametrize("at", [2, 5, 7, 8])
 def test_crash_between_any_two_writes(engine, monkeypatch, at):
-    """A crash before the at-th small file is written: the old state is in force and the run goes on, or all of the new is."""
+    """A crash before the at-th small file is written (the run as initialised, its attempt, the publication, the run as ended): the old state is in force and the run goes on, or all of the new is."""
     ingestion, _ = engine
     run = ingestion.store.create(ingestion.clock())
     before, write, count = states(ingestion), ingestion.store._write, itertools.count(1)
