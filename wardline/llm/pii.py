@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.exprs import let, matches, prefix_maxima
+from wardline.llm.sieve import sifted
 from wardline.llm.storage import carried, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -173,7 +174,8 @@ def all_spans(docs: DataFrame) -> DataFrame:
     found = detected(docs)
     hits = disclosing(docs, found).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "written"))).alias("hits"))
     touched = staged(found.join(hits, "row").select(*KEYS, "spans", "hits").dropDuplicates(KEYS), "touched")
-    texts = docs.select(*keys(), plain(F.col("text")).alias("text")).join(touched, KEYS)
+    texts, _ = sifted(docs.select(*keys(), plain(F.col("text")).alias("text")), touched, KEYS)
+    texts = texts.join(touched.hint("merge"), KEYS)
     apart = lambda m: ~F.exists("spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
     places = F.filter(matches(F.col("text"), WORD), lambda m: F.map_contains_key("hits", F.lower(m["value"])) & apart(m))
     added = F.transform(places, lambda m: F.struct(m["start"].alias("start"), F.lit(4).alias("kind"), m["end"].alias("end"), F.element_at("hits", F.lower(m["value"])).alias("value"))).cast(SPAN)
@@ -200,7 +202,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
 def _sanitised(docs: DataFrame) -> DataFrame:
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS[:4]))
     mark = lambda s: F.when(s["kind"] == 4, s["value"]).otherwise(F.get(marks, s["kind"]))
-    found = all_spans(docs).where(F.size("all_spans") > 0).select(*KEYS, F.col("all_spans").alias("__spans")).distinct()
-    keyed = docs.withColumns(dict(zip(KEYS, keys(), strict=True))).join(found, KEYS, "left")
-    text, spans = F.coalesce("text", F.lit("")), F.coalesce("__spans", F.array().cast(SPAN))
-    return keyed.withColumns({"__spans": spans}).withColumn("clean_text", pieces(text, F.col("__spans"), mark)).drop(*KEYS, "__spans")
+    found = staged(all_spans(docs).where(F.size("all_spans") > 0).select(*KEYS, F.col("all_spans").alias("__spans")).dropDuplicates(KEYS), "spans")
+    perhaps, clean = sifted(docs.withColumns(dict(zip(KEYS, keys(), strict=True))), found, KEYS)
+    text = F.coalesce("text", F.lit(""))
+    hit = perhaps.join(found.hint("merge"), KEYS, "left").withColumn("__spans", F.coalesce("__spans", F.array().cast(SPAN)))
+    written = hit.withColumn("clean_text", pieces(text, F.col("__spans"), mark)).drop("__spans")
+    return written.unionByName(clean.withColumn("clean_text", text)).drop(*KEYS)
