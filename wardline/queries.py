@@ -330,7 +330,7 @@ def _(t: Tables) -> DataFrame:
     return audit.run_metrics(_batches(t))
 
 
-@query("operational_summary", """SELECT r.run_id, r.status, coalesce(s.n, 0) AS keys_scanned, CAST(coalesce(b.data_calls, 0) AS BIGINT) AS data_calls, CAST(coalesce(b.retry_calls, 0) AS BIGINT) AS retry_calls, CAST(coalesce(b.total_calls, 0) AS BIGINT) AS total_calls, CAST(coalesce(b.rows_fetched, 0) AS BIGINT) AS rows_fetched, coalesce(w.n, 0) AS rows_written,
+@query("run_operations", """SELECT r.run_id, r.status, coalesce(s.n, 0) AS keys_scanned, CAST(coalesce(b.data_calls, 0) AS BIGINT) AS data_calls, CAST(coalesce(b.retry_calls, 0) AS BIGINT) AS retry_calls, CAST(coalesce(b.total_calls, 0) AS BIGINT) AS total_calls, CAST(coalesce(b.rows_fetched, 0) AS BIGINT) AS rows_fetched, coalesce(w.n, 0) AS rows_written,
   CASE WHEN r.status = 'COMPLETED' THEN 0 ELSE greatest(1, coalesce(b.failed, 0)) END AS failures FROM runs r LEFT JOIN (SELECT run_id, count(DISTINCT scan_key) AS n FROM snapshot GROUP BY run_id) s USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS n FROM staged GROUP BY run_id) w USING (run_id)
   LEFT JOIN (SELECT run_id, sum(requests - retries) AS data_calls, sum(retries) AS retry_calls, sum(requests) AS total_calls, sum(rows_fetched) AS rows_fetched, count(*) FILTER (WHERE status = 'FAILED') AS failed FROM batches GROUP BY run_id) b USING (run_id)""")
 def _(t: Tables) -> DataFrame:
