@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, decontaminate, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
+from wardline.llm import chat, decontaminate, importance, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -79,12 +83,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_binary": op9_token_binary,
     "op10_chat": op10_chat,
+    "op11_importance": op11_importance,
 }
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 
+
+def _number(digits: str) -> str:
+    """Hexadecimal text as an integer."""
+    return f"list_reduce(list_transform(string_split({digits}, ''), lambda d: CAST(instr('0123456789abcdef', d) - 1 AS BIGINT)), lambda a, b: 16 * a + b)"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""WITH p AS (SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
   f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.MIN_REVISIT_BYTES} GROUP BY payload_digest)
@@ -110,4 +120,19 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
   e AS (SELECT *, length(role || text) + 4 * (length(role || text) - length(replace(role || text, '&', ''))) + 3 * (length(role || text) - length(replace(role || text, '<', ''))) + 5 * (length(role || text) - length(replace(role || text, '[', ''))) + {len(chat.TURN + chat.END) + 1} AS n FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS n_attachment_tokens FROM e GROUP BY conv_id""",
+    "op11_importance": f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+  b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+  held AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY doc_id, w),
+  wanted AS (SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM b) GROUP BY w),
+  -- the table of remainders of the polynomial, then each word's sum byte by byte
+  crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+  bytes AS (SELECT w, lower(hex(encode(w))) AS h FROM (SELECT w FROM held UNION SELECT w FROM wanted)),
+  buckets AS (SELECT w, xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda k: {_number("h[2 * k + 1 : 2 * k + 2]")})), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {importance.BUCKETS} AS bucket FROM bytes, crc),
+  s AS (SELECT bucket, sum(n) AS s FROM held JOIN buckets USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM wanted JOIN buckets USING (w) GROUP BY bucket),
+  sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS all_t),
+  gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + {importance.BUCKETS}) / ((s + 1)::DOUBLE * (all_t + {importance.BUCKETS})))) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+  weights AS (SELECT doc_id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM held JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+  scores AS (SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({_number(f"sha256('{importance.SEED}:' || doc_id)[1:8]")} + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (doc_id)),
+  drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores WHERE n_features >= {importance.MIN_WORDS} QUALIFY rank <= {importance.PERCENT} * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scores LEFT JOIN drawn USING (doc_id)""",
 }
