@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, decontaminate, importance, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
+from wardline.llm import chat, codebooks, decontaminate, importance, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.digest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_binary": op9_token_binary,
     "op10_chat": op10_chat,
     "op11_importance": op11_importance,
+    "op12_codebooks": op12_codebooks,
 }
 
 
@@ -95,6 +100,20 @@ def _number(digits: str) -> str:
     """Hexadecimal text as an integer."""
     return f"list_reduce(list_transform(string_split({digits}, ''), lambda d: CAST(instr('0123456789abcdef', d) - 1 AS BIGINT)), lambda a, b: 16 * a + b)"
 
+def _lloyd() -> str:
+    """Common table expressions of all rounds over all distances: codebooks b0, b1, ..., the nearest entries a0, a1, ..."""
+    parts, entries, rounds = codebooks.PARTS, codebooks.ENTRIES, codebooks.ROUNDS
+    steps = [f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codebooks.SCALE} * x::DOUBLE) AS BIGINT)) AS c FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT vec_id, label, part, c[part * (len(c) // {parts}) + 1 : (part + 1) * (len(c) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+  b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS b FROM p QUALIFY e < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT vec_id, label, part, any_value(x) AS x, min(d) AS d, min(d * {entries} + e) % {entries} AS e FROM (SELECT p.*, e, list_sum(list_transform(list_zip(x, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{k} USING (part)) GROUP BY vec_id, label, part)")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT part, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS b FROM (SELECT part, e, i, sum(x) AS s, count(*) AS n FROM (SELECT part, e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY part, e, i) GROUP BY part, e),
+  b{k + 1} AS (SELECT part, e, coalesce(m{k}.b, b{k}.b) AS b FROM b{k} LEFT JOIN m{k} USING (part, e))""")
+    return ",\n  ".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": f"""WITH p AS (SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
   f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.MIN_REVISIT_BYTES} GROUP BY payload_digest)
@@ -135,4 +154,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   scores AS (SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({_number(f"sha256('{importance.SEED}:' || doc_id)[1:8]")} + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (doc_id)),
   drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores WHERE n_features >= {importance.MIN_WORDS} QUALIFY rank <= {importance.PERCENT} * count(*) OVER () // 100)
 SELECT doc_id, n_features, weight, score, rank FROM scores LEFT JOIN drawn USING (doc_id)""",
+    "op12_codebooks": f"""WITH {_lloyd()},
+  sha AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{codebooks.ROUNDS}),
+  coded AS (SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{codebooks.ROUNDS} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, sha""",
 }
