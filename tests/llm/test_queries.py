@@ -22,7 +22,7 @@ def test_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     found = e.queries()
-    assert {f"op{n}_" for n in range(1, 13)} == {k[: k.index("_") + 1] for k in found if k.startswith("op")} and "pipeline" in found
+    assert {f"op{n}_" for n in range(1, 14)} == {k[: k.index("_") + 1] for k in found if k.startswith("op")} and "pipeline" in found
     assert set(queries.ORACLE_SQL) <= set(e.oracle_sql())
 
 

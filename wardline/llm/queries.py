@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, codebooks, decontaminate, importance, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
+from wardline.llm import chat, codebooks, decontaminate, importance, line_crf, line_dedup, mixing, pii, quality, simhash, token_binary, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.digest(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_importance": op11_importance,
     "op12_codebooks": op12_codebooks,
+    "op13_line_quality": op13_line_quality,
 }
 
 
