@@ -1,6 +1,9 @@
 import datetime as dt
 import itertools
 import json
+import threading
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +37,18 @@ class Remote:
         return self.now
 
 
+@pytest.fixture(autouse=True)
+def small_plans(spark):
+    """The tables have a few rows: one partition and no re-planning."""
+    values = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     store = control.Store(spark, str(tmp_path / "store"))
@@ -111,12 +126,18 @@ def test_ended_runs_stay_as_they_ended(engine):
     assert ingestion.store.load(run.run_id) == run and states(ingestion) == before
 
 
-@pytest.mark.parametrize("at", [2, 5, 7, 8])
-def test_crash_between_any_two_writes(engine, monkeypatch, at):
-    """A crash before the at-th small file is written (the run as initialised, its attempt, the publication, the run as ended): the old state is in force and the run goes on, or all of the new is."""
-    ingestion, _ = engine
+#: The small files of one execution, in their order.
+WRITES = ("lease", "fence", "token", "initialised", "running", "attempt", "end version", "publication", "ended", "release")
+LIVE = {"s1": ("ACTIVE", True), "s2": ("ACTIVE", True), "s3": ("ACTIVE", True), "gone": (None, False), "else": (None, True)}
+
+
+@pytest.mark.parametrize(("at", "change"), [(k, c) for k in range(len(WRITES)) for c in ("keys", "source")] + [(WRITES.index(w), "nothing") for w in ("initialised", "attempt", "publication")])
+def test_crash_between_any_two_writes(engine, spark, monkeypatch, at, change):
+    """A crash before any small file is written: the old state is in force and the run goes on, or all of the new is. Between crash
+    and resumption nothing changes, or a key is added, or the source moves."""
+    ingestion, remote = engine
     run = ingestion.store.create(ingestion.clock())
-    before, write, count = states(ingestion), ingestion.store._write, itertools.count(1)
+    before, write, count = states(ingestion), ingestion.store._write, itertools.count()
 
     def failing(*args):
         if next(count) == at:
@@ -124,18 +145,161 @@ def test_crash_between_any_two_writes(engine, monkeypatch, at):
         write(*args)
 
     monkeypatch.setattr(ingestion.store, "_write", failing)
-    try:
+    with pytest.raises(OSError):
         ingestion.execute(run)
-        crashed = False
-    except OSError:
-        crashed = True
     monkeypatch.setattr(ingestion.store, "_write", write)
     now = ingestion.store.load(run.run_id)
-    assert (now.status == "COMPLETED") == (states(ingestion) != before) and (crashed or now.status == "COMPLETED")
+    published = at > WRITES.index("publication")
+    assert (now.status == "COMPLETED") == (states(ingestion) != before) == published and now.initialised == (at > WRITES.index("initialised"))
+    if change == "keys":
+        keys = ingestion.store.table("entity_keys").unionByName(spark.createDataFrame([(3, "1000004")], "entity_id int, scan_key string"))
+        ingestion.store.publish({"entity_keys": keys, "entities": spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "entity_id int, version int")})
+    if change == "source":
+        remote.now += 1
+    sealed = None if not now.initialised else (sorted(map(tuple, ingestion.snapshot(now).collect())), ingestion.definitions(now).count())
     other = Ingestion(ingestion.store, ingestion.source, lambda: START + dt.timedelta(days=1), batch_size=2)  # the lease has run out
     done = other.execute(now)
-    assert done.status == "COMPLETED" and ingestion.store.load(run.run_id) == done
-    assert states(ingestion)[0] == {"s1": ("ACTIVE", True), "s2": ("ACTIVE", True), "s3": ("ACTIVE", True), "gone": (None, False), "else": (None, True)}
+    assert ingestion.store.load(run.run_id) == done and ingestion.store.active() is None
+    moved = change == "source" and WRITES.index("running") < at <= WRITES.index("end version")
+    assert done.status == ("SOURCE_CHANGED" if moved else "COMPLETED")
+    assert done.expected["pairs"] == (5 if change == "keys" and sealed is None else 4)
+    assert sealed in (None, (sorted(map(tuple, other.snapshot(done).collect())), other.definitions(done).count()))
+    live, coverage, _ = states(ingestion)
+    assert live == (before[0] if moved else LIVE)
+    stale = change == "keys" and sealed is not None and not published
+    assert coverage[3] == (("FAILED", "SOURCE_CHANGED") if moved else ("NOT_CHECKED" if stale else "CHECKED", None))
+
+
+def files(ingestion, run):
+    root = ingestion.store.folder
+    return {str(p.relative_to(root)): (p.stat().st_mtime_ns, p.stat().st_size) for what in ("fetched", "landed", "states", "snapshots", "batches") for p in Path(root, what, run.run_id).rglob("*") if p.is_file()}
+
+
+@pytest.mark.parametrize("ends", [True, False], ids=["published", "still running"])
+def test_two_executors(engine, ends):
+    """Another executor takes over during an attempt, whose lease has run out: the files of the attempt that counts stay as they
+    are, and the first executor writes nothing that counts."""
+    first, remote = engine
+    run = first.store.create(START)
+    first.clock = lambda: START
+    late = START + 2 * control.LEASE
+    second = Ingestion(first.store, Source(remote.fetch, remote.version), lambda: late, batch_size=2)
+    kept = {}
+
+    def fetch(batches):
+        if not kept:
+            if ends:
+                assert second.execute(run).status == "COMPLETED"
+            else:
+                second.lease = second.store.acquire(second.owner, late)
+                second.store.fence(second.lease)
+            kept.update(files=files(first, run), states=states(first), versions=first.store.versions())
+        return remote.fetch(batches)
+
+    first.source = Source(fetch, remote.version)
+    with pytest.raises(control.AuthorityLost):
+        first.execute(run)
+    now = files(first, run)
+    assert {k: now[k] for k in kept["files"]} == kept["files"] and states(first) == kept["states"] and first.store.versions() == kept["versions"]
+    done = second.execute(run)
+    assert done.status == "COMPLETED" and done.folders == ["attempt-1-2"] and states(first)[0] == LIVE
+
+
+def test_an_old_holder_can_not_publish(engine, spark):
+    store = engine[0].store
+    old = store.acquire("a", START)
+    store.fence(old)
+    new = store.acquire("b", START + control.LEASE)
+    assert new.token == old.token + 1
+    for lease in (old,):
+        with pytest.raises(control.AuthorityLost):
+            store.publish({"live": spark.range(1)}, lease=lease)
+        with pytest.raises(control.AuthorityLost):
+            store.renew(lease, START)
+    # one that looked before the take-over and writes after it finds the number taken
+    number, state = store._state()
+    store.fence(new)
+    with pytest.raises(control.StateConflict):
+        store._write("state", number + 1, state)
+    for _ in range(2 * control.KEPT):
+        store.publish({}, lease=new)
+    with pytest.raises(control.StateConflict):
+        store._write("state", number + 1, state)
+    assert store.table("live").count() == 2
+
+
+def test_heartbeat_renews_and_interrupts(engine, spark):
+    store, times = engine[0].store, itertools.count()
+    lease = store.acquire("a", START)
+    with control.Heartbeat(store, lease, lambda: START + next(times) * control.LEASE / 2, 0.05):
+        time.sleep(2)
+    with pytest.raises(control.StateConflict):
+        store.acquire("b", START + control.LEASE)
+    far = START + dt.timedelta(days=100)
+    begun = time.time()
+
+    def slow(frames):
+        time.sleep(60)
+        yield from frames
+
+    with pytest.raises(control.AuthorityLost), control.Heartbeat(store, lease, lambda: START, 0.2):
+        threading.Timer(1, lambda: store.acquire("b", far)).start()
+        spark.range(8).mapInArrow(slow, "id long").count()
+    assert time.time() - begun < 30
+
+
+def test_numbers_are_taken_once(engine):
+    store, won = engine[0].store, []
+
+    def take(k):
+        try:
+            store._write("x", 1, {"by": k})
+            won.append(k)
+        except control.StateConflict:
+            pass
+
+    threads = [threading.Thread(target=take, args=(k,)) for k in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == 1 and store._read("x-000000000001.json") == {"by": won[0]}
+
+
+def test_no_version_at_the_start_ends_the_run(engine):
+    ingestion, remote = engine
+
+    def refused():
+        raise paged.RemoteError(503)
+
+    ingestion.source.version = refused
+    run = ingestion.execute(ingestion.store.create(ingestion.clock()))
+    assert (run.status, run.failure, run.start_version) == ("FAILED", "remote status 503", None)
+    assert states(ingestion)[1] == {e: ("FAILED", "RUN_NOT_PROMOTED") for e in (1, 2, 3)} and ingestion.store.active() is None
+
+
+def test_a_run_with_other_rows_than_sealed_does_not_start(engine, spark):
+    ingestion, _ = engine
+    run = ingestion._sealed(ingestion.store.create(ingestion.clock()))
+    ingestion.snapshot(run).limit(3).write.parquet(ingestion._at("snapshots", run, "other"))
+    with pytest.raises(control.StateConflict, match="final"):
+        ingestion.store.transition(run, ("QUEUED",), sealed="other")
+    Path(ingestion._at("snapshots", run, run.sealed)).rename(ingestion._at("snapshots", run, "aside"))
+    Path(ingestion._at("snapshots", run, "other")).rename(ingestion._at("snapshots", run, run.sealed))
+    with pytest.raises(control.StateConflict, match="sealed"):
+        ingestion.initialise(run)
+    assert ingestion.store.load(run.run_id).status == "QUEUED"
+
+
+def test_used_up_batches_fail_the_run_before_the_source_is_asked(engine):
+    ingestion, remote = engine
+    remote.rows["1000003"].append(row("bad", "1000003", balance_due="x"))
+    run = ingestion.initialise(ingestion.store.create(ingestion.clock()))
+    for _ in range(control.MAX_ATTEMPTS):
+        run = ingestion.attempt(run)
+    remote.now += 1
+    done = ingestion.execute(run)
+    assert done.status == "FAILED" and states(ingestion)[1][3] == ("FAILED", "BALANCE:INVALID_NUMBER")
 
 
 def test_lease_keeps_others_out_until_it_runs_out(engine):
@@ -166,8 +330,8 @@ def client():
 
 def test_batches_are_fetched_in_one_job(spark):
     batches = spark.createDataFrame([(1, ["1", "2"]), (2, ["7"]), (3, ["8", "9"]), (4, ["3"] * 2)], "batch_number int, scan_keys array<string>")
-    with pytest.raises(Exception, match="unique and in order"):
-        paged.fetched(batches, "tests.test_ingest:client", wait=0).collect()
+    bad = paged.fetched(batches, "tests.test_ingest:client", wait=0).where("payload IS NULL AND error IS NOT NULL").collect()
+    assert {(r.batch_number, r.requests, r.error) for r in bad} == {(2, 1, "remote status 400"), (4, 0, paged.BAD_DEFINITION)}
     rows = paged.fetched(batches.where("batch_number < 4"), "tests.test_ingest:client", page_size=3, wait=0).collect()
     assert {(r.batch_number, r.pages, r.requests, r.retries, r.error) for r in rows if r.payload is None} == {(1, 2, 2, 0, None), (2, 0, 1, 0, "remote status 400"), (3, 2, 3, 1, None)}
     assert sorted((r.batch_number, json.loads(r.payload)["bin"]) for r in rows if r.payload) == [(1, "1")] * 2 + [(1, "2")] * 2 + [(3, "8")] * 2 + [(3, "9")] * 2

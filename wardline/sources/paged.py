@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import importlib
 import json
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -50,10 +52,38 @@ class Calls:
     pages: int = 0
 
 
-def retrying(call: Callable, tries: int = 3, wait: float = 0.0, calls: Calls | None = None) -> Callable:
+def limited(call: Callable, seconds: float | None) -> Callable:
+    """A call that raises ``TimeoutError`` after so many seconds, whatever the client does. The call goes on in a thread that is
+    given up, and its reply is thrown away."""
+    if seconds is None:
+        return call
+
+    def run(*args):
+        got: queue.SimpleQueue = queue.SimpleQueue()
+
+        def ask() -> None:
+            try:
+                got.put((call(*args), None))
+            except Exception as e:
+                got.put((None, e))
+
+        threading.Thread(target=ask, daemon=True).start()
+        try:
+            reply, error = got.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no reply within {seconds} s") from None
+        if error is not None:
+            raise error
+        return reply
+
+    return run
+
+
+def retrying(call: Callable, tries: int = 3, wait: float = 0.0, calls: Calls | None = None, timeout: float | None = None) -> Callable:
     """A call that is tried again after the statuses that are worth it and after failures of the network, time-outs among
-    them; waits double from try to try. A client limits the time of a request itself."""
+    them; waits double from try to try. timeout: seconds for each try; None leaves it to the client."""
     calls = Calls() if calls is None else calls
+    call = limited(call, timeout)
 
     def run(*args):
         for attempt in range(tries):
@@ -95,13 +125,15 @@ def _client(name: str) -> Callable:
     return getattr(importlib.import_module(module), function)()
 
 
+BAD_DEFINITION = "INVALID_BATCH_DEFINITION"
 FETCHED = "batch_number int, payload string, pages long, requests long, retries long, error string"
 
 
-def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages: int = 100, tries: int = 3, wait: float = 0.5, concurrency: int = 8) -> DataFrame:
+def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages: int = 100, tries: int = 3, wait: float = 0.5, concurrency: int = 8, timeout: float | None = None) -> DataFrame:
     """batches: (batch_number, scan_keys). A row for each payload, and one without payload for each batch: its pages, requests
-    and retries, and the error if it failed, which fails no other batch. At most ``concurrency`` tasks ask at a time; a
-    task streams one page after the other."""
+    and retries, and the error if it failed, a bad definition included, which fails no other batch. Batches are dealt to
+    ``concurrency`` tasks, so no more requests run at a time; a task streams one page after the other, and a lost one asks for
+    all its batches again. timeout: seconds for each try of a request."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
@@ -114,9 +146,14 @@ def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages
         for frame in frames:
             for number, keys in zip(frame.column("batch_number").to_pylist(), frame.column("scan_keys").to_pylist(), strict=True):
                 calls, error = Calls(), None
-                counted = retrying(ask, tries, wait, calls)
+                counted = retrying(ask, tries, wait, calls, timeout)
+                try:
+                    wanted = checked_keys([str(k) for k in keys or []])
+                except ValueError:
+                    yield out([(number, None, 0, 0, 0, BAD_DEFINITION)])
+                    continue
                 try:
-                    for page in paged(counted, checked_keys([str(k) for k in keys]), page_size, max_pages):
+                    for page in paged(counted, wanted, page_size, max_pages):
                         calls.pages += 1
                         yield out([(number, row, None, None, None, None) for row in page])
                 except (RemoteError, ConnectionError, TimeoutError, PageLimit) as e:
