@@ -28,6 +28,35 @@ def test_entities_inputs_and_keys(spark):
     assert [r.input for r in reg.new_inputs(inputs, spark.createDataFrame([("ADDRESS", "a", "2"), ("ADDRESS", "b", "3"), ("ADDRESS", "b", "4")], inputs.schema)).collect()] == ["b"]
 
 
+def test_addresses_become_entities_and_are_found_again(spark):
+    """Two addresses of one parcel, one of a known parcel with other buildings, one that fails; the second time all good ones are
+    cached and nothing changes."""
+    from wardline.operators import resolve
+
+    resolved = spark.createDataFrame([
+        (1, "1 A St", None, None, "1000010001", "1 A ST", None, None, ["1000002", "1000001"]), (2, "1 A Street", None, None, "1000010001", "1 A ST", None, None, ["1000001", "1000002"]),
+        (3, "2 B St", None, None, "1000020002", "2 B ST", None, None, ["1000009"]), (4, "3 C St", "NO_CANDIDATES", None, None, None, None, None, None), (5, "4 D St", None, None, "1000030003", "4 D ST", None, None, []),
+    ], "input_id int, key string, error string, entity_id string, parcel string, address string, base_parcel string, billing_parcel string, buildings array<string>")
+    entities = spark.createDataFrame([("old", 3, "1000020002", None, None, "2 B ST", 1, 2, 2)], ENTITIES)
+    registry = reg.Registry(entities, spark.createDataFrame([("ADDRESS", "9 Z St", "old")], "input_type string, input string, entity_id string"), spark.createDataFrame([("old", "1000008")], "entity_id string, scan_key string"), spark.createDataFrame([("old", "CHECKED", None, "r", "r", None, None, None, None)], COVERAGE.replace("entity_id int", "entity_id string")))
+    first = reg.register(registry, resolved, "ADDRESS")
+    by_parcel = {r.parcel: r for r in first.entities.collect()}
+    assert {p: (r.version, r.address, r.lot) for p, r in by_parcel.items()} == {"1000020002": (4, "2 B ST", 2), "1000010001": (1, "1 A ST", 1), "1000030003": (1, "4 D ST", 3)}
+    own = {by_parcel[p].entity_id: p for p in by_parcel}
+    assert {(r.input, own[r.entity_id]) for r in first.inputs.collect()} == {("9 Z St", "1000020002"), ("1 A St", "1000010001"), ("1 A Street", "1000010001"), ("2 B St", "1000020002"), ("4 D St", "1000030003")}
+    assert sorted((own[r.entity_id], r.scan_key) for r in first.entity_keys.collect()) == [("1000010001", "1000001"), ("1000010001", "1000002"), ("1000020002", "1000009")]
+    assert {(own[r.entity_id], r.status, r.status_reason, r.last_success_run_id) for r in first.coverage.collect()} == {("1000010001", "NOT_CHECKED", "NEVER_INGESTED", None), ("1000030003", "NOT_CHECKED", "NO_VALID_BUILDING", None), ("1000020002", "NOT_CHECKED", "IDENTIFIERS_CHANGED", "r")}
+    again = reg.register(first, resolved, "ADDRESS")
+    for name in ("entities", "inputs", "entity_keys", "coverage"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(first, name).collect()))
+    candidates = "input_id int, pos int, address string, label string, name string, layer string, borough string, confidence double, parcel string, building string, source_id string"
+    none = [spark.createDataFrame([], s) for s in (candidates, "bbl string, borocode string, block string, lot string, address string", "building string, base_parcel string, map_parcel string, has_map boolean", "unit_parcel string, base_parcel string, unit string", "base_parcel string, billing_parcel string")]
+    inputs = spark.createDataFrame([(1, "1 a st"), (2, "3 c st")], "input_id int, address string")
+    known = first.inputs.where("input_type = 'ADDRESS'").withColumnRenamed("input", "key")
+    found = resolve.resolve_addresses(inputs, none[0], known, *none[1:])
+    assert {(r.input_id, r.status, own.get(r.entity_id)) for r in found.collect()} == {(1, "cached", "1000010001"), (2, "failed", None)}
+
+
 def test_seed(spark):
     rows = [(f"100000000{k}", k % 3, "1", "0", "0", "a" if k % 4 else None) for k in range(10)] * 2
     records = spark.createDataFrame(rows, "bbl string, district int, borocode string, block string, lot string, address string")

@@ -68,10 +68,12 @@ def strict_identifier(text: Column, digits: int) -> Column:
 
 
 def typed_parcel(value: Column, is_number: Column) -> Column:
-    """As a third writes it, struct of value and error: a number is cut to a whole one and padded, a text is canonical or it
-    is an error, as is everything else."""
-    whole = F.lpad(F.floor(value.try_cast("decimal(30,6)")).cast("string"), PARCEL_DIGITS, "0")  # large numbers come with exponents
-    found = canonical_parcel(F.when(is_number, whole).otherwise(value))
+    """As a third writes it, struct of value and error: a number loses its fraction and is padded if it is short, a text is
+    canonical or it is an error, as is everything else; nothing is ever cut."""
+    number = value.try_cast("decimal(38,6)")  # large numbers come with exponents
+    whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("string")
+    padded = F.when(whole.rlike(f"^[0-9]{{1,{PARCEL_DIGITS}}}$"), F.lpad(whole, PARCEL_DIGITS, "0"))
+    found = F.when(is_number, padded).otherwise(canonical_parcel(value))
     return F.struct(found.alias("value"), F.when(found.isNull(), F.lit("MALFORMED_PARCEL")).alias("error"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,12 +100,14 @@ def same_mapping(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def seed_checks(seed: DataFrame, key: str) -> DataFrame:
-    """Whether the keys are unique, and in order by position: each is compared with the largest before it in its range of
-    positions, and ranges by their ends."""
+    """Whether the keys are unique, and in order by position: each is compared with the one before it in its range of positions,
+    and each range that has rows with the last before it, however far. Rows of one position are ordered by key; those without a
+    position or a key are counted but are no part of the order."""
     size = 10_000
-    ranges = seed.groupBy((F.col("pos") / size).cast("bigint").alias("range")).agg(F.collect_list(F.struct("pos", F.col(key).alias("k"))).alias("rows"))
-    inner = F.transform(F.array_sort("rows"), lambda r: r["k"])
-    checked = ranges.select("range", inner.alias("ks")).select("range", (F.array_sort("ks") == F.col("ks")).alias("sorted"), F.get("ks", F.lit(0)).alias("first"), F.element_at("ks", -1).alias("last"))
-    following = checked.select((F.col("range") - 1).alias("range"), F.col("first").alias("next"))
-    order = checked.join(following, "range", "left").agg(F.bool_and(F.col("sorted") & (F.col("next").isNull() | (F.col("last") <= F.col("next")))).alias("in_order"))
+    placed = seed.where(F.col("pos").isNotNull() & F.col(key).isNotNull())
+    ranges = placed.groupBy(F.floor(F.col("pos") / size).alias("range")).agg(F.collect_list(F.struct("pos", F.col(key).alias("k"))).alias("rows"))
+    keys = ranges.select("range", F.transform(F.array_sort("rows"), lambda r: r["k"]).alias("ks"))
+    checked = keys.select("range", (F.array_sort("ks") == F.col("ks")).alias("sorted"), F.get("ks", F.lit(0)).alias("first"), F.element_at("ks", -1).alias("last"))
+    before = F.lag("last").over(Window.orderBy("range"))  # a row for each range
+    order = checked.withColumn("before", before).agg(F.coalesce(F.bool_and(F.col("sorted") & F.coalesce(F.col("before") <= F.col("first"), F.lit(True))), F.lit(True)).alias("in_order"))
     return seed.agg(F.count("*").alias("total"), F.count_distinct(key).alias("distinct_keys")).join(order)  # one row each

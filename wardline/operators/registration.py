@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import identifiers as ids
-from wardline.operators.merge import insert_if_absent, merged
-from wardline.operators.resolve import key_set_changes
+from wardline.operators.merge import first_wins, insert_if_absent, merged
+from wardline.operators.resolve import initial_coverage, key_set_changes
 
 
 def entity_id(parcel: Column) -> Column:
@@ -52,6 +54,39 @@ def reset_coverage(coverage: DataFrame, changes: DataFrame) -> DataFrame:
     return merged(coverage, rows, ["entity_id"])
 
 
+@dataclass(frozen=True)
+class Registry:
+    """What is known of entities: (entity_id, version, parcel, ...), (input_type, input, entity_id), (entity_id, scan_key) and coverage."""
+
+    entities: DataFrame
+    inputs: DataFrame
+    entity_keys: DataFrame
+    coverage: DataFrame
+
+
+def register(registry: Registry, resolved: DataFrame, input_type: str) -> Registry:
+    """The next version of all four tables after a resolution of inputs (``resolve_addresses`` and its like, with ``key`` as the
+    input). What resolved without error becomes an entity unless its parcel has one, and its input that entity's, so that
+    the next resolution finds it cached. A new entity gets its keys and initial coverage; one that was there gets its keys
+    and coverage changed if its key set has. Inputs that failed leave nothing behind. resolved is read several times: let it be
+    a written table or a checkpoint."""
+    good = resolved.where(F.col("error").isNull() & F.col("parcel").isNotNull())
+    each = first_wins(good, ["parcel"], ["key"])  # one row for each parcel: those of its other inputs agree but for the input
+    fresh = new_entities(registry.entities, each)
+    own = lambda d: d.join(registry.entities.select("parcel", F.col("entity_id").alias("known_id")), "parcel", "left").withColumn("entity_id", F.coalesce("known_id", entity_id(F.col("parcel")).cast(registry.entities.schema["entity_id"].dataType)))
+    submitted = own(good.select("parcel", F.col("key").alias("input"))).select(F.lit(input_type).alias("input_type"), "input", "entity_id")
+    found = own(each.select("parcel", F.col("buildings").alias("keys")))
+    old = registry.entity_keys.groupBy("entity_id").agg(F.collect_set("scan_key").alias("keys"))
+    now = registry.entities.select("entity_id", "version").join(old, "entity_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast(found.schema["keys"].dataType)))
+    changes = key_set_changes(now, found.where("known_id IS NOT NULL").select("entity_id", "keys"))
+    entities = merged(registry.entities, changes.select("entity_id", "version"), ["entity_id"]).unionByName(fresh, allowMissingColumns=True)
+    added = found.where("known_id IS NULL").select("entity_id", F.col("keys").alias("buildings"))
+    keys = changes.select("entity_id", F.explode("keys").alias("scan_key")).unionByName(added.select("entity_id", F.explode("buildings").alias("scan_key")))
+    coverage = reset_coverage(registry.coverage, changes).unionByName(initial_coverage(added), allowMissingColumns=True)
+    inputs = registry.inputs.unionByName(new_inputs(registry.inputs, submitted))
+    return Registry(entities, inputs, keys, coverage)
+
+
 def select_seed(records: DataFrame, districts: list[int], n: int) -> DataFrame:
     """The first n valid parcels of the districts, each once, in order."""
     whole = F.col("address").isNotNull() & F.col("borocode").isNotNull() & F.col("block").isNotNull() & F.col("lot").isNotNull()

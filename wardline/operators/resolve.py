@@ -182,11 +182,11 @@ def resolve_addresses(inputs: DataFrame, candidates: DataFrame, known: DataFrame
     joined = target.join(resolved, ["parcel", "as_unit"], "left")
     conflict = F.when(~corroborated(F.col("building"), F.col("buildings")), F.lit("BUILDING_CONFLICT"))
     error = F.coalesce("early_error", "late_error", conflict)
-    outcome = joined.select("input_id", "parcel", error.alias("error"), "base_parcel", "billing_parcel", F.when(error.isNull(), F.col("buildings")).alias("buildings"))
+    outcome = joined.select("input_id", "parcel", "address", error.alias("error"), "base_parcel", "billing_parcel", F.when(error.isNull(), F.col("buildings")).alias("buildings"))
     whole = cached.select("input_id", "key", "entity_id", "input_error").join(outcome, "input_id", "left")
     final = F.coalesce("input_error", "error")
     status = F.when(final.isNotNull(), "failed").when(F.col("entity_id").isNotNull(), "cached").otherwise("succeeded")
-    return whole.select("input_id", "key", status.alias("status"), final.alias("error"), "entity_id", "parcel", "base_parcel", "billing_parcel", "buildings")
+    return whole.select("input_id", "key", status.alias("status"), final.alias("error"), "entity_id", "parcel", "address", "base_parcel", "billing_parcel", "buildings")
 
 
 def outcomes(parsed: DataFrame, cached: DataFrame, resolved: DataFrame) -> DataFrame:

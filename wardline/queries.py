@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from wardline.functions import json_fields as jf
 from wardline.functions import parsing, text
 from wardline.operators import audit, feeds, merge, registration, resolve, snapshots
 from wardline.plans import publish
+from wardline.plans.lineage import cut
 from wardline.sources import geocoder, landing
 from wardline.sources.relations import BATCH, relation, with_clause
 
@@ -361,14 +363,18 @@ def _(t: Tables) -> DataFrame:
     return audit.same_mapping(t.entity_keys, t.snapshot.select("entity_id", "scan_key"))
 
 
-@query("seed_checks", "SELECT count(*) AS total, count(DISTINCT input) AS distinct_keys, bool_and(NOT coalesce(before > input, FALSE)) AS in_order FROM (SELECT input, lag(input) OVER (ORDER BY pos) AS before FROM inputs) AS x")
+_SEED_KEYS = ("in_order", "broken_at_gap", "broken_inside", "input")
+
+
+@query("seed_checks", " UNION ALL ".join(f"SELECT '{k}' AS seed_key, count(*) AS total, count(DISTINCT {k}) AS distinct_keys, (SELECT bool_and(coalesce(b <= {k}, TRUE)) FROM (SELECT {k}, lag({k}) OVER (ORDER BY pos, {k}) AS b FROM seeds WHERE pos IS NOT NULL AND {k} IS NOT NULL) AS x) AS in_order FROM seeds" for k in _SEED_KEYS))
 def _(t: Tables) -> DataFrame:
-    return audit.seed_checks(t.inputs, "input")
+    seeds = t.seeds
+    return reduce(DataFrame.unionByName, (audit.seed_checks(seeds, k).select(F.lit(k).alias("seed_key"), "total", "distinct_keys", "in_order") for k in _SEED_KEYS))
 
 
-@query("integrity_violations", "SELECT 'positive_balance' AS rule, count(*) AS n FROM live WHERE NOT coalesce(balance_due >= 0, FALSE) HAVING count(*) > 0")
+@query("integrity_violations", "SELECT * FROM (SELECT unnest([{'rule': 'positive_balance', 'n': count(*) FILTER (WHERE NOT coalesce(balance_due >= 0, FALSE))}, {'rule': 'numbered', 'n': count(*) FILTER (WHERE number IS NULL)}, {'rule': 'current_rows_are_dated', 'n': count(*) FILTER (WHERE is_current AND issue_date IS NULL)}, {'rule': 'has_id', 'n': count(*) FILTER (WHERE source_id IS NULL)}], recursive := true) FROM live) WHERE n > 0")
 def _(t: Tables) -> DataFrame:
-    return audit.violations(t.live, {"positive_balance": F.col("balance_due") >= 0, "has_id": F.col("source_id").isNotNull()})
+    return audit.violations(t.live, {"positive_balance": F.col("balance_due") >= 0, "numbered": F.col("number").isNotNull(), "current_rows_are_dated": ~F.col("is_current") | F.col("issue_date").isNotNull(), "has_id": F.col("source_id").isNotNull()})
 
 
 # resolution -------------------------------------------------------------------------------------------------------------
@@ -484,8 +490,8 @@ def _(t: Tables) -> DataFrame:
     return resolve.failures_by_code(_outcomes(t))
 
 
-_NARROW = """fit AS (SELECT * FROM candidates WHERE parcel IS NOT NULL AND (input_id <> 3 OR upper(trim(borough)) = 'QUEENS')),
-  marked AS (SELECT *, CASE WHEN name IS NOT NULL THEN regexp_replace(name, 'ST$', 'STREET') ELSE upper(split_part(label, ',', 1)) END = CASE WHEN input_id = 3 THEN '5 MAIN STREET' ELSE CAST(input_id AS STRING) || ' MAIN STREET' END AS street FROM fit),
+_NARROW = """fit AS (SELECT * FROM candidates WHERE parcel IS NOT NULL AND coalesce(upper(trim(borough)) = nullif(upper(trim(split_part(address, ',', 2))), ''), split_part(address, ',', 2) = '')),
+  marked AS (SELECT *, replace(upper(coalesce(name, split_part(label, ',', 1))) || '|', ' ST|', ' STREET|') = replace(upper(split_part(address, ',', 1)) || '|', ' ST|', ' STREET|') AS street FROM fit),
   by_street AS (SELECT * FROM (SELECT *, bool_or(street) OVER (PARTITION BY input_id) AS any_street FROM marked) AS m WHERE street OR NOT any_street),
   narrow AS (SELECT * FROM (SELECT *, bool_or(layer = 'address') OVER (PARTITION BY input_id) AS any_layer FROM by_street) AS m WHERE layer = 'address' OR NOT any_layer)"""
 _RANK = "row_number() OVER (PARTITION BY input_id ORDER BY confidence DESC NULLS LAST, CASE WHEN confidence IS NOT NULL THEN label END, CASE WHEN confidence IS NOT NULL THEN source_id END, pos)"
@@ -509,8 +515,6 @@ def _(t: Tables) -> DataFrame:
 
 _TOKEN = r"""CASE WHEN regexp_full_match(x, '[0-9]+(-[0-9]+)?') THEN x WHEN regexp_full_match(x, '[0-9]+([sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])') THEN lower(x) WHEN regexp_full_match(x, '[0-9]+[A-Za-z]+') THEN upper(x) ELSE upper(substr(x, 1, 1)) || lower(substr(x, 2)) END"""
 _FLAT = r"regexp_replace(trim(regexp_replace({}, '\s+', ' ', 'g')), '[–—]', '-', 'g')"
-_UNIT_WORDS = "apt|apartment|unit|suite|ste|floor|fl"
-_VALUE = "([A-Za-z0-9][A-Za-z0-9-]*)"
 _BY_UNIT = """named AS (SELECT base_parcel, unit, count(*) AS n, min(unit_parcel) AS unit_parcel FROM unit_names WHERE trim(unit) <> '' GROUP BY base_parcel, unit)"""
 _TO_BASE = """bills_to AS (SELECT billing_parcel, count(*) AS n, min(base_parcel) AS base_parcel FROM billing_map GROUP BY billing_parcel)"""
 _LOT = "CAST(substr(parcel, 7, 4) AS INT)"
@@ -533,11 +537,14 @@ def _(t: Tables) -> DataFrame:
     return t.geo_candidates.join(found, "parcel").select("parcel", "building", resolve.corroborated(F.col("building"), F.col("buildings")).alias("agrees")).distinct()
 
 
-_ADDRESSES = rf"""flat AS (SELECT id, {_FLAT.format('address')} AS flat FROM addresses),
-  cut AS (SELECT id, flat, regexp_full_match(flat, '(?i)({_UNIT_WORDS})\.? +{_VALUE}') AS only_unit, regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 1) AS word, regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 2) || regexp_extract(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', 3) AS value,
-    regexp_replace(flat, '(?i) +(?:({_UNIT_WORDS})\.? +{_VALUE}|# *{_VALUE}) *$', '') AS rest FROM flat),
-  addressed AS (SELECT id, CASE WHEN NOT regexp_matches(flat, '[A-Za-z0-9]') THEN 'ADDRESS_NO_CONTENT' WHEN only_unit THEN 'ADDRESS_UNIT_ONLY' END AS input_error, nullif(upper(value), '') AS unit,
-    array_to_string(list_transform(string_split(rest, ' '), lambda x: {_TOKEN}), ' ') AS base, array_to_string(list_transform(string_split(rest, ' '), lambda x: {_TOKEN}), ' ') || CASE WHEN value = '' THEN '' ELSE ' ' || CASE lower(word) WHEN '' THEN '#' WHEN 'apt' THEN 'Apt' WHEN 'apartment' THEN 'Apt' WHEN 'unit' THEN 'Unit' WHEN 'suite' THEN 'Ste' WHEN 'ste' THEN 'Ste' ELSE 'Fl' END || ' ' || upper(value) END AS key FROM cut)"""
+_IS_VALUE = "(length({0}) > 0 AND {0}[1] <> '-' AND translate(upper({0}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-', '') = '')"
+_HAS_CONTENT = "translate(upper({0}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '') <> upper({0})"
+_ADDRESSES = f"""unit_words AS (SELECT * FROM (VALUES {", ".join(str(p) for p in text.UNIT_WORDS.items())}) AS u(word, written)),
+  worded AS (SELECT id, flat, w, len(w) AS n, w[len(w)] AS last, w[len(w) - 1] AS before FROM (SELECT id, {_FLAT.format('address')} AS flat, string_split({_FLAT.format('address')}, ' ') AS w FROM addresses) AS f),
+  ended AS (SELECT worded.*, written, CASE WHEN written IS NOT NULL AND {_IS_VALUE.format('last')} THEN 2 WHEN before = '#' AND n > 2 AND {_IS_VALUE.format('last')} THEN 2 WHEN n > 1 AND last[1] = '#' AND {_IS_VALUE.format('last[2:]')} THEN 1 ELSE 0 END AS taken
+    FROM worded LEFT JOIN unit_words ON word = lower(CASE WHEN before[-1] = '.' THEN before[:-2] ELSE before END)),
+  parted AS (SELECT id, flat, array_to_string(list_transform(w[1 : n - taken], lambda x: {_TOKEN}), ' ') AS base, CASE WHEN taken = 0 THEN NULL WHEN last[1] = '#' THEN upper(last[2:]) ELSE upper(last) END AS unit, CASE WHEN taken = 0 THEN NULL WHEN taken = 2 AND before <> '#' THEN written ELSE '#' END AS label FROM ended),
+  addressed AS (SELECT id, unit, base, concat_ws(' ', base, label, unit) AS key, CASE WHEN flat = '' THEN 'ADDRESS_EMPTY' WHEN NOT ({_HAS_CONTENT.format('flat')}) THEN 'ADDRESS_NO_CONTENT' WHEN NOT ({_HAS_CONTENT.format('base')}) THEN 'ADDRESS_UNIT_ONLY' END AS input_error FROM parted)"""
 _CHOSEN = """chosen AS (SELECT a.id, a.unit, a.input_error, CASE WHEN a.input_error IS NULL THEN a.key END AS key, k.entity_id, CASE WHEN g.n = 1 THEN g.parcel END AS parcel, CASE WHEN g.n = 1 THEN g.building END AS building, CASE WHEN g.id IS NULL THEN 'NO_CANDIDATES' WHEN g.n = 0 THEN 'NO_IDENTIFIERS' WHEN g.n > 1 THEN 'AMBIGUOUS' END AS geo_error
     FROM addressed a LEFT JOIN known_addresses k ON k.key = a.key AND a.input_error IS NULL LEFT JOIN (SELECT input_id AS id, count(DISTINCT parcel) AS n, max_by(parcel, pos) AS parcel, max_by(building, pos) AS building FROM geo_candidates GROUP BY input_id) g ON g.id = a.id)"""
 _TARGETS = f"""based AS (SELECT c.*, CASE WHEN c.unit IS NOT NULL AND {_LOT.replace('parcel', 'c.parcel')} >= 7501 THEN CASE WHEN b.n IS NULL THEN 'CONDO_BASE_NOT_FOUND' WHEN b.n > 1 THEN 'CONDO_BASE_AMBIGUOUS' END END AS base_error, CASE WHEN {_LOT.replace('parcel', 'c.parcel')} >= 7501 THEN CASE WHEN b.n = 1 THEN b.base_parcel END ELSE c.parcel END AS base FROM chosen c LEFT JOIN bills_to b ON b.billing_parcel = c.parcel),
@@ -549,9 +556,32 @@ _FINAL = """final AS (SELECT t.id AS input_id, t.key, t.entity_id, CASE WHEN t.e
 
 @query("address_resolution", f", {_RESOLUTION}, {_BY_UNIT}, {_TO_BASE}, {_ADDRESSES}, {_CHOSEN}, {_TARGETS}, {_FINAL} SELECT input_id, key, CASE WHEN error IS NOT NULL THEN 'failed' WHEN entity_id IS NOT NULL THEN 'cached' ELSE 'succeeded' END AS status, error, entity_id, parcel, base_parcel, billing_parcel, CASE WHEN error IS NULL THEN buildings END AS buildings FROM final")
 def _(t: Tables) -> DataFrame:
+    return _resolved_addresses(t).drop("address").withColumn("buildings", _joined("buildings"))
+
+
+def _resolved_addresses(t: Tables) -> DataFrame:
     inputs = t.addresses.select(F.col("id").alias("input_id"), "address")
-    found = resolve.resolve_addresses(inputs, t.geo_candidates, t.known_addresses, t.parcel_records, t.footprints, t.unit_names, t.billing_map)
-    return found.withColumn("buildings", _joined("buildings"))
+    return resolve.resolve_addresses(inputs, t.geo_candidates, t.known_addresses, t.parcel_records, t.footprints, t.unit_names, t.billing_map)
+
+
+_REGISTERED = """good AS (SELECT key, parcel, buildings FROM final WHERE error IS NULL AND parcel IS NOT NULL),
+  each AS (SELECT parcel, arg_min(buildings, key) AS buildings FROM good GROUP BY parcel),
+  ents AS (SELECT CAST(entity_id AS STRING) AS entity_id, parcel, coalesce(e.buildings NOT IN ('', '1000001'), FALSE) AS changed, e.buildings, FALSE AS fresh FROM registered LEFT JOIN each e USING (parcel)
+    UNION ALL SELECT substr(sha256(parcel), 1, 32), parcel, FALSE, buildings, TRUE FROM each WHERE parcel NOT IN (SELECT parcel FROM registered)),
+  ins AS (SELECT key AS input, CAST(entity_id AS STRING) AS entity_id FROM known_addresses UNION ALL SELECT key, min(entity_id) FROM good JOIN ents USING (parcel) WHERE key NOT IN (SELECT key FROM known_addresses) GROUP BY key)"""
+
+
+@query("address_registration", f", {_RESOLUTION}, {_BY_UNIT}, {_TO_BASE}, {_ADDRESSES}, {_CHOSEN}, {_TARGETS}, {_FINAL}, {_REGISTERED} SELECT e.entity_id, parcel, CAST(CASE WHEN changed THEN 2 ELSE 1 END AS INT) AS version, CASE WHEN fresh OR changed THEN e.buildings ELSE '1000001' END AS keys, CASE WHEN fresh OR changed THEN 'NOT_CHECKED' ELSE 'CHECKED' END AS status, CASE WHEN fresh AND e.buildings = '' THEN 'NO_VALID_BUILDING' WHEN fresh THEN 'NEVER_INGESTED' WHEN changed THEN 'IDENTIFIERS_CHANGED' END AS status_reason, i.inputs FROM ents e LEFT JOIN (SELECT entity_id, string_agg(input, '|' ORDER BY input) AS inputs FROM ins GROUP BY entity_id) i USING (entity_id)")
+def _(t: Tables) -> DataFrame:
+    known = t.registered.select(F.col("entity_id").cast("string").alias("entity_id"), "parcel")
+    inputs = t.known_addresses.select(F.lit("ADDRESS").alias("input_type"), F.col("key").alias("input"), F.col("entity_id").cast("string").alias("entity_id"))
+    coverage = known.select("entity_id", F.lit("CHECKED").alias("status"), *(F.lit(None).cast(k).alias(c) for c, k in (("status_reason", "string"), ("last_attempt_run_id", "string"), ("last_attempt_at", "timestamp"), ("last_error", "string"))))
+    before = registration.Registry(known.withColumn("version", F.lit(1)), inputs, known.select("entity_id", F.lit("1000001").alias("scan_key")), coverage)
+    now = registration.register(before, cut(_resolved_addresses(t)), "ADDRESS")
+    sets = now.entity_keys.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("scan_key")), ",").alias("keys"))
+    named = now.inputs.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("input")), "|").alias("inputs"))
+    out = now.entities.select("entity_id", "parcel", "version").join(sets, "entity_id", "left").join(named, "entity_id", "left").join(now.coverage.select("entity_id", "status", "status_reason"), "entity_id")
+    return out.withColumn("keys", F.coalesce("keys", F.lit("")))
 
 
 _KEYS = "SELECT entity_id, string_agg(CAST(scan_key AS STRING), ',' ORDER BY CAST(scan_key AS STRING)) AS keys FROM (SELECT DISTINCT entity_id, scan_key FROM {}) AS d GROUP BY entity_id"
@@ -613,21 +643,31 @@ def _(t: Tables) -> DataFrame:
 _ALIAS = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.STREET_WORDS.items()) + " ELSE x END"
 
 
-@query("street_evidence", rf"SELECT id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(upper(address), '\b([0-9]+)(ST|ND|RD|TH)\b', '\1', 'g'), '[^A-Z0-9-]+', ' ', 'g')), ' '), lambda x: {_ALIAS}), ' ') AS street, list_filter(list_transform(string_split(address, ',')[2:], lambda x: trim(regexp_replace(upper(x), '[^A-Z]+', ' ', 'g'))), lambda x: x IN ('STATEN ISLAND', 'MANHATTAN', 'BROOKLYN', 'QUEENS', 'BRONX'))[1] AS borough FROM addresses")
+_PLAIN = "array_to_string(list_transform(string_split(upper({0}), ''), lambda c: CASE WHEN contains('{1}', c) THEN c ELSE ' ' END), '')"
+_STREET = _PLAIN.format("address", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-")
+_CARDINAL = f"CASE WHEN right(p, 2) IN {text.ORDINALS} AND TRY_CAST(left(p, -2) AS HUGEINT) IS NOT NULL THEN left(p, -2) ELSE p END"
+
+
+@query("street_evidence", f"""SELECT id, array_to_string(list_transform(list_transform(list_filter(string_split({_STREET}, ' '), lambda x: x <> ''), lambda x: array_to_string(list_transform(string_split(x, '-'), lambda p: {_CARDINAL}), '-')), lambda x: {_ALIAS}), ' ') AS street,
+  list_filter(list_transform(string_split(address, ',')[2:], lambda x: trim({_PLAIN.format("x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")})), lambda x: x IN {text.BOROUGHS})[1] AS borough FROM addresses""")
 def _(t: Tables) -> DataFrame:
     return t.addresses.select("id", text.street_evidence(F.col("address")).alias("street"), text.requested_borough(F.col("address")).alias("borough"))
 
 
-_TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-_DATE_OK = f"CASE WHEN id % 9 IN (0, 3, 7) THEN substr({_TRIMMED}, 1, 10) WHEN id % 9 = 1 THEN substr({_TRIMMED}, 1, 4) || '-' || substr({_TRIMMED}, 5, 2) || '-' || substr({_TRIMMED}, 7, 2) WHEN id % 9 = 2 THEN substr(text, 7, 4) || '-' || substr(text, 1, 2) || '-' || substr(text, 4, 2) END"
+#: A moment worked out from a text: its day's three numbers, then its clock and zone.
+_MOMENTS = r"""split AS (SELECT id, text, trim(text) AS x FROM dated_texts),
+  days AS (SELECT *, CASE WHEN contains(x, 'T') AND length(x) >= 20 THEN string_split(x[1:10], '-') WHEN contains(x, '-') THEN string_split(x, '-') WHEN contains(x, '/') THEN [x[7:10], x[1:2], x[4:5]] WHEN length(x) = 8 THEN [x[1:4], x[5:6], x[7:8]] END AS n, CASE WHEN contains(x, 'T') THEN string_split(x, 'T')[2] END AS clock FROM split),
+  moments AS (SELECT id, text, x, CASE WHEN len(n) = 3 AND TRY_CAST(n[1] AS INT) >= 100 THEN CAST(TRY_CAST(n[1] || '-' || n[2] || '-' || n[3] AS DATE) AS TIMESTAMP) END
+    + to_seconds(coalesce(CAST(clock[1:2] AS INT) * 3600 + CAST(clock[4:5] AS INT) * 60 + CAST(clock[7:8] AS INT), 0) - CASE WHEN clock IS NULL OR clock[-1] = 'Z' THEN 0 ELSE CASE clock[-6] WHEN '-' THEN -60 ELSE 60 END * (CAST(clock[-5:-4] AS INT) * 60 + CAST(clock[-2:] AS INT)) END)
+    + to_milliseconds(CASE WHEN clock[9] = '.' THEN CAST(clock[10:12] AS INT) ELSE 0 END) AS moment FROM days)"""
 
 
-@query("issue_date_parse", f"SELECT id, CASE WHEN id % 9 = 7 THEN CAST(CAST(d AS DATE) + 1 AS STRING) ELSE d END AS issue_date, CASE WHEN id % 9 IN (5, 6, 8) THEN 'INVALID_DATE' END AS error FROM (SELECT id, {_DATE_OK} AS d FROM dated_texts) AS x")
+@query("issue_date_parse", f", {_MOMENTS} SELECT id, CASE WHEN text <> '0' THEN CAST(CAST(moment AS DATE) AS STRING) END AS issue_date, CASE WHEN moment IS NULL AND x <> '' AND text <> '0' THEN 'INVALID_DATE' END AS error FROM moments")
 def _(t: Tables) -> DataFrame:
     return t.dated_texts.select("id", parsing.parse_issue_date(F.col("text")).alias("p")).select("id", day("p.value").alias("issue_date"), "p.error")
 
 
-@query("source_timestamp_parse", f"SELECT id, CASE id % 9 WHEN 3 THEN d || 'T10:20:30.123Z' WHEN 7 THEN strftime(CAST(d AS DATE) + 1, '%Y-%m-%d') || 'T04:59:59.000Z' ELSE d || 'T00:00:00.000Z' END AS updated_at, CASE WHEN id % 9 IN (4, 5, 6, 8) THEN 'INVALID_DATE' END AS error FROM (SELECT id, {_DATE_OK} AS d FROM dated_texts) AS x")
+@query("source_timestamp_parse", f", {_MOMENTS} SELECT id, strftime(moment, '%Y-%m-%dT%H:%M:%S.%gZ') AS updated_at, CASE WHEN moment IS NULL AND x <> '' THEN 'INVALID_DATE' WHEN moment IS NULL THEN 'MISSING_TIMESTAMP' END AS error FROM moments")
 def _(t: Tables) -> DataFrame:
     parsed = t.dated_texts.select("id", parsing.parse_source_time(F.col("text")).alias("p"))
     utc = F.date_format(F.to_utc_timestamp("p.value", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -675,8 +715,9 @@ def _(t: Tables) -> DataFrame:
     return t.parcel_records.select("bbl", strict(F.col("bbl"), ids.PARCEL_DIGITS).alias("parcel"), strict(F.col("block"), ids.BUILDING_DIGITS).alias("building")).distinct()
 
 
-@query("typed_source_parcel", r"""SELECT id, CASE WHEN regexp_full_match(v, '[0-9]{10}') THEN v END AS parcel, CASE WHEN coalesce(regexp_full_match(v, '[0-9]{10}'), FALSE) THEN NULL ELSE 'MALFORMED_PARCEL' END AS error FROM (SELECT id, CASE json_type(payload, '$.bbl') WHEN 'VARCHAR' THEN regexp_replace(json_extract_string(payload, '$.bbl'), '\s+', '', 'g') WHEN 'DOUBLE' THEN lpad(split_part(json_extract_string(payload, '$.bbl'), '.', 1), 10, '0')
-  WHEN 'UBIGINT' THEN lpad(json_extract_string(payload, '$.bbl'), 10, '0') WHEN 'BOOLEAN' THEN 'x' END AS v FROM typed_rows) AS x""")
+@query("typed_source_parcel", r"""SELECT id, CASE WHEN v ~ '^[0-9]{10}$' THEN v END AS parcel, CASE WHEN coalesce(v ~ '^[0-9]{10}$', FALSE) THEN NULL ELSE 'MALFORMED_PARCEL' END AS error
+FROM (SELECT id, CASE WHEN kind = 'VARCHAR' THEN regexp_replace(x, '\s+', '', 'g') WHEN kind IN ('DOUBLE', 'BIGINT', 'UBIGINT') AND n >= 0 AND n < 10000000000 THEN lpad(CAST(n AS STRING), 10, '0') END AS v
+  FROM (SELECT id, x, kind, CASE WHEN kind IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN CAST(trunc(CAST(x AS DECIMAL(30,6))) AS BIGINT) END AS n FROM (SELECT id, json_type(payload, '$.bbl') AS kind, json_extract_string(payload, '$.bbl') AS x FROM typed_rows) AS j) AS i) AS p""")
 def _(t: Tables) -> DataFrame:
     typed = ids.typed_parcel(jf.field(jf.fields(F.col("payload")), "bbl"), jf.is_number(F.col("payload"), "bbl"))
     return t.typed_rows.select("id", typed.alias("p")).select("id", F.col("p.value").alias("parcel"), "p.error")
@@ -713,15 +754,15 @@ def _(t: Tables) -> DataFrame:
 # registration and seeds -------------------------------------------------------------------------------------------------
 
 
-@query("new_entities", f", {_RESOLUTION} SELECT parcel, CAST(1 AS INT) AS version, address, base_parcel, billing_parcel, CAST(substr(parcel, 2, 5) AS INT) AS block, CAST(substr(parcel, 7, 4) AS INT) AS lot, substr(sha256(parcel), 1, 32) AS entity_id FROM resolved WHERE error IS NULL AND parcel NOT IN (SELECT parcel FROM registered)")
+@query("new_entities", f", {_RESOLUTION} SELECT parcel, CAST(1 AS INT) AS version, address, base_parcel, billing_parcel, CAST(substr(parcel, 1, 1) AS INT) AS borough, CAST(substr(parcel, 2, 5) AS INT) AS block, CAST(substr(parcel, 7, 4) AS INT) AS lot, substr(sha256(parcel), 1, 32) AS entity_id FROM resolved WHERE error IS NULL AND parcel NOT IN (SELECT parcel FROM registered)")
 def _(t: Tables) -> DataFrame:
-    return registration.new_entities(t.registered, _resolved(t)).drop("borough")
+    return registration.new_entities(t.registered, _resolved(t))
 
 
-@query("new_resolution_inputs", "SELECT DISTINCT 'PARCEL' AS input_type, parcel AS input FROM lots WHERE parcel NOT IN (SELECT parcel FROM registered)")
+@query("new_resolution_inputs", "SELECT DISTINCT 'PARCEL' AS input_type, parcel AS input, sha256(parcel) AS entity_id FROM lots WHERE parcel NOT IN (SELECT parcel FROM registered)")
 def _(t: Tables) -> DataFrame:
     as_inputs = lambda d: d.select(F.lit("PARCEL").alias("input_type"), F.col("parcel").alias("input"), F.sha2("parcel", 256).alias("entity_id"))
-    return registration.new_inputs(as_inputs(t.registered), as_inputs(t.lots.unionByName(t.lots))).drop("entity_id")
+    return registration.new_inputs(as_inputs(t.registered), as_inputs(t.lots.unionByName(t.lots)))
 
 
 @query("seed_selection", "SELECT DISTINCT lpad(split_part(trim(bbl), '.', 1), 10, '0') AS parcel FROM parcel_records WHERE bbl IS NOT NULL AND borocode IS NOT NULL AND address IS NOT NULL AND CAST(block AS INT) % 5 IN (0, 1) ORDER BY parcel LIMIT 10000")

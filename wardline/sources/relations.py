@@ -42,6 +42,8 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
     "raw_rows": "SELECT CAST(user_id AS STRING) AS source_id, CAST(ts AS STRING) AS updated_text, props AS payload, event_id FROM {events}",
     "raw_table": "SELECT source_id, updated_text, min(event_id) AS event_id FROM raw_rows WHERE event_id % 3 = 0 GROUP BY source_id, updated_text",
     "inputs": f"SELECT c_custkey AS pos, CASE WHEN c_custkey % 23 = 0 THEN 'bad' || CAST(c_custkey AS STRING) WHEN c_custkey % 19 = 0 THEN ' ' || substr({_PARCEL}, 1, 4) || ' ' || substr({_PARCEL}, 5) || ' ' ELSE {_PARCEL} END AS input FROM {{customer}}",
+    "seeds": """SELECT pos, lpad(CAST(pos AS STRING), 12, '0') AS in_order, CASE WHEN k >= 100 THEN '0' ELSE '1' END || lpad(CAST(pos AS STRING), 12, '0') AS broken_at_gap, CASE WHEN k % 50 = 0 THEN CAST(NULL AS STRING) WHEN k % 60 = 1 THEN '0' ELSE lpad(CAST(pos AS STRING), 12, '0') END AS broken_inside, input
+  FROM (SELECT pos AS k, CASE WHEN pos % 31 = 0 THEN NULL ELSE pos - pos % 2 + 50000 * CAST(floor(pos / 100) AS BIGINT) END AS pos, input FROM inputs) AS s""",
     "lots": f"SELECT DISTINCT {_PARCEL} AS parcel FROM {{customer}}",
     "registered": "SELECT parcel, CAST(substr(parcel, 2) AS BIGINT) AS entity_id FROM lots WHERE CAST(substr(parcel, 2, 5) AS INT) % 8 = 1",
     "unit_map": """SELECT parcel AS unit_parcel, substr(parcel, 1, 6) || '0001' AS base_parcel FROM lots WHERE CAST(substr(parcel, 7) AS INT) > 1000 AND CAST(substr(parcel, 2, 5) AS INT) % 7 <> 0
@@ -68,7 +70,8 @@ RELATIONS: dict[str, str | tuple[str, str]] = {
   WHEN p_partkey % 4 = 3 THEN '7501' WHEN p_partkey % 13 = 0 THEN '7502' ELSE '0001' END END AS parcel,
   CASE WHEN p_partkey % 5 = 0 THEN '1999998' WHEN p_partkey % 5 = 1 THEN '1000000' WHEN p_partkey % 5 = 2 THEN '1' || lpad(CAST((p_partkey % 700 * 41 + p_partkey % 40 * 7 + 1) % 1000000 AS STRING), 6, '0') END AS building, CAST(k AS STRING) AS source_id
   FROM {part} CROSS JOIN (VALUES (1), (2)) AS twice(k) WHERE p_partkey % 29 <> 0""",
-    "typed_rows": """SELECT p_partkey AS id, '{{"bbl":' || CASE p_partkey % 7 WHEN 0 THEN '1' || lpad(CAST(p_partkey AS STRING), 9, '0') || '.25' WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN '"1' || lpad(CAST(p_partkey AS STRING), 9, '0') || '"' WHEN 3 THEN '" 1 ' || lpad(CAST(p_partkey AS STRING), 9, '0') || '"' WHEN 4 THEN '"12"' WHEN 5 THEN 'null' ELSE 'true' END
+    "typed_rows": """SELECT p_partkey AS id, '{{"bbl":' || CASE p_partkey % 11 WHEN 0 THEN '1' || lpad(CAST(p_partkey AS STRING), 9, '0') || '.25' WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN '"1' || lpad(CAST(p_partkey AS STRING), 9, '0') || '"' WHEN 3 THEN '" 1 ' || lpad(CAST(p_partkey AS STRING), 9, '0') || '"' WHEN 4 THEN '"12"' WHEN 5 THEN 'null' WHEN 6 THEN 'true'
+  WHEN 7 THEN substr('987654321012345', 1, 1 + CAST(p_partkey % 15 AS INT)) WHEN 8 THEN '-' || CAST(p_partkey AS STRING) WHEN 9 THEN CASE WHEN p_partkey % 2 = 0 THEN '-0.5' ELSE '0.' || CAST(p_partkey AS STRING) END ELSE CAST(p_partkey AS STRING) || '.75' END
   || ',"count":' || CASE p_partkey % 4 WHEN 0 THEN '"' || CAST(p_partkey AS STRING) || '"' WHEN 1 THEN CAST(p_partkey AS STRING) WHEN 2 THEN '-1' ELSE '"1.5"' END || '}}' AS payload FROM {part}""",
     "replies": """SELECT s_suppkey AS input_id, CAST(s_suppkey AS STRING) || ' Main St' AS address, '{{"features":[' || CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '{{"geometry":{{"coordinates":[-73.5,40.25]}},"properties":{{"label":" L' || CAST(s_suppkey AS STRING) || ' ","name":' || CASE WHEN s_suppkey % 3 = 0 THEN '""' ELSE '"N"' END || ',"layer":"address","borough":"Queens","confidence":' || CASE WHEN s_suppkey % 4 = 0 THEN '"0.5"' WHEN s_suppkey % 4 = 1 THEN '"x"' ELSE '0.75' END
   || CASE WHEN s_suppkey % 2 = 0 THEN ',"pad_bbl":"100001' || lpad(CAST(s_suppkey % 10000 AS STRING), 4, '0') || '"' ELSE '' END || ',"addendum":{{"pad":{{"bbl":2000010001,"bin":"' || CASE WHEN s_suppkey % 6 = 0 THEN '12' ELSE '1000001' END || '"}}}},"id":' || CAST(s_suppkey AS STRING) || '}}}},{{"geometry":{{"coordinates":[]}},"properties":{{"name":"unlabelled"}}}}' END || ']}}' AS reply FROM {supplier}""",
