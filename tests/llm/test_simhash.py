@@ -204,6 +204,54 @@ def test_links_depend_on_the_texts_alone(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_large_components_move_once(spark, monkeypatch):
+    """Near copies of one text in 30 tiles, with others that hang on by bits alone or by a few texts: texts are dealt about
+    once, not once for each tile; and nothing is lost where a component stays in several trees."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+
+    def changed(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"y{rng.randrange(10**6)}"
+        return words
+
+    # a chain leads away from the base: each link is near the one before, the last ones far from the base
+    chain = [base]
+    for _ in range(12):
+        chain.append(changed(chain[-1], 3))
+    rows = [(k, " ".join(changed(base, rng.randrange(2)))) for k in range(600)] + [(1000 + k, " ".join(c)) for k, c in enumerate(chain)] + [(2000 + k, " ".join(changed(chain[6], 9))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {i: grams(t) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and root(i) != root(j) and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                comp[high] = low
+    monkeypatch.setattr(simhash, "VERIFY_ROWS", 20)
+    moved, dealt = [], simhash._dealt
+
+    def counted(members, by, scheme, columns, judged):
+        if judged:
+            moved.append(members.selectExpr("sum(size(others)) AS n").collect()[0].n)
+        return dealt(members, by, scheme, columns, judged)
+
+    monkeypatch.setattr(simhash, "_dealt", counted)
+    got = {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+    assert got == {i: root(i) for i in sets} and len(set(got.values())) > 1
+    copies = docs.where("doc_id < 600")
+    moved.clear()
+    assert {r.component_id for r in simhash.components(copies).collect()} == {0}
+    assert sum(n or 0 for n in moved) < 1.5 * 600
+
+
 def test_representatives_of_repeated_rows_and_ids(spark):
     rows = [(None, "a b c d e f", 3), (None, "other words go here now", 1), (7, "one two three four five", 2), (7, "one two three four five", 1), (7, "six seven eight nine ten", 1), (8, "six seven eight nine ten", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)

@@ -14,7 +14,8 @@ Jaccard similarity, found by 256-bit fingerprints of their distinct shingles and
    lanes have all gone past the radius are abandoned. Only the edges of a spanning forest leave a block.
    For ``similar`` such links only find candidates: within each of their components every pair inside the radius that
    shares a key and that no link joins yet is compared by the exact Jaccard similarity of its distinct shingles, and only
-   pairs that reach the threshold are links. Texts are read again for these components alone.
+   pairs that reach the threshold are links. Texts are read again for these components alone, and move once unless links
+   leave a component of several tiles in several trees (``verified``).
 4. Components: alternating large-star and small-star steps on Spark joins, each round written to the shared folder.
 
 Whether two texts link depends on the two alone, not on the number of texts or how they are dealt.
@@ -30,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -233,6 +235,9 @@ def forest(fps, nodes, radius: int, first=None, last=None, sets=None, keys=None,
 
     nodes = np.asarray(nodes, np.int64)
     tree = np.arange(len(nodes))
+    if sets is not None:  # rows that stand for one tree found before are joined already
+        _, at, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+        tree = at[inverse]
     least = nodes.copy()
 
     def judged(probe: int, near) -> Iterator:
@@ -249,7 +254,7 @@ def forest(fps, nodes, radius: int, first=None, last=None, sets=None, keys=None,
                 tree[np.isin(tree, trees[1:])] = trees[0]
     least = least[tree]
     off = nodes != least
-    return list(zip(nodes[off].tolist(), least[off].tolist(), strict=True))
+    return sorted(set(zip(nodes[off].tolist(), least[off].tolist(), strict=True)))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], scheme: Scheme, judged: bool, rows: int) -> Iterator[pa.RecordBatch]:
@@ -298,17 +303,21 @@ def _compared(batches: Iterator[pa.RecordBatch], scheme: Scheme, judged: bool, r
 
 
 def _dealt(members: DataFrame, by: str, scheme: Scheme, columns: list[str], judged: bool) -> DataFrame:
-    """Compares members (by, tiles, node and columns) that share ``by``, dealt as pairs of tiles."""
+    """Compares members (by, node, own, others and columns) that share ``by``: those of tile ``own`` with those of each of the tiles
+    ``others``, its own among them or not."""
     spark = members.sparkSession
     small_batches(spark)
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = members.select(by, "node", *columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = members.select(by, "node", *columns, "own", F.explode("others").alias("other"))
     group = F.xxhash64(by, F.least("own", "other"), F.greatest("own", "other"))
     grouped = dealt.select("node", *columns, "own", group.alias("group")).repartition(spread(spark), "group").sortWithinPartitions("group", "own")
     rows = BLOCK_ROWS
     return grouped.mapInArrow(lambda it: _compared(it, scheme, judged, rows), "node long, least long")
 
 
+def _tile(tiles: str | Column) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(tiles) if isinstance(tiles, str) else tiles).cast("int")
+
+
 def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """nodes: (node, fp, keys), one row for each fingerprint. Returns (node, least): edges that connect what links within the
     radius connect, for all links whose ends share a key. Only keys of several nodes meet fingerprints again."""
@@ -317,19 +326,72 @@ def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiled = staged(counts.select("key", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("tiles")), "shared-keys")
     members = keyed.join(tiled, "key").join(nodes.select("node", "fp"), "node")
-    return _dealt(members, "key", scheme, ["fp"], judged=False)
+    pairs = {"own": _tile("tiles"), "others": F.sequence(F.lit(0), F.col("tiles") - 1)}
+    return _dealt(members.withColumns(pairs), "key", scheme, ["fp"], judged=False)
+
+
+def _load(of: Column | None = None) -> Column:
+    """How many tiles a group of nodes makes: of about VERIFY_ROWS texts and VERIFY_SHINGLES shingles."""
+    of = F.lit(True) if of is None else of
+    return F.ceil(F.greatest(F.count_if(of) / VERIFY_ROWS, F.sum(F.when(of, F.col("n"))) / VERIFY_SHINGLES)).cast("int")
+
+
+_JUDGED = ["fp", "keys", "text"]
 
 
 def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme) -> DataFrame:
     """(node, least): edges that connect what links of at least the scheme's similarity connect within the components found.
-    nodes: with doc and __text of one of their rows. A tile has about VERIFY_ROWS texts and VERIFY_SHINGLES shingles."""
+    nodes: with doc and __text of one of their rows.
+
+    A component's texts are dealt to tiles, and each tile joins its own into trees. The trees' smallest nodes then meet in
+    tiles again, as long as that joins some; so a component of near copies, of whatever size, becomes one tree while its
+    texts move once. Only in components that are still in several trees do tiles meet each other: the largest tree's
+    those of the rest, and the rest's one another. Pairs that are in one tree by then need no comparison, and no other
+    pair goes without."""
     members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(nodes, "node")
-    load = F.greatest(F.count("*") / VERIFY_ROWS, F.sum("n") / VERIFY_SHINGLES)
-    sizes = members.groupBy("component").agg(F.ceil(load).cast("int").alias("tiles"))
+    sizes = members.groupBy("component").agg(_load().alias("tiles"))
     wanted = staged(members.join(sizes, "component").withColumnRenamed("doc", "__id"), "candidates")
     texts, _ = sifted(docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), _text(), "text"), wanted, ["__id", "__text"])
-    texts = texts.join(wanted.hint("merge"), ["__id", "__text"])
-    return _dealt(texts, "component", scheme, ["fp", "keys", "text"], judged=True)
+    texts = texts.join(wanted.hint("merge"), ["__id", "__text"]).drop("__id", "__text")
+
+    def alone(rows: DataFrame) -> DataFrame:
+        """Links within tiles."""
+        pairs = rows.withColumn("own", _tile("tiles")).withColumn("others", F.array("own"))
+        return _dealt(pairs, "component", scheme, _JUDGED, judged=True)
+
+    single = alone(texts.where("tiles = 1"))
+    if wanted.where("tiles > 1").isEmpty():
+        return single
+    large = staged(texts.where("tiles > 1"), "large-components")
+    edges = staged(alone(large), "tile-links")
+    every = [single, edges]
+    # the tree of each node, by its smallest node
+    trees = large.select("node", "component", "n").join(edges, "node", "left").select("node", "component", "n", F.coalesce("least", "node").alias("tree"))
+    trees = staged(trees, "trees")
+    while True:
+        tops = trees.where("node = tree")
+        tiles = tops.groupBy("component").agg(_load().alias("tiles"), F.count("*").alias("trees")).where("trees > 1")
+        meeting = staged(tops.join(tiles, "component").select("node", "component", "tiles"), "tops")
+        edges = staged(alone(_rejoined(large.drop("tiles"), meeting)), "top-links")
+        every.append(edges)
+        trees = staged(trees.join(edges.toDF("tree", "least"), "tree", "left").select("node", "component", "n", F.coalesce("least", "tree").alias("tree")), "trees")
+        if edges.isEmpty() or meeting.where("tiles > 1").isEmpty():
+            break
+    loads = trees.groupBy("component", "tree").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    some = loads.groupBy("component").agg(F.max_by("tree", F.struct("count", "tree")).alias("largest"), F.count("*").alias("trees")).where("trees > 1").select("component", "largest")
+    apart = staged(trees.join(some, "component").withColumn("big", F.col("tree") == F.col("largest")), "apart")
+    sides = apart.groupBy("component").agg(_load(F.col("big")).alias("big_tiles"), _load(~F.col("big")).alias("rest_tiles"))
+    total, first = F.col("big_tiles") + F.col("rest_tiles"), F.col("big_tiles")
+    own = F.when(F.col("big"), _tile("big_tiles")).otherwise(first + _tile("rest_tiles"))
+    others = F.sequence(F.when(F.col("big"), first).otherwise(F.lit(0)), total - 1)
+    dealt = staged(apart.join(sides, "component").select("node", "component", "tree", own.alias("own"), others.alias("others")), "apart-tiles")
+    crossing = _rejoined(large.drop("tiles"), dealt).drop("node").withColumnRenamed("tree", "node")
+    return reduce(DataFrame.unionByName, [*every, _dealt(crossing, "component", scheme, _JUDGED, judged=True)])
+
+
+def _rejoined(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of texts whose node and component are wanted, with its columns; the other texts stay where they are."""
+    return sifted(texts, wanted, ["node", "component"])[0].join(wanted.hint("merge"), ["node", "component"])
 
 
 def connected(edges: DataFrame) -> DataFrame:
