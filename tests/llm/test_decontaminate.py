@@ -15,7 +15,7 @@ def brute(docs, items):
     n, mean = len(found), sum(len(w) for *_, w in found) / len(found)
     df = Counter(x for *_, w in found for x in set(w))
     texts = {i: t for i, t, _ in found}
-    width = max(dc.PASSAGE, 2 * max(len(w) for *_, w in found))
+    widths = {max(128, 1 << (2 * len(w) - 1).bit_length()) for *_, w in found}
 
     def impact(w, words):
         tf = words.count(w)
@@ -24,7 +24,7 @@ def brute(docs, items):
     out = {}
     for d, text in docs:
         ws = dc.words_of(text)
-        for s in range(0, max(1, len(ws)), width // 2):
+        for width, s in [(width, s) for width in widths for s in range(0, max(1, len(ws)), width // 2)]:
             passage = ws[s : s + width]
             grams = {k: {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)} for k in range(1, 6)}
 
@@ -33,6 +33,8 @@ def brute(docs, items):
                 return sum(g in grams[len(g)] for g in own) / len(own)
 
             for i, _, w in found:
+                if max(128, 1 << (2 * len(w) - 1).bit_length()) != width:
+                    continue
                 q = dc.question_and_answer(texts[i])[0]
                 score, whole, asked = (sum(impact(x, w) for x in set(w) if x in own) for own in (set(passage), set(w), set(q)))
                 overlap, of_q = share(w), share(q)
@@ -93,6 +95,32 @@ def test_question_without_its_answer(spark):
     assert sorted((r.doc_id, r.item_id, r.part) for r in found.collect()) == [(1, 1, "question"), (5, 3, "both"), (6, 3, "both")]
 
 
+def test_other_items_do_not_change_a_match(spark):
+    """The halves of an item lie 150 words apart: no leak, whatever long items the benchmark has beside it."""
+    say = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    item = f"{say('p', 20)} {say('q', 20)}"
+    docs = spark.createDataFrame([(1, f"{say('p', 20)} {say('x', 150)} {say('q', 20)}"), (2, f"{say('y', 90)} {item} {say('z', 90)}")], "doc_id long, text string")
+    for longer in ([], [(2, say("long", 400))]):
+        found = dc.pairs(docs, spark.createDataFrame([(1, item), *longer], "item_id long, text string")).collect()
+        assert [(r.doc_id, r.item_id, r.overlap, r.answer_overlap, r.part) for r in found] == [(2, 1, 1.0, None, "question")]
+
+
+def test_answers_are_verified_on_the_given_tables(spark):
+    """Of the planted items most have an answer, and taking it out of a document that holds an item changes what is reported."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").select(c, "text") for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    found = dc.pairs(docs, items).collect()
+    told = [r for r in found if r.answer_overlap is not None]
+    assert len(told) > len(found) / 2 and {r.part for r in told} == {"both"} and {r.part for r in found if r.answer_overlap is None} <= {"question", "item"}
+    texts = {r.item_id: r.text for r in items.collect()}
+    cut = []
+    for r in told:
+        cut.append((r.item_id, "lead in words " + " ".join(dc.question_and_answer(texts[r.item_id])[0])))
+    again = {r.doc_id: r for r in dc.pairs(spark.createDataFrame(cut, "doc_id long, text string"), items).collect() if r.doc_id == r.item_id}
+    assert again and all(r.part == "question" and r.answer_overlap < 0.8 for r in again.values())
+
+
 def test_question_and_answer():
+    assert dc.question_and_answer("One thing. Then another one.") == (["one", "thing"], ["then", "another", "one"])
+    assert dc.question_and_answer("A b. C d.\ne f\n") == (["a", "b", "c", "d"], ["e", "f"])
     assert dc.question_and_answer("What is it? A thing.") == (["what", "is", "it"], ["a", "thing"])
     assert dc.question_and_answer("Only one sentence.") == (["only", "one", "sentence"], [])

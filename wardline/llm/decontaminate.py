@@ -11,13 +11,16 @@ through each test at once:
 3. items of the blocks that are left get exact scores.
 
 No test loses an item: all with a score of at least SCORE_SHARE of their own self-score, or of their question's where that
-is less, are retrieved. The question goes up to the item's last question mark, the answer is what follows. Both of
+is less, are retrieved. The question goes up to the item's last question mark, the answer is what follows; without a mark
+between two texts, the answer is the last line, or the last sentence of a single line. Both of
 retrieved pairs are verified on five-word shingles, each apart. A pair is a leak if the passage holds at least OVERLAP of
 the item's shingles, or of its question's alone if these are QUESTION_SHINGLES or more: a question is spoilt without its
-answer, an answer alone says little. ``part`` says which of them reached OVERLAP.
+answer, an answer alone says little. ``part`` says which of them reached OVERLAP: both, question, answer, or item if only the
+whole did. An item of one sentence is all question: its ``answer_overlap`` is null and its part never both or answer.
 
-Passages are windows of at least PASSAGE words, twice as long as the longest item of all, half overlapping, so that each
-item lies whole in some window. The index is broadcast; items are taken in shards of at most SHARD_CHARS characters, one
+Passages are half overlapping windows, whose width depends on the item alone (``width_of``): PASSAGE words, doubled until it is twice as
+long as the item, so that each item lies whole in some window and no other item changes what it matches. Items of one width
+share an index, all of a shard are searched in one pass. Indexes are broadcast; items are taken in shards of at most SHARD_CHARS characters, one
 after the other, each with a search of its own whose pairs are written before the next, so what is broadcast at once is
 bounded whatever the benchmark's size. Texts are never shuffled for the search.
 
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +52,8 @@ BOUND_CELLS = 16 << 20
 NULL_ID = -(2**63)
 _WORD = re.compile(r"\w+")
 _ASKED = re.compile(r"(?s)^(.*\?)\s*(\S.*)$")
+_LAST_LINE = re.compile(r"(?s)^(.*\S)\s*\n\s*(\S.*)$")
+_LAST_SENTENCE = re.compile(r"(?s)^(.*[.!])\s+(\S.*)$")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,12 +65,21 @@ def shingles(words: list[str]) -> list[tuple[str, ...]]:
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of the question, up to the last question mark, and of the answer after it; an item without both is all question."""
-    found = _ASKED.match(text.strip())
+    """Words of the question and of the answer, see the module; an item without both is all question."""
+    text = text.strip()
+    found = _ASKED.match(text) or _LAST_LINE.match(text) or _LAST_SENTENCE.match(text)
     q, a = (words_of(found[1]), words_of(found[2])) if found else (words_of(text), [])
     return (q, a) if q else (a, [])
 
 
+def width_of(n_words: int) -> int:
+    """Words of the passages in which an item of so many words is looked for."""
+    width = PASSAGE
+    while width < 2 * n_words:
+        width *= 2
+    return width
+
+
 class Statistics:
     """Of all items: their number, mean words, and each word's items."""
 
@@ -78,12 +92,14 @@ class Statistics:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics, longest: int):
+    """Of items of one width."""
+
+    def __init__(self, items: list[tuple[int | None, str]], stats: Statistics, width: int):
         import numpy as np
 
         found = sorted(((len(w), i, w, t) for i, (i_, t) in enumerate(items) if (w := words_of(t))), key=lambda x: x[:2])
         self.ids = [items[i][0] for _, i, *_ in found]
-        self.width = max(PASSAGE, 2 * longest)
+        self.width = width
         self.texts = [t for *_, t in found]
         scores = [stats.impacts(w) for *_, w, _ in found]
         self.whole = np.array([sum(s.values()) for s in scores])
@@ -149,25 +165,24 @@ class Index:
         ok = sums >= need(other)
         return w[ok], other[ok], sums[ok]
 
-    def verified(self, item: int, passage: list[str]) -> tuple[float, float, float, str] | None:
+    def verified(self, item: int, passage: list[str]) -> tuple[float, float, float | None, str] | None:
         """Overlap of the item, its question and its answer with the passage and what of it is held, if enough for a leak."""
         q, a = question_and_answer(self.texts[item])
         every, q, a = shingles(words_of(self.texts[item])), shingles(q), shingles(a)
         held = {tuple(passage[i : i + n]) for n in {len(s) for s in (*every, *q, *a)} for i in range(len(passage) - n + 1)}
-        share = lambda own: sum(s in held for s in own) / len(own) if own else 1.0
-        whole, asked, told = share(every), share(q), share(a)
+        share = lambda own: sum(s in held for s in own) / len(own)
+        whole, asked, told = share(every), share(q), share(a) if a else None
         if whole < OVERLAP and (asked < OVERLAP or len(q) < QUESTION_SHINGLES):
             return None
-        part = "both" if min(asked, told) >= OVERLAP else "question" if asked >= OVERLAP else "answer" if told >= OVERLAP else "item"
-        return whole, asked, told, part
+        held = asked >= OVERLAP, told is not None and told >= OVERLAP
+        return whole, asked, told, {(True, True): "both", (True, False): "question", (False, True): "answer"}.get(held, "item")
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float, float, str]]:
-        """(text's place, item's place, score over self-score, overlaps of item, question and answer, part): best for each pair."""
+    def search(self, words: list[list[str]]) -> list[tuple[int, int, float, float, float, float | None, str]]:
+        """words: of each text. (text's place, item's place, score over self-score, overlaps of item, question and answer, part): best for each pair."""
         import numpy as np
 
         stride = self.width // 2
         get = self.terms.get
-        words = [words_of(t) for t in texts]
         ids, own, first, count = [], [], [], 0
         for ws in words:
             n = max(1, -(-(len(ws) - self.width) // stride) + 1)
@@ -190,19 +205,20 @@ class Index:
             found = self.verified(item, words[doc][start : start + self.width])
             if found:
                 row = (found[0], score / self.whole[item], *found[1:])
-                best[doc, item] = max(best.get((doc, item), row), row)
+                best[doc, item] = max(best.get((doc, item), row), row, key=lambda r: r[:3])
         return [(d, i, s, o, *rest) for (d, i), (o, s, *rest) in best.items()]
 
 
 FOUND = "doc_id long, __text long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, part string"
 
 
-def _searched(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], shard: list[Index]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.string())
     names = [x.split()[0] for x in FOUND.split(", ")]
     for batch in batches:
         docs, hashes = batch.column("doc_id").to_pylist(), batch.column("__text").to_pylist()
-        rows = [(docs[d], hashes[d], index.ids[i], *rest) for d, i, *rest in index.search(batch.column("text").to_pylist())]
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        rows = [(docs[d], hashes[d], index.ids[i], *rest) for index in shard for d, i, *rest in index.search(words)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
@@ -212,22 +228,25 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["shard", "n", "words"])
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index for each shard of items; statistics are those of all items."""
+def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Of each shard of items an index for each width; statistics are those of all items."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0)).alias("chars")).collect()[0].chars
     shards = -(-chars // SHARD_CHARS)
     split = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))))
     words = staged(split.select("shard", "text").mapInArrow(_item_words, "shard long, n long, words array<string>"), "item-words")
-    n, mean, longest = words.agg(F.count("*"), F.avg("n"), F.max("n")).collect()[0]
+    n, mean = words.agg(F.count("*"), F.avg("n")).collect()[0]
     each = words.select("shard", F.explode("words").alias("word"))
     df = each.groupBy("word").agg(F.count("*").alias("df"))
     for shard in range(shards if n else 0):
         own = each.where(F.col("shard") == shard).select("word").distinct().join(df, "word").collect()
         rows = split.where(F.col("shard") == shard).select("item_id", "text").collect()  # about SHARD_CHARS characters, and the words in them
-        index = Index([tuple(r) for r in rows], Statistics(n, mean, {r.word: r.df for r in own}), longest)
-        if index.ids:
-            yield index
+        stats, widths = Statistics(n, mean, {r.word: r.df for r in own}), defaultdict(list)
+        for r in rows:
+            if ws := words_of(r.text):
+                widths[width_of(len(ws))].append(tuple(r))
+        if widths:
+            yield [Index(widths[w], stats, w) for w in sorted(widths)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,8 +255,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"), "text")
     found = spark.createDataFrame([], FOUND)
-    for index in indexes(benchmark):
-        sent = spark.sparkContext.broadcast(index)
+    for shard in indexes(benchmark):
+        sent = spark.sparkContext.broadcast(shard)
         found = found.unionByName(staged(rows.mapInArrow(lambda it, sent=sent: _searched(it, sent.value), FOUND), "found"))
         sent.unpersist()
     best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap", "part")).alias("best")
