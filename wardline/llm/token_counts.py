@@ -20,7 +20,7 @@ from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.exprs import top_items
@@ -92,6 +92,15 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str, table: tuple[pa.Array
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(n, pa.int64()), pa.array(n > LIMIT, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
+def tokens(text: Column, path: str) -> Column:
+    """The tokens of a text as a column, for plans that carry other columns along: by the worker caches alone."""
+
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array(Counter(path, {}, worker_tier(path)).counts(texts), pa.int64())
+
+    return F.arrow_udf(counted, "long")(text)
+
+
 def count_tokens(docs: DataFrame, path: str, words: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row. path: of the tokenizer's file, on every node;
     words: the pre-tokens of the broadcast table, by default the corpus's most frequent."""
