@@ -2,7 +2,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -54,12 +54,18 @@ def judge(rows):
                 both[value, m[0].lower()].add(r)
         own.append((spans, outside))
     bound = lambda e: len(n_e[e]) * (n / len(n_e[e])) ** (1 - 1 / pii.ALPHA) - pii.SMOOTHING
+    words_in = Counter(len(r) for r in n_t.values())
+
+    def by_chance(e, t):
+        k, b = len(n_t[t]), len(both[e, t])
+        return words_in[k] * (len(n_e[e]) / n * (1 if b == k else math.e * k / b)) ** b if b else math.inf
+
     found = []
     for spans, outside in own:
         entities = {v for *_, v in spans if len(n_e[v]) < n}
         terms = {}
         for t in {m[0].lower() for m in outside}:
-            over = [e for e in entities if len(both[e, t]) >= min(pii.MIN_SUPPORT, len(n_e[e])) and math.log2(len(both[e, t]) * n / (len(n_e[e]) * (len(n_t[t]) + pii.SMOOTHING))) >= math.log2(n / len(n_e[e])) / pii.ALPHA - 1e-9]
+            over = [e for e in entities if by_chance(e, t) <= pii.CHANCE * (1 + 1e-9) and math.log2(len(both[e, t]) * n / (len(n_e[e]) * (len(n_t[t]) + pii.SMOOTHING))) >= math.log2(n / len(n_e[e])) / pii.ALPHA - 1e-9]
             if over:
                 safe = [t[:k] for k in range(2, len(t)) if any(len(r) > max(map(bound, entities)) for w, r in n_t.items() if len(w) > k and w.startswith(t[:k]))]
                 full = any(both[e, t] == n_t[t] for e in over)
@@ -185,6 +191,25 @@ def test_planted_terms(spark):
     assert all(s.split(":")[0] in ("email", "term") and x.count("term") <= 1 for x in found.values() if x for s in x.split(","))
 
 
+def test_words_seen_once_are_no_evidence_on_the_given_tables(spark):
+    """Every document there has words of its own. What is left are terms that share two documents or more with an entity."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    held = defaultdict(set)
+    for d, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t or ""):
+            held[w.lower()].add(d)
+    texts = dict(rows)
+    terms = Counter()
+    for r in pii.digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        for s in r.spans.split(","):
+            if s.startswith("term:"):
+                _, a, b = s.split(":")
+                terms[len(held[texts[r.doc_id][int(a) : int(b)].lower()])] += 1
+    assert terms[1] == 0 and sum(terms.values()) > 0
+    counted = [k for k, found in held.items() if len(found) == 1]
+    assert len(counted) > 5 * len(rows)  # with the mutual information alone, these beside an entity would all go
+
+
 def test_prefix_sums(spark):
     for n in (0, 1, 127, 128, 129, 5000):
         (r,) = spark.range(1).select(exprs.prefix_sums(F.array_repeat(F.lit(3), n)).alias("s")).collect()

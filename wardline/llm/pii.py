@@ -7,9 +7,14 @@ the entity, n_t the term and n_both the two, a term discloses the entity if
 
     log2(n_both n / (n_e (n_t + SMOOTHING))) >= log2(n / n_e) / ALPHA
 
-and n_both is at least MIN_SUPPORT, or n_e where that is less: an entity in one document has no more support to give. SMOOTHING
-is what a count of one is short of certainty: in a small corpus a word seen once is no evidence, in a large one it is.
-A term is a word of TERM_CHARS letters or more, anywhere in the document outside base spans. Each of its occurrences in a
+and the two don't share documents by chance. Of the V words that n_t documents have, were they dealt at random, no more than
+
+    V (n_e / n)^n_both, times (e n_t / n_both)^n_both where n_both is less than n_t
+
+would be expected in as many of the entity's documents; a term counts only if this is CHANCE or less. So evidence grows with each
+shared document, and what one document is worth depends on the corpus: where every document has words of its own, a
+word seen once says nothing about an address beside it; where hardly any has, it does. SMOOTHING is what a count is
+short of certainty. A term is a word of TERM_CHARS letters or more, anywhere in the document outside base spans. Each of its occurrences in a
 document of an entity that it discloses is a span of kind ``term``. Where it stands in documents of that entity only, it is
 removed; else it is generalised: cut to its longest prefix that some word has whose documents are too many to disclose
 any entity of the document, or removed if there is none.
@@ -27,6 +32,7 @@ output rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +43,7 @@ from wardline.llm.sieve import sifted
 from wardline.llm.storage import carried, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
-MIN_SUPPORT, ALPHA, SMOOTHING, TERM_CHARS = 3, 1.1, 0.5, 4
+ALPHA, SMOOTHING, CHANCE, TERM_CHARS = 1.1, 0.5, 0.5, 4
 NULL_ID = -(2**63)
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -151,13 +157,16 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     own = held.join(classes, "entity").groupBy("row").agg(kind, F.max("n_entity").alias("most"))
     words = docs.select(F.explode(_words(plain(F.col("text")))).alias("term"))
     vocabulary = staged(words.groupBy("term").agg(F.count("*").alias("n_term")), "vocabulary")
+    alike = staged(vocabulary.groupBy("n_term").agg(F.count("*").alias("n_words")), "words-by-documents")
     near = rows.join(own, "row").select("row", "classes", "most", F.explode("terms").alias("term")).join(vocabulary, "term")
     rare = staged(near.where(F.col("n_term") <= _bound(F.col("most"), n) * (1 + 1e-9)).select("row", "classes", "term", "n_term"), "rare-terms")
     pairs = rare.select("row", F.explode("classes").alias("c"), "term", "n_term").select("row", "c.*", "term", "n_term")
     counted = pairs.groupBy("class", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     share = F.log2(F.col("n_both") * n / (F.col("n_entity") * (F.col("n_term") + SMOOTHING)))
-    enough = F.col("n_both") >= F.least(F.lit(MIN_SUPPORT), F.col("n_entity"))
-    over = counted.where(enough & (share >= F.log2(F.lit(n) / F.col("n_entity")) / ALPHA - 1e-9))
+    over = counted.where(share >= F.log2(F.lit(n) / F.col("n_entity")) / ALPHA - 1e-9).join(alike, "n_term")
+    choices = F.when(F.col("n_both") < F.col("n_term"), math.e * F.col("n_term") / F.col("n_both")).otherwise(F.lit(1.0))
+    by_chance = F.col("n_words") * F.pow(F.col("n_entity") / n * choices, "n_both")
+    over = over.where(by_chance <= CHANCE * (1 + 1e-9))
     judged = staged(over.select("class", "term", (F.col("n_both") == F.col("n_term")).alias("full")), "disclosing")
     hits = pairs.join(judged, ["class", "term"]).groupBy("row", "term").agg(F.bool_or("full").alias("full"))
     # all entities of a row are safe from a prefix that the commonest is safe from
