@@ -339,6 +339,32 @@ def test_batches_are_fetched_in_one_job(spark):
     assert r.error == "FAILED_PAGE_LIMIT"
 
 
+def served():
+    """One row for each key that is asked for."""
+    return lambda keys, offset, limit: [row(f"c{k}", k) for k in keys][offset : offset + limit]
+
+
+def version():
+    return 100
+
+
+def test_ingest_command(engine, capsys):
+    from wardline.__main__ import main
+
+    ingestion, _ = engine
+    folder = ingestion.store.folder
+    args = ["ingest", folder, "tests.test_ingest:served", "tests.test_ingest:version"]
+    assert main(args) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["status"] == "COMPLETED"
+    assert {r.source_id for r in ingestion.store.table("live").where("last_run_id <> 'r0'").collect()} == {"c1000001", "c1000002", "c1000003"}
+    run = ingestion.store.create(START)
+    ingestion.store.acquire("other", dt.datetime.now(dt.timezone.utc))
+    assert main(args) == 3 and ingestion.store.load(run.run_id).status == "QUEUED"
+    ingestion.store.release("other")
+    assert main([*args[:3], "tests.test_ingest:nowhere"]) == 2
+    assert main([*args[:2], "tests.test_ingest:client", args[3]]) == 1  # replies that are no rows of the source
+    assert main(args[:3]) == 2
+
+
 def test_publication_is_all_or_nothing(engine, spark):
     store = engine[0].store
     before = store.versions()

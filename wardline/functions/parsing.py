@@ -89,3 +89,10 @@ def iso_millis(time: Column) -> Column:
 def shortest_decimal(amount: Column) -> Column:
     """Without trailing zeros, nor a trailing point."""
     return F.regexp_replace(F.regexp_replace(amount.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def timestamp_seconds(value: Column) -> Column:
+    """A source's version, whole seconds since 1970 as a number or a text of digits, as the moment it stands for."""
+    plain = stripped(value.cast("string"))
+    seconds = F.when(plain.rlike("^[0-9]{1,11}$"), plain.try_cast("long"))
+    return result(F.timestamp_seconds(seconds), F.when(seconds.isNull(), F.lit("INVALID_VERSION")))

@@ -78,6 +78,29 @@ def violations(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return broken.select(F.explode(pairs).alias("r")).select("r.rule", "r.n").where("n > 0")
 
 
+def enforced(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """table, whose plan fails at the first row that breaks a rule: what writes it stops before anything is in force."""
+    broken = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()), F.lit(None).cast("string"))
+    stop = F.raise_error(F.concat(F.lit("RULE_BROKEN "), broken)).cast("boolean")
+    return table.where(F.when(broken.isNotNull(), stop).otherwise(F.lit(True)))
+
+
+def key_bitmaps(rows: DataFrame, key: Column) -> DataFrame:
+    """(bucket, bits): which whole-number keys rows have, a bit each. Bitmaps of folders that landed apart are merged by
+    ``merged_bitmaps``, so a count of distinct keys reads new rows alone."""
+    number = key.cast("long")
+    return rows.where(number.isNotNull()).groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+
+
+def merged_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    return bitmaps.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def distinct_in(bitmaps: DataFrame) -> DataFrame:
+    """The exact number of distinct keys. bitmaps: one row a bucket."""
+    return bitmaps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("distinct_keys"))
+
+
 def run_rules() -> dict[str, Column]:
     started = F.col("status").isin("RUNNING", "COMPLETED", "SOURCE_CHANGED")
     has = F.col("start_version").isNotNull()

@@ -22,7 +22,9 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+from wardline.operators import audit
 
 QUEUED, RUNNING, COMPLETED, FAILED, SOURCE_CHANGED = "QUEUED", "RUNNING", "COMPLETED", "FAILED", "SOURCE_CHANGED"
 ACTIVE = (QUEUED, RUNNING)
@@ -182,13 +184,15 @@ class Store:
     def table(self, name: str, versions: dict[str, str] | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}/{(versions or self.versions())[name]}")
 
-    def publish(self, tables: dict[str, DataFrame], ended: RunState | None = None, lease: Lease | None = None) -> dict[str, str]:
+    def publish(self, tables: dict[str, DataFrame], ended: RunState | None = None, lease: Lease | None = None, rules: dict[str, dict[str, Column]] | None = None) -> dict[str, str]:
         """Writes the next version of each table, then the file that puts all of them and the run's end in force at once.
-        Raises if another publication or a take-over came between."""
+        Raises if another publication or a take-over came between. rules: of a table's rows, part of the plan that writes it: a
+        row that breaks one stops the publication, and the old state stays in force."""
         number, state = self._state()
         new = {}
         for name, df in tables.items():
             new[name] = uuid.uuid4().hex
+            df = audit.enforced(df, rules[name]) if rules and name in rules else df
             df.write.mode("errorifexists").parquet(f"{self.folder}/{name}/{new[name]}")
         self.check(lease)
         if lease and state["token"] > lease.token:

@@ -203,7 +203,7 @@ class Ingestion:
     def _close(self, run: control.RunState, status: str, tables: dict[str, DataFrame], failure: str | None) -> control.RunState:
         allowed = (control.RUNNING,) if status == control.COMPLETED else control.ACTIVE
         ended = self.store.changed(run, allowed, status=status, finished_at=self.clock().isoformat(), failure=failure)
-        self.store.publish(tables, ended, self.lease)
+        self.store.publish(tables, ended, self.lease, publish.rules())
         return ended
 
 

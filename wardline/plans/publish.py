@@ -14,6 +14,17 @@ COVERAGE = "entity_id int, status string, status_reason string, last_attempt_run
 NOT_PROMOTED, SOURCE_CHANGED = "RUN_NOT_PROMOTED", "SOURCE_CHANGED"
 
 
+def rules() -> dict[str, dict[str, Column]]:
+    """What must hold for the rows of what a run publishes."""
+    has = lambda c: F.col(c).isNotNull()
+    failed, checked = F.col("status") == "FAILED", F.col("status") == "CHECKED"
+    return {
+        "live": {"has_source_id": has("source_id"), "has_key": has("scan_key"), "is_current_or_not": has("is_current")},
+        "raw": {"has_source_id": has("source_id"), "has_version": has("updated_text"), "has_payload": has("payload")},
+        "coverage": {"known_status": F.col("status").isin("CHECKED", "NOT_CHECKED", "FAILED"), "failures_have_a_cause": ~failed | has("last_error"), "checked_means_a_success": ~checked | (has("last_success_run_id") & has("last_success_at"))},
+    }
+
+
 @dataclass(frozen=True)
 class Run:
     run_id: str

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions import identifiers as ids
 from wardline.functions import json_fields as jf
-from wardline.functions import parsing, text
-from wardline.operators import audit, feeds, merge, registration, resolve, snapshots
+from wardline.functions import parsing, requests, text
+from wardline.operators import audit, deltas, feeds, merge, registration, resolve, snapshots
 from wardline.plans import publish
 from wardline.plans.lineage import cut
 from wardline.sources import geocoder, landing
@@ -218,6 +218,23 @@ def _(t: Tables) -> DataFrame:
     return _live(publish.reconcile(publish.promote(t.live, t.staged, "r1", _FINISHED), t.snapshot, "r1"))
 
 
+_OLD_NEW = "live o FULL OUTER JOIN (SELECT * REPLACE ({} AS is_current) FROM promoted) n ON o.source_id = n.source_id"
+_DELTA_COLUMNS = ("balance_due", "id", "is_current", "issue_date", "last_run_id", "created_at", "modified_at", "number", "row_id", "scan_key", "status", "updated_at")
+
+
+@query("run_deltas", f", {_PROMOTED}, d AS (SELECT coalesce(o.source_id, n.source_id) AS source_id, CASE WHEN o.source_id IS NULL THEN 'ADDED' WHEN n.source_id IS NULL THEN 'GONE' ELSE 'CHANGED' END AS kind, CASE WHEN o.source_id IS NULL OR n.source_id IS NULL THEN '' ELSE concat_ws(',', {', '.join(f"CASE WHEN o.{c} IS DISTINCT FROM n.{c} THEN '{c}' END" for c in sorted(_DELTA_COLUMNS))}) END AS columns FROM {_OLD_NEW.format(_RETIRED)}) SELECT * FROM d WHERE kind <> 'CHANGED' OR columns <> ''")
+def _(t: Tables) -> DataFrame:
+    after = publish.reconcile(publish.promote(t.live, t.staged, "r1", _FINISHED), t.snapshot, "r1")
+    return deltas.of_tables(t.live, after, ["source_id"]).withColumn("columns", F.array_join("columns", ","))
+
+
+@query("distinct_keys_by_bitmap", "SELECT count(DISTINCT scan_key) AS distinct_keys FROM live WHERE scan_key >= 0")
+def _(t: Tables) -> DataFrame:
+    # three landings of rows, each with bitmaps of its own
+    landed = [audit.key_bitmaps(t.live.where(F.pmod(F.xxhash64("source_id"), F.lit(3)) == k), F.when(F.col("scan_key") >= 0, F.col("scan_key"))) for k in range(3)]
+    return audit.distinct_in(audit.merged_bitmaps(reduce(DataFrame.unionByName, landed)))
+
+
 # coverage ---------------------------------------------------------------------------------------------------------------
 
 _NEWER = """newer AS (SELECT c.entity_id FROM coverage c LEFT JOIN runs a ON a.run_id = c.last_attempt_run_id LEFT JOIN runs s ON s.run_id = c.last_success_run_id
@@ -674,6 +691,30 @@ def _(t: Tables) -> DataFrame:
     return parsed.select("id", F.when(F.current_timezone() == "UTC", parsing.iso_millis(F.col("p.value"))).otherwise(utc).alias("updated_at"), "p.error")
 
 
+_SECONDS = "CASE o_orderkey % 5 WHEN 0 THEN CAST(1700000000 + o_orderkey * 37 AS STRING) WHEN 1 THEN ' ' || CAST(o_orderkey AS STRING) || ' ' WHEN 2 THEN '-1' WHEN 3 THEN CAST(o_orderkey AS STRING) || '.5' END"
+
+
+@query("source_versions", f"SELECT id, strftime(epoch_ms(1000 * n), '%Y-%m-%dT%H:%M:%S.%gZ') AS version_at, CASE WHEN n IS NULL THEN 'INVALID_VERSION' END AS error FROM (SELECT id, CASE WHEN trim(x) ~ '^[0-9]+$' THEN CAST(trim(x) AS BIGINT) END AS n FROM (SELECT o_orderkey AS id, {_SECONDS} AS x FROM orders) AS v) AS w")
+def _(t: Tables) -> DataFrame:
+    found = t.orders.select(F.col("o_orderkey").alias("id"), parsing.timestamp_seconds(F.expr(_SECONDS)).alias("p"))
+    return found.select("id", parsing.iso_millis(F.col("p.value")).alias("version_at"), "p.error")
+
+
+@query("submitted_requests", """SELECT id, CASE WHEN trim(a) <> '' AND trim(p) <> '' THEN 'ADDRESS_AND_PARCEL' WHEN coalesce(trim(a), '') = '' AND coalesce(trim(p), '') = '' THEN 'NOTHING_SUBMITTED' END AS error,
+  CASE WHEN id % 7 = 0 THEN 'NO_INPUTS' WHEN id % 7 = 1 THEN 'INVALID_INPUT' WHEN id % 50 = 2 THEN 'TOO_MANY_INPUTS' END AS bulk_error,
+  CASE WHEN id % 4 IN (0, 1) THEN 'INVALID_ENTITY_ID' END AS ids_error FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN '  ' END AS a, CASE WHEN p_partkey % 5 < 3 THEN p_brand END AS p FROM part) AS r""")
+def _(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    address, parcel = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, "  "), F.when(k % 5 < 3, F.col("p_brand"))
+    one = F.lit("x")
+    inputs = F.when(k % 7 == 1, F.array(one, F.lit(None))).when(k % 7 != 0, F.array_repeat(one, F.when(k % 50 == 2, 10_001).otherwise(k % 30 + 1).cast("int")))
+    digits = F.substr(F.md5(k.cast("string")), F.lit(1), F.lit(32))
+    part = lambda a, n: F.substr(digits, F.lit(a), F.lit(n))
+    uuid = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12))
+    ids_ = F.array(uuid, F.when(k % 4 == 0, F.replace(uuid, F.lit("-"))).when(k % 4 == 1, F.lit(None)).otherwise(F.upper(uuid)))
+    return t.part.select(k.alias("id"), requests.submission_error(address, parcel).alias("error"), requests.bulk_error(inputs).alias("bulk_error"), requests.entity_ids_error(ids_).alias("ids_error"))
+
+
 @query("balance_parse", r"SELECT id, CAST(CASE WHEN regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)') THEN TRY_CAST(x AS DECIMAL(15,2)) END AS STRING) AS balance, CASE WHEN x = '' THEN NULL WHEN NOT regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)') THEN 'INVALID_NUMBER' WHEN TRY_CAST(x AS DECIMAL(15,2)) IS NULL THEN 'NUMBER_OVERFLOW' END AS error FROM (SELECT id, replace(trim(text), ',', '') AS x FROM amount_texts) AS a")
 def _(t: Tables) -> DataFrame:
     return t.amount_texts.select("id", parsing.parse_amount(F.col("text")).alias("p")).select("id", F.col("p.value").cast("string").alias("balance"), "p.error")
