@@ -26,13 +26,15 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str], order:
     return first_wins(rows, keys, order).join(table.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
-def merged(table: DataFrame, changes: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]] | None = None, insert: dict[str, Column] | None = None) -> DataFrame:
+def merged(table: DataFrame, changes: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]] | None = None, insert: dict[str, Column] | None = None, *, null_keys: bool = True) -> DataFrame:
     """The table after an upsert of changes, one row for each key in either. Columns that changes have replace the
     table's; those they lack stay. update: for a column, (old, new) -> value on rows that both have. insert: values of
-    columns that changes lack, on new rows."""
+    columns that changes lack, on new rows. null_keys: null keys are equal; without, no key is null, and tables that are dealt
+    by their keys are joined as they lie."""
     update, insert = update or {}, insert or {}
     old, new = table.alias("old").withColumn("__old", F.lit(True)), changes.alias("new").withColumn("__new", F.lit(True))
-    joined = old.join(new, [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys], "full_outer")
+    same = (lambda k: F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}"))) if null_keys else (lambda k: F.col(f"old.{k}") == F.col(f"new.{k}"))
+    joined = old.join(new, [same(k) for k in keys], "full_outer")
     out = []
     for c in table.columns:
         kind = table.schema[c].dataType

@@ -33,14 +33,14 @@ class Run:
     version_at: dt.datetime | None = None
 
 
-def promote(live: DataFrame, staged: DataFrame, run_id: str, at: dt.datetime | Column | None = None) -> DataFrame:
+def promote(live: DataFrame, staged: DataFrame, run_id: str, at: dt.datetime | Column | None = None, *, null_keys: bool = True) -> DataFrame:
     """live with the run's rows in it, current and stamped with the run; other rows as they were. With a time, rows are stamped
-    with it too, and new ones get an id and the time of their making, which stay."""
+    with it too, and new ones get an id and the time of their making, which stay. null_keys: as of ``merge.merged``."""
     rows = staged.select(*(c for c in live.columns if c in staged.columns and c not in ("is_current", "last_run_id"))).withColumns({"is_current": F.lit(True), "last_run_id": F.lit(run_id)})
     if at is None:
-        return merged(live, rows, ["source_id"])
+        return merged(live, rows, ["source_id"], null_keys=null_keys)
     now = F.lit(at).cast("timestamp")
-    return merged(live, rows.withColumn("modified_at", now), ["source_id"], insert={"id": F.md5(F.col("new.source_id")), "created_at": now})
+    return merged(live, rows.withColumn("modified_at", now), ["source_id"], insert={"id": F.md5(F.col("new.source_id")), "created_at": now}, null_keys=null_keys)
 
 
 def reconcile(live: DataFrame, scope: DataFrame, run_id: str) -> DataFrame:
