@@ -34,7 +34,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +45,7 @@ from wardline.llm.storage import carried, small_batches, staged
 
 K1, B = 1.2, 0.75
 SCORE_SHARE, OVERLAP, SHINGLE, QUESTION_SHINGLES = 0.6, 0.8, 5, 8
-PASSAGE, BLOCK_ITEMS = 128, 8
+PASSAGE, BLOCK_ITEMS = 128, 2
 SHARD_CHARS = 16 << 20
 #: Cells of the table of block bounds; blocks grow where a shard's words and items would need more.
 BOUND_CELLS = 16 << 20
@@ -100,10 +100,11 @@ class Index:
         found = sorted(((len(w), i, w, t) for i, (i_, t) in enumerate(items) if (w := words_of(t))), key=lambda x: x[:2])
         self.ids = [items[i][0] for _, i, *_ in found]
         self.width = width
-        self.texts = [t for *_, t in found]
+        # shingles of each item, its question and its answer
+        self.parts = [tuple(map(shingles, (words_of(t), *question_and_answer(t)))) for *_, t in found]
         scores = [stats.impacts(w) for *_, w, _ in found]
         self.whole = np.array([sum(s.values()) for s in scores])
-        asked = [{w for w in q} if len(shingles(q := question_and_answer(t)[0])) >= QUESTION_SHINGLES else s for t, s in zip(self.texts, scores, strict=True)]
+        asked = [set(question_and_answer(t)[0]) if len(q) >= QUESTION_SHINGLES else s for (*_, t), (_, q, _), s in zip(found, self.parts, scores, strict=True)]
         self.need = np.array([SCORE_SHARE * sum(s[w] for w in q) for s, q in zip(scores, asked, strict=True)])
         self.terms = {w: k for k, w in enumerate(dict.fromkeys(w for s in scores for w in s))}
         n, v = len(found), max(1, len(self.terms))
@@ -165,17 +166,17 @@ class Index:
         ok = sums >= need(other)
         return w[ok], other[ok], sums[ok]
 
-    def verified(self, item: int, passage: list[str]) -> tuple[float, float, float | None, str] | None:
-        """Overlap of the item, its question and its answer with the passage and what of it is held, if enough for a leak."""
-        q, a = question_and_answer(self.texts[item])
-        every, q, a = shingles(words_of(self.texts[item])), shingles(q), shingles(a)
-        held = {tuple(passage[i : i + n]) for n in {len(s) for s in (*every, *q, *a)} for i in range(len(passage) - n + 1)}
-        share = lambda own: sum(s in held for s in own) / len(own)
-        whole, asked, told = share(every), share(q), share(a) if a else None
+    def verified(self, item: int, held: Callable) -> tuple[float, float, float | None, str] | None:
+        """Overlap of the item, its question and its answer with a passage and what of it is held, if enough for a leak. held: whether
+        the passage has a shingle."""
+        every, q, a = self.parts[item]
+        share = lambda own: sum(map(held, own)) / len(own)
+        whole, asked = share(every), share(q)
         if whole < OVERLAP and (asked < OVERLAP or len(q) < QUESTION_SHINGLES):
             return None
-        held = asked >= OVERLAP, told is not None and told >= OVERLAP
-        return whole, asked, told, {(True, True): "both", (True, False): "question", (False, True): "answer"}.get(held, "item")
+        told = share(a) if a else None
+        found = asked >= OVERLAP, told is not None and told >= OVERLAP
+        return whole, asked, told, {(True, True): "both", (True, False): "question", (False, True): "answer"}.get(found, "item")
 
     def search(self, words: list[list[str]]) -> list[tuple[int, int, float, float, float, float | None, str]]:
         """words: of each text. (text's place, item's place, score over self-score, overlaps of item, question and answer, part): best for each pair."""
@@ -199,10 +200,20 @@ class Index:
         v = max(1, len(self.terms))
         pairs = np.unique(np.concatenate(own) * v + np.concatenate(ids)) if own else np.zeros(0, np.int64)
         best: dict[tuple[int, int], tuple] = {}
+        seen, passage, grams = -1, [], {}
+
+        def held(shingle: tuple[str, ...]) -> bool:
+            n = len(shingle)
+            if n not in grams:
+                grams[n] = set(zip(*(passage[k:] for k in range(n)), strict=False))
+            return shingle in grams[n]
+
         for w, item, score in zip(*(x.tolist() for x in self.retrieve(pairs // v, pairs % v)), strict=True):
             doc = int(np.searchsorted(first, w, "right")) - 1
-            start = (w - first[doc]) * stride
-            found = self.verified(item, words[doc][start : start + self.width])
+            if w != seen:  # windows come in order
+                start = (w - first[doc]) * stride
+                seen, passage, grams = w, words[doc][start : start + self.width], {}
+            found = self.verified(item, held)
             if found:
                 row = (found[0], score / self.whole[item], *found[1:])
                 best[doc, item] = max(best.get((doc, item), row), row, key=lambda r: r[:3])
