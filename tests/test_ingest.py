@@ -242,8 +242,16 @@ def test_heartbeat_renews_and_interrupts(engine, spark):
         time.sleep(60)
         yield from frames
 
+    def take_over():
+        time.sleep(1)
+        while True:
+            try:
+                return store.acquire("b", far)
+            except control.StateConflict:  # a renewal took the number
+                time.sleep(0.01)
+
     with pytest.raises(control.AuthorityLost), control.Heartbeat(store, lease, lambda: START, 0.2):
-        threading.Timer(1, lambda: store.acquire("b", far)).start()
+        threading.Thread(target=take_over).start()
         spark.range(8).mapInArrow(slow, "id long").count()
     assert time.time() - begun < 30
 
@@ -365,6 +373,41 @@ def test_ingest_command(engine, capsys):
     assert main(args[:3]) == 2
 
 
+def slowly():
+    """One row for each key; the second batch's reply takes a while."""
+
+    def ask(keys, offset, limit):
+        time.sleep(6 if "1000003" in keys else 0)
+        return [row(f"c{k}", k) for k in keys][offset : offset + limit]
+
+    return ask
+
+
+def test_progress_is_seen_while_a_job_runs(engine):
+    from wardline.plans.ingest import paged_source
+
+    ingestion, _ = engine
+    now = lambda: dt.datetime.now(dt.timezone.utc)
+    own = Ingestion(ingestion.store, paged_source("tests.test_ingest:slowly", version, concurrency=2), now, batch_size=2, heartbeat=0.2)
+    run, seen, over = own.store.create(now()), [], threading.Event()
+
+    def watch():
+        while not over.is_set():
+            noted = own.store.working(now())
+            if noted and noted["rows"] and not seen:
+                seen.append((noted, {r.batch_number: r.status for r in own.visible(own.store.load(run.run_id)).collect()}))
+            time.sleep(0.1)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    done = own.execute(run)
+    over.set()
+    watcher.join()
+    assert done.status == "COMPLETED" and seen[0] == ({"batches": 1, "pages": 1, "rows": 2, "requests": 1}, {1: "RUNNING", 2: "RUNNING"})
+    assert {r.batch_number: r.status for r in own.visible(done).collect()} == {1: "COMPLETED", 2: "COMPLETED"} and own.store.working(now()) is None
+    assert own.source.progress() == {"batches": 2, "pages": 2, "rows": 3, "requests": 2}
+
+
 def test_publication_is_all_or_nothing(engine, spark):
     store = engine[0].store
     before = store.versions()

@@ -142,12 +142,18 @@ class Store:
         self._write("lease", number + 1, {"owner": owner, "token": token, "until": (now + term).isoformat()})
         return Lease(owner, token)
 
-    def renew(self, lease: Lease, now: dt.datetime, term: dt.timedelta = LEASE) -> None:
-        """Also one that has run out, if nobody has taken it."""
+    def renew(self, lease: Lease, now: dt.datetime, term: dt.timedelta = LEASE, note: dict | None = None) -> None:
+        """Also one that has run out, if nobody has taken it. note: for others to see, until the next renewal."""
         number, held = self._held()
         if (held["owner"], held["token"]) != (lease.owner, lease.token):
             raise AuthorityLost(f"lease {lease.token} was taken over")
-        self._write("lease", number + 1, {"owner": lease.owner, "token": lease.token, "until": (now + term).isoformat()})
+        self._write("lease", number + 1, {"owner": lease.owner, "token": lease.token, "until": (now + term).isoformat(), "note": note})
+
+    def working(self, now: dt.datetime) -> dict | None:
+        """What the holder of the lease last noted, an empty note at least; None if nobody holds it."""
+        held = self._held()[1]
+        live = held["owner"] is not None and dt.datetime.fromisoformat(held["until"]) > now
+        return (held.get("note") or {}) if live else None
 
     def check(self, lease: Lease | None) -> None:
         held = self._held()[1]
@@ -271,14 +277,15 @@ class Heartbeat:
     """While it is entered: renews a lease every ``every`` seconds from a thread beside the caller's. When the lease is lost it
     interrupts the caller's Spark jobs, which bear its tag; whatever the caller's work then raises becomes ``AuthorityLost``."""
 
-    def __init__(self, store: Store, lease: Lease, clock: Callable[[], dt.datetime], every: float, term: dt.timedelta = LEASE):
+    def __init__(self, store: Store, lease: Lease, clock: Callable[[], dt.datetime], every: float, term: dt.timedelta = LEASE, note: Callable[[], dict] = dict):
+        self.note = note
         self.store, self.lease, self.clock, self.every, self.term = store, lease, clock, every, term
         self.tag, self._over = f"lease-{uuid.uuid4().hex}", threading.Event()
 
     def _beat(self) -> None:
         while not self._over.wait(self.every):
             try:
-                self.store.renew(self.lease, self.clock(), self.term)
+                self.store.renew(self.lease, self.clock(), self.term, self.note())
             except AuthorityLost:
                 self.store.spark.sparkContext.cancelJobsWithTag(self.tag)  # a session's interruptTag sees its own thread's tags only
                 return

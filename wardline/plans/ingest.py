@@ -31,10 +31,11 @@ STATES = "batch_number int, attempt int, status string, pages long, requests lon
 @dataclass
 class Source:
     """What a run reads. fetch gives what ``paged.fetched`` does for a table of batches (batch_number, scan_keys); version the
-    dataset's own version."""
+    dataset's own version; progress what fetches have done so far."""
 
     fetch: Callable[[DataFrame], DataFrame]
     version: Callable[[], int]
+    progress: Callable[[], dict] = dict
 
 
 @dataclass
@@ -133,7 +134,7 @@ class Ingestion:
             return run
         self.lease = self.store.acquire(self.owner, self.clock())
         try:
-            with control.Heartbeat(self.store, self.lease, self.clock, self.heartbeat):
+            with control.Heartbeat(self.store, self.lease, self.clock, self.heartbeat, note=self.source.progress):
                 self.store.fence(self.lease)
                 run = self.store.load(run.run_id)  # as the last holder left it
                 return self._execute(run) if run.status in control.ACTIVE else run
@@ -171,6 +172,14 @@ class Ingestion:
         joined = self.definitions(run).select("batch_number", definition).join(states, "batch_number", "left")
         return joined.withColumn("status", F.coalesce("status", F.lit("PENDING")))
 
+    def visible(self, run: control.RunState) -> DataFrame:
+        """Batches as anyone may see them while a run goes on: those that are open are running while an executor holds the lease.
+        What it has done so far is in ``Store.working``, as of its last renewal."""
+        table = self.batch_table(run).drop("definition")
+        if run.status != control.RUNNING or self.store.working(self.clock()) is None:
+            return table
+        return table.withColumn("status", F.when(F.col("status") == control.COMPLETED, F.col("status")).otherwise(control.RUNNING))
+
     def finish(self, run: control.RunState, *, source_changed: bool = False) -> control.RunState:
         """Publishes an accepted run, or the failure of one that isn't. Raw versions stay either way."""
         v, now = self.store.versions(), self.clock()
@@ -209,4 +218,11 @@ class Ingestion:
 
 def paged_source(client: str, version: Callable[[], int], **limits) -> Source:
     """A source behind a paged client; see ``paged.fetched``."""
-    return Source(lambda batches: paged.fetched(batches, client, **limits), version)
+    seen: list[paged.Progress] = []
+
+    def fetch(batches: DataFrame) -> DataFrame:
+        if not seen:
+            seen.append(paged.Progress(batches.sparkSession))
+        return paged.fetched(batches, client, progress=seen[0], **limits)
+
+    return Source(fetch, version, lambda: seen[0].seen() if seen else {})

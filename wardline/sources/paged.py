@@ -18,7 +18,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import AccumulatorParam
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -125,16 +126,39 @@ def _client(name: str) -> Callable:
     return getattr(importlib.import_module(module), function)()
 
 
+class _Sums(AccumulatorParam):
+    def zero(self, value: tuple) -> tuple:
+        return (0,) * len(value)
+
+    def addInPlace(self, value1: tuple, value2: tuple) -> tuple:
+        return tuple(a + b for a, b in zip(value1, value2, strict=True))
+
+
+class Progress:
+    """What tasks have done so far, seen from the driver while their job runs: counted when a task ends. A task that runs again counts
+    again, so these are for looking at; what counts are the states that an attempt writes."""
+
+    NAMES = ("batches", "pages", "rows", "requests")
+
+    def __init__(self, spark: SparkSession):
+        self.sums = spark.sparkContext.accumulator((0,) * len(self.NAMES), _Sums())
+
+    def seen(self) -> dict[str, int]:
+        return dict(zip(self.NAMES, self.sums.value, strict=True))
+
+
 BAD_DEFINITION = "INVALID_BATCH_DEFINITION"
 FETCHED = "batch_number int, payload string, pages long, requests long, retries long, error string"
 
 
-def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages: int = 100, tries: int = 3, wait: float = 0.5, concurrency: int = 8, timeout: float | None = None) -> DataFrame:
+def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages: int = 100, tries: int = 3, wait: float = 0.5, concurrency: int = 8, timeout: float | None = None, progress: Progress | None = None) -> DataFrame:
     """batches: (batch_number, scan_keys). A row for each payload, and one without payload for each batch: its pages, requests
     and retries, and the error if it failed, a bad definition included, which fails no other batch. Batches are dealt to
     ``concurrency`` tasks, so no more requests run at a time; a task streams one page after the other, and a lost one asks for
     all its batches again. timeout: seconds for each try of a request."""
 
+    sums = progress and progress.sums
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         names = [x.split()[0] for x in FETCHED.split(", ")]
@@ -145,7 +169,7 @@ def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages
         ask = _client(client)
         for frame in frames:
             for number, keys in zip(frame.column("batch_number").to_pylist(), frame.column("scan_keys").to_pylist(), strict=True):
-                calls, error = Calls(), None
+                calls, error, n_rows = Calls(), None, 0
                 counted = retrying(ask, tries, wait, calls, timeout)
                 try:
                     wanted = checked_keys([str(k) for k in keys or []])
@@ -155,9 +179,12 @@ def fetched(batches: DataFrame, client: str, *, page_size: int = 1000, max_pages
                 try:
                     for page in paged(counted, wanted, page_size, max_pages):
                         calls.pages += 1
+                        n_rows += len(page)
                         yield out([(number, row, None, None, None, None) for row in page])
                 except (RemoteError, ConnectionError, TimeoutError, PageLimit) as e:
                     error = str(e) or type(e).__name__
+                if sums is not None:
+                    sums.add((1, calls.pages, n_rows, calls.requests))
                 yield out([(number, None, calls.pages, calls.requests, calls.retries, error)])
 
     return batches.select(F.col("batch_number").cast("int").alias("batch_number"), "scan_keys").repartition(concurrency, "batch_number").mapInArrow(run, FETCHED)
