@@ -1,6 +1,7 @@
 """The engine's relations over the star-schema tables, as SQL that Spark and DuckDB read alike.
 
-Live facts include some under keys that no entity has, and versions some entities without keys.
+Live facts include some under keys that no entity has, and versions some entities without keys. Every relation holds all rows of its
+tables: what a run has not scanned or staged has another key or id there, it is not left out.
 ``relation(spark, sf_dir, name)`` is a DataFrame; ``with_clause()`` the same relations for DuckDB. A pair of texts is for
 the one thing the two write differently: gathering keys into a batch's JSON.
 """
@@ -24,14 +25,14 @@ _BATCHES = """SELECT 'r1' AS run_id, batch_number, CASE WHEN batch_number % 4 =
 RELATIONS: dict[str, str | tuple[str, str]] = {
     "entity_keys": "SELECT c_nationkey AS entity_id, c_custkey AS scan_key FROM {customer} UNION ALL SELECT (c_nationkey + 1) % 25 AS entity_id, c_custkey AS scan_key FROM {customer} WHERE c_custkey % 10 = 0",
     "versions": "SELECT n_nationkey AS entity_id, n_nationkey % 4 + 1 + CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS version FROM {nation} UNION ALL SELECT n_nationkey + 100, 1 FROM {nation} WHERE n_nationkey < 5",
-    "snapshot": "SELECT 'r1' AS run_id, entity_id, scan_key, entity_id % 4 + 1 AS version FROM entity_keys WHERE scan_key % 2 = 0",
+    "snapshot": "SELECT 'r1' AS run_id, entity_id, CASE WHEN entity_id % 3 = 0 AND scan_key % 10 = 3 THEN scan_key + 1000000 ELSE scan_key END AS scan_key, entity_id % 4 + 1 AS version FROM entity_keys",
     "mixed_snapshot": "SELECT run_id, entity_id, scan_key, version + CASE WHEN entity_id % 9 = 0 AND scan_key % 3 = 0 THEN 1 ELSE 0 END AS version FROM snapshot",
     "live": """SELECT md5(CAST(o_orderkey AS STRING)) AS id, CAST(o_orderkey AS STRING) AS source_id, 'row-' || CAST(o_orderkey AS STRING) AS row_id, CASE WHEN o_orderkey % 23 <> 0 THEN 'V' || CAST(o_orderkey AS STRING) END AS number, CASE WHEN o_orderkey % 19 = 0 THEN -o_custkey ELSE o_custkey END AS scan_key, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS issue_date,
   CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'F' THEN 'RESOLVE' END AS status,
   CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 13 = 0 THEN -12.5 WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS DECIMAL(15,2)) AS balance_due,
   CAST(o_orderdate AS TIMESTAMP) AS updated_at, o_orderkey % 11 <> 0 AS is_current, 'r0' AS last_run_id, CAST('2024-01-01 00:00:01' AS TIMESTAMP) AS created_at, CAST('2024-01-02 03:04:05' AS TIMESTAMP) AS modified_at FROM {orders}""",
-    "staged": """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'n' ELSE '' END || CAST(o_orderkey AS STRING) AS source_id, 'row2-' || CAST(o_orderkey AS STRING) AS row_id, 'W' || CAST(o_orderkey AS STRING) AS number, o_custkey AS scan_key, CAST(o_orderdate AS DATE) AS issue_date, 'ACTIVE' AS status,
-  CAST(o_totalprice + 1 AS DECIMAL(15,2)) AS balance_due, CAST(o_orderdate AS TIMESTAMP) AS updated_at, 'r1' AS run_id FROM {orders} WHERE (o_orderkey % 3 = 0 OR o_orderkey % 50 = 0) AND o_custkey % 2 = 0""",
+    "staged": """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'n' WHEN o_orderkey % 7 = 3 THEN 'm' ELSE '' END || CAST(o_orderkey AS STRING) AS source_id, 'row2-' || CAST(o_orderkey AS STRING) AS row_id, 'W' || CAST(o_orderkey AS STRING) AS number, o_custkey AS scan_key, CAST(o_orderdate AS DATE) AS issue_date, 'ACTIVE' AS status,
+  CAST(o_totalprice + 1 AS DECIMAL(15,2)) AS balance_due, CAST(o_orderdate AS TIMESTAMP) AS updated_at, 'r1' AS run_id FROM {orders}""",
     "runs": "SELECT * FROM (VALUES ('r0', 'COMPLETED', CAST('2024-01-01 00:00:00' AS TIMESTAMP)), ('r1', 'RUNNING', CAST('2024-01-08 00:00:00' AS TIMESTAMP)), ('r2', 'COMPLETED', CAST('2024-01-15 00:00:00' AS TIMESTAMP)), ('a3', 'FAILED', CAST('2024-01-22 00:00:00' AS TIMESTAMP))) AS t(run_id, status, started_at)",
     "coverage": """SELECT n_nationkey AS entity_id, CASE n_nationkey % 3 WHEN 0 THEN 'CHECKED' WHEN 1 THEN 'NOT_CHECKED' ELSE 'FAILED' END AS status, CASE WHEN n_nationkey % 3 = 1 THEN 'NEVER_INGESTED' END AS status_reason,
   CASE n_nationkey % 4 WHEN 0 THEN 'r0' WHEN 1 THEN 'r2' END AS last_attempt_run_id, CASE n_nationkey % 6 WHEN 0 THEN 'r0' WHEN 5 THEN 'a3' END AS last_success_run_id,
