@@ -173,7 +173,10 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     partly = hits.where("NOT full").join(own.select("row", _bound(F.col("most"), n).alias("bound")), "row")
     cut = lambda: F.explode(F.transform(F.sequence(F.lit(2), F.char_length("term") - 1), lambda k: F.substr(F.col("term"), F.lit(1), k))).alias("prefix")
     wanted = staged(partly.select("row", "term", "bound", cut()), "prefixes")
-    usual = vocabulary.select("n_term", cut()).join(wanted.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.max("n_term").alias("usual"))
+    # only words of more documents than the least bound can make a prefix safe, and of their prefixes only wanted ones move
+    least = wanted.agg(F.min("bound")).collect()[0][0]
+    safe = vocabulary.where(F.col("n_term") > (math.inf if least is None else least)).select("n_term", cut())
+    usual = sifted(safe, wanted.select("prefix"), ["prefix"])[0].groupBy("prefix").agg(F.max("n_term").alias("usual"))
     general = wanted.join(usual, "prefix").where(F.col("usual") > F.col("bound")).groupBy("row", "term").agg(F.max(F.struct(F.char_length("prefix").alias("size"), "prefix")).alias("best"))
     return hits.join(general, ["row", "term"], "left").select("row", "term", "full", F.coalesce(F.concat("best.prefix", F.lit("*")), F.lit("")).alias("written"))
 
