@@ -344,7 +344,7 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme
     nodes: with doc and __text of one of their rows.
 
     A component's texts are dealt to tiles, and each tile joins its own into trees. The trees' smallest nodes then meet in
-    tiles again, as long as that joins some; so a component of near copies, of whatever size, becomes one tree while its
+    tiles again, as long as that halves their number; so a component of near copies, of whatever size, becomes one tree while its
     texts move once. Only in components that are still in several trees do tiles meet each other: the largest tree's
     those of the rest, and the rest's one another. Pairs that are in one tree by then need no comparison, and no other
     pair goes without."""
@@ -367,11 +367,15 @@ def verified(docs: DataFrame, nodes: DataFrame, found: DataFrame, scheme: Scheme
     every = [single, edges]
     # the tree of each node, by its smallest node
     trees = large.select("node", "component", "n").join(edges, "node", "left").select("node", "component", "n", F.coalesce("least", "node").alias("tree"))
-    trees = staged(trees, "trees")
+    trees, before = staged(trees, "trees"), math.inf
     while True:
         tops = trees.where("node = tree")
         tiles = tops.groupBy("component").agg(_load().alias("tiles"), F.count("*").alias("trees")).where("trees > 1")
         meeting = staged(tops.join(tiles, "component").select("node", "component", "tiles"), "tops")
+        n = meeting.count()
+        if not n or 2 * n > before:  # few join now: what is apart meets below
+            break
+        before = n
         edges = staged(alone(_rejoined(large.drop("tiles"), meeting)), "top-links")
         every.append(edges)
         trees = staged(trees.join(edges.toDF("tree", "least"), "tree", "left").select("node", "component", "n", F.coalesce("least", "tree").alias("tree")), "trees")
