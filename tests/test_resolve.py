@@ -69,3 +69,13 @@ def test_key_sets(spark):
     assert got == {1: (1, ["a", "b"], False), 2: (2, ["c"], True), 3: (4, ["a"], False), 4: (1, ["a"], False)}
     df = spark.createDataFrame([("1012345", ["1012345"]), ("1012346", ["1012345"]), (None, ["1012345"]), ("1000000", ["1012345"]), ("1012346", [])], "b string, bs array<string>")
     assert [r[0] for r in df.select(resolve.corroborated(F.col("b"), F.col("bs"))).collect()] == [True, False, True, True, True]
+
+
+def test_addresses_are_parsed_once_and_dealt_to_tasks(spark):
+    """Fields of a parsed address, selected one by one, must not each parse it anew; nor must one small file be one task."""
+    inputs = spark.createDataFrame([(k, f"{k} main st apt {k}b") for k in range(400)], "input_id long, address string").coalesce(1)
+    parsed = resolve.parse_addresses(inputs)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Za-z0-9][A-Za-z0-9-]*$") == 2  # of the last word, and of what follows its mark
+    tasks = parsed.select("key", F.spark_partition_id().alias("task")).collect()
+    assert {r.key for r in tasks} == {f"{k} Main St Apt {k}B" for k in range(400)} and len({r.task for r in tasks}) > 4

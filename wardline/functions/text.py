@@ -32,51 +32,63 @@ def optional(text: Column) -> Column:
 
 
 def _recased(token: Column) -> Column:
-    number = F.regexp_extract(token, r"^([0-9]+)[A-Za-z]+$", 1)
-    return (
+    numeric = (
         F.when(token.rlike(r"^[0-9]+(?:-[0-9]+)?$"), token)
         .when(token.rlike(r"(?i)^[0-9]+(?:st|nd|rd|th)$"), F.lower(token))
-        .when(number != "", F.concat(number, F.upper(F.substr(token, F.length(number) + 1))))
-        .otherwise(F.concat(F.upper(F.substr(token, F.lit(1), F.lit(1))), F.lower(F.substr(token, F.lit(2)))))
+        .when(token.rlike("^[0-9]+[A-Za-z]+$"), F.upper(token))
     )
+    word = F.concat(F.upper(F.substr(token, F.lit(1), F.lit(1))), F.lower(F.substr(token, F.lit(2))))
+    return F.when(F.substr(token, F.lit(1), F.lit(1)).between("0", "9"), F.coalesce(numeric, word)).otherwise(word)
+
+
+def _recased_words(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: _recased(F.translate(w, "–—", "--"))), " ")
 
 
 def recased_address(text: Column) -> Column:
     """Each token in its customary case: house numbers kept, ordinals low, number suffixes high, words capitalised."""
-    dashed = F.translate(collapsed(text), "–—", "--")
-    return F.array_join(F.transform(F.split(dashed, " "), _recased), " ")
+    return _recased_words(F.split(collapsed(text), " "))
 
 
 #: The words that introduce a unit, and what each is written as.
 UNIT_WORDS = {"apt": "Apt", "apartment": "Apt", "unit": "Unit", "suite": "Ste", "ste": "Ste", "floor": "Fl", "fl": "Fl"}
 def address_parts(text: Column) -> Column:
     """Struct of base, unit, key and error. A unit is the last two words, or the last one if it begins with its mark; a text
-    that is nothing but a unit has an empty base and is an error, as are texts without any letter or digit."""
-    flat = collapsed(text)
+    that is nothing but a unit has an empty base and is an error, as are texts without any letter or digit. All of it is one
+    value, which plans can't take apart: its fields, selected one by one, would each parse the text anew."""
     names = F.create_map(*(F.lit(x) for pair in UNIT_WORDS.items() for x in pair))
+    is_value = lambda v: v.rlike("^[A-Za-z0-9][A-Za-z0-9-]*$")
 
-    def parts(words: Column) -> Column:
-        n = F.size(words)
-        last, before = F.element_at(words, -1), F.get(words, n - 2)
-        is_value = lambda v: v.rlike("^[A-Za-z0-9][A-Za-z0-9-]*$")
+    def ends(flat: Column) -> Column:
+        return let(F.split(flat, " "), lambda w: F.struct(flat.alias("flat"), w.alias("words"), F.size(w).alias("n"), F.element_at(w, -1).alias("last"), F.get(w, F.size(w) - 2).alias("before")))
+
+    def marks(e: Column) -> Column:
+        last, before, n = e["last"], e["before"], e["n"]
         word = F.try_element_at(names, F.lower(F.when(before.endswith("."), F.substr(before, F.lit(1), F.length(before) - 1)).otherwise(before)))
-        named = word.isNotNull() & is_value(last)
-        marked = (before == "#") & is_value(last) & (n > 2)
+        label = F.when(is_value(last), F.when(word.isNotNull(), word).when((before == "#") & (n > 2), F.lit("#")))
         joined = last.startswith("#") & is_value(F.substr(last, F.lit(2))) & (n > 1)
-        taken = F.when(named | marked, F.lit(2)).when(joined, F.lit(1)).otherwise(F.lit(0))
-        value = F.upper(F.when(named | marked, last).when(joined, F.substr(last, F.lit(2))))
-        base = recased_address(F.array_join(F.slice(words, F.lit(1), n - taken), " "))
-        return F.struct(base.alias("base"), F.when(named, word).when(taken > 0, F.lit("#")).alias("label"), value.alias("value"))
-
-    found = let(F.split(flat, " "), parts)
-    error = (
-        F.when(text.isNull() | (flat == ""), F.lit("ADDRESS_EMPTY"))
-        .when(~flat.rlike("[A-Za-z0-9]"), F.lit("ADDRESS_NO_CONTENT"))
-        .when(~found["base"].rlike("[A-Za-z0-9]"), F.lit("ADDRESS_UNIT_ONLY"))
-    )
-    ok = error.isNull()
-    key = F.concat_ws(" ", found["base"], found["label"], found["value"])
-    return F.struct(F.when(ok, found["base"]).alias("base"), F.when(ok, found["value"]).alias("unit"), F.when(ok, key).alias("key"), error.alias("error"))
+        return F.struct(e.alias("e"), label.alias("label"), joined.alias("joined"))
+
+    def parts(m: Column) -> Column:
+        e, label, joined = m["e"], m["label"], m["joined"]
+        taken = F.when(label.isNotNull(), F.lit(2)).when(joined, F.lit(1)).otherwise(F.lit(0))
+        value = F.upper(F.when(label.isNotNull(), e["last"]).when(joined, F.substr(e["last"], F.lit(2))))
+        base = _recased_words(F.slice(e["words"], F.lit(1), e["n"] - taken))
+        return F.struct(e["flat"].alias("flat"), base.alias("base"), F.coalesce(label, F.when(joined, F.lit("#"))).alias("label"), value.alias("value"))
+
+    def judged(p: Column) -> Column:
+        error = (
+            F.when(p["flat"].isNull() | (p["flat"] == ""), F.lit("ADDRESS_EMPTY"))
+            .when(~p["flat"].rlike("[A-Za-z0-9]"), F.lit("ADDRESS_NO_CONTENT"))
+            .when(~p["base"].rlike("[A-Za-z0-9]"), F.lit("ADDRESS_UNIT_ONLY"))
+        )
+        return F.struct(p["base"].alias("base"), p["value"].alias("unit"), F.concat_ws(" ", p["base"], p["label"], p["value"]).alias("key"), error.alias("error"))
+
+    def kept(p: Column) -> Column:
+        ok = p["error"].isNull()
+        return F.struct(*(F.when(ok, p[c]).alias(c) for c in ("base", "unit", "key")), p["error"].alias("error"))
+
+    return let(let(let(let(let(collapsed(text), ends), marks), parts), judged), kept)
 
 
 #: Short street words and what they stand for.

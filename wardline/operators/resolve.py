@@ -162,12 +162,21 @@ def resolve_keys(keys: DataFrame, records: DataFrame, footprints: DataFrame, uni
     return joined.select("parcel", "as_unit", error.alias("error"), F.when(error.isNull(), F.col("address")).alias("address"), "base_parcel", billing.alias("billing_parcel"), keep.alias("buildings"))
 
 
+def parse_addresses(inputs: DataFrame) -> DataFrame:
+    """(input_id, base, unit, key, input_error) of (input_id, address). Addresses take long for their few bytes, of which a scan
+    makes one task, so they are dealt to tasks by their number."""
+    spark = inputs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    parsed = inputs.select("input_id", "address").repartition(tasks, "input_id").select("input_id", address_parts(F.col("address")).alias("p"))
+    return parsed.select("input_id", "p.base", "p.unit", "p.key", F.col("p.error").alias("input_error"))
+
+
 def resolve_addresses(inputs: DataFrame, candidates: DataFrame, known: DataFrame, records: DataFrame, footprints: DataFrame, unit_map: DataFrame, billing_map: DataFrame) -> DataFrame:
     """inputs: (input_id, address). Each to its entity if its key is known, else by the geocoder's candidate to a parcel, or with
     a unit to the one that bears it, and to buildings that must not contradict the candidate's. One row for each input.
     candidates: as ``geocoder.candidates`` gives them for the addresses without their units; known: (key, entity_id);
     unit_map: with the unit's designation."""
-    parsed = inputs.select("input_id", address_parts(F.col("address")).alias("p")).select("input_id", "p.base", "p.unit", "p.key", F.col("p.error").alias("input_error"))
+    parsed = parse_addresses(inputs)
     cached = parsed.join(known.select("key", "entity_id"), "key", "left")
     fresh = cached.where(F.col("input_error").isNull() & F.col("entity_id").isNull()).select("input_id", "unit")
     chosen = fresh.join(select_candidate(candidates).select("input_id", "parcel", "building", F.col("error").alias("geo_error")), "input_id", "left")

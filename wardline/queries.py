@@ -654,7 +654,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("address_units", f", {_ADDRESSES} SELECT id, CASE WHEN input_error IS NULL THEN base END AS base, CASE WHEN input_error IS NULL THEN unit END AS unit, CASE WHEN input_error IS NULL THEN key END AS key, input_error AS error FROM addressed")
 def _(t: Tables) -> DataFrame:
-    return t.addresses.select("id", text.address_parts(F.col("address")).alias("p")).select("id", "p.base", "p.unit", "p.key", "p.error")
+    return resolve.parse_addresses(t.addresses.withColumnRenamed("id", "input_id")).withColumnsRenamed({"input_id": "id", "input_error": "error"})
 
 
 _ALIAS = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.STREET_WORDS.items()) + " ELSE x END"
