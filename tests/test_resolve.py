@@ -79,3 +79,10 @@ def test_addresses_are_parsed_once_and_dealt_to_tasks(spark):
     assert plan.count("[A-Za-z0-9][A-Za-z0-9-]*$") == 2  # of the last word, and of what follows its mark
     tasks = parsed.select("key", F.spark_partition_id().alias("task")).collect()
     assert {r.key for r in tasks} == {f"{k} Main St Apt {k}B" for k in range(400)} and len({r.task for r in tasks}) > 4
+
+
+def test_addresses_are_written_before_they_are_read_again(spark):
+    from wardline.queries import QUERIES
+
+    plan = QUERIES["address_resolution"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[A-Za-z0-9][A-Za-z0-9-]*$" not in plan

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import identifiers as ids
 from wardline.functions.text import address_parts, candidate_street, optional, requested_borough, street_evidence
+from wardline.plans.lineage import cut
 
 #: What a parcel record may lack, in the order in which it is reported.
 MISSING = ("missing_bbl", "missing_borocode", "missing_block", "missing_lot", "missing_address")
@@ -175,13 +176,12 @@ def resolve_addresses(inputs: DataFrame, candidates: DataFrame, known: DataFrame
     """inputs: (input_id, address). Each to its entity if its key is known, else by the geocoder's candidate to a parcel, or with
     a unit to the one that bears it, and to buildings that must not contradict the candidate's. One row for each input.
     candidates: as ``geocoder.candidates`` gives them for the addresses without their units; known: (key, entity_id);
-    unit_map: with the unit's designation."""
-    parsed = parse_addresses(inputs)
-    cached = parsed.join(known.select("key", "entity_id"), "key", "left")
+    unit_map: with the unit's designation. What is read several times is written once: addresses as parsed, and as located."""
+    cached = cut(parse_addresses(inputs).join(known.select("key", "entity_id"), "key", "left"))
     fresh = cached.where(F.col("input_error").isNull() & F.col("entity_id").isNull()).select("input_id", "unit")
     chosen = fresh.join(select_candidate(candidates).select("input_id", "parcel", "building", F.col("error").alias("geo_error")), "input_id", "left")
     chosen = chosen.withColumn("geo_error", F.when(F.col("parcel").isNull(), F.coalesce("geo_error", F.lit("NO_CANDIDATES"))))
-    located = condo_base(chosen.withColumn("parcel", F.when(F.col("geo_error").isNull(), F.col("parcel"))), billing_map)
+    located = cut(condo_base(chosen.withColumn("parcel", F.when(F.col("geo_error").isNull(), F.col("parcel"))), billing_map))
     by_unit = unit_by_designation(located.where(F.col("unit").isNotNull() & F.col("base_parcel").isNotNull()).select("base_parcel", "unit").distinct(), unit_map)
     found = located.join(by_unit, ["base_parcel", "unit"], "left")
     with_unit = F.col("unit").isNotNull()
