@@ -13,8 +13,9 @@ from wardline.llm import decontaminate, mixing, quality, simhash, token_binary,
 from wardline.llm.queries import tokenizer_path
 from wardline.llm.storage import staged
 
-#: How often a small source may be repeated beside the largest one, which is seen once.
-MAX_REPETITION = 1.1
+#: The power of a source's share of tokens that is its weight; and how often a small source may be repeated beside the
+#: largest one, which is seen once. Sources that differ by more than 2 ** (1 / 0.7), or 2.7 times, meet the limit, others the power.
+EXPONENT, MAX_REPETITION = 0.3, 2.0
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """By tokens; the budget is the one at which every document is seen at least once."""
-    return mixing.mixed(docs, max_repetition=MAX_REPETITION, n_tokens=token_counts.tokens(F.col("text"), tokenizer_path("word_bpe_49k.json")))
+    return mixing.mixed(docs, exponent=EXPONENT, max_repetition=MAX_REPETITION, n_tokens=token_counts.tokens(F.col("text"), tokenizer_path("word_bpe_49k.json")))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

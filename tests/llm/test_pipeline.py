@@ -90,3 +90,13 @@ def test_empty(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_lifts_small_sources(spark):
+    """Of sources 8 to 1 the small one is seen twice, as the limit says; of 4 to 3 it comes nearer by the power of the shares. Less
+    than one document may be left out of the last epoch."""
+    text = "one two three four five six seven eight"
+    for sizes, want in (((80, 10), (80, 20)), ((40, 30), (40, int(30 * (4 / 3) ** 0.7)))):
+        rows = [(100 * s + k, text, "en", f"src{s}", len(text)) for s, n in enumerate(sizes) for k in range(n)]
+        out = Counter(r.source for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows, SCHEMA), "").select("source").collect())
+        assert out["src0"] == want[0] and want[1] - 1 <= out["src1"] <= want[1]
