@@ -1,4 +1,6 @@
+import io
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +45,47 @@ def test_repeated_ids(spark):
     assert sorted(r.n_tokens for r in got) == sorted(len(direct(t)) for t in ("same", "same", "other text"))
 
 
+@pytest.mark.parametrize("limit", [1000, 8 << 20])
+def test_repeated_rows_are_stored_once(spark, monkeypatch, limit):
+    """A mixture's repeated rows take no more room, in ids as in shards, than single ones; each has its row and its place."""
+    monkeypatch.setattr(tb, "SHARD_TOKENS", limit)
+    rows = [(i, " ".join(f"{i}w{j * j}" for j in range(150))) for i in range(40)]
+    many = [r for r in rows for _ in range(3)] + rows[::2]  # beside one another, and apart
+    sizes = []
+    for some in (rows, many):
+        docs = spark.createDataFrame(some, "doc_id long, text string").coalesce(1)
+        encoded, folder = tb.encode(docs, PATH), tb.fresh_path(spark, "tokens")
+        got = [tuple(r) for r in tb.read_shards(tb.write_shards(encoded, folder), folder).orderBy("start").collect()]
+        want, start = [], 0
+        for d, t in sorted(some):
+            x = direct(t)
+            want.append((d, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+            start += len(x)
+        assert got == want
+        sizes.append((encoded.where("ids IS NOT NULL").count(), sum(p.stat().st_size for p in Path(folder.removeprefix("file:")).iterdir())))
+    assert sizes[0][0] == 40 and sizes[1][0] == 60
+    if limit > 1000:  # a small shard is full before its copies end
+        assert sizes[1][1] <= sizes[0][1] + 1000
+
+
+@given(st.lists(st.tuples(st.none() | st.integers(0, 9), st.lists(st.integers(0, 5), max_size=12), st.integers(1, 40)), max_size=12))
+def test_blocks_bound_copies(runs):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tb, "BLOCK_IDS", 30)
+        out = io.BytesIO()
+        shard = tb.ShardWriter(out, np.array([3, 1, 4, 5, 0, 2], np.uint32))
+        for run in runs:
+            shard.add(run[0], np.array(run[1], np.uint32), run[2])
+        shard.flush()
+        out.seek(0)
+        back = []
+        for docs, sizes, copies, ids in tb.read_shard(out):
+            assert sum(n * k for n, k in zip(sizes, copies, strict=True)) <= 30
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            back += [(d, p.tolist()) for d, p, k in zip(docs, parts, copies, strict=True) for _ in range(k)]
+        assert back == [(d, x) for d, x, k in runs for _ in range(k)] and shard.n_ids == sum(len(x) * k for _, x, k in runs)
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=60))
 def test_codec(ranks):
     control, data = tb.pack_ranks(ranks)

@@ -9,7 +9,9 @@
    BLOCK_IDS ids carry their directories.
 4. Shards are decoded by numpy with table lookups.
 
-Text is encoded once: the ids of step 1 are kept, compressed, in the shared folder.
+Text is encoded once: the ids of step 1 are kept, compressed, in the shared folder. Rows of one doc_id and text, such as a
+mixture repeats, are one entry with a number of copies: those that stand together from step 1 on, all others in their block,
+whose directory has the number. Each copy counts in sizes and starts, and comes out as a row.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id comes first; rows that repeat a doc_id stay
 apart, in the order of their ids' bytes; special strings inside texts are handled as by the library; extra columns are
@@ -26,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +41,7 @@ END_ID = 2
 #: Ids of a shard and of a block, the most that a task holds at once beside its longest document.
 SHARD_TOKENS, BLOCK_IDS = 32 << 20, 1 << 20
 CACHE_ROWS = 1_000_000
-MAGIC = b"WLTOK1\n"
+MAGIC = b"WLTOK2\n"
 
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
@@ -77,19 +80,22 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     import numpy as np
     import zstandard
 
-    names = ["doc_id", "n", "ids", "tally"]
+    names = ["doc_id", "n", "copies", "ids", "tally"]
     encoder = worker_encoder(path)
     end, width = encoder.written([END_ID]), encoder.width
     pack = zstandard.ZstdCompressor(level=1).compress
     total = np.zeros(0, np.int64)
     for batch in batches:
-        ids = [encoder.encode(t or "") + end for t in batch.column("text").to_pylist()]
-        none = pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pack(bytes([width]) + x) for x in ids], pa.binary()), none], names=names)
-        n = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(total))
+        rows = zip(batch.column("doc_id").to_pylist(), (t or "" for t in batch.column("text").to_pylist()), strict=True)
+        runs = [(*row, sum(1 for _ in same)) for row, same in groupby(rows)]
+        docs, copies = ([r[k] for r in runs] for k in (0, 2))
+        ids = [encoder.encode(t) + end for _, t, _ in runs]
+        none = pa.nulls(len(runs), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(copies, pa.int64()), pa.array([pack(bytes([width]) + x) for x in ids], pa.binary()), none], names=names)
+        n = np.bincount(np.frombuffer(b"".join(x * k for x, k in zip(ids, copies, strict=True)), f"<u{width}"), minlength=len(total))
         n[: len(total)] += total
         total = n
-    yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.binary())] + [pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())] + [pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=names)
 
 
 def unpacked(data: bytes):
@@ -101,10 +107,10 @@ def unpacked(data: bytes):
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n, ids, tally), kept in the shared folder. A row for each document, its ids packed; and one for each task,
-    without ids, with the task's count of every id."""
+    """(doc_id, n, copies, ids, tally), kept in the shared folder. A row for each document, its n ids packed, and for its copies
+    that follow it in a batch; and one for each task, without ids, with the task's count of every id."""
     small_batches(docs.sparkSession)
-    return staged(docs.select("doc_id", "text").mapInArrow(lambda it: _packed(it, path), "doc_id long, n long, ids binary, tally binary"), "ids", "none")
+    return staged(docs.select("doc_id", "text").mapInArrow(lambda it: _packed(it, path), "doc_id long, n long, copies long, ids binary, tally binary"), "ids", "none")
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,25 +178,32 @@ class ShardWriter:
 
     def _clear(self) -> None:
         self.docs: list[int | None] = []
+        self.copies: list[int] = []
         self.ids: list = []
         self.held = 0
 
-    def add(self, doc_id: int | None, ids) -> None:
-        if self.held and self.held + len(ids) > BLOCK_IDS:
-            self.flush()
-        self.docs.append(doc_id)
-        self.ids.append(ids)
-        self.held += len(ids)
-        self.n_ids += len(ids)
+    def add(self, doc_id: int | None, ids, copies: int = 1) -> None:
+        """Copies count as ids of the shard and of the block, which has them once."""
+        while copies:
+            if self.held and self.held + len(ids) > BLOCK_IDS:
+                self.flush()
+            n = min(copies, max(1, (BLOCK_IDS - self.held) // max(1, len(ids))))
+            self.docs.append(doc_id)
+            self.copies.append(n)
+            self.ids.append(ids)
+            self.held += n * len(ids)
+            self.n_ids += n * len(ids)
+            copies -= n
 
     def flush(self) -> None:
         import numpy as np
 
         if not self.docs:
             return
-        control, data = pack_ranks(self.rank_of[np.concatenate(self.ids)])
-        directory = np.array([0 if d is None else d for d in self.docs], "<i8").tobytes() + np.array([d is None for d in self.docs], np.uint8).tobytes() + np.array(list(map(len, self.ids)), "<i8").tobytes()
-        header = json.dumps({"docs": len(self.docs), "ids": self.held, "control": len(control), "data": len(data)}).encode()
+        ids = np.concatenate(self.ids)
+        control, data = pack_ranks(self.rank_of[ids])
+        directory = np.array([0 if d is None else d for d in self.docs], "<i8").tobytes() + np.array([d is None for d in self.docs], np.uint8).tobytes() + np.array(list(map(len, self.ids)), "<i8").tobytes() + np.array(self.copies, "<i8").tobytes()
+        header = json.dumps({"docs": len(self.docs), "ids": len(ids), "control": len(control), "data": len(data)}).encode()
         for part in (struct.pack("<I", len(header)), header, directory, control, data):
             self.out.write(part)
         self._clear()
@@ -200,8 +213,8 @@ class ShardWriter:
         self.out.close()
 
 
-def read_shard(source) -> Iterator[tuple[list[int | None], list[int], object]]:
-    """doc_ids, sizes and ids of each block of a shard."""
+def read_shard(source) -> Iterator[tuple[list[int | None], list[int], list[int], object]]:
+    """doc_ids, sizes, numbers of copies and ids of each block of a shard; the ids of copies are there once."""
     import numpy as np
 
     if source.read(len(MAGIC)) != MAGIC:
@@ -210,9 +223,9 @@ def read_shard(source) -> Iterator[tuple[list[int | None], list[int], object]]:
     ranked = np.frombuffer(source.read(4 * n), "<u4")
     while size := source.read(4):
         h = json.loads(source.read(*struct.unpack("<I", size)))
-        docs, none, sizes = (np.frombuffer(source.read(w * h["docs"]), kind).tolist() for w, kind in ((8, "<i8"), (1, "u1"), (8, "<i8")))
+        docs, none, sizes, copies = (np.frombuffer(source.read(w * h["docs"]), kind).tolist() for w, kind in ((8, "<i8"), (1, "u1"), (8, "<i8"), (8, "<i8")))
         control, data = source.read(h["control"]), source.read(h["data"])
-        yield [None if x else d for d, x in zip(docs, none, strict=True)], sizes, ranked[unpack_ranks(control, data, h["ids"])]
+        yield [None if x else d for d, x in zip(docs, none, strict=True)], sizes, copies, ranked[unpack_ranks(control, data, h["ids"])]
 
 
 SHARDS = "range_no int, shard_no int, file string, n_ids long"
@@ -232,16 +245,19 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, ranked, limit: int)
         shard.close()
         made.append((range_no, len(made), name, shard.n_ids))
 
-    for batch in batches:
-        for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            ids = unpacked(data)
+    rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "copies")), strict=True))
+    for (doc_id, data), same in groupby(rows, lambda row: row[:2]):
+        ids, left = unpacked(data), sum(copies for _, _, copies in same)
+        while left:
             if shard is not None and shard.n_ids + len(ids) > limit:
                 close()
                 shard = None
             if shard is None:
                 name = f"{range_no:06d}-{len(made):06d}-{uuid.uuid4().hex[:12]}.tokens"
                 shard = ShardWriter(system.open_output_stream(f"{root}/{name}", compression=None), ranked)
-            shard.add(doc_id, ids)
+            n = min(left, max(1, (limit - shard.n_ids) // len(ids)))  # there is an end id at least
+            shard.add(doc_id, ids, n)
+            left -= n
     if shard is not None:
         close()
     types = (pa.int32(), pa.int32(), pa.string(), pa.int64())
@@ -256,7 +272,7 @@ def write_shards(encoded: DataFrame, folder: str) -> DataFrame:
     ranked = spark.sparkContext.broadcast(np.array(ranking(encoded), np.uint32))
     dealt = encoded.where(F.col("ids").isNotNull()).repartitionByRange(spread(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     limit = SHARD_TOKENS
-    shards = staged(dealt.select("doc_id", "ids").mapInArrow(lambda it: _written(it, folder, ranked.value, limit), SHARDS), "shards")
+    shards = staged(dealt.select("doc_id", "ids", "copies").mapInArrow(lambda it: _written(it, folder, ranked.value, limit), SHARDS), "shards")
     # sums within each range, and over the ranges, of which there are as many as partitions
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = shards.groupBy("range_no").agg(F.sum("n_ids").alias("n_ids")).select("range_no", before(Window.orderBy("range_no")).alias("range_start"))
@@ -274,12 +290,13 @@ def _decoded(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Reco
     for batch in batches:
         for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
             with system.open_input_file(f"{root}/{file}") as source:
-                for docs, sizes, ids in read_shard(source):
+                for docs, sizes, copies, ids in read_shard(source):
                     raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
-                    for doc_id, n in zip(docs, sizes, strict=True):
-                        rows.append((doc_id, start + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])))
+                    for doc_id, n, k in zip(docs, sizes, copies, strict=True):
+                        crc = zlib.crc32(raw[4 * at : 4 * (at + n)])
+                        rows += ((doc_id, start + i * n, n, crc) for i in range(k))
                         at += n
-                    start += at
+                        start += k * n
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
