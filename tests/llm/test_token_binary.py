@@ -117,3 +117,53 @@ def test_words_and_marks():
     e = tb.Encoder(PATH)
     for t in ["The, The. THE, ÀÉÿß, Straße. ÆØÞ. aª º, µ", "x I.B.M. e.g., it's, 'll, a.,", *("w " + chr(c) + "x" + chr(c) + ", end" for c in range(0xC0, 0x180))]:
         assert [*ids(e, t), 2] == direct(t)
+
+
+class Counted:
+    def __init__(self, library):
+        self.library, self.asked = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked.append(len(texts))
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_new_pieces_are_encoded_together():
+    """Not a call of the library for each word that a worker meets for the first time."""
+    e = tb.Encoder(PATH)
+    e.library, e.split = Counted(e.library), Counted(e.split)
+    texts = [" ".join(f"{chr(97 + i % 26) * (1 + j)}{chr(97 + i // 26)}é, x{i}-{j}\n{chr(65 + j)}ß" for j in range(20)) for i in range(200)]
+    for asked in (1, 2):  # what is known is not asked for again
+        got, ends = e.encode_all(texts)
+        assert [p.tolist() for p in np.split(got, ends[:-1])] == [direct(t)[:-1] for t in texts]
+        assert len(e.split.asked) == 1 and len(e.library.asked) == asked and sum(e.library.asked) < 5000
+
+
+PARTS = ["a", "Zé", "ß", "'s", "'", "<|endoftext|>", "<", "|", ">", ".", ",", "###", "7", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x7f", "\x85", "\xa0", "\xad", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u3000", "“", "e\u0301", "×", "÷", "日", "👩", "Ġ", "Ċ"]
+ENCODER = tb.Encoder(PATH)
+
+
+@settings(max_examples=600, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), max_size=8))
+def test_texts_of_a_group_keep_apart(texts):
+    got, ends = ENCODER.encode_all(texts)
+    assert [p.tolist() for p in np.split(got, ends[:-1])][: len(texts)] == [direct(t)[:-1] for t in texts]
+
+
+def test_all_short_texts():
+    """Each three parts beside one another, behind a text and before another."""
+    texts = [a + b + c for a in PARTS for b in PARTS for c in PARTS]
+    got, ends = ENCODER.encode_all(texts)
+    assert [p.tolist() for p in np.split(got, ends[:-1])] == [direct(t)[:-1] for t in texts]
+    assert [ids(ENCODER, f"{t}a b") for t in texts[:3000]] == [direct(f"{t}a b")[:-1] for t in texts[:3000]]
+
+
+def test_groups_of_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tb, "GROUP_BYTES", 40)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "text": pa.array(t, pa.string())}) for d, t in (([], []), ([1, 1, 2], ["a b", "a b", None]), ([2, None], ["", "c" * 50]), ([None], ["c" * 50]))]
+    got = pa.Table.from_batches(tb._packed(iter(batches), PATH)).to_pylist()
+    assert [(r["doc_id"], r["n"], r["copies"]) for r in got[:-1]] == [(1, 3, 2), (2, 1, 2), (None, len(direct("c" * 50)), 1), (None, len(direct("c" * 50)), 1)]
+    assert [tb.unpacked(r["ids"]).tolist() for r in got[:-1]] == [direct(t) for t in ("a b", "", "c" * 50, "c" * 50)]
+    assert next(tb._tallied(iter([pa.RecordBatch.from_pylist(got[-1:])]))).to_pydict()["n"] == np.unique(sum((direct(t) * k for t, k in (("a b", 2), ("", 2), ("c" * 50, 2))), []), return_counts=True)[1].tolist()

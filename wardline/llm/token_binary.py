@@ -1,8 +1,9 @@
 """Token ids of a corpus in binary shards: frequency-ranked ids, byte-aligned variable-length coding, control bytes apart.
 
-1. Texts are encoded by the tokenizers library. A text is cut at single blanks between two non-blank characters; the
-   vocabulary's byte-level rules always start a new pre-token there, so pieces encode alone as they do in place. A worker
-   keeps the ids of pieces it has met and has the library encode the others.
+1. Texts are encoded by the tokenizers library, in pieces, as the vocabulary's byte-level rules always start a new
+   pre-token at a blank or line feed between two other characters, and at a mark behind a letter or digit. numpy cuts a group
+   of texts at once, Arrow names each piece of the group once; a worker keeps the ids of pieces it has met, the library
+   encodes all others of the group together, and numpy gathers the ids of the texts.
 2. Ids are counted over the whole corpus (at most one row for each id) and ranked by frequency.
 3. Documents are dealt in ranges of doc_id, sorted, and written: each id as the 1 to 4 bytes of its rank, with four 2-bit
    lengths in each control byte. A shard is closed at SHARD_TOKENS ids and carries its rank table; its blocks of
@@ -25,7 +26,6 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
@@ -34,40 +34,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.pieces import Pieces, Uneven, tokenizer
+from wardline.llm.pieces import byte_letters, tokenizer
 from wardline.llm.storage import fresh_path, small_batches, spread, staged
 
 END_ID = 2
 #: Ids of a shard and of a block, the most that a task holds at once beside its longest document.
 SHARD_TOKENS, BLOCK_IDS = 32 << 20, 1 << 20
-CACHE_ROWS = 1_000_000
+#: Bytes of text that are cut and looked up at once, beside the last batch's; pieces that a worker keeps, and their most bytes.
+GROUP_BYTES = 4 << 20
+CACHE_ROWS, CACHE_BYTES = 1_000_000, 64
 MAGIC = b"WLTOK2\n"
 
-_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+#: One pre-token: letters that every Unicode version calls letters, and the blank before them.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: What a byte may be at a cut. SPACE: cut before it; MARK: cut before it, behind ALNUM; FIRST, LAST: a character that is no
+#: white space may begin, end so; OPENS: a special string begins so; WIDE: no ASCII.
+_SPACE, _MARK, _ALNUM, _FIRST, _LAST, _OPENS, _WIDE = (1 << k for k in range(7))
+
+
+def _kinds(special: list[bytes]):
+    import numpy as np
+
+    kinds = np.zeros(256, np.uint8)
+    for c in range(256):
+        if 0x20 < c < 0x7F:
+            kinds[c] = _FIRST | _LAST | (_ALNUM if chr(c).isalnum() else _MARK)
+        elif c >= 0x80:  # white space outside ASCII begins with C2, E1, E2 or E3
+            kinds[c] = _WIDE | _LAST | (_FIRST if c >= 0xC3 and c not in (0xE1, 0xE2, 0xE3) else 0)
+    kinds[list(b" \n")] = _SPACE
+    for text in special:  # never cut inside
+        kinds[list(text)] &= np.uint8(0xFF ^ _SPACE ^ _MARK)
+        kinds[text[0]] |= _OPENS
+    return kinds
+
+
+@cache
+def _rules(path: str):
+    """The library with no rules but white space, for words in byte letters; which ids begin a word there; the kinds of bytes."""
+    import numpy as np
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    library, letters = tokenizer(path), byte_letters()
+    split = Tokenizer.from_str(library.to_str())
+    split.pre_tokenizer = WhitespaceSplit()
+    known = library.get_vocab()
+    begins = np.zeros(max(known.values()) + 1, bool)
+    begins[[i for t, i in known.items() if t.startswith(letters[0x20]) or t == letters[0x0A]]] = True
+    return split, begins, _kinds([t.content.encode() for t in library.get_added_tokens_decoder().values()])
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned integers of ``width`` bytes."""
+    """Ids of texts, little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, path: str):
-        library = tokenizer(path)
-        self.width = 2 if library.get_vocab_size() <= 1 << 16 else 4
-        kind = "H" if self.width == 2 else "I"
-        self.written = lambda ids: array(kind, ids).tobytes()
-        self.plain = lambda text: self.written(library.encode(text, add_special_tokens=False).ids)
-        self.pieces = Pieces(path, CACHE_ROWS, " ", False, self.written, self.plain)
-        self.heads = Pieces(path, CACHE_ROWS // 10, "", False, self.written, self.plain)
+        import numpy as np
+
+        self.library = tokenizer(path)
+        self.split, self.begins, self.kinds = _rules(path)
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.written = lambda ids: np.array(ids, f"<u{self.width}")
+        self.between = {b: c for b, c in byte_letters().items() if b != 0x09}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def cuts(self, data, starts, ends):
+        """Where pieces begin, given the bytes of all texts and where each text that is not empty begins and ends."""
+        import numpy as np
+
+        kinds = self.kinds[data]
+        at = np.flatnonzero(kinds[1:-1] & (_SPACE | _MARK)) + 1
+        here, before, after = kinds[at], kinds[at - 1], kinds[at + 1]
+        # a special string behind white space takes no blank from it, so it needs a character that surely is none
+        space = (here & _SPACE > 0) & (before & _LAST > 0) & (after & _FIRST > 0) & ((before & _WIDE == 0) | (after & _OPENS == 0))
+        cut = np.zeros(len(data), bool)
+        cut[at[space | (here & _MARK > 0) & (before & _ALNUM > 0)]] = True
+        lines = at[space]
+        cut[lines[data[lines] == 0x0A] + 1] = True
+        cut[ends - 1] = False  # what follows there is another text
+        cut[starts] = True
+        return np.flatnonzero(cut)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one pre-token each. The blank before a word shows where its ids begin; a line feed is put before others."""
+        import numpy as np
+
+        if not words:
+            return []
+        marked = [x if x[0] == 0x20 else b"\n\t" + x for x in words]
+        lines = [b"\t".join(marked[k : k + 500]).decode("latin-1").translate(self.between) for k in range(0, len(marked), 500)]
+        ids = np.concatenate([self.written(e.ids) for e in self.split.encode_batch_fast(lines, add_special_tokens=False)])
+        raw, w = ids.tobytes(), self.width
+        at = [*(w * np.flatnonzero(self.begins[ids])).tolist(), len(raw)]
+        return [raw[a if x[0] == 0x20 else a + w : b] for x, a, b in zip(words, at[:-1], at[1:], strict=True)]
+
+    def values(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each of these pieces, which differ, from the cache as far as it has them."""
+        found = list(map(self.young.get, pieces))
+        absent = [i for i, x in enumerate(found) if x is None]
+        keys = [pieces[i] for i in absent]
+        got = list(map(self.old.get, keys))
+        new = [j for j, x in enumerate(got) if x is None]
+        lone = [j for j in new if _WORD.fullmatch(keys[j])]
+        for j, value in zip(lone, self.words([keys[j] for j in lone]), strict=True):
+            got[j] = value
+        others = [j for j in new if got[j] is None]
+        for j, e in zip(others, self.library.encode_batch_fast([keys[j].decode() for j in others], add_special_tokens=False), strict=True):
+            got[j] = self.written(e.ids).tobytes()
+        for i, value in zip(absent, got, strict=True):
+            found[i] = value
+        half = max(1, CACHE_ROWS // 2)
+        for k in range(0, len(keys), half):
+            if len(self.young) + min(half, len(keys) - k) > half:
+                self.old, self.young = self.young, {}
+            self.young.update((x, v) for x, v in zip(keys[k : k + half], got[k : k + half], strict=True) if len(x) <= CACHE_BYTES)
+        return found
+
+    def encode_all(self, texts: list[str]):
+        """The ids of all texts, one after the other, and where each ends."""
+        import numpy as np
+
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(x) for x in raw], np.int64)
+        data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
+        if not len(data):
+            return np.zeros(0, f"<u{self.width}"), ends
+        at = self.cuts(data, (ends - sizes)[sizes > 0], ends[sizes > 0])
+        named = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        values = self.values(named.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # texts of under 2^31 bytes have fewer ids
+        table, n = np.frombuffer(b"".join(values), f"<u{self.width}"), np.array([len(x) for x in values], np.int32) // self.width
+        which = named.indices.to_numpy()
+        many = n[which]
+        last = np.cumsum(many, dtype=np.int32)
+        from_ = (np.cumsum(n, dtype=np.int32) - n)[which] - last + many
+        ids = table[np.repeat(from_, many) + np.arange(last[-1], dtype=np.int32)]
+        return ids, np.append(0, last)[np.searchsorted(at, ends)]
 
     def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        try:
-            if head[-1:].isspace():
-                raise Uneven
-            return b"".join([self.heads[head], *map(self.pieces.__getitem__, rest)])
-        except Uneven:
-            head, *rest = _BOUNDARY.split(text)
-            tail = self.plain(f" {rest.pop()}") if rest and rest[-1][-1:].isspace() else b""
-            return b"".join([self.plain(head), *map(self.pieces.__getitem__, rest), tail])
+        return self.encode_all([text])[0].tobytes()
 
 
 @cache
@@ -76,23 +181,38 @@ def worker_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
+    """doc_id and text of the rows of batches that follow one another, about GROUP_BYTES at once."""
+    rows, held = [], 0
+    for batch in batches:
+        rows += zip(batch.column("doc_id").to_pylist(), (t or "" for t in batch.column("text").to_pylist()), strict=True)
+        held += batch.column("text").nbytes
+        if held >= GROUP_BYTES:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def _packed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     import numpy as np
     import zstandard
 
     names = ["doc_id", "n", "copies", "ids", "tally"]
     encoder = worker_encoder(path)
-    end, width = encoder.written([END_ID]), encoder.width
+    width = encoder.width
+    end = np.array([END_ID], f"<u{width}").tobytes()
     pack = zstandard.ZstdCompressor(level=1).compress
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        rows = zip(batch.column("doc_id").to_pylist(), (t or "" for t in batch.column("text").to_pylist()), strict=True)
+    total = np.zeros(END_ID + 1, np.int64)
+    for rows in _grouped(batches):
         runs = [(*row, sum(1 for _ in same)) for row, same in groupby(rows)]
         docs, copies = ([r[k] for r in runs] for k in (0, 2))
-        ids = [encoder.encode(t) + end for _, t, _ in runs]
-        none = pa.nulls(len(runs), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(copies, pa.int64()), pa.array([pack(bytes([width]) + x) for x in ids], pa.binary()), none], names=names)
-        n = np.bincount(np.frombuffer(b"".join(x * k for x, k in zip(ids, copies, strict=True)), f"<u{width}"), minlength=len(total))
+        ids, ends = encoder.encode_all([t for _, t, _ in runs])
+        parts = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        packed = [pack(bytes([width]) + x.tobytes() + end) for x in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([len(x) + 1 for x in parts], pa.int64()), pa.array(copies, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(runs), pa.binary())], names=names)
+        n = np.bincount(np.concatenate([ids, *(np.tile(x, k - 1) for x, k in zip(parts, copies, strict=True) if k > 1)]), minlength=len(total))
+        n[END_ID] += sum(copies)
         n[: len(total)] += total
         total = n
     yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())] + [pa.array([pack(total.astype("<i8").tobytes())], pa.binary())], names=names)
@@ -108,7 +228,7 @@ def unpacked(data: bytes):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n, copies, ids, tally), kept in the shared folder. A row for each document, its n ids packed, and for its copies
-    that follow it in a batch; and one for each task, without ids, with the task's count of every id."""
+    that follow it in a group; and one for each task, without ids, with the task's count of every id."""
     small_batches(docs.sparkSession)
     return staged(docs.select("doc_id", "text").mapInArrow(lambda it: _packed(it, path), "doc_id long, n long, copies long, ids binary, tally binary"), "ids", "none")
 
